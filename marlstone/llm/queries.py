@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .simhash import op9_simhash
+from .tokens import op3_token_counts
 
 QUERIES = {
+    "op3_token_counts": op3_token_counts,
     "op9_simhash": op9_simhash,
 }
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from .packing import op6_best_fit_packing
 from .simhash import op9_simhash
 from .tokens import op3_token_counts
 
 QUERIES = {
     "op3_token_counts": op3_token_counts,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_simhash": op9_simhash,
 }
 

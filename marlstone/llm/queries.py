@@ -5,15 +5,18 @@ from __future__ import annotations
 from .packing import op6_best_fit_packing
 from .rules import OP1_SQL, op1_quality_rules
 from .simhash import op9_simhash
+from .substrings import OP7_SQL, op7_substring_dedup
 from .tokens import op3_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op7_substring_dedup": OP7_SQL,
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op2_language_id
 from .packing import op6_best_fit_packing
 from .rules import OP1_SQL, op1_quality_rules
 from .simhash import op9_simhash
@@ -10,6 +11,7 @@ from .tokens import op3_token_counts
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .language import op2_language_id
 from .packing import op6_best_fit_packing
+from .quality import op8_quality_classifier
 from .rules import OP1_SQL, op1_quality_rules
 from .simhash import op9_simhash
 from .substrings import OP7_SQL, op7_substring_dedup
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
 }
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +18,19 @@ from .common import as_bytes, cut, map_texts, read_table
 #: Pieces that one packing task takes on average; partitions whose open sequences are pooled at the end.
 PIECES_PER_TASK, POOLED_PARTITIONS = 8_000, 256
 #: Words that a worker remembers the ids of; words that go into one call of the tokenizer.
-CACHE_WORDS, CALL_WORDS = 250_000, 400
+CACHE_WORDS, CALL_WORDS = 700_000, 400
+STOPS = b".,;:!?"
 MARK = "<|endoftext|>"
+LAST_LATIN = chr(0x24F)
+
+
+def _byte_characters() -> dict[int, str]:
+    """The character by which a byte-level vocabulary writes each byte: itself if it is printable Latin-1 and not a gap,
+    else the next one from 256 on.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordIds:
@@ -27,13 +40,31 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.written = _byte_characters()
         self.mark = self.tokenizer.token_to_id(MARK)
         self.ids: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        calls = [plain[i : i + CALL_WORDS] for i in range(0, len(plain), CALL_WORDS)]
+        self.old: dict[bytes, bytes] = {}
+
+    def _letters(self, word: bytes) -> str | None:
+        """The word in the vocabulary's characters, if it is one run of lower-case Latin letters: normalisation and
+        splitting leave those as they are, and the model alone gives their ids.
+        """
+        text = word.decode("utf-8", "replace")
+        if not text.isalpha() or text != text.lower() or max(text) > LAST_LATIN:
+            return None
+        if text.isascii():
+            return text
+        return word.decode("latin-1").translate(self.written) if is_normalized("NFC", text) else None
+
+    def _tokenize(self, words: list[bytes]) -> None:
+        model, rest = self.tokenizer.model, []
+        for w in words:
+            if (text := self._letters(w)) is None:
+                rest.append(w)
+            else:
+                self.ids[w] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
+        words = rest
+        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
         glue = f" {MARK} "
         for call, found in zip(calls, self.tokenizer.encode_batch_fast([glue.join(w.decode("utf-8", "replace") for w in call) for call in calls], add_special_tokens=False), strict=True):
             ids = np.array(found.ids, "<u4")
@@ -43,17 +74,36 @@ class WordIds:
                 raise ValueError("the tokenizer joined or split words at white space")
             raw = ids.tobytes()
             self.ids.update(zip(call, (raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        """Ids of words that are not known. Stops after a letter are tokens of their own, so the word without them is
+        what is tokenized; words that may hold a special token's own string go one by one.
+        """
+        parts, plain = {}, set()
         for w in words:
-            if b"<|" in w:  # may hold a special token's own string
+            if b"<|" in w:
                 self.ids[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            elif (core := w.rstrip(STOPS)) != w and core[-1:].islower():
+                parts[w] = core, w[len(core) :]
+                plain.update(parts[w])
+            else:
+                plain.add(w)
+        for w in [w for w in plain if w in self.old]:
+            self.ids[w] = self.old[w]
+        self._tokenize([w for w in plain if w not in self.ids])
+        for w, (core, tail) in parts.items():
+            self.ids[w] = self.ids[core] + self.ids[tail]
 
     def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers."""
-        split = [t.split() if t else [] for t in texts]
+        """Each text's ids as little-endian unsigned 32-bit numbers. A-Z are lowered first, as the tokenizer does."""
+        split = [[] if not t else t.lower().split() if b"<|" not in t else [w if b"<|" in w else w.lower() for w in t.split()] for t in texts]
         wanted = set().union(*split)
-        if len(self.ids) + len(wanted) > CACHE_WORDS:
-            self.ids.clear()
-        self._learn(list(wanted - self.ids.keys()))
+        if len(self.ids) > CACHE_WORDS // 2:
+            self.ids, self.old = {}, self.ids
+        new = wanted - self.ids.keys()
+        for w in new & self.old.keys():
+            self.ids[w] = self.old[w]
+        self._learn(new - self.old.keys())
         return [b"".join(map(self.ids.__getitem__, words)) for words in split]
 
 

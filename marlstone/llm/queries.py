@@ -9,6 +9,7 @@ from .rules import OP1_SQL, op1_quality_rules
 from .simhash import op9_simhash
 from .substrings import OP7_SQL, op7_substring_dedup
 from .tokens import op3_token_counts
+from .toxicity import op10_toxicity
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {

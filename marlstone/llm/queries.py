@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op4_decontamination
 from .language import op2_language_id
 from .packing import op6_best_fit_packing
 from .quality import op8_quality_classifier
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,

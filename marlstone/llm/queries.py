@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
 from .decontamination import op4_decontamination
 from .language import op2_language_id
 from .packing import op6_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_token_counts": op3_token_counts,
     "op4_decontamination": op4_decontamination,
+    "op5_chat_formatting": op5_chat_formatting,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_quality_classifier": op8_quality_classifier,
@@ -26,5 +28,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
+    "op5_chat_formatting": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
 }

@@ -98,8 +98,9 @@ _HEAD = np.dtype([("anchor", "<u8"), ("order", "<i8"), ("row", "<i8"), ("first",
 
 
 def _pack(head: np.ndarray, windows: np.ndarray) -> bytes:
-    """A payload: number of stretches, their heads column by column, then their windows' lower halves."""
-    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows.astype("<u4").tobytes()
+    """A payload: number of stretches, their heads column by column, then 48 bits of each of their windows' hashes."""
+    low, high = (windows & np.uint64(0xFFFFFFFF)).astype("<u4"), (windows >> np.uint64(48)).astype("<u2")
+    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + low.tobytes() + high.tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -109,23 +110,40 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         kind = _HEAD[name]
         head[name] = np.frombuffer(raw, kind, n, at)
         at += n * kind.itemsize
-    return head, np.frombuffer(raw, "<u4", offset=at)
+    low = np.frombuffer(raw, "<u4", (len(raw) - at) // 6, at)
+    return head, low | np.frombuffer(raw, "<u2", len(low), at + low.nbytes).astype(np.uint64) << np.uint64(32)
 
 
-def _flags_by_row(head: np.ndarray, flags: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """(order, row, runs) of each row with a flagged window: its flagged starts as runs. flags: one for each window."""
+_RUN = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4")])
+
+
+def _runs(head: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """The flagged windows as runs of starts that follow one another in one row. flags: one for each window."""
     size = head["size"].astype(np.int64)
     owner = np.repeat(np.arange(len(head)), size)[flags]
     local = (np.arange(len(flags)) - np.repeat(np.cumsum(size) - size, size))[flags]
-    order, rows, starts = head["order"][owner], head["row"][owner], head["first"][owner] + local
-    at = np.lexsort((starts, rows, order))
-    order, rows, starts = order[at], rows[at], starts[at]
-    cuts = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (order[1:] != order[:-1])][: len(rows)])
-    for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(rows)].tolist(), strict=True):
-        s = starts[a:b]
-        heads = np.flatnonzero(np.r_[True, s[1:] != s[:-1] + 1])
-        runs = np.stack([s[heads], np.diff(np.r_[heads, len(s)])], axis=1)  # first start, number of starts that follow one another
-        yield int(order[a]), int(rows[a]), runs.astype("<u4").tobytes()
+    order, row, start = head["order"][owner], head["row"][owner], head["first"][owner] + local
+    at = np.lexsort((start, row, order))
+    order, row, start = order[at], row[at], start[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (order[1:] != order[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
+    heads = np.flatnonzero(new)
+    out = np.empty(len(heads), _RUN)
+    out["order"], out["row"], out["start"], out["count"] = order[heads], row[heads], start[heads], np.diff(np.r_[heads, len(at)])
+    return out
+
+
+def _dealt(items: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Items by their numbers in `to`, as (number, places)."""
+    at = np.argsort(to, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, to[at][1:] != to[at][:-1]][: len(at)])
+    for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(at)].tolist(), strict=True):
+        yield int(to[at[a]]), at[a:b]
+
+
+def _dealt_runs(runs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    to = (_mix(runs["row"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    return ((number, runs[at].tobytes()) for number, at in _dealt(runs, to))
 
 
 def _least_order(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
@@ -140,12 +158,9 @@ def _least_order(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
     return out
 
 
-_SCHEMA = "block int, order long, row long, payload binary"
-
-
 def _index(blocks: int, window: int, anchor: int):
     """Chunks of documents to payloads, one for each block. A stretch that repeats within a chunk goes to its block for
-    its least document only; the others' windows are flagged here, and their flags pass through a block (order set).
+    its least document only; the others' windows are flagged here, and their runs pass through a block.
     """
 
     def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -153,22 +168,18 @@ def _index(blocks: int, window: int, anchor: int):
         windows = np.concatenate([w for _, w in parts])
         size = head["size"].astype(np.int64)
         place = np.cumsum(size) - size
-        total = _mix(np.add.reduceat(windows * _mix(np.arange(len(windows), dtype=np.uint64) - np.repeat(place, size).astype(np.uint64) + np.uint64(1)), place) if len(windows) else windows)
-        least = _least_order([head["anchor"], total, head["size"]], head["order"])
-        flagged = head["order"] > least
-        out = [(row % blocks, order, row, raw) for order, row, raw in _flags_by_row(head[flagged], np.ones(int(size[flagged].sum()), bool))]
+        inside = np.arange(len(windows), dtype=np.uint64) - np.repeat(place, size).astype(np.uint64)
+        total = _mix(np.add.reduceat(windows * _mix(inside + np.uint64(1)), place) if len(windows) else windows)
+        flagged = head["order"] > _least_order([head["anchor"], total, head["size"]], head["order"])
+        runs = _runs(head[flagged], np.ones(int(size[flagged].sum()), bool))
+        out = [(number, True, raw) for number, raw in _dealt_runs(runs, blocks)]
         keep = np.flatnonzero(~flagged)
-        block = (head["anchor"][keep] >> np.uint64(17)) % np.uint64(blocks)
-        keep = keep[np.argsort(block, kind="stable")]
-        block = np.sort(block)
-        cuts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]][: len(block)])
-        for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(block)].tolist(), strict=True):
-            own = keep[a:b]
+        for number, at in _dealt(keep, ((head["anchor"][keep] >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)):
+            own = keep[at]
             n = size[own]
-            at = np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            out.append((int(block[a]), None, None, _pack(head[own], windows[at] & np.uint64(0xFFFFFFFF))))
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["block", "order", "row", "payload"])
+            out.append((number, False, _pack(head[own], windows[np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])))
+        kinds = (pa.int32(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["block", "done", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -190,30 +201,43 @@ def _index(blocks: int, window: int, anchor: int):
     return run
 
 
-def _factor(table: pa.Table) -> pa.Table:
-    """One block: all stretches of it, from all chunks, to flagged windows of each row."""
-    out, heads, windows = [], [np.empty(0, _HEAD)], [np.empty(0, np.uint32)]
-    for order, row, raw in zip(*(table.column(c).to_pylist() for c in ("order", "row", "payload")), strict=True):
-        if order is None:
-            h, w = _unpack(raw)
-            heads.append(h)
-            windows.append(w)
-        else:
-            out.append((order, row, raw))
-    head, window = np.concatenate(heads), np.concatenate(windows)
-    size = head["size"].astype(np.int64)
-    order = np.repeat(head["order"], size)
-    out += _flags_by_row(head, order > _least_order([np.repeat(head["anchor"], size), window], order))
-    return pa.table({n: pa.array([x[i] for x in out], k) for i, (n, k) in enumerate((("of_key", pa.int64()), ("of_row", pa.int64()), ("runs", pa.binary())))})
+def _factor(parts: int):
+    """One block: all stretches of it, from all chunks, to runs of flagged windows, dealt by row."""
+
+    def run(table: pa.Table) -> pa.Table:
+        out, heads, windows = [], [np.empty(0, _HEAD)], [np.empty(0, np.uint64)]
+        for done, raw in zip(table.column("done").to_pylist(), table.column("payload").to_pylist(), strict=True):
+            if done:
+                out += _dealt_runs(np.frombuffer(raw, _RUN), parts)
+            else:
+                h, w = _unpack(raw)
+                heads.append(h)
+                windows.append(w)
+        head, window = np.concatenate(heads), np.concatenate(windows)
+        size = head["size"].astype(np.int64)
+        order = np.repeat(head["order"], size)
+        out += _dealt_runs(_runs(head, order > _least_order([np.repeat(head["anchor"], size), window], order)), parts)
+        return pa.table({"part": pa.array([n for n, _ in out], pa.int32()), "payload": pa.array([raw for _, raw in out], pa.binary())})
+
+    return run
+
+
+def _by_row(table: pa.Table) -> pa.Table:
+    """The runs of some rows, from all blocks, to one binary for each row: starts and counts."""
+    runs = np.concatenate([np.frombuffer(raw, _RUN) for raw in table.column("payload").to_pylist()])
+    runs = runs[np.lexsort((runs["start"], runs["row"], runs["order"]))]
+    cuts = np.flatnonzero(np.r_[True, (runs["row"][1:] != runs["row"][:-1]) | (runs["order"][1:] != runs["order"][:-1])][: len(runs)])
+    pairs = np.stack([runs["start"], runs["count"]], axis=1)
+    raws = [pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(runs)].tolist(), strict=True)]
+    return pa.table({"of_key": pa.array(runs["order"][cuts]), "of_row": pa.array(runs["row"][cuts]), "runs": pa.array(raws, pa.binary())})
 
 
-def _covered(n_words: int, runs: list[bytes], window: int) -> np.ndarray:
+def _covered(n_words: int, runs: bytes, window: int) -> np.ndarray:
     """Which words lie in a flagged window."""
     edge = np.zeros(n_words + 1, np.int64)
-    for raw in runs:
-        r = np.frombuffer(raw, "<u4").astype(np.int64).reshape(-1, 2)
-        np.add.at(edge, r[:, 0], 1)
-        np.add.at(edge, r[:, 0] + r[:, 1] + window - 1, -1)
+    r = np.frombuffer(runs, "<u4").astype(np.int64).reshape(-1, 2)
+    np.add.at(edge, r[:, 0], 1)
+    np.add.at(edge, r[:, 0] + r[:, 1] + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -223,9 +247,9 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     """
     blocks = shuffle_width(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("order"), _row(key, text).alias("row"), F.col(text).alias("text"))
-    indexed = rows.mapInArrow(_index(blocks, window, anchor), _SCHEMA)
-    found = indexed.groupBy("block").applyInArrow(_factor, "of_key long, of_row long, runs binary")
-    return found.groupBy("of_key", "of_row").agg(F.collect_list("runs").alias("runs"))
+    indexed = rows.mapInArrow(_index(blocks, window, anchor), "block int, done boolean, payload binary")
+    found = indexed.groupBy("block").applyInArrow(_factor(blocks), "part int, payload binary")
+    return found.groupBy("part").applyInArrow(_by_row, "of_key long, of_row long, runs binary")
 
 
 def _row(key: str, text: str):

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_texts, read_table
+from .common import as_bytes, cut, free_name, map_texts, read_table
 from .components import connected_components
 
 BITS = 64
@@ -144,6 +144,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     return own.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
+    """docs, all columns, with one row of each class of near duplicates: the one with the least key. Rows with a null key
+    stay only if no row of their class has a key; of rows with equal keys one is kept.
+    """
+    found = near_duplicates(docs, key, text, width, distance)
+    name = free_name(docs, "kept")
+    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(name)).distinct().hint("shuffle_hash")
+    out = docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi")
+    repeated = found.agg(F.count(F.lit(1)) - F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit("")))).first()[0]
+    return out.dropDuplicates([key]) if repeated else out
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

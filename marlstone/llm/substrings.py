@@ -10,6 +10,7 @@ factor is found whole wherever the stretches before and after it end.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read_table, shuffle_width, text_slices
+from .common import as_bytes, free_name, read_table, shuffle_width, text_slices
 
 #: Bytes of text that are hashed at one time, and that one indexed chunk holds.
 SLICE_BYTES, CHUNK_BYTES = 4 << 20, 24 << 20
 #: A stretch holds at most so many windows.
 STRETCH = 32
 _ODD = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,10 +35,6 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> int:
-    return pow(_ODD, n, 1 << 64)
-
-
 def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, and each text's number of words."""
     data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
@@ -256,40 +253,63 @@ def _row(key: str, text: str):
     return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
-def remove_duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5) -> DataFrame:
-    """(key, n_words, n_removed, kept): every row with its text's words that no duplicate window covers, space-joined.
+def _cut_out(raw: bytes, stays: np.ndarray) -> bytes:
+    """The text without the words that don't stay. What lies between two words that stay next to each other is kept as
+    it is; where words went, one blank is left.
+    """
+    spans = [m.span() for m in _WORD.finditer(raw)]
+    edge = np.flatnonzero(np.diff(np.r_[False, stays, False].astype(np.int8)))
+    return b" ".join(raw[spans[a][0] : spans[b - 1][1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+
+
+def remove_duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5, layout: bool = False) -> DataFrame:
+    """docs, all columns, with each text's words that no duplicate window covers, and n_words and n_removed (renamed with
+    underscores in front where docs has such a column).
 
     A window of `window` words is a duplicate if the same words also start, as a window, in a row with a smaller key.
-    All windows are judged on the input. Keys are whole numbers. Texts shorter than a window, empty and null texts keep
-    all their words (null: none); rows with equal keys are not earlier than one another, so repeated rows get equal
-    results; rows with a null key come before and after nothing and stay whole; an empty table gives an empty one.
+    All windows are judged on the input. The words that are left are joined by one blank; with layout, a text without a
+    duplicate stays as it is, and others keep the white space between words that stay together.
+
+    Keys are whole numbers. Texts shorter than a window, empty and null texts keep all their words (null: none, and an
+    empty text); rows with equal keys are not earlier than one another, so repeated rows get equal results; rows with a
+    null key come before and after nothing and stay whole; an empty table gives an empty one.
     """
+    others = [c for c in docs.columns if c != text]
+    plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
     spans = duplicate_spans(docs, key, text, window, anchor)
-    rows = docs.select(F.col(key).alias("key"), _row(key, text).alias("row"), F.col(text).alias("text"))
-    joined = rows.join(spans.hint("shuffle_hash"), (F.col("key").cast("long") == F.col("of_key")) & (F.col("row") == F.col("of_row")), "left").select("key", "runs", "text")
+    rows = docs.select(*plain, F.col(key).cast("long").alias("key"), _row(key, text).alias("row"), F.col(f"`{text}`").alias("text"))
+    joined = rows.join(spans.hint("shuffle_hash"), (F.col("key") == F.col("of_key")) & (F.col("row") == F.col("of_row")), "left")
+    joined = joined.select(*(f"c{i}" for i in range(len(others))), "runs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in text_slices(batch, 2):
+            last = batch.num_columns - 1
+            for piece in text_slices(batch, last):
                 n_words, n_removed, kept = [], [], []
-                for raw, runs in zip(as_bytes(piece.column(2)), piece.column(1).to_pylist(), strict=True):
-                    words = raw.split() if raw else []
+                for raw, runs in zip(as_bytes(piece.column(last)), piece.column(last - 1).to_pylist(), strict=True):
+                    raw = raw or b""
+                    words = raw.split()
                     n_words.append(len(words))
                     if runs:
-                        left = ~_covered(len(words), runs, window)
-                        words = [w for w, stays in zip(words, left.tolist(), strict=True) if stays]
-                    n_removed.append(n_words[-1] - len(words))
-                    kept.append(b" ".join(words))
-                columns = [piece.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, names=["key", "n_words", "n_removed", "kept"])
-
-    kind = dict(docs.dtypes)[key]
-    return joined.mapInArrow(run, f"key {kind}, n_words long, n_removed long, kept string").withColumnRenamed("key", key)
+                        stays = ~_covered(len(words), runs, window)
+                        n_removed.append(len(words) - int(stays.sum()))
+                        kept.append(_cut_out(raw, stays) if layout else b" ".join(w for w, s in zip(words, stays.tolist(), strict=True) if s))
+                    else:
+                        n_removed.append(0)
+                        kept.append(raw if layout else b" ".join(words))
+                columns = [*piece.columns[: last - 1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[: last - 1], "n_words", "n_removed", "text"])
+
+    kinds = dict(docs.dtypes)
+    done = joined.mapInArrow(run, "".join(f"c{i} {kinds[c]}, " for i, c in enumerate(others)) + "n_words long, n_removed long, text string")
+    place = {c: i for i, c in enumerate(others)}
+    named = [F.col("text").alias(c) if c == text else F.col(f"c{place[c]}").alias(c) for c in docs.columns]
+    return done.select(*named, *(F.col(c).alias(free_name(docs, c)) for c in ("n_words", "n_removed")))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = remove_duplicate_spans(read_table(spark, sf_dir, "documents"))
-    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    kept = remove_duplicate_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import admin, crawling, evaluation, flow, graphs, lookup, maintenance, scalars, search  # noqa: F401  each registers its queries
+from .base import ORACLE_SQL, QUERIES
+from .search import vector_search as flagship
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label")
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -34,8 +34,8 @@ def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All rows but those that lose all their words, without the passages that stand in a document with a smaller doc_id;
     a text that loses nothing stays as it is.
     """
-    rows = remove_duplicate_spans(docs, layout=True)
-    return rows.where("n_removed = 0 OR n_removed < n_words").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+    rows = remove_duplicate_spans(docs, layout=True).where("n_removed = 0 OR n_removed < n_words")
+    return rows.select(*(F.when(F.col("text").isNotNull(), F.length("text")).cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

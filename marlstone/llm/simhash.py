@@ -145,15 +145,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """docs, all columns, with one row of each class of near duplicates: the one with the least key. Rows with a null key
-    stay only if no row of their class has a key; of rows with equal keys one is kept.
+    """docs, all columns, with one row of each class of near duplicates: the one with the least key (one of them, where
+    rows have equal keys). Rows with a null key can't be told apart by it; they stay.
     """
-    found = near_duplicates(docs, key, text, width, distance)
+    keyed = docs.where(F.col(key).isNotNull())
+    found = near_duplicates(keyed, key, text, width, distance)
     name = free_name(docs, "kept")
-    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias(name)).distinct().hint("shuffle_hash")
-    out = docs.join(kept, F.col(key).eqNullSafe(F.col(name)), "left_semi")
-    repeated = found.agg(F.count(F.lit(1)) - F.count_distinct(F.coalesce(F.col(key).cast("string"), F.lit("")))).first()[0]
-    return out.dropDuplicates([key]) if repeated else out
+    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(name)).distinct().hint("shuffle_hash")
+    out = keyed.join(kept, F.col(key) == F.col(name), "left_semi")
+    if found.agg(F.count(F.lit(1)) - F.count_distinct(key)).first()[0]:
+        out = out.dropDuplicates([key])
+    return out.unionByName(docs.where(F.col(key).isNull()))
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

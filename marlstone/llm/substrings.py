@@ -132,8 +132,10 @@ def _runs(head: np.ndarray, flags: np.ndarray) -> np.ndarray:
 
 def _dealt(items: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Items by their numbers in `to`, as (number, places)."""
+    if not len(to):
+        return
     at = np.argsort(to, kind="stable")
-    cuts = np.flatnonzero(np.r_[True, to[at][1:] != to[at][:-1]][: len(at)])
+    cuts = np.flatnonzero(np.r_[True, to[at][1:] != to[at][:-1]])
     for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(at)].tolist(), strict=True):
         yield int(to[at[a]]), at[a:b]
 

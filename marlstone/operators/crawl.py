@@ -93,7 +93,7 @@ class _Page(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         classes = (dict(attrs).get("class") or "").lower()
         self.want = "name" if "name" in classes else "role" if "role" in classes or "title" in classes.split() else self.want
-        if tag in ("script", "style", "nav", "footer", "header"):
+        if tag in ("title", "script", "style", "nav", "footer", "header"):
             self.skip += 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
             self._end_line()
@@ -105,7 +105,7 @@ class _Page(HTMLParser):
             self._end_line()
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in ("script", "style", "nav", "footer", "header"):
+        if tag in ("title", "script", "style", "nav", "footer", "header"):
             self.skip = max(self.skip - 1, 0)
         elif tag in ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
             self._end_line()

@@ -1,0 +1,136 @@
+"""Operators of the engine on small tables, with the edge cases that matter."""
+
+from datetime import datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as X
+from marlstone.functions.vectors import cosine
+from marlstone.operators import chunking, crawl, eav, graph, jobs, resolution, retrieval
+from marlstone.streaming import sessions
+
+
+def one(spark, column):
+    return spark.range(1).select(column.alias("x")).first().x
+
+
+def vector(*v):
+    return F.array(*map(F.lit, v)).cast("array<float>")
+
+
+def test_cosine(spark):
+    assert one(spark, cosine(vector(1, 0), vector(0, 0))) == 0.0
+    assert one(spark, cosine(vector(1, 0), vector(3, 0))) == pytest.approx(1)
+
+
+def test_margin_keeps_the_best_and_zero_disables(spark):
+    rows = spark.createDataFrame([(1, i, s) for i, s in enumerate((0.83, 0.80, 0.66, 0.55, 0.4))], "query_id int, chunk_id int, sim double")
+    kept = lambda m: sorted(r.chunk_id for r in retrieval.top_hits(rows, margin=m).collect())
+    assert kept(0.12) == [0, 1] and kept(0.0) == [0, 1, 2, 3] and kept(0.001) == [0]
+    assert [r.chunk_id for r in retrieval.top_hits(rows, k=1).collect()] == [0]
+
+
+def test_context_sentences(spark):
+    rows = spark.createDataFrame([(1, "chunk", "a", 0.5), (1, "chunk", "b", 0.9), (2, "fact", "f", 1.0)], "query_id int, kind string, item string, score double")
+    found = {r.query_id: (r.facts, r.chunks) for r in retrieval.context(rows).collect()}
+    assert found == {1: ("No structured facts.", "1. b\n2. a"), 2: ("1. f", "No documentation.")}
+
+
+def test_chunk_sizes(spark):
+    rows = [(1, " ".join(["w"] * 500)), (2, " ".join(["w"] * 501)), (3, ""), (4, None), (5, "a\n b")]
+    found = chunking.chunk_tokens(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    sizes = {i: [r.token_count for r in found if r.doc_id == i] for i in (1, 2, 3, 4, 5)}
+    assert sizes == {1: [500], 2: [500, 76], 3: [], 4: [], 5: [2]} and [r.chunk for r in found if r.doc_id == 5] == ["a\n b"]
+
+
+def test_extraction_windows_cover_the_text():
+    text = " ".join(f"Sentence number {i} says a thing." for i in range(400))
+    windows = chunking.extraction_windows(text)
+    assert all(len(w) <= 1800 for w in windows) and text.startswith(windows[0]) and text.endswith(windows[-1])
+    at = 0
+    for w in windows:
+        start = text.index(w, max(at - 1800, 0))
+        assert start <= at
+        at = start + len(w)
+    assert at == len(text)
+
+
+def test_sections(spark):
+    found = chunking.sections(spark.createDataFrame([(1, "intro\n# A\nx\n## B\ny\n")], "doc_id int, text string")).collect()
+    assert [r.section for r in found] == ["intro\n", "# A\nx\n", "## B\ny\n"]
+
+
+def test_text_functions(spark):
+    value = lambda c, t: one(spark, c(F.lit(t)))
+    assert value(X.slugify, "  My File (v2)!.PDF ") == "my-file-v2.pdf" and value(X.slugify, "///") == "file"
+    assert [value(X.singular, t) for t in ("policies", "uses", "gas", "ties")] == ["policy", "use", "gas", "tie"]
+    assert value(X.cooldown_seconds, "Please try again in 6m33.5s.") == 393.5 and value(X.cooldown_seconds, "wait 2m") == 120 and value(X.cooldown_seconds, "no") is None
+    assert value(X.error_class, "429 json_validate_failed") == "deterministic" and value(X.error_class, "Rate limit") == "rate_limited"
+    assert value(X.strip_code_fence, "```json\n{}\n```") == "{}" and value(X.value_type, "1e3") == "number" and value(X.value_type, "TRUE") == "boolean"
+    assert value(X.normalize_url, "HTTP://Ex.COM/a/b/?q=1#f") == "http://ex.com/a/b?q=1" and value(X.normalize_url, "http://e.com") == "http://e.com/"
+    rows = spark.createDataFrame([("Ｆull—width  “Straße”",)], "v string").select(X.normalize_value("v").alias("x"))
+    assert rows.first().x == 'full-width "strasse"'
+
+
+def test_lookup_falls_back(spark):
+    entities = spark.createDataFrame([("e1", "person", "Ann"), ("e2", "firm", "Acme")], "entity_id string, entity_type string, name string")
+    values = spark.createDataFrame([("e2", "price", "$5", True), ("e2", "price", "$8", False), ("e2", "role", "x", False)], "entity_id string, attribute string, value string, superseded boolean")
+    relations = spark.createDataFrame([("e2", "e1", "employs")], "source_id string, target_id string, relation_type string")
+    asked = spark.createDataFrame([(1, "company", "ACME", "price"), (2, "firm", "acme", "nothing"), (3, None, "ann", None)], "query_id int, q_type string, q_name string, q_attribute string")
+    found = eav.lookup(eav.resolve(entities, asked), eav.facts(values, relations, entities)).collect()
+    assert {(r.query_id, r.branch, r.value) for r in found} == {(1, 0, "$8"), (2, 0, "$8"), (2, 0, "x"), (2, 1, "Ann"), (3, 2, "Acme")}
+
+
+def test_graph(spark):
+    r = spark.createDataFrame([(a, b, "r") for a, b in ("ab", "bc", "cd", "de", "ax", "xd", "ff")], "source_id string, target_id string, relation_type string")
+    nodes = spark.createDataFrame([(n,) for n in "abcdefxz"], "entity_id string")
+    edges = graph.undirected(r)
+    path = lambda s, e, n=4: [x.entity_id for x in graph.shortest_path(edges, s, e, n).orderBy("position").collect()]
+    assert path("a", "d") == ["a", "x", "d"] and path("a", "e") == ["a", "x", "d", "e"] and path("a", "e", 3) == [] and path("a", "a") == ["a"] and path("a", "z") == []
+    assert {x.node: x.depth for x in graph.reach(edges, nodes.where("entity_id = 'a'"), 2).collect()} == {"a": 0, "b": 1, "x": 1, "c": 2, "d": 2}
+    assert {x.entity_id: x.degree for x in graph.degrees(nodes, r).collect()}["f"] == 2
+
+
+def test_supersession_restores(spark):
+    provenance = spark.createDataFrame([("old", 1), ("new", 2), ("both", 1), ("both", 2)], "value_id string, version_id int")
+    marked = lambda v: {r.value_id: r.superseded for r in resolution.supersession(provenance, spark.createDataFrame([(v,)], "version_id int")).collect()}
+    assert marked(2) == {"old": True, "new": False, "both": False} and marked(1) == {"old": False, "new": True, "both": False}
+
+
+def test_near_duplicate_values(spark):
+    rows = spark.createDataFrame([("g", v) for v in ("The smallest yet functional version", "the smallest yet functional version.", "$500", "$800", None)], "group string, value string")
+    assert {r.value for r in resolution.collapse_near_duplicates(rows).collect()} == {"the smallest yet functional version.", "$500", "$800"}
+
+
+def test_retry_decisions(spark):
+    cases = [("rate_limited", 0, "QUEUED", 600), ("rate_limited", 2, "QUEUED", 2400), ("rate_limited", 3, "DEAD_LETTER", None), ("worker_abandoned", 0, "QUEUED", None), ("checksum", 0, "FAILED", None), (None, 0, "FAILED", None)]
+    rows = spark.createDataFrame([(i, k, a) for i, (k, a, *_) in enumerate(cases)], "i int, k string, a int").select("i", jobs.decide(F.col("k"), F.col("a")).alias("d")).orderBy("i").collect()
+    assert [(r.d.status, r.d.wait) for r in rows] == [(s, w) for *_, s, w in cases]
+
+
+def test_rate_limit_counts_rejected_events(spark):
+    rows = [(1, i, datetime(2024, 1, 1, 0, 0, i)) for i in range(4)] + [(1, 9, datetime(2024, 1, 1, 0, 1, 0))]
+    found = jobs.rate_limited(spark.createDataFrame(rows, "user_id int, event_id int, ts timestamp"), 60, 2).orderBy("event_id").collect()
+    assert [r.rejected for r in found] == [False, False, True, True, False] and [r.retry_after for r in found] == [None, None, 58, 57, None]
+
+
+def test_dialogue_steps():
+    def run(*turns):
+        at = ("reason", 0)
+        for t in turns:
+            at = sessions.step(*at, t)
+        return at[0]
+
+    assert run("broken", "me@x.org") == "ticket" and run("broken", "no", "no", "no") == "abandoned" and run("broken", "cancel it") == "cancelled"
+
+
+def test_pages(spark):
+    html = '<html><title> T </title><body><nav>skip</nav><h1>Team</h1><div class="name">Ann</div><div class="role">CEO</div><p>Hi <b>you</b></p><a href="mailto:x@y">m</a><a href="b/c#f">l</a><a href="http://o.org/">o</a></body></html>'
+    pages = spark.createDataFrame([(1, "http://e.com/a/", html), (2, "http://e.com", None)], "page_id long, url string, html string")
+    found = {r.page_id: r for r in crawl.page_text(pages).collect()}
+    assert found[1].markdown.split("\n")[:4] == ["# Team", "Ann", "CEO", "Hi you"] and found[1].team == ["Ann: CEO"] and found[2].markdown == ""
+    assert {(r.link, r.internal) for r in crawl.links(pages).collect()} == {("http://e.com/a/b/c", True), ("http://o.org/", False)}
+    assert one(spark, crawl.sitemap_urls(F.lit("User-agent: *\nSITEMAP: http://e.com/s.xml "))) == "http://e.com/s.xml"
+    assert one(spark, crawl.sitemap_locations(F.lit("<?xml version='1.0'?><urlset><url><loc> a </loc></url></urlset>"))) == ["a"]
+    assert one(spark, crawl.sitemap_locations(F.lit("<sitemapindex><loc>a</loc></sitemapindex>"))) is None

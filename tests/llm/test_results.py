@@ -63,7 +63,8 @@ def test_word_ids_are_the_librarys():
     path = public_tokenizers.path(WORD)
     cases = ["", "It'S, THEY'LL.,!", "a.'s", "ΣΑΣ, x", "x<|endoftext|>Y", "<|ENDOFTEXT|>", *noise(3000, 80, 3)]
     found = packing.WordIds(path).encode([c.encode() for c in cases])
-    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [Tokenizer.from_file(path).encode(c, add_special_tokens=False).ids for c in cases]
+    library = Tokenizer.from_file(path)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library.encode(c, add_special_tokens=False).ids for c in cases]
 
 
 def test_packing(docs, texts):

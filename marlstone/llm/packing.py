@@ -18,7 +18,7 @@ from .common import as_bytes, cut, map_texts, read_table
 #: Pieces that one packing task takes on average; partitions whose open sequences are pooled at the end.
 PIECES_PER_TASK, POOLED_PARTITIONS = 8_000, 256
 #: Words that a worker remembers the ids of; words that go into one call of the tokenizer.
-CACHE_WORDS, CALL_WORDS = 700_000, 400
+CACHE_WORDS, CALL_WORDS = 300_000, 400
 STOPS = b".,;:!?"
 MARK = "<|endoftext|>"
 LAST_LATIN = chr(0x24F)

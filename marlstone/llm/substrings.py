@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import as_bytes, free_name, read_table, shuffle_width, text_slices
 
 #: Bytes of text that are hashed at one time, and that one indexed chunk holds.
-SLICE_BYTES, CHUNK_BYTES = 4 << 20, 24 << 20
+SLICE_BYTES, CHUNK_BYTES = 2 << 20, 12 << 20
 #: A stretch holds at most so many windows.
 STRETCH = 32
 _ODD = 0x9E3779B97F4A7C15

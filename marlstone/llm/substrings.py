@@ -146,14 +146,19 @@ def _dealt_runs(runs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
 
 
 def _least_order(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """For each entry the least `order` among the entries with the same keys."""
-    at = np.lexsort((order, *keys))
-    new = np.zeros(len(at), bool)
-    new[:1] = True
+    """For each entry the least `order` among the entries with the same keys, compared by a 64-bit mix of them: one sort
+    of one array, so that a block needs little memory.
+    """
+    mixed = np.zeros(len(order), np.uint64)
     for k in keys:
-        new[1:] |= k[at][1:] != k[at][:-1]
+        mixed = _mix(mixed * np.uint64(_ODD) + k.astype(np.uint64))
+    if not len(order):
+        return order
+    at = np.argsort(mixed, kind="stable")
+    mixed = mixed[at]
+    starts = np.flatnonzero(np.r_[True, mixed[1:] != mixed[:-1]])
     out = np.empty(len(at), order.dtype)
-    out[at] = order[at][new][np.cumsum(new) - 1] if len(at) else order
+    out[at] = np.repeat(np.minimum.reduceat(order[at], starts), np.diff(np.r_[starts, len(at)]))
     return out
 
 
@@ -213,6 +218,7 @@ def _factor(parts: int):
                 heads.append(h)
                 windows.append(w)
         head, window = np.concatenate(heads), np.concatenate(windows)
+        del heads, windows
         size = head["size"].astype(np.int64)
         order = np.repeat(head["order"], size)
         out += _dealt_runs(_runs(head, order > _least_order([np.repeat(head["anchor"], size), window], order)), parts)

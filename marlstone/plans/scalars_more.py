@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
-from ..functions.text import normalize_term
+from ..functions.text import normalize_term, strip_code_fence
 from ..sources import tables as T
 from .base import query
 
@@ -90,10 +90,13 @@ def exact_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sc19_code_fences", "SELECT event_id, props AS inside FROM events WHERE event_id % 10 = 0")
 def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..functions.text import strip_code_fence
+    return code_fences_of_all(spark, sf_dir).where("event_id % 10 = 0")
 
+
+@query("sc19_code_fences_of_all_events", "SELECT event_id, props AS inside FROM events")
+def code_fences_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
-    return T.read(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", strip_code_fence(fenced).alias("inside"))
+    return T.read(spark, sf_dir, "events").select("event_id", strip_code_fence(fenced).alias("inside"))
 
 
 @query("pf26_role_rank", "SELECT conv_id, turn, CASE role WHEN 'system' THEN 2 WHEN 'assistant' THEN 1 ELSE 0 END >= 1 AS allowed FROM conversations")

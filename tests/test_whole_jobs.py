@@ -31,3 +31,8 @@ def test_every_stated_probe_is_asked(spark):
     assert {r.query_id for r in run(spark, "wn5_rank_of_first_expected_of_all_probes").collect()} == stated
     assert run(spark, "ag15_ag16_recall_mrr_of_all_probes").first().n == len(stated)
     assert {r.query_id for r in run(spark, "jn19_pf9_cosine_over_threshold_of_all_probes").collect()} > {r for r in stated if r < 5}
+
+
+def test_code_fences_of_every_event(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props")
+    assert sorted(map(tuple, run(spark, "sc19_code_fences_of_all_events").collect())) == sorted(map(tuple, events.collect()))

@@ -36,3 +36,14 @@ def test_every_stated_probe_is_asked(spark):
 def test_code_fences_of_every_event(spark):
     events = spark.read.parquet(f"{SF}/events.parquet").select("event_id", "props")
     assert sorted(map(tuple, run(spark, "sc19_code_fences_of_all_events").collect())) == sorted(map(tuple, events.collect()))
+
+
+def test_provides_edges_of_every_line(spark, tmp_path):
+    lines = [{"l_orderkey": 1, "l_partkey": p, "l_suppkey": s, "l_linenumber": n} for n, (p, s) in enumerate([(20, 1), (21, 1), (40, 2), (21, 1)], 1)]
+    d = folder(tmp_path, lineitem=lines)
+    found = {(r.source_type, r.target_type): r.n for r in run(spark, "ag24_gr12_relation_histogram_of_all_relations", d).collect()}
+    assert found["supplier", "part"] == 3
+    assert {"part:20", "part:21", "part:40"} <= {r.entity_id for r in run(spark, "st1_st4_undirected_ends_of_all_relations", d).collect()}
+    assert {r.entity_id: r.degree for r in run(spark, "gr3_ag22_degrees_of_all_relations", d).collect()}["supplier:1"] == 3
+    exported = {r.source_id for r in run(spark, "src28_graph_export_of_all_relations", d).collect()}
+    assert {"supplier:1", "supplier:2"} <= exported and any(x.startswith("customer:") for x in exported)

@@ -1,11 +1,13 @@
 """Queries that run over all of their rows, where the query they stand beside takes a part of them."""
 
 import os
+import random
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
 
+from marlstone.operators import resolution
 from marlstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -47,3 +49,18 @@ def test_provides_edges_of_every_line(spark, tmp_path):
     assert {r.entity_id: r.degree for r in run(spark, "gr3_ag22_degrees_of_all_relations", d).collect()}["supplier:1"] == 3
     exported = {r.source_id for r in run(spark, "src28_graph_export_of_all_relations", d).collect()}
     assert {"supplier:1", "supplier:2"} <= exported and any(x.startswith("customer:") for x in exported)
+
+
+def test_groups_of_any_size_are_collapsed(spark):
+    """Rounds of few values give what one pass over the group gives; copies of a value are no reason to stop."""
+    drawn = random.Random(4)
+    values = [" ".join(drawn.choice(["large", "small", "green", "steel", "brass"]) for _ in range(4)) + drawn.choice(["", ".", "!"]) for _ in range(300)]
+    kept = []
+    for v in sorted(set(values), key=lambda v: (-len(v), v)):
+        if not any(SequenceMatcher(None, v.lower(), k.lower()).ratio() >= 0.92 for k in kept):
+            kept.append(v)
+    rows = spark.createDataFrame([("hot", v) for v in values] + [("cold", "a"), ("cold", None), (None, "b")] + [("same", "x")] * 2_001, "group string, value string")
+    expected = sorted([("hot", v) for v in kept] + [("cold", "a"), ("", "b"), ("same", "x")])
+    assert len(kept) > 40
+    for most in (40, 2_000):
+        assert sorted((r.group or "", r.value) for r in resolution.collapse_near_duplicates(rows, most=most).collect()) == expected

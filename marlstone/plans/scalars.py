@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -23,6 +23,11 @@ def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.storage_key(F.lit("uploads"), F.col("source"), F.col("doc_id").cast("string"), F.substring("text", 1, 60)).alias("key"))
 
 
+@query("sc4_sc5_storage_keys_of_whole_texts", "SELECT doc_id, 'uploads/' || source || '/' || doc_id || '/' || left(CASE WHEN leaf = '' THEN 'file' ELSE leaf END, 128) AS key FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text), ' ' || chr(10)), '\\s+', '-', 'g'), '[^a-z0-9._-]', '', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS leaf FROM documents)")
+def storage_keys_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "documents").select("doc_id", X.storage_key(F.lit("uploads"), F.col("source"), F.col("doc_id").cast("string"), F.col("text")).alias("key"))
+
+
 @query("sc9_sc10_terms", "SELECT p_partkey, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(p_type), '[^0-9a-zA-Z]+'), lambda x: length(x) >= 3 AND x NOT IN ('the', 'and', 'for')))), ' ') AS terms FROM part")
 def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", F.array_join(X.terms(F.col("p_type")), " ").alias("terms"))
@@ -53,7 +58,16 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sc21_history_lines", "SELECT conv_id, string_agg((turn + 1) || '. ' || left(text, 20), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = T.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.substring("text", 1, 20).alias("t")))).alias("a"))
+    return _history(spark, sf_dir, F.substring("text", 1, 20))
+
+
+@query("sc21_history_lines_of_whole_texts", "SELECT conv_id, string_agg((turn + 1) || '. ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+def history_lines_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir, F.col("text"))
+
+
+def _history(spark: SparkSession, sf_dir: str, text: Column) -> DataFrame:
+    made = T.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))).alias("a"))
     return made.select("conv_id", F.array_join(F.transform("a", lambda x: F.concat((x["turn"] + 1).cast("string"), F.lit(". "), x["t"])), "\n").alias("history"))
 
 

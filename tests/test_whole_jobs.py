@@ -64,3 +64,14 @@ def test_groups_of_any_size_are_collapsed(spark):
     assert len(kept) > 40
     for most in (40, 2_000):
         assert sorted((r.group or "", r.value) for r in resolution.collapse_near_duplicates(rows, most=most).collect()) == expected
+
+
+def test_whole_texts_are_rendered_and_named(spark, tmp_path):
+    long = "word " * 100
+    d = folder(
+        tmp_path,
+        conversations=[{"conv_id": 1, "turn": t, "role": "user", "text": f"{long}{t}"} for t in (0, 1)],
+        documents=[{"doc_id": 1, "text": long, "lang": "en", "source": "s", "n_chars": len(long)}],
+    )
+    assert [r.history for r in run(spark, "sc21_history_lines_of_whole_texts", d).collect()] == [f"1. {long}0\n2. {long}1"]
+    assert [r.key for r in run(spark, "sc4_sc5_storage_keys_of_whole_texts", d).collect()] == ["uploads/s/1/" + ("word-" * 100)[:128]]

@@ -1,11 +1,10 @@
-"""Substring deduplication by relative Lempel-Ziv factors over hash-indexed reference blocks.
-
-A document is factored against all documents before it. A factor is a stretch of words that also stands in an earlier
-document; factors of at least `window` words are duplicate spans. The reference is cut into blocks by content: each
-window of `window` words belongs to the block of its least `anchor`-word hash, so that equal windows always meet in one
-block, whichever documents hold them, and each document is factored only against the blocks it has anchors in. Within a
-block the windows around one anchor are compared one by one, at both ends of a stretch as well as inside, so that a
-factor is found whole wherever the stretches before and after it end.
+"""Substring deduplication by windows of words, grouped by hash in blocks.
+
+A window of `window` words that also stands in an earlier document is a duplicate; windows that follow one another make
+a duplicate span. This is no Lempel-Ziv parse: no reference is indexed and nothing is matched to its longest factor. A
+span of at least `window` words is covered by its windows, so equal windows alone find it whole, without one document's
+parse waiting for another's. Each window belongs to the block of its least `anchor`-word hash, so that equal windows
+always meet in one block, whichever documents hold them. Windows are compared by their hashes, not by their words.
 """
 
 from __future__ import annotations
@@ -95,9 +94,8 @@ _HEAD = np.dtype([("anchor", "<u8"), ("order", "<i8"), ("row", "<i8"), ("first",
 
 
 def _pack(head: np.ndarray, windows: np.ndarray) -> bytes:
-    """A payload: number of stretches, their heads column by column, then 48 bits of each of their windows' hashes."""
-    low, high = (windows & np.uint64(0xFFFFFFFF)).astype("<u4"), (windows >> np.uint64(48)).astype("<u2")
-    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + low.tobytes() + high.tobytes()
+    """A payload: number of stretches, their heads column by column, then their windows' hashes."""
+    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows.astype("<u8").tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +105,7 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         kind = _HEAD[name]
         head[name] = np.frombuffer(raw, kind, n, at)
         at += n * kind.itemsize
-    low = np.frombuffer(raw, "<u4", (len(raw) - at) // 6, at)
-    return head, low | np.frombuffer(raw, "<u2", len(low), at + low.nbytes).astype(np.uint64) << np.uint64(32)
+    return head, np.frombuffer(raw, "<u8", (len(raw) - at) // 8, at)
 
 
 _RUN = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4")])

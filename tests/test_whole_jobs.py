@@ -4,8 +4,10 @@ import os
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
 from marlstone.operators import resolution
 from marlstone.plans import registry
@@ -75,3 +77,10 @@ def test_whole_texts_are_rendered_and_named(spark, tmp_path):
     )
     assert [r.history for r in run(spark, "sc21_history_lines_of_whole_texts", d).collect()] == [f"1. {long}0\n2. {long}1"]
     assert [r.key for r in run(spark, "sc4_sc5_storage_keys_of_whole_texts", d).collect()] == ["uploads/s/1/" + ("word-" * 100)[:128]]
+
+
+def test_windows_keep_their_whole_hash():
+    substrings = pytest.importorskip("marlstone.llm.substrings")
+    windows = np.array([1, 1 | 1 << 40, 0xFFFF_FFFF_FFFF_FFFF], np.uint64)
+    head, found = substrings._unpack(substrings._pack(np.zeros(1, substrings._HEAD), windows))
+    assert len(head) == 1 and found.tolist() == windows.tolist()

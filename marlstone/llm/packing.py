@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
+import re
 import zlib
-from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, cut, map_texts, read_table
+from .common import cut, map_texts, read_table, text_slices
 
 #: Pieces that one packing task takes on average; partitions whose open sequences are pooled at the end.
 PIECES_PER_TASK, POOLED_PARTITIONS = 8_000, 256
-#: Words that a worker remembers the ids of; words that go into one call of the tokenizer.
-CACHE_WORDS, CALL_WORDS = 300_000, 400
-STOPS = b".,;:!?"
-MARK = "<|endoftext|>"
+#: Bytes of words and ids that a worker remembers, and the longest word among them; words that go into one call.
+CACHE_BYTES, LONGEST_KEPT, CALL_WORDS = 16 << 20, 64, 20_000
+#: Bytes of text that are tokenized at one time.
+TOKENIZE_BYTES = 6 << 20
+MARK, WORD_END = "<|endoftext|>", "</w>"
 LAST_LATIN = chr(0x24F)
+#: A word of lower-case letters and the marks behind it. The tokenizer takes the marks as one piece, unless an apostrophe
+#: is their first: that may be the front of a short form.
+_PLAIN = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~][!-/:-@\[-`{-~]*)?")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -33,78 +39,156 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(int(lengths.sum()))
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that never looks across ASCII white space, each distinct word encoded once."""
+    """Ids of whole texts by a tokenizer that never looks across ASCII white space, each distinct word encoded once.
+
+    The ids of all known words stand in one array. A word of lower-case letters is a piece that normalisation and
+    splitting leave as it is, so that the model alone gives its ids; other words go through the whole tokenizer.
+    """
 
     def __init__(self, path: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.written = _byte_characters()
         self.mark = self.tokenizer.token_to_id(MARK)
-        self.ids: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _letters(self, word: bytes) -> str | None:
-        """The word in the vocabulary's characters, if it is one run of lower-case Latin letters: normalisation and
-        splitting leave those as they are, and the model alone gives their ids.
-        """
-        text = word.decode("utf-8", "replace")
-        if not text.isalpha() or text != text.lower() or max(text) > LAST_LATIN:
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
+        self.written = _byte_characters()
+        self._check(path)
+        self._clear()
+
+    def _check(self, path: str) -> None:
+        """That this tokenizer works as this class takes it to."""
+        probe = ["it's,", "l\u00e9on", "x##,", "\u00e9t\u00e9!", "a1b", "(ab)", "ab'"]
+        encode = lambda t: self.tokenizer.encode(t, add_special_tokens=False).ids
+        apart = [i for w in probe for i in encode(w)]
+        if self.mark is None or encode(" ".join(probe)) != apart or encode(" ".join(probe).upper().lower()) != apart:
+            raise ValueError(f"{path}: words at white space are not encoded each on its own")
+        if encode("abc") != self.pieces.encode("abc").ids or encode("abc,#") != encode("abc") + encode(",#") or not self.last[encode("abc,")[-1]]:
+            raise ValueError(f"{path}: a word's letters are not a piece that ends in {WORD_END}")
+
+    def _clear(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.held = [np.empty(0, np.uint32)], 0  # ids of words, in the order of their numbers
+        self.starts, self.sizes = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+        self.words, self.tokens = 1, 0
+
+    def _add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Takes words with their ids in; their numbers."""
+        numbers = np.arange(self.words, self.words + len(words))
+        self.known.update((w, n) for w, n in zip(words, numbers.tolist(), strict=True) if len(w) <= LONGEST_KEPT)
+        self.ids.append(ids.astype(np.uint32))
+        self.sizes.append(sizes.astype(np.int64))
+        self.starts.append(self.tokens + np.cumsum(sizes) - sizes)
+        self.words, self.tokens = self.words + len(words), self.tokens + len(ids)
+        self.held += 2 * sum(map(len, words)) + 4 * len(ids)
+        return numbers
+
+    def _table(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All ids, and each word's start and number of them."""
+        for name in ("ids", "starts", "sizes"):
+            setattr(self, name, [np.concatenate(getattr(self, name))])
+        return self.ids[0], self.starts[0], self.sizes[0]
+
+    def _model_text(self, word: str) -> str | None:
+        """The word in the vocabulary's characters, if it is one run of lower-case Latin letters."""
+        if word.isascii():
+            return word if word.isalpha() and word.islower() else None
+        if not word.isalpha() or word != word.lower() or max(word) > LAST_LATIN or not is_normalized("NFC", word):
             return None
-        if text.isascii():
-            return text
-        return word.decode("latin-1").translate(self.written) if is_normalized("NFC", text) else None
-
-    def _tokenize(self, words: list[bytes]) -> None:
-        model, rest = self.tokenizer.model, []
-        for w in words:
-            if (text := self._letters(w)) is None:
-                rest.append(w)
-            else:
-                self.ids[w] = array("I", [t.id for t in model.tokenize(text)]).tobytes()
-        words = rest
-        calls = [words[i : i + CALL_WORDS] for i in range(0, len(words), CALL_WORDS)]
+        return word.encode().decode("latin-1").translate(self.written)
+
+    def _by_model(self, words: list[str], texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+        for i in range(0, len(words), CALL_WORDS):
+            call = words[i : i + CALL_WORDS]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(texts[i : i + CALL_WORDS])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(call) or ends[-1] != len(ids):
+                raise ValueError(f"the ids of {len(call)} words end {len(ends)} words")
+            yield call, ids, np.diff(np.r_[0, ends])
+
+    def _by_tokenizer(self, words: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         glue = f" {MARK} "
-        for call, found in zip(calls, self.tokenizer.encode_batch_fast([glue.join(w.decode("utf-8", "replace") for w in call) for call in calls], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, "<u4")
+        for i in range(0, len(words), CALL_WORDS):
+            call = words[i : i + CALL_WORDS]
+            ids = np.array(self.tokenizer.encode_batch_fast([glue.join(call)], add_special_tokens=False)[0].ids, np.int64)
             ends = np.r_[np.flatnonzero(ids == self.mark), len(ids)]
-            starts = np.r_[0, ends[:-1] + 1]
             if len(ends) != len(call):
                 raise ValueError("the tokenizer joined or split words at white space")
-            raw = ids.tobytes()
-            self.ids.update(zip(call, (raw[4 * s : 4 * e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), strict=True))
+            yield call, np.delete(ids, ends[:-1]), np.diff(np.r_[-1, ends]) - 1
 
-    def _learn(self, words: set[bytes]) -> None:
-        """Ids of words that are not known. Stops after a letter are tokens of their own, so the word without them is
-        what is tokenized; words that may hold a special token's own string go one by one.
-        """
-        parts, plain = {}, set()
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Numbers of words that are not known, after encoding them."""
+        local: dict[str, int] = {}
+        joined, model, others = {}, {}, []
         for w in words:
-            if b"<|" in w:
-                self.ids[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-            elif (core := w.rstrip(STOPS)) != w and core[-1:].islower():
-                parts[w] = core, w[len(core) :]
-                plain.update(parts[w])
+            if m := _PLAIN.fullmatch(w):
+                core, tail = m.groups()
+                if tail:
+                    joined[w] = core, tail
+                    if tail not in self.known:
+                        others.append(tail)
+                if core not in self.known:
+                    model[core] = core
+            elif "<|" in w:
+                ids = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int64)
+                local[w] = int(self._add([w], ids, np.array([len(ids)]))[0])
+            elif text := self._model_text(w):
+                model[w] = text
             else:
-                plain.add(w)
-        for w in [w for w in plain if w in self.old]:
-            self.ids[w] = self.old[w]
-        self._tokenize([w for w in plain if w not in self.ids])
-        for w, (core, tail) in parts.items():
-            self.ids[w] = self.ids[core] + self.ids[tail]
-
-    def encode(self, texts: Iterable[bytes | None]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers. A-Z are lowered first, as the tokenizer does."""
-        split = [[] if not t else t.lower().split() if b"<|" not in t else [w if b"<|" in w else w.lower() for w in t.split()] for t in texts]
-        wanted = set().union(*split)
-        if len(self.ids) > CACHE_WORDS // 2:
-            self.ids, self.old = {}, self.ids
-        new = wanted - self.ids.keys()
-        for w in new & self.old.keys():
-            self.ids[w] = self.old[w]
-        self._learn(new - self.old.keys())
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+                others.append(w)
+        for source in (self._by_model(list(model), list(model.values())), self._by_tokenizer([*dict.fromkeys(others)])):
+            for call, ids, sizes in source:
+                local.update(zip(call, self._add(call, ids, sizes).tolist(), strict=True))
+        if joined:
+            number = lambda w: n if (n := local.get(w)) is not None else self.known[w]
+            parts = np.fromiter(map(number, chain.from_iterable(joined.values())), np.int64, 2 * len(joined))
+            ids, starts, sizes = self._table()
+            n = sizes[parts]
+            local.update(zip(joined, self._add(list(joined), ids[_gathered(starts[parts], n)], n.reshape(-1, 2).sum(axis=1)).tolist(), strict=True))
+        return np.array([local[w] for w in words], np.int64)
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        numbers = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(numbers < 0)):
+            numbers[new] = self._learn([words[i] for i in new.tolist()])
+        return numbers
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers. A-Z are lowered first, as the tokenizer does, but
+        not in words that may hold a special token's own string.
+        """
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten()
+        lower = pc.ascii_lower(words)
+        if pc.any(special := pc.match_substring(words, "<|")).as_py():
+            lower = pc.if_else(special, words, lower)
+        coded = lower.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self._numbers(distinct)
+        ids, starts, sizes = self._table()
+        of_word = numbers[coded.indices.to_numpy()]
+        edge = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False))]
+        total = np.r_[0, np.cumsum(sizes[of_word])]
+        step = max(1, len(of_word) // max(1, int(total[-1]) // 500_000))
+        raw = b"".join(ids[_gathered(starts[w], sizes[w])].astype("<u4").tobytes() for w in (of_word[i : i + step] for i in range(0, len(of_word), step)))
+        cuts = 4 * total[edge]
+        out = [raw[a:b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+        if self.held > CACHE_BYTES:  # goes on with this call's words alone
+            keep = np.flatnonzero(sizes[numbers] > 0)
+            n = sizes[numbers[keep]]
+            kept = ids[_gathered(starts[numbers[keep]], n)]
+            self._clear()
+            self._add([distinct[i] for i in keep.tolist()], kept, n)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -123,8 +207,13 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str =
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batch, 1, TOKENIZE_BYTES):
+            yield cut_texts(part)
+
+    def cut_texts(batch: pa.RecordBatch) -> pa.RecordBatch:
         row, piece, start, length, crc, ids = [], [], [], [], [], []
-        for i, raw in enumerate(_word_ids(tokenizer_path).encode(as_bytes(batch.column(1)))):
+        texts = batch.column(1)
+        for i, raw in enumerate(_word_ids(tokenizer_path).encode(texts if pa.types.is_string(texts.type) else texts.cast(pa.string()))):
             raw += end
             for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
@@ -140,7 +229,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, key: str =
         if with_ids:
             columns.append(pa.array(ids, pa.list_(pa.int32())))
             names.append("ids")
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        return pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

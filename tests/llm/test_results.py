@@ -6,6 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,8 +62,10 @@ def test_word_ids_are_the_librarys():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path(WORD)
-    cases = ["", "It'S, THEY'LL.,!", "a.'s", "ΣΑΣ, x", "x<|endoftext|>Y", "<|ENDOFTEXT|>", *noise(3000, 80, 3)]
-    found = packing.WordIds(path).encode([c.encode() for c in cases])
+    cases = ["", "It'S, THEY'LL.,!", "a.'s", "ΣΑΣ, x", "x<|endoftext|>Y", "<|ENDOFTEXT|>", "ab!'s cd'' e*'t", "abc\x1cd ab\x85c", "q" * 300, *noise(3000, 80, 3), *noise(3000, 60, 8, "ab '!*s")]
+    words = packing.WordIds(path)
+    found = words.encode(pa.array(cases))
+    assert words.encode(pa.array([None, cases[1]])) == [b"", found[1]] and words.encode(pa.array([], pa.string())) == []
     library = Tokenizer.from_file(path)
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [library.encode(c, add_special_tokens=False).ids for c in cases]
 

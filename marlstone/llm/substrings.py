@@ -1,15 +1,19 @@
-"""Substring deduplication by windows of words, grouped by hash in blocks.
-
-A window of `window` words that also stands in an earlier document is a duplicate; windows that follow one another make
-a duplicate span. This is no Lempel-Ziv parse: no reference is indexed and nothing is matched to its longest factor. A
-span of at least `window` words is covered by its windows, so equal windows alone find it whole, without one document's
-parse waiting for another's. Each window belongs to the block of its least `anchor`-word hash, so that equal windows
-always meet in one block, whichever documents hold them. Windows are compared by their hashes, not by their words.
+"""Substring deduplication by relative Lempel-Ziv parsing, in blocks of reference text.
+
+The reference of a document is what stands in documents with smaller keys. It is indexed in blocks: each window of
+`window` words belongs to the block of its least `anchor`-word hash, so that equal windows always meet in one block,
+whichever documents hold them, and a document needs to be parsed against those blocks only where its own windows lie.
+A stretch of windows with one anchor is parsed from left to right: where a window stands in the block's reference, a
+factor begins; it is copied from the earliest document that has this window and goes on as long as the source does.
+Where it ends, the next window, which lies across the factor's boundary, is looked up again. Factors of all blocks are
+joined for each document; any of them is at least `window` words long and is a duplicate span.
+
+Windows are compared by 96 bits of two hashes of different kinds, not by their bytes: in 10^13 windows fewer than one
+pair in a hundred such corpora is expected to agree by chance.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +23,15 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, free_name, read_table, shuffle_width, text_slices
 
-#: Bytes of text that are hashed at one time, and that one indexed chunk holds.
-SLICE_BYTES, CHUNK_BYTES = 2 << 20, 12 << 20
+#: Bytes of text that are hashed at one time, that one chunk's index holds, and that a block holds on average at most.
+SLICE_BYTES, CHUNK_BYTES, BLOCK_BYTES = 1 << 20, 12 << 20, 32 << 20
+#: Blocks for each shuffle partition at least, so that partitions come out even.
+BLOCKS_PER_PARTITION = 4
 #: A stretch holds at most so many windows.
 STRETCH = 32
-_ODD = 0x9E3779B97F4A7C15
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Bytes of text that frequent anchors are looked for in. They only say where windows meet, not what is found.
+SAMPLE_BYTES = 64 << 20
+_ODD, _ODD_TOO = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -34,34 +41,75 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words, and each text's number of words."""
-    data = np.frombuffer(b" ".join(t or b"" for t in texts) + b" ", np.uint8)
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
-    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
-    counts = np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
+def _is_gap(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _word_places(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start and end."""
+    gap = np.empty(len(data) + 2, bool)
+    gap[0] = gap[-1] = True
+    gap[1:-1] = _is_gap(data)
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    return edge[::2], edge[1::2]
+
+
+def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of some bytes, and where they start. A word's hash is a polynomial of its bytes."""
+    starts, ends = _word_places(data)
     if not len(starts):
-        return np.empty(0, np.uint64), counts
-    ends = np.flatnonzero(gap & np.r_[False, ~gap[:-1]])
+        return np.empty(0, np.uint64), starts
     widths = ends - starts
-    # A word's hash is a polynomial of its bytes; bytes of gaps count as nothing.
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)])) if starts[0] == 0 else np.r_[np.zeros(starts[0], np.int64), np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(np.r_[starts, len(data)]))]
-    most = int(widths.max())
-    powers = np.multiply.accumulate(np.full(most + 1, _ODD, np.uint64))
-    terms = np.where(gap, np.uint64(0), (data.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(place, most)])
-    return _mix(np.add.reduceat(terms, starts) + widths.astype(np.uint64)), counts
+    owner_start = np.repeat(starts, widths)
+    at = np.repeat(starts - (np.cumsum(widths) - widths), widths) + np.arange(int(widths.sum()))
+    powers = np.multiply.accumulate(np.full(int(widths.max()) + 1, _ODD, np.uint64))
+    terms = (data[at].astype(np.uint64) + np.uint64(1)) * powers[at - owner_start]
+    return _mix(np.add.reduceat(terms, np.cumsum(widths) - widths) + widths.astype(np.uint64)), starts
 
 
-def _rolling(h: np.ndarray, width: int) -> np.ndarray:
+def _word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words, and each text's number of words. Bytes are hashed in pieces that end at a gap, so that
+    a very long text takes little more memory than itself.
+    """
+    joined = b" ".join(t or b"" for t in texts) + b" "
+    data = np.frombuffer(joined, np.uint8)
+    hashes, starts, at = [], [], 0
+    while at < len(data):
+        end = min(at + SLICE_BYTES, len(data))
+        while end < len(data) and not (near := np.flatnonzero(_is_gap(data[end - 1 : end + SLICE_BYTES]))[:1]).size:
+            end += SLICE_BYTES
+        if end < len(data):
+            end += int(near[0])
+        h, s = _hash_words(data[at:end])
+        hashes.append(h)
+        starts.append(s + at)
+        at = end
+    lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
+    starts = np.concatenate(starts) if starts else np.empty(0, np.int64)
+    return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.diff(np.r_[0, np.searchsorted(starts, np.cumsum(lengths))])
+
+
+def _rolling(h: np.ndarray, width: int, odd: int = _ODD) -> np.ndarray:
     """Hash of each run of `width` entries, by Horner's rule."""
     n = len(h) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
     for j in range(width if n > 0 else 0):
-        out = out * np.uint64(_ODD) + h[j : j + n]
+        out = out * np.uint64(odd) + h[j : j + n]
     return _mix(out)
 
 
+def _check_hash(h: np.ndarray, width: int) -> np.ndarray:
+    """A second hash of each run of `width` words, of another kind: xor of rotated and mixed word hashes, 32 bits of it."""
+    n = len(h) - width + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    if n > 0:
+        other = _mix(h * np.uint64(_ODD_TOO) + np.uint64(1))
+        for j in range(width):
+            part, k = other[j : j + n], np.uint64(5 * j % 63 + 1)
+            out ^= (part << k) | (part >> (np.uint64(64) - k))
+    return (out >> np.uint64(32)).astype(np.uint32)
+
+
 def _sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     """Least of each run of `width` entries, by doubling."""
     have = 1
@@ -72,63 +120,104 @@ def _sliding_least(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-def _stretches(texts: list[bytes | None], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of windows with one anchor: their anchor hashes, texts, first windows and sizes; all windows' hashes."""
+#: Window hashes and their second hashes.
+Windows = tuple[np.ndarray, np.ndarray]
+
+
+def _windows(texts: list[bytes | None], window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, Windows]:
+    """Of all windows of some texts: anchor, text, place in the text, and hashes."""
     hashes, counts = _word_hashes(texts)
-    windows = _rolling(hashes, window)
-    anchors = _sliding_least(_rolling(hashes, anchor), window - anchor + 1)
-    first_word = np.r_[0, np.cumsum(counts)[:-1]]
     have = np.maximum(counts - window + 1, 0)
     text = np.repeat(np.arange(len(texts)), have)
-    local = np.arange(len(text)) - np.repeat(np.r_[0, np.cumsum(have)[:-1]], have)
-    at = first_word[text] + local
-    windows, anchors = windows[at] if len(at) else windows[:0], anchors[at] if len(at) else anchors[:0]
-    new = np.r_[True, (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1])][: len(at)]
-    since = np.arange(len(at)) - np.maximum.accumulate(np.where(new, np.arange(len(at)), 0)) if len(at) else at
-    starts = np.flatnonzero(new | (since % STRETCH == 0))
-    sizes = np.diff(np.r_[starts, len(at)])
-    return anchors[starts], text[starts], local[starts], sizes, windows
+    local = np.arange(len(text)) - np.repeat(np.cumsum(have) - have, have)
+    at = (np.cumsum(counts) - counts)[text] + local
+    if not len(at):
+        return np.empty(0, np.uint64), text, local, (np.empty(0, np.uint64), np.empty(0, np.uint32))
+    anchors = _sliding_least(_rolling(hashes, anchor), window - anchor + 1)
+    return anchors[at], text, local, (_rolling(hashes, window)[at], _check_hash(hashes, window)[at])
 
 
-_HEAD = np.dtype([("anchor", "<u8"), ("order", "<i8"), ("row", "<i8"), ("first", "<u4"), ("size", "u1")])
+_HEAD = np.dtype([("order", "<i8"), ("row", "<i8"), ("first", "<u4"), ("size", "u1")])
+#: A factor, by windows: `count` of them from `start` on stand in document `source` from its window `at` on.
+_FACTOR = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4"), ("source", "<i8"), ("at", "<u4")])
 
 
-def _pack(head: np.ndarray, windows: np.ndarray) -> bytes:
+def _pack(head: np.ndarray, windows: Windows) -> bytes:
     """A payload: number of stretches, their heads column by column, then their windows' hashes."""
-    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows.astype("<u8").tobytes()
+    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows[0].astype("<u8").tobytes() + windows[1].astype("<u4").tobytes()
 
 
-def _unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(raw: bytes) -> tuple[np.ndarray, Windows]:
     n = int(np.frombuffer(raw, "<u8", 1)[0])
     head, at = np.empty(n, _HEAD), 8
     for name in _HEAD.names:
         kind = _HEAD[name]
         head[name] = np.frombuffer(raw, kind, n, at)
         at += n * kind.itemsize
-    return head, np.frombuffer(raw, "<u8", (len(raw) - at) // 8, at)
+    many = (len(raw) - at) // 12
+    return head, (np.frombuffer(raw, "<u8", many, at), np.frombuffer(raw, "<u4", many, at + 8 * many))
 
 
-_RUN = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4")])
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of several ranges, one range after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
-def _runs(head: np.ndarray, flags: np.ndarray) -> np.ndarray:
-    """The flagged windows as runs of starts that follow one another in one row. flags: one for each window."""
-    size = head["size"].astype(np.int64)
-    owner = np.repeat(np.arange(len(head)), size)[flags]
-    local = (np.arange(len(flags)) - np.repeat(np.cumsum(size) - size, size))[flags]
-    order, row, start = head["order"][owner], head["row"][owner], head["first"][owner] + local
-    at = np.lexsort((start, row, order))
-    order, row, start = order[at], row[at], start[at]
+def _first_equal(key: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """For each entry the first one with the same key and check. One sort of one array, but for keys that agree where
+    the checks don't.
+    """
+    at = np.argsort(key, kind="stable")
     new = np.ones(len(at), bool)
-    new[1:] = (order[1:] != order[:-1]) | (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
-    heads = np.flatnonzero(new)
-    out = np.empty(len(heads), _RUN)
-    out["order"], out["row"], out["start"], out["count"] = order[heads], row[heads], start[heads], np.diff(np.r_[heads, len(at)])
+    new[1:] = key[at[1:]] != key[at[:-1]]
+    differs = check[at[1:]] != check[at[:-1]]
+    if (differs & ~new[1:]).any():
+        at = np.lexsort((check, key))
+        new[1:] = (key[at[1:]] != key[at[:-1]]) | (check[at[1:]] != check[at[:-1]])
+    starts = np.flatnonzero(new)
+    out = np.empty(len(at), np.int64)
+    out[at] = np.repeat(at[starts], np.diff(np.r_[starts, len(at)]))
+    return out
+
+
+def _parse(head: np.ndarray, windows: Windows) -> np.ndarray:
+    """The greedy parse of all stretches of one block against the block: its factors. Stretches are in order of `order`,
+    so that the first equal window is the earliest document's.
+
+    All stretches are read at once, a window at a time: a stretch goes on with its factor if the source's next window is
+    its own next one, else it looks its window up.
+    """
+    key, check = windows
+    size = head["size"].astype(np.int64)
+    place = np.cumsum(size) - size
+    owner = np.repeat(np.arange(len(head)), size)
+    first = _first_equal(key, check)
+    order = head["order"][owner]
+    earlier = order[first] < order
+    source = np.full(len(head), -1)  # the window that each stretch's factor is copied from at present
+    source_of, begins = np.full(len(key), -1), np.zeros(len(key), bool)
+    for step in range(int(size.max()) if len(size) else 0):
+        live = np.flatnonzero(size > step)
+        at, last = place[live] + step, source[live]
+        following = np.minimum(last + 1, len(key) - 1)
+        goes_on = (last >= 0) & (last + 1 < len(key)) & (owner[following] == owner[last]) & (key[following] == key[at]) & (check[following] == check[at])
+        now = np.where(goes_on, following, np.where(earlier[at], first[at], -1))
+        begins[at] = ~goes_on
+        source[live] = source_of[at] = now
+    found = np.flatnonzero(source_of >= 0)
+    starts = found[begins[found]]
+    ends = np.r_[starts[1:], len(key)]
+    out = np.empty(len(starts), _FACTOR)
+    mine, theirs = owner[starts], owner[source_of[starts]]
+    out["order"], out["row"], out["source"] = head["order"][mine], head["row"][mine], head["order"][theirs]
+    out["start"] = head["first"][mine] + (starts - place[mine])
+    out["at"] = head["first"][theirs] + (source_of[starts] - place[theirs])
+    out["count"] = np.searchsorted(found, ends) - np.searchsorted(found, starts)
     return out
 
 
-def _dealt(items: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Items by their numbers in `to`, as (number, places)."""
+def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(number, places) of the entries of `to`."""
     if not len(to):
         return
     at = np.argsort(to, kind="stable")
@@ -137,62 +226,61 @@ def _dealt(items: np.ndarray, to: np.ndarray) -> Iterator[tuple[int, np.ndarray]
         yield int(to[at[a]]), at[a:b]
 
 
-def _dealt_runs(runs: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    to = (_mix(runs["row"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-    return ((number, runs[at].tobytes()) for number, at in _dealt(runs, to))
+def _dealt_factors(factors: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
+    to = (_mix(factors["row"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    return ((number, factors[at].tobytes()) for number, at in _dealt(to))
 
 
-def _least_order(keys: list[np.ndarray], order: np.ndarray) -> np.ndarray:
-    """For each entry the least `order` among the entries with the same keys, compared by a 64-bit mix of them: one sort
-    of one array, so that a block needs little memory.
+def _index(blocks: int, window: int, anchor: int, hot: np.ndarray):
+    """Chunks of documents to payloads, one for each block. Windows of the anchors in `hot` go to blocks by their own
+    hash. A stretch that repeats within a chunk goes to its block for its least document only; the others are factors
+    already, and pass through a block.
     """
-    mixed = np.zeros(len(order), np.uint64)
-    for k in keys:
-        mixed = _mix(mixed * np.uint64(_ODD) + k.astype(np.uint64))
-    if not len(order):
-        return order
-    at = np.argsort(mixed, kind="stable")
-    mixed = mixed[at]
-    starts = np.flatnonzero(np.r_[True, mixed[1:] != mixed[:-1]])
-    out = np.empty(len(at), order.dtype)
-    out[at] = np.repeat(np.minimum.reduceat(order[at], starts), np.diff(np.r_[starts, len(at)]))
-    return out
 
-
-def _index(blocks: int, window: int, anchor: int):
-    """Chunks of documents to payloads, one for each block. A stretch that repeats within a chunk goes to its block for
-    its least document only; the others' windows are flagged here, and their runs pass through a block.
-    """
-
-    def emit(parts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        head = np.concatenate([h for h, _ in parts])
-        windows = np.concatenate([w for _, w in parts])
+    def emit(parts: list[tuple[np.ndarray, np.ndarray, Windows]]) -> Iterator[pa.RecordBatch]:
+        head, block = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        windows = tuple(np.concatenate([p[2][i] for p in parts]) for i in (0, 1))
         size = head["size"].astype(np.int64)
         place = np.cumsum(size) - size
-        inside = np.arange(len(windows), dtype=np.uint64) - np.repeat(place, size).astype(np.uint64)
-        total = _mix(np.add.reduceat(windows * _mix(inside + np.uint64(1)), place) if len(windows) else windows)
-        flagged = head["order"] > _least_order([head["anchor"], total, head["size"]], head["order"])
-        runs = _runs(head[flagged], np.ones(int(size[flagged].sum()), bool))
-        out = [(number, True, raw) for number, raw in _dealt_runs(runs, blocks)]
-        keep = np.flatnonzero(~flagged)
-        for number, at in _dealt(keep, ((head["anchor"][keep] >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)):
+        by = np.argsort(head["order"], kind="stable")
+        inside = (np.arange(len(windows[0])) - np.repeat(place, size)).astype(np.uint64) + np.uint64(1)
+        total = lambda w, spread: _mix(np.add.reduceat(_mix(w.astype(np.uint64) + spread) * _mix(inside), place)) if len(w) else np.empty(0, np.uint64)
+        key, check = _mix(total(windows[0], np.uint64(0)) + size.astype(np.uint64)), total(windows[1], np.uint64(7))
+        first = by[_first_equal(key[by], check[by])]
+        same = np.empty(len(by), np.int64)
+        same[by] = first
+        repeated = head["order"] > head["order"][same]
+        factors = np.empty(int(repeated.sum()), _FACTOR)
+        for to, of, rows in (("order", "order", repeated), ("row", "row", repeated), ("start", "first", repeated), ("count", "size", repeated), ("source", "order", same[repeated]), ("at", "first", same[repeated])):
+            factors[to] = head[of][rows]
+        out = [(number, True, raw) for number, raw in _dealt_factors(factors, blocks)]
+        keep = np.flatnonzero(~repeated)
+        for number, at in _dealt(block[keep]):
             own = keep[at]
-            n = size[own]
-            out.append((number, False, _pack(head[own], windows[np.repeat(place[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))])))
+            n = _ranges(place[own], size[own])
+            out.append((number, False, _pack(head[own], (windows[0][n], windows[1][n]))))
         kinds = (pa.int32(), pa.bool_(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["block", "done", "payload"])
 
+    def stretches(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Windows]:
+        anchors, text, local, windows = _windows(as_bytes(piece.column(2)), window, anchor)
+        is_hot = np.isin(anchors, hot)
+        to = (np.where(is_hot, _mix(windows[0] + np.uint64(3)), anchors >> np.uint64(17)) % np.uint64(blocks)).astype(np.int64)
+        new = np.ones(len(to), bool)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (text[1:] != text[:-1]) | is_hot[1:]
+        since = np.arange(len(to)) - np.maximum.accumulate(np.where(new, np.arange(len(to)), 0)) if len(to) else to
+        starts = np.flatnonzero(new | (since % STRETCH == 0))
+        head = np.empty(len(starts), _HEAD)
+        order, row = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        head["order"], head["row"], head["first"], head["size"] = order[text[starts]], row[text[starts]], local[starts], np.diff(np.r_[starts, len(to)])
+        return head, to[starts], windows
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
         for batch in batches:
             for piece in text_slices(batch, 2, SLICE_BYTES):
-                texts = as_bytes(piece.column(2))
-                anchors, text, first, size, windows = _stretches(texts, window, anchor)
-                head = np.empty(len(anchors), _HEAD)
-                order, row = (piece.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                head["anchor"], head["order"], head["row"], head["first"], head["size"] = anchors, order[text], row[text], first, size
-                parts.append((head, windows))
-                held += sum(len(t or b"") for t in texts)
+                parts.append(stretches(piece))
+                held += 8 * len(parts[-1][2][0])
                 if held > CHUNK_BYTES:
                     yield from emit(parts)
                     parts, held = [], 0
@@ -203,73 +291,135 @@ def _index(blocks: int, window: int, anchor: int):
 
 
 def _factor(parts: int):
-    """One block: all stretches of it, from all chunks, to runs of flagged windows, dealt by row."""
+    """One block: all stretches of it, from all chunks, to factors, dealt by row."""
 
     def run(table: pa.Table) -> pa.Table:
-        out, heads, windows = [], [np.empty(0, _HEAD)], [np.empty(0, np.uint64)]
+        out, heads, keys, checks = [], [np.empty(0, _HEAD)], [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
         for done, raw in zip(table.column("done").to_pylist(), table.column("payload").to_pylist(), strict=True):
             if done:
-                out += _dealt_runs(np.frombuffer(raw, _RUN), parts)
+                out += _dealt_factors(np.frombuffer(raw, _FACTOR), parts)
             else:
-                h, w = _unpack(raw)
+                h, (k, c) = _unpack(raw)
                 heads.append(h)
-                windows.append(w)
-        head, window = np.concatenate(heads), np.concatenate(windows)
-        del heads, windows
+                keys.append(k)
+                checks.append(c)
+        head, key, check = np.concatenate(heads), np.concatenate(keys), np.concatenate(checks)
+        del heads, keys, checks
+        by = np.lexsort((head["first"], head["row"], head["order"]))
         size = head["size"].astype(np.int64)
-        order = np.repeat(head["order"], size)
-        out += _dealt_runs(_runs(head, order > _least_order([np.repeat(head["anchor"], size), window], order)), parts)
+        at = _ranges((np.cumsum(size) - size)[by], size[by])
+        out += _dealt_factors(_parse(head[by], (key[at], check[at])), parts)
         return pa.table({"part": pa.array([n for n, _ in out], pa.int32()), "payload": pa.array([raw for _, raw in out], pa.binary())})
 
     return run
 
 
+def _joined(factors: np.ndarray) -> np.ndarray:
+    """Factors sorted by document and start; those that go on both in the document and in the source are one."""
+    f = factors[np.lexsort((factors["start"], factors["row"], factors["order"]))]
+    new = np.ones(len(f), bool)
+    end = f["start"] + f["count"]
+    new[1:] = (f["order"][1:] != f["order"][:-1]) | (f["row"][1:] != f["row"][:-1]) | (f["start"][1:] != end[:-1]) | (f["source"][1:] != f["source"][:-1]) | (f["at"][1:] != (f["at"] + f["count"])[:-1])
+    starts = np.flatnonzero(new)
+    out = f[starts]
+    if len(starts):
+        out["count"] = np.add.reduceat(f["count"], starts)
+    return out
+
+
 def _by_row(table: pa.Table) -> pa.Table:
-    """The runs of some rows, from all blocks, to one binary for each row: starts and counts."""
-    runs = np.concatenate([np.frombuffer(raw, _RUN) for raw in table.column("payload").to_pylist()])
-    runs = runs[np.lexsort((runs["start"], runs["row"], runs["order"]))]
-    cuts = np.flatnonzero(np.r_[True, (runs["row"][1:] != runs["row"][:-1]) | (runs["order"][1:] != runs["order"][:-1])][: len(runs)])
-    pairs = np.stack([runs["start"], runs["count"]], axis=1)
-    raws = [pairs[a:b].tobytes() for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(runs)].tolist(), strict=True)]
-    return pa.table({"of_key": pa.array(runs["order"][cuts]), "of_row": pa.array(runs["row"][cuts]), "runs": pa.array(raws, pa.binary())})
+    """The factors of some rows, from all blocks, to one binary for each row."""
+    f = _joined(np.concatenate([np.frombuffer(raw, _FACTOR) for raw in table.column("payload").to_pylist()]))
+    cuts = np.flatnonzero(np.r_[True, (f["row"][1:] != f["row"][:-1]) | (f["order"][1:] != f["order"][:-1])][: len(f)])
+    raws = [f[a:b].tobytes() for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(f)].tolist(), strict=True)]
+    return pa.table({"of_key": pa.array(f["order"][cuts]), "of_row": pa.array(f["row"][cuts]), "factors": pa.array(raws, pa.binary())})
 
 
-def _covered(n_words: int, runs: bytes, window: int) -> np.ndarray:
-    """Which words lie in a flagged window."""
+def _covered(n_words: int, factors: bytes, window: int) -> np.ndarray:
+    """Which words lie in a factor."""
     edge = np.zeros(n_words + 1, np.int64)
-    r = np.frombuffer(runs, "<u4").astype(np.int64).reshape(-1, 2)
-    np.add.at(edge, r[:, 0], 1)
-    np.add.at(edge, r[:, 0] + r[:, 1] + window - 1, -1)
+    f = np.frombuffer(factors, _FACTOR)
+    start, count = f["start"].astype(np.int64), f["count"].astype(np.int64)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, start + count + window - 1, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5) -> DataFrame:
-    """(of_key, of_row, runs): of each row with a duplicate factor its flagged windows, each run a first start and a
-    number of starts as unsigned 32-bit numbers; of_row is the row's content hash. See remove_duplicate_spans().
+def _hot_anchors(rows: DataFrame, total: int, blocks: int, window: int, anchor: int) -> np.ndarray:
+    """Anchors that more than a quarter of a block's share of windows have, by a sample of about SAMPLE_BYTES of text;
+    there are at most four times as many as blocks. The same windows meet whatever is found here.
+    """
+    share = min(1.0, SAMPLE_BYTES / max(total, 1))
+    drawn = rows.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in text_slices(batch, 0, 4 * SLICE_BYTES):
+                found, n = np.unique(_windows(as_bytes(piece.column(0)), window, anchor)[0], return_counts=True)
+                most = n > len(found) // (1 << 14)  # of a slice's anchors those that can matter, and their sum
+                yield pa.RecordBatch.from_arrays([pa.array(np.r_[found[most].view(np.int64), 0]), pa.array(np.r_[n[most], n.sum()]), pa.array(np.r_[np.ones(int(most.sum()), bool), False])], names=["anchor", "n", "one"])
+
+    counted = drawn.select("text").mapInArrow(run, "anchor long, n long, one boolean").groupBy("anchor", "one").agg(F.sum("n").alias("n"))
+    whole = counted.where("NOT one").agg(F.sum("n")).first()[0] or 0
+    least = max(whole // (4 * blocks), 32)
+    return np.sort(np.array([r[0] for r in counted.where(F.col("one") & (F.col("n") > least)).select("anchor").collect()], np.int64).view(np.uint64))
+
+
+def duplicate_factors(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5) -> DataFrame:
+    """(of_key, of_row, factors): of each row with a factor all of them as _FACTOR records; of_row is the row's content
+    hash. See duplicate_spans() and remove_duplicate_spans().
     """
-    blocks = shuffle_width(docs.sparkSession)
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("order"), _row(key, text).alias("row"), F.col(text).alias("text"))
-    indexed = rows.mapInArrow(_index(blocks, window, anchor), "block int, done boolean, payload binary")
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(BLOCKS_PER_PARTITION * shuffle_width(docs.sparkSession), -(-total // BLOCK_BYTES))
+    hot = _hot_anchors(rows, total, blocks, window, anchor)
+    indexed = rows.mapInArrow(_index(blocks, window, anchor, hot), "block int, done boolean, payload binary")
     found = indexed.groupBy("block").applyInArrow(_factor(blocks), "part int, payload binary")
-    return found.groupBy("part").applyInArrow(_by_row, "of_key long, of_row long, runs binary")
+    return found.groupBy("part").applyInArrow(_by_row, "of_key long, of_row long, factors binary")
+
+
+def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5) -> DataFrame:
+    """(key, start, n_words, source, source_start): the factors of each row's parse. n_words words from word `start` on
+    also stand in the row with key `source`, a smaller one, from its word source_start on.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                f = np.frombuffer(raw, _FACTOR)
+                columns = [f["order"], f["start"].astype(np.int64), f["count"] + np.int64(window - 1), f["source"], f["at"].astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["key", "start", "n_words", "source", "source_start"])
+
+    spans = duplicate_factors(docs, key, text, window, anchor).select("factors").mapInArrow(run, "key long, start long, n_words long, source long, source_start long")
+    return spans.withColumnRenamed("key", key)
 
 
 def _row(key: str, text: str):
     return F.xxhash64(F.col(key).cast("long"), F.col(text))
 
 
-def _cut_out(raw: bytes, stays: np.ndarray) -> bytes:
-    """The text without the words that don't stay. What lies between two words that stay next to each other is kept as
-    it is; where words went, one blank is left.
+def _cut_out(raw: bytes, starts: np.ndarray, ends: np.ndarray, stays: np.ndarray, layout: bool) -> bytes:
+    """The text without the words that don't stay, one blank where words went. With layout, what lies between two words
+    that stay next to each other is kept as it is.
     """
-    spans = [m.span() for m in _WORD.finditer(raw)]
     edge = np.flatnonzero(np.diff(np.r_[False, stays, False].astype(np.int8)))
-    return b" ".join(raw[spans[a][0] : spans[b - 1][1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    runs = (raw[starts[a] : ends[b - 1]] for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
+    return b" ".join(runs if layout else (b" ".join(r.split()) for r in runs))
+
+
+def _without_factors(raw: bytes, factors: bytes | None, window: int, layout: bool) -> tuple[int, int, bytes]:
+    """A text's number of words, how many of them its factors cover, and the text without those."""
+    if not factors:
+        words = raw.split()
+        return len(words), 0, raw if layout else b" ".join(words)
+    starts, ends = _word_places(np.frombuffer(raw, np.uint8))
+    stays = ~_covered(len(starts), factors, window)
+    return len(starts), len(starts) - int(stays.sum()), _cut_out(raw, starts, ends, stays, layout)
 
 
-def remove_duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5, layout: bool = False) -> DataFrame:
-    """docs, all columns, with each text's words that no duplicate window covers, and n_words and n_removed (renamed with
-    underscores in front where docs has such a column).
+def remove_duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5, layout: bool = False, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """docs, all columns, with each text's words that no duplicate window covers, and the two columns named in counts,
+    a text's words and those removed (renamed with underscores in front where docs has such a column).
 
     A window of `window` words is a duplicate if the same words also start, as a window, in a row with a smaller key.
     All windows are judged on the input. The words that are left are joined by one blank; with layout, a text without a
@@ -281,35 +431,24 @@ def remove_duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "te
     """
     others = [c for c in docs.columns if c != text]
     plain = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]
-    spans = duplicate_spans(docs, key, text, window, anchor)
+    found = duplicate_factors(docs, key, text, window, anchor)
     rows = docs.select(*plain, F.col(key).cast("long").alias("key"), _row(key, text).alias("row"), F.col(f"`{text}`").alias("text"))
-    joined = rows.join(spans.hint("shuffle_hash"), (F.col("key") == F.col("of_key")) & (F.col("row") == F.col("of_row")), "left")
-    joined = joined.select(*(f"c{i}" for i in range(len(others))), "runs", "text")
+    joined = rows.join(found.hint("shuffle_hash"), (F.col("key") == F.col("of_key")) & (F.col("row") == F.col("of_row")), "left")
+    joined = joined.select(*(f"c{i}" for i in range(len(others))), "factors", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
             for piece in text_slices(batch, last):
-                n_words, n_removed, kept = [], [], []
-                for raw, runs in zip(as_bytes(piece.column(last)), piece.column(last - 1).to_pylist(), strict=True):
-                    raw = raw or b""
-                    words = raw.split()
-                    n_words.append(len(words))
-                    if runs:
-                        stays = ~_covered(len(words), runs, window)
-                        n_removed.append(len(words) - int(stays.sum()))
-                        kept.append(_cut_out(raw, stays) if layout else b" ".join(w for w, s in zip(words, stays.tolist(), strict=True) if s))
-                    else:
-                        n_removed.append(0)
-                        kept.append(raw if layout else b" ".join(words))
-                columns = [*piece.columns[: last - 1], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                done = [_without_factors(raw or b"", f, window, layout) for raw, f in zip(as_bytes(piece.column(last)), piece.column(last - 1).to_pylist(), strict=True)]
+                columns = [*piece.columns[: last - 1], *(pa.array([d[i] for d in done], pa.int64()) for i in (0, 1)), pa.array([d[2] for d in done], pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names[: last - 1], "n_words", "n_removed", "text"])
 
     kinds = dict(docs.dtypes)
     done = joined.mapInArrow(run, "".join(f"c{i} {kinds[c]}, " for i, c in enumerate(others)) + "n_words long, n_removed long, text string")
     place = {c: i for i, c in enumerate(others)}
     named = [F.col("text").alias(c) if c == text else F.col(f"c{place[c]}").alias(c) for c in docs.columns]
-    return done.select(*named, *(F.col(c).alias(free_name(docs, c)) for c in ("n_words", "n_removed")))
+    return done.select(*named, *(F.col(c).alias(free_name(docs, name)) for c, name in zip(("n_words", "n_removed"), counts, strict=True)))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

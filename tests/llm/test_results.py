@@ -118,11 +118,31 @@ def test_substrings_by_brute_force(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     found = substrings.remove_duplicate_spans(docs).collect()
     assert {r.doc_id: r.text for r in found} == expected
+    text = dict(rows)
+    for r in substrings.duplicate_spans(docs).collect():  # each factor's words stand in its source
+        assert r.source < r.doc_id and r.n_words >= 13
+        assert text[r.doc_id].split()[r.start : r.start + r.n_words] == text[r.source].split()[r.source_start : r.source_start + r.n_words]
     kept = {r.doc_id: r.text for r in substrings.remove_duplicate_spans(docs, layout=True).collect()}
     assert {i: " ".join(t.split()) for i, t in kept.items()} == expected
     assert all(kept[i] == t for i, t in rows if len(expected[i].split()) == len(t.split()))
 
 
+def test_windows_that_agree_in_one_hash_only_are_not_equal():
+    head = np.zeros(3, substrings._HEAD)
+    head["order"], head["size"] = [1, 2, 3], [3, 3, 2]
+    key = np.array([5, 6, 7, 5, 6, 8, 6, 7], np.uint64)
+    check = np.array([1, 1, 1, 1, 2, 1, 1, 1], np.uint32)  # the second document's window 6 is another one
+    found = substrings._parse(head, (key, check))
+    assert [(int(f["order"]), int(f["start"]), int(f["count"]), int(f["source"]), int(f["at"])) for f in found] == [(2, 0, 1, 1, 0), (3, 0, 2, 1, 1)]
+
+
+def test_long_words_and_gaps_are_hashed_alike_in_pieces(monkeypatch):
+    texts = [b"ab  cd " * 50 + b"x" * 300 + b" ab", None, b"", b" \n ", b"cd " * 100]
+    whole = substrings._word_hashes(texts)
+    monkeypatch.setattr(substrings, "SLICE_BYTES", 17)
+    assert all((a == b).all() for a, b in zip(whole, substrings._word_hashes(texts), strict=True)) and whole[1].tolist() == [102, 0, 0, 0, 100]
+
+
 def test_simhash_by_brute_force(spark, docs, texts):
     from xxhash import xxh64_intdigest
 
@@ -248,4 +268,6 @@ def test_pipeline_stages(spark):
 
 
 def test_covered_words():
-    assert substrings._covered(20, np.array([[2, 1]], "<u4").tobytes(), 13).tolist() == [2 <= i < 15 for i in range(20)]
+    factor = np.zeros(1, substrings._FACTOR)
+    factor["start"], factor["count"] = 2, 1
+    assert substrings._covered(20, factor.tobytes(), 13).tolist() == [2 <= i < 15 for i in range(20)]

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import as_bytes, cut, free_name, map_texts, read_table
 from .components import connected_components
@@ -74,27 +75,29 @@ def block_keys(fp: Column, blocks: int, kept: int) -> Column:
 
 
 def _frontier_links(fps: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
-    """Links that span the classes of one large group, one for each fingerprint that joins a class."""
-    left = fps
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
+    """Links that span the classes of one large group of distinct fingerprints, as their places, one for each that joins
+    a class.
+    """
+    places = np.arange(len(fps))
+    while len(places):
+        queue, places = [int(places[0])], places[1:]
+        while queue and len(places):
             at = queue.pop()
-            near = np.bitwise_count(left ^ at) <= distance
+            near = np.bitwise_count(fps[places] ^ fps[at]) <= distance
             if near.any():
-                queue.extend(found := left[near])
+                queue.extend(found := places[near].tolist())
                 yield from ((at, x) for x in found)
-                left = left[~near]
+                places = places[~near]
 
 
 def _group_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links inside each run of equal keys; together they connect all that is within `distance`."""
+    """Places of verified links inside each run of equal keys; together they connect all that is within `distance`."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     size_of = np.repeat(sizes, sizes)
-    a, b = [], []
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     small = np.flatnonzero((size_of > 1) & (size_of <= SMALL_GROUP))
     k, f = keys[small], fps[small]
     for step in range(1, min(SMALL_GROUP, len(k))):
@@ -102,29 +105,31 @@ def _group_links(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
         if not len(same):
             break
         near = same[np.bitwise_count(f[same] ^ f[same + step]) <= distance]
-        a.append(f[near])
-        b.append(f[near + step])
+        a.append(small[near])
+        b.append(small[near + step])
     for g in np.flatnonzero(sizes > SMALL_GROUP):
-        found = list(_frontier_links(np.unique(fps[starts[g] : starts[g] + sizes[g]]), distance))
-        a.append(np.array([x for x, _ in found], np.uint64))
-        b.append(np.array([x for _, x in found], np.uint64))
-    joined = lambda x: np.concatenate(x) if x else np.empty(0, np.uint64)
-    return joined(a), joined(b)
+        found = np.array(list(_frontier_links(fps[starts[g] : starts[g] + sizes[g]], distance)), np.int64).reshape(-1, 2)
+        a.append(starts[g] + found[:, 0])
+        b.append(starts[g] + found[:, 1])
+    return order[np.concatenate(a)], order[np.concatenate(b)]
 
 
-def fingerprint_links(distinct_fps: DataFrame, n: int, distance: int = 4) -> DataFrame:
-    """(a, b): verified links between distinct fingerprints (column fp), enough of them to connect every class."""
+def fingerprint_links(distinct_fps: DataFrame, n: int, distance: int = 4, node: str = "fp") -> DataFrame:
+    """(a, b): verified links between distinct fingerprints (column fp), enough of them to connect every class. Each is
+    named by its value of the column `node`.
+    """
     blocks, kept = block_scheme(n, distance)
     tasks = max(1, -(-n * math.comb(blocks, kept) // ROWS_PER_TASK))
-    rows = distinct_fps.select("fp", F.explode(block_keys(F.col("fp"), blocks, kept)).alias("key"))
+    kind = distinct_fps.schema[node].dataType
+    rows = distinct_fps.select("fp", F.col(node).alias("node"), F.explode(block_keys(F.col("fp"), blocks, kept)).alias("key"))
     rows = rows.withColumn("task", F.pmod(F.xxhash64("key"), F.lit(tasks)))
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table.column("key").to_numpy()
-        a, b = _group_links(keys, table.column("fp").to_numpy().view(np.uint64), distance)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        a, b = _group_links(table.column("key").to_numpy(), table.column("fp").to_numpy().view(np.uint64), distance)
+        nodes = table.column("node").combine_chunks()
+        return pa.table({"a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b))})
 
-    return rows.groupBy("task").applyInArrow(run, "a long, b long")
+    return rows.groupBy("task").applyInArrow(run, StructType([StructField("a", kind), StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
@@ -132,21 +137,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
     Null and empty texts share fingerprint 0 and are linked like any other; rows with a null key get the class of their
     fingerprint (null if no row in it has a key); repeated rows stay repeated; an empty table gives an empty one. Equal
-    fingerprints are one node, so copies are never expanded into pairs; other columns of docs are not touched.
+    fingerprints are one node, so copies are never expanded into pairs; other columns of docs are not touched. A node is
+    named by the least key of its rows, so that a class's least node names the class.
     """
     own = cut(fingerprints(docs, key, text, width))
-    nodes = cut(own.groupBy("fp").agg(F.min("key").alias("least")))
-    links = fingerprint_links(nodes.select("fp"), nodes.count(), distance)
-    classes = connected_components(links)
-    named = nodes.join(classes, nodes["fp"] == classes["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
-    names = named.groupBy("class").agg(F.min("least").alias("component"))
-    by_fp = cut(named.join(names, "class").select("fp", "component"))
+    nodes = own.groupBy("fp").agg(F.min("key").alias("least"))
+    nodes = cut(nodes.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node")))
+    classes = connected_components(fingerprint_links(nodes, nodes.count(), distance, "node"))
+    linked = classes.select(F.col("node.fp").alias("fp"), F.col("component.least").alias("component"))
+    alone = nodes.join(classes.select("node"), "node", "left_anti").select("fp", F.col("node.least").alias("component"))
+    by_fp = cut(linked.unionByName(alone))
     return own.join(by_fp, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, distance: int = 4) -> DataFrame:
-    """docs, all columns, with one row of each class of near duplicates: the one with the least key (one of them, where
-    rows have equal keys). Rows with a null key can't be told apart by it; they stay.
+    """docs, all columns, with one row of each class of near duplicates: the one with the least key (where rows have equal
+    keys: the one whose text has the least hash). Rows with a null key can't be told apart by it; they stay.
     """
     keyed = docs.where(F.col(key).isNotNull())
     found = near_duplicates(keyed, key, text, width, distance)
@@ -154,7 +160,10 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias(name)).distinct().hint("shuffle_hash")
     out = keyed.join(kept, F.col(key) == F.col(name), "left_semi")
     if found.agg(F.count(F.lit(1)) - F.count_distinct(key)).first()[0]:
-        out = out.dropDuplicates([key])
+        of, least = free_name(docs, "of_key"), free_name(docs, "least_hash")
+        value = F.xxhash64(text, *(c for c, t in docs.dtypes if c not in (key, text) and "map<" not in t))
+        first = out.groupBy(F.col(key).alias(of)).agg(F.min(value).alias(least))
+        out = out.join(first, (F.col(key) == F.col(of)) & (value == F.col(least))).drop(of, least).dropDuplicates([key])
     return out.unionByName(docs.where(F.col(key).isNull()))
 
 

@@ -183,6 +183,26 @@ def test_hamming_links_of_dense_groups(spark):
     assert classes(links) == classes((a, b) for i, a in enumerate(signed) for b in signed[:i] if near(a, b))
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from marlstone.llm import components
+
+    monkeypatch.setattr(components, "LEAST_HUB", 5)
+    r = random.Random(3)
+    pairs = [(0, i) for i in range(1, 60)] + [(100 + i, 101 + i) for i in range(30)] + [(i, 500 + i % 7) for i in range(200, 260)] + [(7, 7), (None, 3)]
+    pairs += [(b, a) for a, b in pairs if r.random() < 0.3]
+    found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    expected = {i: 0 for i in range(60)} | {100 + i: 100 for i in range(31)}
+    for i in range(200, 260):
+        expected[i] = expected[500 + i % 7] = min(k for k in range(200, 260) if k % 7 == i % 7)
+    assert found == {k: c for k, c in expected.items() if k != c}
+
+
+def test_equal_keys_with_other_texts(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six"), (1, "seven eight nine ten eleven"), (2, "one two three four five six"), (None, "x")], "doc_id long, text string")
+    found = [sorted(map(str, simhash.drop_near_duplicates(docs.repartition(n)).collect())) for n in (1, 4)]
+    assert found[0] == found[1] and len(found[0]) == 2
+
+
 def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     lang = queries.QUERIES["op2_language_id"](spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out")

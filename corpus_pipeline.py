@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import crc_remainder, read_table, shared_dir
+from marlstone.llm.common import crc_remainder, free_name, read_table, shared_dir
 from marlstone.llm.decontamination import drop_contaminated
 from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality import score, train
@@ -22,7 +22,8 @@ from marlstone.llm.substrings import remove_duplicate_spans
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that the quality classifier does not reject; it learns from labels outside the held-out fifth."""
     model = train(docs, read_table(spark, sf_dir, "labels").where(crc_remainder(F.col("doc_id"), 5) != 0))
-    return score(docs, model, keep=True).where("predicted = 1").select(*docs.columns)
+    verdict = free_name(docs, "predicted")
+    return score(docs, model, keep=True, names=("score", verdict)).where(F.col(verdict) == 1).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,8 @@ def shared_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """All rows but those that lose all their words, without the passages that stand in a document with a smaller doc_id;
     a text that loses nothing stays as it is.
     """
-    rows = remove_duplicate_spans(docs, layout=True).where("n_removed = 0 OR n_removed < n_words")
+    words, removed = counts = free_name(docs, "n_words"), free_name(docs, "n_removed")
+    rows = remove_duplicate_spans(docs, layout=True, counts=counts).where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     return rows.select(*(F.when(F.col("text").isNotNull(), F.length("text")).cast("long").alias(c) if c == "n_chars" else c for c in docs.columns))
 
 

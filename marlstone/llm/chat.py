@@ -10,6 +10,8 @@ from .common import cut, read_table, shuffle_width
 
 #: A quote mark at the front of a line: any number of `>`, with blanks between them; and white space.
 QUOTE, GAP = r"^[\x20\x09]*(?:>[\x20\x09]*)+", r"[\x20\x09-\x0D]+"
+#: Words of a quoted passage that are compared at one time.
+GRAM = 5
 #: Other names of roles.
 ROLES = {"human": "user", "prompter": "user", "bot": "assistant", "ai": "assistant", "model": "assistant"}
 
@@ -21,9 +23,26 @@ def quote_lines(text: Column) -> Column:
     return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), line)
 
 
-def passage(body: Column) -> Column:
-    """A quoted line as it is compared: lower case, one blank for white space, none at the ends."""
-    return F.trim(F.lower(F.regexp_replace(body, GAP, " ")))
+def passages(lines: Column) -> Column:
+    """The passages of a text as (level, words): lines of one level that follow one another are one passage, read as
+    words in lower case.
+    """
+    changes = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (x[i]["level"] != x[F.greatest(i - 1, F.lit(0))]["level"]))
+    words = lambda x: F.filter(F.split(F.lower(F.array_join(F.transform(x, lambda y: y["body"]), " ")), GAP), lambda w: w != "")
+    until = lambda at, k, n: F.coalesce(F.try_element_at(at, k + 2), n)
+    return F.transform(changes(lines), lambda i, k: F.struct(lines[i]["level"].alias("level"), words(F.slice(lines, i + 1, until(changes(lines), k, F.size(lines)) - i)).alias("words")))
+
+
+def grams(words: Column) -> Column:
+    """All runs of GRAM words, as texts; a shorter passage is one run, one without a word none."""
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - GRAM + 1), lambda i: F.array_join(F.slice(words, i, GRAM), " "))
+    return F.when(F.size(words) == 0, F.array().cast("array<string>")).when(F.size(words) <= GRAM, F.array(F.array_join(words, " "))).otherwise(runs)
+
+
+def line_grams(lines: Column) -> Column:
+    """The unquoted lines of fewer than GRAM words, as texts: what a short quote can name."""
+    words = F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: F.filter(F.split(F.lower(x["body"]), GAP), lambda w: w != ""))
+    return F.transform(F.filter(words, lambda w: (F.size(w) > 0) & (F.size(w) < GRAM)), lambda w: F.array_join(w, " "))
 
 
 def own_text(lines: Column) -> Column:
@@ -33,17 +52,21 @@ def own_text(lines: Column) -> Column:
 
 
 def _links(messages: DataFrame) -> DataFrame:
-    """(conv, turn, reply_to): the earlier message that each message quotes. Of a message's quoted lines, those of the
-    lowest level that stand in an earlier message of the conversation count; the message with most of them is the one
-    replied to, the later of two. A line's original is the first message that has it unquoted.
+    """(conv, turn, reply_to): the earlier message that each message quotes. Of the runs of GRAM words of a message's
+    quoted passages, those of the lowest level that stand in an earlier message of the conversation count, each once; the
+    message with most of them is the one replied to, the later of two. A run's original is the first message that has it
+    unquoted. Runs meet by their hash and are then compared.
     """
-    lines = messages.where(F.col("conv").isNotNull() & F.col("turn").isNotNull()).select("conv", "turn", F.explode("lines").alias("line"))
-    lines = lines.select("conv", "turn", F.col("line.level").alias("level"), passage(F.col("line.body")).alias("passage")).where("passage <> ''")
-    lines = lines.withColumn("hash", F.xxhash64("passage"))
-    quoted = lines.where("level > 0")
-    quoting = messages.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv").distinct()
-    originals = lines.where("level = 0").join(quoting, "conv", "left_semi").groupBy("conv", "hash").agg(F.min("turn").alias("origin"))
-    found = quoted.join(originals, ["conv", "hash"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
+    keyed = messages.where(F.col("conv").isNotNull() & F.col("turn").isNotNull())
+    quoting = keyed.where(F.exists("lines", lambda x: x["level"] > 0))
+    by_hash = lambda df: df.withColumn("hash", F.xxhash64("gram"))
+    quoted = quoting.select("conv", "turn", F.explode(passages(F.col("lines"))).alias("p")).where("p.level > 0")
+    quoted = by_hash(quoted.select("conv", "turn", F.col("p.level").alias("level"), F.explode(grams(F.col("p.words"))).alias("gram")).distinct())
+    said = keyed.join(quoting.select("conv").distinct(), "conv", "left_semi")
+    own = F.flatten(F.transform(F.filter(passages(F.col("lines")), lambda p: p["level"] == 0), lambda p: grams(p["words"])))
+    said = by_hash(said.select("conv", "turn", F.explode(F.array_distinct(F.concat(own, line_grams(F.col("lines"))))).alias("gram")))
+    originals = said.groupBy("conv", "hash", "gram").agg(F.min("turn").alias("origin"))
+    found = quoted.join(originals, ["conv", "hash", "gram"]).where("origin < turn").groupBy("conv", "turn", "level", "origin").agg(F.count(F.lit(1)).alias("n"))
     return found.groupBy("conv", "turn").agg(F.max_by("origin", F.struct(-F.col("level"), "n", "origin")).alias("reply_to"))
 
 
@@ -111,14 +134,24 @@ lines AS (
   SELECT row_no, conv_id, turn, i, length(regexp_replace(regexp_extract(part, '^[\x20\x09]*(?:>[\x20\x09]*)+'), '[^>]', '', 'g')) AS level,
          substr(part, length(regexp_extract(part, '^[\x20\x09]*(?:>[\x20\x09]*)+')) + 1) AS body
   FROM (SELECT row_no, conv_id, turn, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS i FROM split)),
+numbered AS (
+  SELECT *, i - row_number() OVER (PARTITION BY row_no, level ORDER BY i) AS run FROM lines
+  WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
 passages AS (
-  SELECT * FROM (SELECT *, trim(lower(regexp_replace(body, '[\x20\x09-\x0D]+', ' ', 'g'))) AS passage FROM lines
-                 WHERE conv_id IS NOT NULL AND turn IS NOT NULL) WHERE passage <> ''),
+  SELECT row_no, conv_id, turn, level, run, list_filter(regexp_split_to_array(lower(string_agg(body, ' ' ORDER BY i)), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM numbered GROUP BY row_no, conv_id, turn, level, run),
+runs AS (
+  SELECT conv_id, turn, level, unnest(CASE WHEN len(w) <= 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS gram
+  FROM passages WHERE len(w) > 0
+  UNION ALL
+  SELECT conv_id, turn, 0, array_to_string(w, ' ')
+  FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(lower(body), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM numbered WHERE level = 0)
+  WHERE len(w) BETWEEN 1 AND 4),
 originals AS (
-  SELECT conv_id, passage, min(turn) AS origin FROM passages WHERE level = 0 GROUP BY ALL),
+  SELECT conv_id, gram, min(turn) AS origin FROM runs WHERE level = 0 GROUP BY ALL),
 found AS (
-  SELECT p.conv_id, p.turn, level, origin, count(*) AS n
-  FROM passages p JOIN originals o ON p.conv_id = o.conv_id AND p.passage = o.passage
+  SELECT p.conv_id, p.turn, level, origin, count(DISTINCT p.gram) AS n
+  FROM runs p JOIN originals o ON p.conv_id = o.conv_id AND p.gram = o.gram
   WHERE level > 0 AND origin < p.turn GROUP BY ALL),
 links AS (
   SELECT conv_id, turn, origin AS reply_to FROM found

@@ -15,11 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from .common import as_bytes, map_texts, read_table
 
 #: Words of benchmark items that are sent to the executors at one time; larger benchmarks go in blocks.
 BLOCK_WORDS = 500_000
+#: Most repeats of the embedding; trials of the recall of each number of edits, and of all together.
+MOST_REPEATS, TRIALS, ALL_TRIALS = 64, 300, 6_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -32,9 +36,12 @@ class ItemIndex:
 
     Where an item stands in a text with that many edits, a run of ceil((n - edits) / (edits + 1)) words stands there
     unchanged; so only windows around such a run (of at most four words) are embedded, and none is lost by that.
+
+    Repeats are set for each number of edits on its own, until items edited as much as is allowed reach the recall; where
+    MOST_REPEATS do not, every window around a run goes to the edit check.
     """
 
-    def __init__(self, items: list[tuple[int, list[str]]], similarity: float = 0.8, recall: float = 0.99, sampled: int = 2, seed: int = 9) -> None:
+    def __init__(self, items: list[tuple[object, list[str]]], similarity: float = 0.8, recall: float = 0.99, sampled: int = 2, seed: int = 9) -> None:
         self.items = [(i, w) for i, w in items if w]
         self.vocabulary = {w: n for n, w in enumerate(sorted({w for _, ws in self.items for w in ws}), 1)}
         self.words = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in self.items]
@@ -50,12 +57,12 @@ class ItemIndex:
             place = np.concatenate([np.arange(len(g)) for g, _ in grams])
             order = np.argsort(key, kind="stable")
             self.seeds[q] = key[order], item[order], place[order]
-        self.repeats, self.agreement = 1, 1.0
+        self.repeats: dict[int, int] = {}  # by item size; 0: no embedding, every window is checked
         if self.items:
-            self.multipliers = self.draw.integers(1, 1 << 32, (64, 2 * int(self.sizes.max()) + 2), np.uint64) | np.uint64(1)
-            self.places = np.sort(self.draw.random((64, sampled)), axis=1)
+            self.multipliers = self.draw.integers(1, 1 << 32, (MOST_REPEATS, 2 * int(self.sizes.max()) + 2), np.uint64) | np.uint64(1)
+            self.places = np.sort(self.draw.random((MOST_REPEATS, sampled)), axis=1)
             self._calibrate(recall)
-            self.keys = {int(n): self._item_keys(int(n)) for n in np.unique(self.sizes)}
+            self.keys = {int(n): self._item_keys(int(n)) for n in np.unique(self.sizes) if self.repeats[int(n)]}
 
     @staticmethod
     def _gram(ids: np.ndarray, q: int) -> np.ndarray:
@@ -89,38 +96,42 @@ class ItemIndex:
             at = np.minimum(at + move.astype(np.int64), n)
         return keys
 
-    def _calibrate(self, recall: float, sample: int = 200, trials: int = 3) -> None:
-        """The number of repeats: the share of keys that items keep when they are edited as much as is allowed (measured
-        on at most `sample` items) gives each repeat's chance, and the repeats the target recall.
+    def _edited(self, item: int) -> np.ndarray:
+        """The item with as many random edits as it allows, between words of no item."""
+        out = self.words[item].tolist()
+        for _ in range(int(self.edits[item])):
+            at, kind = int(self.draw.integers(len(out))), int(self.draw.integers(3))
+            out[at : at + (kind != 1)] = [] if kind == 0 and len(out) > 1 else [int(self.draw.integers(1, len(self.vocabulary) + 1))]
+        n = int(self.sizes[item])
+        return np.array([0] * n + out + [0] * n, np.int32)
+
+    def _calibrate(self, recall: float) -> None:
+        """The repeats of each number of edits: the fewest with which at least the recall of edited items share a key
+        with a window that candidates() looks at.
         """
-        chances = []
-        for i in self.draw.permutation(len(self.items))[:sample].tolist():
-            ids, n = self.words[i], int(self.sizes[i])
-            for _ in range(trials):
-                edited = ids.tolist()
-                for _ in range(int(self.edits[i])):
-                    at, kind = int(self.draw.integers(len(edited))), int(self.draw.integers(3))
-                    edited[at : at + (kind != 1)] = [] if kind == 0 and len(edited) > 1 else [int(self.draw.integers(1, len(self.vocabulary) + 1))]
-                edited = (edited + [0] * n)[:n]
-                keys = self.embed(np.array([ids, edited], np.int32), 64)
-                chances.append((keys[:, 0] == keys[:, 1]).mean())
-        chances = np.array(chances)
-        self.agreement = float(chances.mean())
-        for repeats in range(1, 65):
-            if (1 - (1 - chances) ** repeats).mean() >= recall:
-                break
-        self.repeats = repeats
+        classes = np.unique(self.edits).tolist()
+        for k in classes:
+            items = np.flatnonzero(self.edits == k)
+            met = []
+            for i in self.draw.choice(items, max(20, min(TRIALS, ALL_TRIALS // len(classes)))).tolist() if k else ():
+                ids, n = self._edited(i), int(self.sizes[i])
+                first = [f for _, f, j in self._seeded(ids, np.array([0]), np.array([len(ids)]))[n].tolist() if j == i]
+                windows = np.stack([self.words[i], *(self._window(ids, f, n, 0, len(ids)) for f in sorted(set(first)))])
+                keys = self.embed(windows, MOST_REPEATS)
+                met.append((keys[:, :1] == keys[:, 1:]).any(axis=1))
+            share = np.maximum.accumulate(np.array(met), axis=1).mean(axis=0) if met else np.ones(1)
+            enough = np.flatnonzero(share >= recall)
+            for n in np.unique(self.sizes[items]).tolist():
+                self.repeats[n] = int(enough[0]) + 1 if len(enough) else 0
 
     def _item_keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        items = np.flatnonzero(self.sizes == n)
-        keys = self.embed(np.stack([self.words[i] for i in items]), self.repeats) ^ np.arange(self.repeats, dtype=np.uint64)[:, None] << np.uint64(57)
+        items, r = np.flatnonzero(self.sizes == n), self.repeats[n]
+        keys = self.embed(np.stack([self.words[i] for i in items]), r) ^ np.arange(r, dtype=np.uint64)[:, None] << np.uint64(57)
         order = np.argsort(keys.ravel(), kind="stable")
-        return keys.ravel()[order], np.tile(items, self.repeats)[order]
+        return keys.ravel()[order], np.tile(items, r)[order]
 
-    def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, first word) of windows that share a key with an item. ids: all texts' words, one after the
-        other, text t from starts[t] to ends[t].
-        """
+    def _seeded(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> dict[int, np.ndarray]:
+        """By item size: (text, first word, item) of the windows around a run of words of an item."""
         windows: dict[int, list[np.ndarray]] = {}
         for q, (key, item, place) in self.seeds.items():
             grams = self._gram(ids, q)
@@ -129,24 +140,37 @@ class ItemIndex:
             at, low, n = at[high > low], low[high > low], (high - low)[high > low]
             found = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
             text = np.repeat(np.searchsorted(starts, at, "right") - 1, n)
-            first = np.repeat(at, n) - place[found]
             inside = np.repeat(at, n) + q <= ends[text]
             size = self.sizes[item[found]]
             for s in np.unique(size[inside]).tolist():
                 own = inside & (size == s)
-                windows.setdefault(s, []).append(np.unique(np.stack([text[own], first[own]], axis=1), axis=0))
+                windows.setdefault(s, []).append(np.unique(np.stack([text[own], np.repeat(at, n)[own] - place[found][own], item[found][own]], axis=1), axis=0))
+        return {s: np.unique(np.concatenate(parts), axis=0) for s, parts in windows.items()}
+
+    @staticmethod
+    def _window(ids: np.ndarray, first: np.ndarray | int, n: int, start: np.ndarray | int, end: np.ndarray | int) -> np.ndarray:
+        """The n words from `first` on, 0 where that is outside the text."""
+        at = np.asarray(first)[..., None] + np.arange(n)
+        valid = (at >= np.asarray(start)[..., None]) & (at < np.asarray(end)[..., None])
+        return np.where(valid, ids[np.clip(at, 0, len(ids) - 1)], 0)
+
+    def candidates(self, ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, first word) of windows that share a key with an item. ids: all texts' words, one after the
+        other, text t from starts[t] to ends[t].
+        """
         out = set()
-        for n, parts in windows.items():
-            where = np.unique(np.concatenate(parts), axis=0)
+        for n, seeded in self._seeded(ids, starts, ends).items():
+            if not (r := self.repeats[n]):
+                out.update((t, i, f) for t, f, i in seeded.tolist())
+                continue
+            where = np.unique(seeded[:, :2], axis=0)
+            own, items = self.keys[n]
             for i in range(0, len(where), 4096):
                 text, first = where[i : i + 4096].T
-                at = first[:, None] + np.arange(n)
-                valid = (at >= starts[text][:, None]) & (at < ends[text][:, None])
-                keys = self.embed(np.where(valid, ids[np.clip(at, 0, len(ids) - 1)], 0), self.repeats) ^ np.arange(self.repeats, dtype=np.uint64)[:, None] << np.uint64(57)
-                own, items = self.keys[n]
+                keys = self.embed(self._window(ids, first, n, starts[text], ends[text]), r) ^ np.arange(r, dtype=np.uint64)[:, None] << np.uint64(57)
                 low, high = np.searchsorted(own, keys, "left"), np.searchsorted(own, keys, "right")
-                for r, w in zip(*np.nonzero(high > low), strict=True):
-                    out.update((int(text[w]), int(items[k]), int(first[w])) for k in range(low[r, w], high[r, w]))
+                for row, w in zip(*np.nonzero(high > low), strict=True):
+                    out.update((int(text[w]), int(items[k]), int(first[w])) for k in range(low[row, w], high[row, w]))
         return out
 
     def verify(self, ids: np.ndarray, item: int, first: int, start: int, end: int) -> tuple[int, int, int] | None:
@@ -217,27 +241,28 @@ def _item_blocks(benchmark: DataFrame, item_key: str, item_text: str, similarity
     yield ItemIndex(block, similarity)
 
 
-def find_items(docs: DataFrame, index: ItemIndex, key: str = "doc_id", text: str = "text") -> DataFrame:
-    kind = dict(docs.dtypes)[key]
+def find_items(docs: DataFrame, index: ItemIndex, item_type: DataType, key: str = "doc_id", text: str = "text") -> DataFrame:
+    kind, item_kind = dict(docs.dtypes)[key], to_arrow_type(item_type)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         rows = _matches(index, as_bytes(batch.column(1)))
-        columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.items[r[1]][0] for r in rows], pa.int64())]
+        columns = [batch.column(0).take(pa.array([r[0] for r in rows], pa.int64())), pa.array([index.items[r[1]][0] for r in rows], item_kind)]
         columns += [pa.array([r[c] for r in rows], pa.int64()) for c in (2, 3, 4)]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "item_id", "first_word", "n_words", "edits"])
 
-    return map_texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, item_id long, first_word long, n_words long, edits long")
+    return map_texts(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), run, f"key {kind}, item_id {item_type.simpleString()}, first_word long, n_words long, edits long")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", similarity: float = 0.8) -> DataFrame:
     """(key, item_id, first_word, n_words, edits): each stretch of a text that a benchmark item fits with at most
-    (1 - similarity) of its words edited. Words are runs of letters and digits, in lower case.
+    (1 - similarity) of its words edited, with the item's key as item_id. Words are runs of letters and digits, in lower case.
 
     Null and empty texts and items match nothing; equal items are each reported; repeated rows are reported each; empty
     tables give an empty one. Items are read in blocks of BLOCK_WORDS words, so what is sent to the executors is bounded;
     there is no shuffle, and no text leaves its task.
     """
-    found = [find_items(docs, index, key, text) for index in _item_blocks(benchmark, item_key, item_text, similarity)]
+    item_type = benchmark.schema[item_key].dataType
+    found = [find_items(docs, index, item_type, key, text) for index in _item_blocks(benchmark, item_key, item_text, similarity)]
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

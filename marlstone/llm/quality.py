@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -10,15 +11,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_remainder, map_texts, read_table, text_slices
+from .common import as_bytes, crc_remainder, free_name, map_texts, read_table, text_slices
 from .sampling import sample_by_class
 
 #: Words of a passage; bytes of text whose passages are encoded at one time.
 PASSAGE, ENCODE_BYTES = 48, 1 << 20
 #: Character classes: gap, lower, upper, other letter, digit, mark of a table or markup, stop, other.
 CLASSES = 8
+#: Buckets of hashed words and of hashed runs of three characters.
+WORDS, TRIPLES = 64, 128
+#: Their scale beside the other numbers: each of them tells little, and there are many.
+LEXICAL = 0.25
 #: Numbers that encode a passage.
-WIDTH = CLASSES * CLASSES + 2 * CLASSES + 8
+WIDTH = CLASSES * CLASSES + 2 * CLASSES + WORDS + TRIPLES + 8
 
 
 @cache
@@ -39,10 +44,11 @@ def _classes() -> np.ndarray:
     return out
 
 
-def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_passages(texts: list[str], all_words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(passages by WIDTH, passages of each text). A text is cut into passages of PASSAGE words; one without a word is
     one empty passage. A passage's numbers: shares of each pair of neighbouring character classes, of each class at the
-    ends of words, and how its words repeat.
+    ends of words, shares of hashed words and of hashed runs of three characters, and how its words repeat. all_words:
+    words of the whole texts, where these are pieces of them.
     """
     joined = "\n".join(texts) + "\n"
     cls = _classes()[points := np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -72,6 +78,13 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     powers = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
     inside = np.arange(len(chars)) - np.repeat(np.cumsum(width) - width, width)
     word = np.add.reduceat((points[chars].astype(np.uint64) + np.uint64(1)) * powers[inside & 63], np.cumsum(width) - width)
+    at, spread = 10 * CLASSES, lambda h, n: (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % n
+    share = np.bincount(passage * WORDS + spread(word, WORDS), minlength=total * WORDS).reshape(total, -1)
+    out[:, at : at + WORDS] = share / np.maximum(n_words, 1)[:, None]
+    inner = chars[cls[chars + 1] > 0]  # a run of three begins here and ends in the word or with the gap behind it
+    three = (points[inner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + points[inner + 1]) * np.uint64(0x94D049BB133111EB) + points[inner + 2]
+    share = np.bincount(of_char[cls[chars + 1] > 0] * TRIPLES + spread(three, TRIPLES), minlength=total * TRIPLES).reshape(total, -1)
+    out[:, at + WORDS : at + WORDS + TRIPLES] = share / np.maximum(n_chars, 1)[:, None]
     order = np.lexsort((word, passage))
     new = np.r_[True, (word[order][1:] != word[order][:-1]) | (passage[order][1:] != passage[order][:-1])]
     runs = np.diff(np.r_[np.flatnonzero(new), len(order)])
@@ -86,11 +99,25 @@ def encode_passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     extra = [distinct / n, most / n, np.bincount(passage[again], minlength=total) / n, np.bincount(passage[skip], minlength=total) / n]
     mean = n_chars / n
     spread = np.sqrt(np.maximum(np.bincount(passage, width.astype(float) ** 2, total) / n - mean**2, 0))
-    extra += [mean / 10, spread / 10, n_words / PASSAGE, np.log1p(words)[np.repeat(np.arange(len(texts)), passages)] / 10]
+    extra += [mean / 10, spread / 10, n_words / PASSAGE, np.log1p(words if all_words is None else all_words)[np.repeat(np.arange(len(texts)), passages)] / 10]
     out[:, -8:] = np.stack(extra, axis=1)
     return out, passages
 
 
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """A text in pieces of about ENCODE_BYTES that end where a passage does."""
+    at, held = 0, 0
+    word = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}" % PASSAGE)
+    for m in word.finditer(raw):
+        if m.start() == held and m.end() - at >= ENCODE_BYTES:
+            yield raw[at : m.end()]
+            at = m.end()
+        elif m.start() != held and held:
+            break
+        held = m.end()
+    yield raw[at:]
+
+
 class AttentionModel:
     """h = tanh(x W + b); attention over a document's passages from w . (tanh(h V) * sigmoid(h U)); the logit is linear
     in the attention-weighted mean of h.
@@ -109,11 +136,23 @@ class AttentionModel:
         a = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), sizes))
         a /= np.repeat(np.add.reduceat(a, starts), sizes)
         z = np.add.reduceat(a[:, None] * h, starts)
-        return {"h": h, "t": t, "s": s, "a": a, "z": z, "logit": z @ p["c"] + p["d"], "starts": starts}
+        return {"h": h, "t": t, "s": s, "e": e, "a": a, "z": z, "logit": z @ p["c"] + p["d"], "starts": starts}
 
     def scores(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self._forward(x, sizes)["logit"], -30, 30)))
 
+    def score_in_pieces(self, raw: bytes) -> float:
+        """A long text's score: attention is summed piece by piece, so that only one piece is encoded at a time."""
+        n_words = np.array([sum(len(p.split()) for p in _pieces(raw))])
+        top, weight, z = -np.inf, 0.0, np.zeros(len(self.p["c"]))
+        for piece in _pieces(raw):
+            x, sizes = encode_passages([piece.decode("utf-8", "replace")], n_words)
+            f = self._forward(x, sizes)
+            now = max(top, high := float(f["e"].max()))
+            own = np.exp(high - now) / f["a"].max()
+            z, weight, top = z * np.exp(top - now) + own * f["z"][0], weight * np.exp(top - now) + own, now
+        return float(1 / (1 + np.exp(-np.clip(z / weight @ self.p["c"] + self.p["d"], -30, 30)))[0])
+
     def attention(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         return self._forward(x, sizes)["a"]
 
@@ -131,6 +170,7 @@ class AttentionModel:
     def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = 30, batch: int = 128, rate: float = 0.01, decay: float = 1e-4, seed: int = 4) -> AttentionModel:
         """Adam on the weighted log loss of whole documents."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.scale[10 * CLASSES : -8] /= LEXICAL
         starts, draw, step = np.cumsum(sizes) - sizes, np.random.default_rng(seed), 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
         for _ in range(epochs):
@@ -146,8 +186,9 @@ class AttentionModel:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500) -> AttentionModel:
-    """A model from about per_class labelled documents of each class, weighted back to the classes' shares.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, most_bytes: int = 1 << 18) -> AttentionModel:
+    """A model from about per_class labelled documents of each class, of those with at most most_bytes of text, weighted
+    back to the classes' shares.
 
     A document with several labels has the least. The sample's keys and labels are at most a few per_class rows, which
     bounds what is broadcast; passages are encoded where the texts are, and only their numbers come to the driver.
@@ -155,7 +196,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("of_key")).agg((F.min(label) > 0).cast("int").alias("label"))
     share = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     sample = sample_by_class(marked, "of_key", "label", per_class)
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("key") == F.col("of_key")).select("key", "label", "text")
+    short = docs.where(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) <= most_bytes)
+    found = short.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("key") == F.col("of_key")).select("key", "label", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -176,11 +218,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return model.fit(np.concatenate(parts).astype(np.float32), np.array([len(p) for p in parts]), y.astype(float), weight / weight.mean())
 
 
-def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: bool = False) -> DataFrame:
-    """(key, score, predicted) of every row, from its whole text alone; with keep, docs' other columns too.
+def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str = "text", threshold: float = 0.3, keep: bool = False, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """(key, score, predicted) of every row, from its whole text alone; with keep, docs' columns and these two. They are
+    called as names says, with underscores in front where docs has such a column and keep is set.
 
     Null and empty texts are one empty passage and get its score; repeated rows stay; an empty table gives an empty one;
-    a text's passages are encoded in slices of texts, so a long text costs memory in proportion to itself only.
+    texts are encoded in slices, and a text longer than a slice in pieces of it.
     """
     kind = dict(docs.dtypes)[key]
     schema = f"key {kind}, score double, predicted int"
@@ -192,17 +235,22 @@ def score(docs: DataFrame, model: AttentionModel, key: str = "doc_id", text: str
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         for piece in text_slices(batch, batch.num_columns - 1, ENCODE_BYTES):
             raw = piece.column(piece.num_columns - 1)
-            s = model.scores(*encode_passages([(t or b"").decode("utf-8", "replace") for t in as_bytes(raw)]))
+            texts = [t or b"" for t in as_bytes(raw)]
+            if len(texts) == 1 and len(texts[0]) > ENCODE_BYTES:
+                s = np.array([model.score_in_pieces(texts[0])])
+            else:
+                s = model.scores(*encode_passages([t.decode("utf-8", "replace") for t in texts]))
             columns = [piece.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))]
-            names = ["key", "score", "predicted"]
+            of = ["key", "score", "predicted"]
             if keep:
                 columns += [*piece.columns[1:-1], raw]
-                names += [*piece.schema.names[1:-1], "text"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+                of += [*piece.schema.names[1:-1], "text"]
+            yield pa.RecordBatch.from_arrays(columns, names=of)
 
-    rows = map_texts(docs.select(F.col(key).alias("key"), *named, F.col(text).alias("text")), run, schema)
-    out = [F.col("key").alias(key)] + [F.col(f"c{i}").alias(c) for i, c in enumerate(others)] + [F.col("text").alias(text)] * keep
-    return rows.select(*out, "score", "predicted")
+    rows = map_texts(docs.select(F.col(f"`{key}`").alias("key"), *named, F.col(f"`{text}`").alias("text")), run, schema)
+    as_named = {key: "key", text: "text"} | {c: f"c{i}" for i, c in enumerate(others)}
+    out = [F.col(as_named[c]).alias(c) for c in (docs.columns if keep else [key])]
+    return rows.select(*out, *(F.col(c).alias(free_name(docs, n) if keep else n) for c, n in zip(("score", "predicted"), names, strict=True)))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,11 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, crc_remainder, map_texts, read_table
+from .common import as_bytes, crc_remainder, map_texts, read_table, text_slices
 from .sampling import sample_by_class
 
 #: Hashed n-gram features, as a power of two; n-grams have one to three characters.
 FEATURE_BITS = 15
+#: Characters of a text that are turned into n-grams at one time.
+PIECE = 1 << 19
 UNKNOWN = "und"
 
 
@@ -26,18 +28,36 @@ def _folds() -> np.ndarray:
     return np.where(letters, points, 32)
 
 
+def _points(text: str) -> Iterator[np.ndarray]:
+    """The folded code points of a text with a space at both ends and one between words, piece by piece."""
+    yield np.array([32], np.uint32)
+    last, folds = 32, _folds()
+    for i in range(0, len(text), PIECE):
+        points = folds[np.frombuffer(text[i : i + PIECE].lower().encode("utf-32-le"), np.uint32)]
+        points = points[(points != 32) | (np.r_[np.uint32(last), points[:-1]] != 32)]
+        if len(points):
+            last = int(points[-1])
+            yield points
+    if last != 32:
+        yield np.array([32], np.uint32)
+
+
 def features(raw: bytes | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of the letters of a whole text, each with 1 + log(count). No letter: no feature."""
-    points = _folds()[np.frombuffer(raw.decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)] if raw else np.empty(0, np.uint32)
-    if not len(points) or points.max() == 32:
-        return np.empty(0, np.int64), np.empty(0)
-    points = np.r_[np.uint32(32), points, np.uint32(32)]
-    points = points[np.r_[True, (points[1:] != 32) | (points[:-1] != 32)]]  # one space between words
-    one = (points + np.uint32(1)) * np.uint32(0x9E3779B1)
-    two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + one[1:]
-    three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + one[2:]
     spread = lambda h: ((h ^ (h >> np.uint32(16))) * np.uint32(0x27D4EB2F)) >> np.uint32(32 - FEATURE_BITS)
-    count = np.bincount(np.concatenate([spread(one), spread(two), spread(three)]), minlength=1 << FEATURE_BITS)
+    count, before, letters = np.zeros(1 << FEATURE_BITS, np.int64), np.empty(0, np.uint32), False
+    for new in _points(raw.decode("utf-8", "replace")) if raw else ():
+        letters = letters or bool((new != 32).any())
+        points = np.r_[before, new]
+        one = (points + np.uint32(1)) * np.uint32(0x9E3779B1)
+        two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + one[1:]
+        three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + one[2:]
+        k = len(before)  # n-grams that end in the points before are counted already
+        grams = np.concatenate([spread(one[k:]), spread(two[max(k - 1, 0) :]), spread(three[max(k - 2, 0) :])])
+        count += np.bincount(grams, minlength=1 << FEATURE_BITS)
+        before = points[-2:]
+    if not letters:
+        return np.empty(0, np.int64), np.empty(0)
     at = np.flatnonzero(count)
     return at, 1 + np.log(count[at])
 
@@ -50,9 +70,10 @@ def document_frequencies(docs: DataFrame, text: str) -> tuple[np.ndarray, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << FEATURE_BITS, np.int64), 0
         for batch in batches:
-            for raw in as_bytes(batch.column(0)):
-                seen[features(raw)[0]] += 1
-                n += 1
+            for piece in text_slices(batch, 0):
+                for raw in as_bytes(piece.column(0)):
+                    seen[features(raw)[0]] += 1
+                    n += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[n, seen[at]])], names=["feature", "n"])
 
@@ -129,7 +150,8 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", per_class: int = 600) -> LanguageModel:
     """A model from docs' labelled texts. Document frequencies are of all labelled rows; the weights are fitted on a
-    sample of about per_class rows of each language, a fifth of it kept for the temperature.
+    sample of about per_class rows of each language (sample_by_class() bounds all rows together), a fifth of it kept for
+    the temperature. From fewer than ten rows none is kept, and the temperature is fitted on the same rows.
     """
     docs = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull())
     seen, total = document_frequencies(docs, text)
@@ -152,10 +174,11 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     for at, tf, name in zip(found["at"], found["tf"], found["label"], strict=True):
         x = np.asarray(tf, float) * idf[at]
         rows.append((np.asarray(at, np.int64), x / np.sqrt(x @ x), languages.index(name)))
-    kept = rows[::5] if len(rows) >= 50 else []
-    weights, bias = fit_ftrl([r for i, r in enumerate(rows) if i % 5 or not kept], len(languages))
+    few = len(rows) < 10
+    kept = rows if few else rows[::5]
+    weights, bias = fit_ftrl([r for i, r in enumerate(rows) if few or i % 5], len(languages))
     logits = np.array([x @ weights[at] + bias for at, x, _ in kept]).reshape(-1, len(languages))
-    return LanguageModel(languages, weights, bias, idf, fit_temperature(logits, np.array([y for *_, y in kept], int)) if kept else 1.0)
+    return LanguageModel(languages, weights, bias, idf, fit_temperature(logits, np.array([y for *_, y in kept], int)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:

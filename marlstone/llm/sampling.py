@@ -8,15 +8,17 @@ from pyspark.sql import functions as F
 _PARTS = 1_000_000
 
 
-def sample_by_class(rows: DataFrame, key: str, label: str, per_class: int, most_classes: int = 500) -> DataFrame:
-    """Rows of the most_classes largest classes, on average per_class of each at most; all of smaller classes.
+def sample_by_class(rows: DataFrame, key: str, label: str, per_class: int, most_rows: int = 20_000) -> DataFrame:
+    """On average per_class rows of each class at most (all of smaller classes), fewer where the classes are so many that
+    most_rows would be passed; but every class keeps one on average.
 
     A row is drawn if the hash of its key is below its class's share, so a class's sample is spread over the table.
     Only the class counts come to the driver. Rows with a null label are never drawn.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(most_classes).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], int(_PARTS * min(1.0, per_class / r[1])))))
+    wanted = min(per_class, max(1, most_rows // len(counts)))
+    share = F.create_map(*(F.lit(x) for r in counts for x in (r[0], max(1, int(_PARTS * min(1.0, wanted / r[1]))))))
     drawn = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(7)), F.lit(_PARTS)) < F.try_element_at(share, F.col(label))
     return rows.where(F.col(label).isNotNull() & drawn)

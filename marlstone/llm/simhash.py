@@ -161,7 +161,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     out = keyed.join(kept, F.col(key) == F.col(name), "left_semi")
     if found.agg(F.count(F.lit(1)) - F.count_distinct(key)).first()[0]:
         of, least = free_name(docs, "of_key"), free_name(docs, "least_hash")
-        value = F.xxhash64(text, *(c for c, t in docs.dtypes if c not in (key, text) and "map<" not in t))
+        value = F.struct(F.xxhash64(text), F.xxhash64(*(c for c, t in docs.dtypes if c != text and "map<" not in t)))
         first = out.groupBy(F.col(key).alias(of)).agg(F.min(value).alias(least))
         out = out.join(first, (F.col(key) == F.col(of)) & (value == F.col(least))).drop(of, least).dropDuplicates([key])
     return out.unionByName(docs.where(F.col(key).isNull()))

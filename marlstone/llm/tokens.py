@@ -15,8 +15,8 @@ from .common import as_bytes, map_texts, read_table
 
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
-#: Words that a worker remembers the counts of.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers the counts of, and the longest of them.
+CACHE_WORDS, LONGEST_KEPT = 300_000, 64
 NO_RANK = np.iinfo(np.int32).max
 _RUNS = re.compile(" +[^ ]*")
 
@@ -155,7 +155,11 @@ def count_tokens(path: str, texts: Iterable[str]) -> list[int]:
     for i in range(0, len(missing), 50_000):
         part = missing[i : i + 50_000]
         cache.update(zip(part, model.counts([f" {w}".replace(" ", SPACE) for w in part]).tolist(), strict=True))
-    return [sum(map(cache.__getitem__, words)) for words in split]
+    found = [sum(map(cache.__getitem__, words)) for words in split]
+    for w in missing:
+        if len(w) > LONGEST_KEPT:
+            del cache[w]
+    return found
 
 
 def token_counts(docs: DataFrame, model_path: str, key: str = "doc_id", text: str = "text", limit: int = 4096) -> DataFrame:

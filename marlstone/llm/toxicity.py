@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +15,8 @@ from .sampling import sample_by_class
 
 #: Lengths of a word's beginnings that are features beside the word itself.
 STEMS = (4, 5)
-#: z value from which a feature counts for a weakly labelled document's grade.
-TELLING = 6.0
-#: Words that a worker remembers the features of.
-CACHE_WORDS = 400_000
+#: Words that a worker remembers the features of, and the longest of them.
+CACHE_WORDS, LONGEST_KEPT = 400_000, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -50,18 +47,41 @@ class OrdinalModel:
         known, words = self._known, set(words)
         if len(known) + len(words) > CACHE_WORDS:
             known.clear()
-        for w in [w for w in words if w not in known]:
-            known[w] = tuple(f for f in word_features(w) if f in self.weights)
-        return sum(self.weights[f] for f in set(chain.from_iterable(filter(None, map(known.__getitem__, words)))))
+        found: set[int] = set()
+        for w in words:
+            if (own := known.get(w)) is None:
+                own = tuple(f for f in word_features(w) if f in self.weights)
+                if len(w) <= LONGEST_KEPT:
+                    known[w] = own
+            if own:
+                found.update(own)
+        return sum(self.weights[f] for f in sorted(found))
 
     def above(self, score: float) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(score - self.thresholds, -40, 40)))
 
 
-def fit_ordinal(rows: list[tuple[np.ndarray, int]], n_features: int, n_grades: int, steps: int = 600, rate: float = 0.05, l1: float = 1e-5, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) of the mean cumulative-link log likelihood with L1 and L2 penalties, by Adam on all rows at
-    once and a proximal step for the L1 part. Thresholds stay ordered: each is the one before plus the exponential of a
-    free number.
+def ordinal_gradient(x: np.ndarray, row: np.ndarray, column: np.ndarray, y: np.ndarray, weight: np.ndarray, n_features: int) -> tuple[float, np.ndarray]:
+    """The weighted mean cumulative-link log loss and its gradient. x: weights of features, the first threshold, and the
+    logarithms of the gaps between thresholds; (row, column): which feature a row has; y: grades; weight sums to 1.
+    """
+    n, free = len(y), x[n_features:]
+    widths = np.r_[1.0, np.exp(free[1:])]
+    theta = np.cumsum(np.r_[free[0], widths[1:]])
+    score = np.bincount(row, x[:n_features][column], n)
+    p = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -30, 30))), np.zeros(n)]  # P(grade >= k)
+    above, below = p[np.arange(n), y], p[np.arange(n), y + 1]
+    mass = np.maximum(above - below, 1e-9)
+    d_above, d_below = weight * above * (1 - above) / mass, weight * below * (1 - below) / mass
+    d_theta = np.bincount(y, d_above, len(theta) + 2) - np.bincount(y + 1, d_below, len(theta) + 2)
+    d_free = np.cumsum(d_theta[1:-1][::-1])[::-1] * widths
+    return -float(weight @ np.log(mass)), np.r_[np.bincount(column, (d_below - d_above)[row], n_features), d_free]
+
+
+def fit_ordinal(rows: list[tuple[np.ndarray, int]], n_features: int, n_grades: int, weight: np.ndarray | None = None, steps: int = 600, rate: float = 0.05, l1: float = 1e-5, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds) of the weighted mean cumulative-link log likelihood with L1 and L2 penalties, by Adam on all
+    rows at once and a proximal step for the L1 part. Thresholds stay ordered: each is the one before plus the
+    exponential of a free number.
     """
     y, n = np.array([g for _, g in rows]), len(rows)
     row = np.repeat(np.arange(n), [len(at) for at, _ in rows])
@@ -69,18 +89,10 @@ def fit_ordinal(rows: list[tuple[np.ndarray, int]], n_features: int, n_grades: i
     x = np.zeros(n_features + n_grades - 1)
     x[n_features] = 1.0
     m, v = np.zeros_like(x), np.zeros_like(x)
+    weight = np.full(n, 1 / max(n, 1)) if weight is None else weight / weight.sum()
     for step in range(1, steps + 1):
-        w, free = x[:n_features], x[n_features:]
-        widths = np.r_[1.0, np.exp(free[1:])]
-        theta = np.cumsum(np.r_[free[0], widths[1:]])
-        score = np.bincount(row, w[column], n)
-        p = np.c_[np.ones(n), 1 / (1 + np.exp(-np.clip(score[:, None] - theta, -30, 30))), np.zeros(n)]  # P(grade >= k)
-        above, below = p[np.arange(n), y], p[np.arange(n), y + 1]
-        mass = np.maximum(above - below, 1e-9)
-        d_above, d_below = above * (1 - above) / mass / n, below * (1 - below) / mass / n
-        d_theta = np.bincount(y, d_above, n_grades + 1) - np.bincount(y + 1, d_below, n_grades + 1)
-        d_free = np.cumsum(d_theta[1:-1][::-1])[::-1] * widths
-        g = np.r_[np.bincount(column, (d_below - d_above)[row], n_features) + l2 * w, d_free]
+        g = ordinal_gradient(x, row, column, y, weight, n_features)[1]
+        g[:n_features] += l2 * x[:n_features]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         x = x - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         x[:n_features] = np.sign(x[:n_features]) * np.maximum(np.abs(x[:n_features]) - rate * l1, 0)
@@ -88,15 +100,6 @@ def fit_ordinal(rows: list[tuple[np.ndarray, int]], n_features: int, n_grades: i
     return x[:n_features], np.cumsum(np.r_[free[0], np.exp(free[1:])])
 
 
-def graded(toxic: np.ndarray, coded: list[np.ndarray], telling: np.ndarray) -> np.ndarray:
-    """Severity grades of documents that are only marked toxic or not: 0 if not; else 1, or 2 if it has more telling
-    features than the toxic documents' median. telling: sorted features.
-    """
-    count = np.array([int(np.isin(c, telling, assume_unique=True).sum()) if t else 0 for t, c in zip(toxic.tolist(), coded, strict=True)])
-    median = np.median(count[toxic == 1]) if (toxic == 1).any() else 0
-    return np.where(toxic == 0, 0, np.where(count > median, 2, 1))
-
-
 def screen(coded: list[np.ndarray], toxic: np.ndarray, least_z: float = 4.0, least_docs: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """(features, z): those that more toxic than other documents have, by the z value of the two shares, sorted."""
     found, at = np.unique(np.concatenate(coded), return_inverse=True) if coded else (np.empty(0, np.uint64), np.empty(0, int))
@@ -109,36 +112,37 @@ def screen(coded: list[np.ndarray], toxic: np.ndarray, least_z: float = 4.0, lea
     return found[keep], z[keep]
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, grades: int | None = None) -> OrdinalModel:
-    """A model from about per_class labelled documents of each class, which bounds what is broadcast and what comes to
-    the driver. label is 0 or 1 and is graded by graded(); with grades, label holds grades below that number itself.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = 2000, grades: int = 2, most_bytes: int = 1 << 20) -> OrdinalModel:
+    """A model from about per_class labelled documents of each grade, of those with at most most_bytes of text, which
+    bounds what is broadcast and what comes to the driver: only features of a document, once each.
+
+    label holds grades 0, 1, ... below `grades`; others count as the nearest. With grades = 2, as where documents are
+    only marked toxic or not, there is one threshold. Each grade is weighted back to its share of the labels; features
+    are screened by grade 0 against all others. A document with several labels has the highest.
     """
-    value = (F.col(label) > 0).cast("int") if grades is None else F.greatest(F.lit(0), F.least(F.lit(grades - 1), F.col(label).cast("int")))
+    value = F.greatest(F.lit(0), F.least(F.lit(grades - 1), F.col(label).cast("int")))
     marked = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(key).alias("of_key")).agg(F.max(value).alias("label"))
     share = {r["label"]: r["count"] for r in marked.groupBy("label").count().collect()}
     sample = sample_by_class(marked, "of_key", "label", per_class)
-    found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("key") == F.col("of_key")).select("key", "label", "text")
+    short = docs.where(F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) <= most_bytes)
+    found = short.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(sample), F.col("key") == F.col("of_key")).select("key", "label", "text")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        words = pa.array([" ".join(words_of(raw)) for raw in as_bytes(batch.column(2))], pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), words], names=["key", "label", "words"])
+        coded = [np.unique(np.fromiter((f for w in set(words_of(raw)) for f in word_features(w)), np.uint64)).tobytes() for raw in as_bytes(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array(coded, pa.binary())], names=["key", "label", "features"])
 
-    rows = map_texts(found, run, "key string, label int, words string").toPandas().sort_values(["key", "words"])
-    y, words = rows["label"].to_numpy(int), [w.split() for w in rows["words"]]
+    rows = map_texts(found, run, "key string, label int, features binary").toPandas().sort_values(["key", "features"])
+    y, coded = rows["label"].to_numpy(int), [np.frombuffer(f, np.uint64) for f in rows["features"]]
     if (y == 0).all() or (y > 0).all():
-        return OrdinalModel({}, np.array([40.0 if not len(y) or (y == 0).all() else -40.0]))
-    coded = [np.unique(np.fromiter((f for w in set(ws) for f in word_features(w)), np.uint64)) for ws in words]
-    features, z = screen(coded, (y > 0).astype(int))
-    if grades is None:
-        y = graded(y, coded, features[z >= TELLING])
+        return OrdinalModel({}, np.full(grades - 1, 40.0 if not len(y) or (y == 0).all() else -40.0))
+    features, _ = screen(coded, (y > 0).astype(int))
     in_model = []
     for c, g in zip(coded, y.tolist(), strict=True):
         at = np.minimum(np.searchsorted(features, c), max(len(features) - 1, 0))
         in_model.append((at[features[at] == c] if len(features) else at[:0], g))
-    weights, thresholds = fit_ordinal(in_model, len(features), grades or 3)
-    drawn = np.bincount(rows["label"].to_numpy(int), minlength=2)
-    rest, rest_drawn = sum(n for k, n in share.items() if k), drawn[1:].sum()
-    thresholds = thresholds + np.log(share[0] / drawn[0] * rest_drawn / rest)  # the sample has more toxic rows than the table
+    drawn = np.bincount(y, minlength=grades)
+    weight = np.array([share[g] / drawn[g] for g in y.tolist()])
+    weights, thresholds = fit_ordinal(in_model, len(features), grades, weight)
     return OrdinalModel({int(f): float(w) for f, w in zip(features, weights, strict=True) if w}, thresholds)
 
 

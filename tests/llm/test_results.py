@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from marlstone.llm import decontamination, packing, quality, queries, simhash, substrings, tokens, toxicity
+from marlstone.llm import decontamination, language, packing, quality, queries, simhash, substrings, tokens, toxicity
 
 SF = "/root/testdata/sf0.01"
 PIECE, WORD = "piece_bpe_32k.model", "word_bpe_49k.json"
@@ -33,13 +33,44 @@ def texts(docs):
     return dict(docs.select("doc_id", "text").toPandas().itertuples(index=False))
 
 
-def sql_rows(sql):
+def sql_rows(sql, sf=SF):
     con = duckdb.connect()
     for name in ("documents", "conversations"):
-        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
     return con.sql(sql)
 
 
+def test_random_quotes_by_sql(spark, tmp_path):
+    r, words = random.Random(11), "red fox ran far into the Old dark wood and slept".split()
+    rows = []
+    for conv in range(60):
+        said = []
+        for turn in range(r.randint(1, 9)):
+            lines = [" ".join(r.choice(words) for _ in range(r.randint(0, 14))) for _ in range(r.randint(0, 3))]
+            for _ in range(r.choice([0, 0, 1, 2]) if said else 0):
+                quoted = r.choice(said).split(chr(10))
+                level = r.randint(1, 3)
+                if r.random() < 0.5:  # wrapped anew
+                    w = " ".join(quoted).split()
+                    quoted = [" ".join(w[i : i + 4]) for i in range(0, len(w), 4)]
+                at = r.randint(0, len(lines))
+                lines[at:at] = [r.choice(["> ", ">", " >  "]) * level + q.replace(" ", r.choice([" ", "  "])).upper() for q in quoted]
+            text = chr(10).join(lines)
+            said.append(text)
+            rows.append((conv, turn, "user", text))
+    rows += [rows[3], (None, 1, "USER", "> x"), (1, None, "bot", None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.read.parquet(f"{SF}/documents.parquet").limit(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    expected, found = con.sql(queries.ORACLE_SQL["op5_chat_formatting"]), queries.QUERIES["op5_chat_formatting"](spark, str(tmp_path))
+    columns = sorted(expected.columns)
+    same = lambda rs: sorted(map(tuple, rs), key=str)
+    got = same(found.select(columns).collect())
+    assert got == same(expected.select(*columns).fetchall())
+    assert sum(r[columns.index("reply_to")] is not None for r in got) > 60
+
+
 @pytest.mark.parametrize("name", ["op1_quality_rules", "op5_chat_formatting", "op7_substring_dedup"])
 def test_sql(spark, name):
     found = queries.QUERIES[name](spark, SF)
@@ -213,6 +244,129 @@ def test_held_out_accuracy(spark):
     assert toxic.where("label = 0 AND toxic").count() <= 0.02 * toxic.count() and toxic.where("toxic = (label = 1)").count() >= 0.95 * toxic.count()
 
 
+def test_contamination_by_plain_edit_distance(spark):
+    r = random.Random(17)
+    words = [f"{a}{b}" for a in "abcdefg" for b in "xyz"]
+    items = [[r.choice(words) for _ in range(n)] for n in (5, 9, 15, 16, 22, 40, 40, 120)]
+    index = decontamination.ItemIndex([(f"i{k}", w) for k, w in enumerate(items)])
+    texts = []
+    for k in range(240):
+        ids = [r.choice(words) for _ in range(r.randint(0, 40))]
+        w = list(r.choice(items))
+        for _ in range(r.randint(0, int(0.25 * len(w)) + 1)):
+            at, kind = r.randrange(len(w)), r.randrange(3)
+            w[at : at + (kind != 1)] = [] if kind == 0 and len(w) > 1 else [r.choice(words)]
+        texts.append(" ".join(ids + w + [r.choice(words) for _ in range(r.randint(0, 40))]))
+
+    def least(item, text):  # edit distance of an item to the nearest stretch of a text, by the plain table
+        row = [0] * (len(text) + 1)
+        for w in item:
+            before, row = row, [row[0] + 1]
+            for j, t in enumerate(text, 1):
+                row.append(min(before[j - 1] + (w != t), before[j] + 1, row[-1] + 1))
+        return min(row)
+
+    expected = {(d, f"i{k}"): e for d, t in enumerate(texts) for k, item in enumerate(items) if (e := least(item, t.split())) <= int(0.2 * len(item))}
+    bench = spark.createDataFrame([(f"i{k}", " ".join(w)) for k, w in enumerate(items)], "item_id string, text string")
+    rows = decontamination.find_contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), bench).collect()
+    found = {}
+    for row in rows:
+        found[row.doc_id, row.item_id] = min(row.edits, found.get((row.doc_id, row.item_id), 99))
+    assert found.keys() <= expected.keys() and len(found) >= 0.99 * len(expected)
+    assert sum(found[p] == expected[p] for p in found) >= 0.98 * len(found)
+    # without an embedding that reaches the recall, every window around a run is checked
+    exact = decontamination.ItemIndex([(f"i{k}", w) for k, w in enumerate(items)], recall=1.1)
+    assert set(exact.repeats.values()) - {1} == {0}
+    pairs = {(d, f"i{m[1]}") for d, t in enumerate(texts) for m in decontamination._matches(exact, [t.encode()])}
+    assert pairs == expected.keys() and index.repeats.keys() == exact.repeats.keys()
+
+
+def test_ftrl_by_a_dense_loop():
+    draw = np.random.default_rng(2)
+    rows = [(np.sort(draw.choice(40, 6, replace=False)), draw.random(6), int(draw.integers(3))) for _ in range(30)]
+    weights, bias = language.fit_ftrl(rows, 3, epochs=2, seed=1)
+    z, n, b, bn = np.zeros((40, 3)), np.zeros((40, 3)), np.zeros(3), np.zeros(3)
+
+    def weight(i, c):
+        return 0.0 if abs(z[i, c]) <= 0.02 else (np.sign(z[i, c]) * 0.02 - z[i, c]) / ((1 + np.sqrt(n[i, c])) / 0.5 + 0.01)
+
+    order = np.random.default_rng(1)
+    for _ in range(2):
+        for k in order.permutation(30):
+            at, x, y = rows[k]
+            w = np.array([[weight(i, c) for c in range(3)] for i in at])
+            p = np.exp(x @ w + b)
+            error = p / p.sum() - (np.arange(3) == y)
+            for j, i in enumerate(at):
+                for c in range(3):
+                    g = x[j] * error[c]
+                    z[i, c] += g - (np.sqrt(n[i, c] + g * g) - np.sqrt(n[i, c])) / 0.5 * w[j, c]
+                    n[i, c] += g * g
+            bn += error**2
+            b -= 0.5 / (1 + np.sqrt(bn)) * error
+    assert np.allclose(bias, b) and np.allclose(weights[:40], [[weight(i, c) for c in range(3)] for i in range(40)])
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    raw = "Ein Satz, zwei  Sätze; 3 Wörter\n".encode() * 40
+    whole = language.features(raw)
+    monkeypatch.setattr(language, "PIECE", 7)
+    assert all((a == b).all() for a, b in zip(whole, language.features(raw), strict=True))
+    model = quality.AttentionModel()
+    text = b" ".join(b"w%d" % (i % 77) for i in range(5000)) + b" end"
+    expected = model.scores(*quality.encode_passages([text.decode()]))[0]
+    monkeypatch.setattr(quality, "ENCODE_BYTES", 900)
+    assert abs(model.score_in_pieces(text) - expected) < 1e-6 and len(list(quality._pieces(text))) > 5
+
+
+def test_ordinal_gradients():
+    draw = np.random.default_rng(4)
+    row, column = np.repeat(np.arange(12), 3), draw.integers(0, 6, 36)
+    y, weight = draw.integers(0, 4, 12), np.full(12, 1 / 12)
+    x = np.r_[draw.normal(size=6), -0.5, 0.2, -0.3]
+    loss, g = toxicity.ordinal_gradient(x, row, column, y, weight, 6)
+    for i in range(len(x)):
+        step = np.eye(len(x))[i] * 1e-6
+        up, down = (toxicity.ordinal_gradient(x + s, row, column, y, weight, 6)[0] for s in (step, -step))
+        assert abs((up - down) / 2e-6 - g[i]) < 1e-6
+
+
+def test_graded_labels(spark):
+    r = random.Random(12)
+    vocabulary = [f"calm{i}" for i in range(200)]
+    rows, grades = [], []
+    for i in range(900):
+        g = r.choice([0, 0, 0, 1, 2])
+        rows.append((i, " ".join(r.choice(vocabulary) for _ in range(40)) + " rude" * (g >= 1) + " vile" * (g == 2)))
+        grades.append((i, g))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame(grades, "doc_id long, toxic int"), per_class=150, grades=3)
+    found = {x.doc_id: x for x in toxicity.severity(docs, model).collect()}
+    assert len(model.thresholds) == 2 and (np.diff(model.thresholds) > 0).all()
+    assert np.mean([found[i].severity == g for i, g in grades]) > 0.97
+    assert all(abs(found[i].expected_severity - g) < 0.7 for i, g in grades[:100])
+
+
+CLASHES = ["n_words", "n_removed", "score", "predicted", "key", "kept", "row", "order", "factors", "c0", "fp", "of_key", "least_hash"]
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """The same rows as without them, with nulls, repeated rows and empty texts; and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.unionByName(docs.where("doc_id % 9 = 0")).unionByName(docs.limit(3).withColumn("text", F.lit(None).cast("string"))).unionByName(docs.limit(2).withColumn("text", F.lit(""))).unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    docs = spark.createDataFrame(docs.collect(), docs.schema).repartition(3).cache()
+    more = docs.withColumns({c: F.lit(None).cast("int") if i % 2 else F.lit(7) for i, c in enumerate(CLASHES)})
+    for name, stage in corpus_pipeline.STAGES:
+        plain, wide = stage(spark, docs, SF), stage(spark, more, SF)
+        same = lambda d: sorted(map(str, d.select(*plain.columns).drop("sequence_id", "offset").collect()))
+        if name != "best_fit_packing":
+            assert wide.columns == more.columns
+        assert same(plain) == same(wide), name
+        assert plain.count() > 50, name
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, more.limit(0), SF).collect() == [], name
+
+
 def test_ordinal_regression_orders_grades():
     rows = [(np.array([0] * (g >= 1) + [1] * (g >= 2) + [2], int), g) for g in (0, 0, 0, 1, 1, 2, 2) for _ in range(20)]
     weights, thresholds = toxicity.fit_ordinal(rows, 3, 3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -51,10 +52,18 @@ def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterable[pa.RecordBa
         for batch in batches:
             for piece in text_slices(batch, batch.num_columns - 1):
                 yield from fn(piece)
+        release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives back to the system what a task's arrays took: workers stay alive for other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}

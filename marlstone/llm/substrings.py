@@ -8,8 +8,8 @@ factor begins; it is copied from the earliest document that has this window and
 Where it ends, the next window, which lies across the factor's boundary, is looked up again. Factors of all blocks are
 joined for each document; any of them is at least `window` words long and is a duplicate span.
 
-Windows are compared by 96 bits of two hashes of different kinds, not by their bytes: in 10^13 windows fewer than one
-pair in a hundred such corpora is expected to agree by chance.
+Windows are compared by 88 bits of two hashes of different kinds, not by their bytes: of 10^12 different windows no pair
+is expected to agree by chance (one in 600 such corpora has one).
 """
 
 from __future__ import annotations
@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, free_name, read_table, shuffle_width, text_slices
+from .common import as_bytes, free_name, read_table, release_memory, shuffle_width, text_slices
 
 #: Bytes of text that are hashed at one time, that one chunk's index holds, and that a block holds on average at most.
 SLICE_BYTES, CHUNK_BYTES, BLOCK_BYTES = 1 << 20, 12 << 20, 32 << 20
 #: Blocks for each shuffle partition at least, so that partitions come out even.
 BLOCKS_PER_PARTITION = 4
+#: Bytes of a window's second hash.
+CHECK_BYTES = 3
 #: A stretch holds at most so many windows.
 STRETCH = 32
 #: Bytes of text that frequent anchors are looked for in. They only say where windows meet, not what is found.
@@ -99,7 +101,7 @@ def _rolling(h: np.ndarray, width: int, odd: int = _ODD) -> np.ndarray:
 
 
 def _check_hash(h: np.ndarray, width: int) -> np.ndarray:
-    """A second hash of each run of `width` words, of another kind: xor of rotated and mixed word hashes, 32 bits of it."""
+    """A second hash of each run of `width` words, of another kind: xor of rotated and mixed word hashes, CHECK_BYTES of it."""
     n = len(h) - width + 1
     out = np.zeros(max(n, 0), np.uint64)
     if n > 0:
@@ -107,7 +109,7 @@ def _check_hash(h: np.ndarray, width: int) -> np.ndarray:
         for j in range(width):
             part, k = other[j : j + n], np.uint64(5 * j % 63 + 1)
             out ^= (part << k) | (part >> (np.uint64(64) - k))
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return (out >> np.uint64(64 - 8 * CHECK_BYTES)).astype(np.uint32)
 
 
 def _sliding_least(a: np.ndarray, width: int) -> np.ndarray:
@@ -137,14 +139,14 @@ def _windows(texts: list[bytes | None], window: int, anchor: int) -> tuple[np.nd
     return anchors[at], text, local, (_rolling(hashes, window)[at], _check_hash(hashes, window)[at])
 
 
-_HEAD = np.dtype([("order", "<i8"), ("row", "<i8"), ("first", "<u4"), ("size", "u1")])
+_HEAD = np.dtype([("order", "<i8"), ("row", "<u4"), ("first", "<u4"), ("size", "u1")])
 #: A factor, by windows: `count` of them from `start` on stand in document `source` from its window `at` on.
-_FACTOR = np.dtype([("order", "<i8"), ("row", "<i8"), ("start", "<u4"), ("count", "<u4"), ("source", "<i8"), ("at", "<u4")])
+_FACTOR = np.dtype([("order", "<i8"), ("row", "<u4"), ("start", "<u4"), ("count", "<u4"), ("source", "<i8"), ("at", "<u4")])
 
 
 def _pack(head: np.ndarray, windows: Windows) -> bytes:
     """A payload: number of stretches, their heads column by column, then their windows' hashes."""
-    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows[0].astype("<u8").tobytes() + windows[1].astype("<u4").tobytes()
+    return np.array([len(head)], "<u8").tobytes() + b"".join(np.ascontiguousarray(head[n]).tobytes() for n in _HEAD.names) + windows[0].astype("<u8").tobytes() + np.ascontiguousarray(windows[1].astype("<u4").view(np.uint8).reshape(-1, 4)[:, :CHECK_BYTES]).tobytes()
 
 
 def _unpack(raw: bytes) -> tuple[np.ndarray, Windows]:
@@ -154,8 +156,10 @@ def _unpack(raw: bytes) -> tuple[np.ndarray, Windows]:
         kind = _HEAD[name]
         head[name] = np.frombuffer(raw, kind, n, at)
         at += n * kind.itemsize
-    many = (len(raw) - at) // 12
-    return head, (np.frombuffer(raw, "<u8", many, at), np.frombuffer(raw, "<u4", many, at + 8 * many))
+    many = (len(raw) - at) // (8 + CHECK_BYTES)
+    check = np.zeros((many, 4), np.uint8)
+    check[:, :CHECK_BYTES] = np.frombuffer(raw, np.uint8, CHECK_BYTES * many, at + 8 * many).reshape(-1, CHECK_BYTES)
+    return head, (np.frombuffer(raw, "<u8", many, at), check.view("<u4").ravel())
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -227,7 +231,7 @@ def _dealt(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _dealt_factors(factors: np.ndarray, parts: int) -> Iterator[tuple[int, bytes]]:
-    to = (_mix(factors["row"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    to = (_mix(factors["row"].astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
     return ((number, factors[at].tobytes()) for number, at in _dealt(to))
 
 
@@ -253,7 +257,7 @@ def _index(blocks: int, window: int, anchor: int, hot: np.ndarray):
         factors = np.empty(int(repeated.sum()), _FACTOR)
         for to, of, rows in (("order", "order", repeated), ("row", "row", repeated), ("start", "first", repeated), ("count", "size", repeated), ("source", "order", same[repeated]), ("at", "first", same[repeated])):
             factors[to] = head[of][rows]
-        out = [(number, True, raw) for number, raw in _dealt_factors(factors, blocks)]
+        out = [(number, True, raw) for number, raw in _dealt_factors(_joined(factors), blocks)]
         keep = np.flatnonzero(~repeated)
         for number, at in _dealt(block[keep]):
             own = keep[at]
@@ -286,6 +290,8 @@ def _index(blocks: int, window: int, anchor: int, hot: np.ndarray):
                     parts, held = [], 0
         if parts:
             yield from emit(parts)
+        del parts
+        release_memory()
 
     return run
 
@@ -309,6 +315,8 @@ def _factor(parts: int):
         size = head["size"].astype(np.int64)
         at = _ranges((np.cumsum(size) - size)[by], size[by])
         out += _dealt_factors(_parse(head[by], (key[at], check[at])), parts)
+        del head, key, check, by, size, at
+        release_memory()
         return pa.table({"part": pa.array([n for n, _ in out], pa.int32()), "payload": pa.array([raw for _, raw in out], pa.binary())})
 
     return run
@@ -332,7 +340,7 @@ def _by_row(table: pa.Table) -> pa.Table:
     f = _joined(np.concatenate([np.frombuffer(raw, _FACTOR) for raw in table.column("payload").to_pylist()]))
     cuts = np.flatnonzero(np.r_[True, (f["row"][1:] != f["row"][:-1]) | (f["order"][1:] != f["order"][:-1])][: len(f)])
     raws = [f[a:b].tobytes() for a, b in zip(cuts.tolist(), np.r_[cuts[1:], len(f)].tolist(), strict=True)]
-    return pa.table({"of_key": pa.array(f["order"][cuts]), "of_row": pa.array(f["row"][cuts]), "factors": pa.array(raws, pa.binary())})
+    return pa.table({"of_key": pa.array(f["order"][cuts]), "of_row": pa.array(f["row"][cuts].astype(np.int64)), "factors": pa.array(raws, pa.binary())})
 
 
 def _covered(n_words: int, factors: bytes, window: int) -> np.ndarray:
@@ -346,8 +354,8 @@ def _covered(n_words: int, factors: bytes, window: int) -> np.ndarray:
 
 
 def _hot_anchors(rows: DataFrame, total: int, blocks: int, window: int, anchor: int) -> np.ndarray:
-    """Anchors that more than a quarter of a block's share of windows have, by a sample of about SAMPLE_BYTES of text;
-    there are at most four times as many as blocks. The same windows meet whatever is found here.
+    """Anchors that alone have more than a block's share of windows, by a sample of about SAMPLE_BYTES of text; there are
+    fewer of them than blocks. The same windows meet whatever is found here.
     """
     share = min(1.0, SAMPLE_BYTES / max(total, 1))
     drawn = rows.where(F.pmod(F.xxhash64("row", F.lit(5)), F.lit(1 << 20)) < int(share * (1 << 20)))
@@ -361,13 +369,13 @@ def _hot_anchors(rows: DataFrame, total: int, blocks: int, window: int, anchor:
 
     counted = drawn.select("text").mapInArrow(run, "anchor long, n long, one boolean").groupBy("anchor", "one").agg(F.sum("n").alias("n"))
     whole = counted.where("NOT one").agg(F.sum("n")).first()[0] or 0
-    least = max(whole // (4 * blocks), 32)
+    least = max(whole // blocks, 32)
     return np.sort(np.array([r[0] for r in counted.where(F.col("one") & (F.col("n") > least)).select("anchor").collect()], np.int64).view(np.uint64))
 
 
 def duplicate_factors(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = 13, anchor: int = 5) -> DataFrame:
-    """(of_key, of_row, factors): of each row with a factor all of them as _FACTOR records; of_row is the row's content
-    hash. See duplicate_spans() and remove_duplicate_spans().
+    """(of_key, of_row, factors): of each row with a factor all of them as _FACTOR records; of_row tells rows
+    of one key apart. See duplicate_spans() and remove_duplicate_spans().
     """
     rows = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("order"), _row(key, text).alias("row"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -395,7 +403,8 @@ def duplicate_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 
 def _row(key: str, text: str):
-    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+    """Tells rows with one key and different texts apart."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text)).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def _cut_out(raw: bytes, starts: np.ndarray, ends: np.ndarray, stays: np.ndarray, layout: bool) -> bytes:

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-
-from ..functions.vectors import cosine
+from pyspark.sql.pandas.types import to_arrow_type
 
 # Least similarity, hits, margin below the best, weights, and the sizes of a context.
 THRESHOLD, TOP_K, MARGIN = 0.50, 8, 0.12
 WEIGHT_FACT, WEIGHT_SIMILARITY, WEIGHT_FRESHNESS = 1.0, 0.70, 0.10
 MOST_FACTS, MOST_CHUNKS = 20, 12
-#: Queries that are broadcast at one time.
-QUERY_BLOCK = 10_000
+#: Queries that go to the executors at one time, and chunks that meet them at one time.
+QUERY_BLOCK, CHUNK_BLOCK = 2_000, 1_000
 
 
 def live_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame, current_only: bool = True) -> DataFrame:
@@ -24,19 +29,60 @@ def live_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame, curr
     return chunks.join(live.select("version_id", "source_id", "version_number", "site"), "version_id")
 
 
-def score(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each chunk with each query's exact cosine. queries (query_id, probe) is a stated query set: at most QUERY_BLOCK
-    rows go to the executors at one time, larger sets in blocks, so what is broadcast is bounded.
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """(ids, unit vectors as columns) of at most QUERY_BLOCK queries at a time; vectors without a direction go."""
+    rows = queries.select("query_id", F.col("probe").cast("array<double>").alias("probe")).where("probe IS NOT NULL").toLocalIterator(prefetchPartitions=True)
+    while block := list(islice(rows, QUERY_BLOCK)):
+        for size in {len(r["probe"]) for r in block}:
+            own = [r for r in block if len(r["probe"]) == size]
+            m = np.array([r["probe"] for r in own])
+            norm = np.sqrt((m * m).sum(axis=1))
+            yield [r["query_id"] for r, n in zip(own, norm, strict=True) if n > 0], (m[norm > 0] / norm[norm > 0, None]).T
+
+
+def _matches(sims: np.ndarray, threshold: float | None, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of similarities over the threshold, and of them each column's k best with all their ties."""
+    kept = np.ones(sims.shape, bool) if threshold is None else sims >= threshold
+    if k is not None and len(sims) > k:
+        kept &= sims >= np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
+    return np.nonzero(kept)
+
+
+def score(chunks: DataFrame, queries: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
+    """Chunks' columns but the embedding, query_id and sim: the exact cosine of chunks (column embedding) with queries
+    (query_id, probe), a stated query set. With threshold only pairs at least that similar; with k only those that can be
+    among a query's k best, which each batch decides for itself.
+
+    Queries go to the executors in blocks of at most QUERY_BLOCK, and a batch of chunks meets a block as one product of
+    matrices. Vectors that are null, without a direction, or of another size than the query's have no similarity.
     """
-    n = queries.count()
-    if n <= QUERY_BLOCK:
-        return chunks.crossJoin(F.broadcast(queries)).withColumn("sim", cosine(F.col("embedding"), F.col("probe")))
-    blocks = -(-n // QUERY_BLOCK) * 2
+    others = [c for c in chunks.columns if c != "embedding"]
+    rows = chunks.select(*others, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
+    kinds, query_kind = dict(rows.dtypes), queries.schema["query_id"].dataType
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"query_id {query_kind.simpleString()}", "sim double"])
     out = None
-    for b in range(blocks):
-        part = score(chunks, queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for ids, probes in _query_blocks(queries):
+        named = pa.array(ids, to_arrow_type(query_kind))
+
+        def run(batches: Iterator[pa.RecordBatch], named: pa.Array = named, probes: np.ndarray = probes) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, CHUNK_BLOCK):
+                    part = batch.slice(at, CHUNK_BLOCK)
+                    vectors = part.column(part.num_columns - 1)
+                    part = part.filter(pc.equal(pc.list_value_length(vectors), len(probes)))
+                    if not part.num_rows:
+                        continue
+                    m = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    norm = np.sqrt((m * m).sum(axis=1))
+                    part, m = part.filter(pa.array(norm > 0)), m[norm > 0] / norm[norm > 0, None]
+                    sims = m @ probes
+                    row, column = _matches(sims, threshold, k)
+                    taken = part.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays([*taken.columns[:-1], named.take(pa.array(column)), pa.array(sims[row, column])], names=[*others, "query_id", "sim"])
+
+        found = rows.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else rows.drop("embedding").withColumns({"query_id": F.lit(None).cast(query_kind), "sim": F.lit(None).cast("double")}).limit(0)
 
 
 def top_hits(scored: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K, margin: float = MARGIN) -> DataFrame:

@@ -2,32 +2,29 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
 from ..operators import retrieval as R
 from ..sources import tables as T
-from .base import ORACLE_SQL, query
+from ..sources.shared import cut
+from .base import query
 
-#: Query sets as conditions that Spark and DuckDB both read: the first vectors, and the stated set, which grows with the table.
-PROBES = "vec_id < 5"
-ALL_PROBES = "vec_id % 20 = 0"
+#: The stated query set, as a condition that Spark and DuckDB both read; it grows with the table.
+PROBES = "vec_id % 20 = 0"
 
 
-def _queries(spark: SparkSession, sf_dir: str, probes: str) -> DataFrame:
-    return T.read(spark, sf_dir, "embeddings").where(probes).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
+def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "embeddings").where(PROBES).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"))
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.live_chunks(T.chunks(spark, sf_dir), T.versions(spark, sf_dir), T.sources(spark, sf_dir), current_only=False)
 
 
-def _hits(spark: SparkSession, sf_dir: str, probes: str) -> DataFrame:
-    return R.top_hits(R.score(_live(spark, sf_dir).drop("text"), _queries(spark, sf_dir, probes)), threshold=0.2, margin=0.75)
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.top_hits(R.score(_live(spark, sf_dir).drop("text"), _queries(spark, sf_dir), threshold=0.2, k=R.TOP_K), threshold=0.2, margin=0.75)
 
 
 LIVE = "live AS (SELECT c.*, s.source_id, version_number, site FROM chunk c JOIN version v USING (version_id) JOIN source s USING (source_id) WHERE status = 'INDEXED' AND is_active)"
@@ -40,14 +37,9 @@ def _with(text: str, tail: str) -> str:
     return T.sql("", "chunk", "version", "source").rstrip() + ", " + text + " " + tail
 
 
-def _of_all(name: str, fn: Callable) -> None:
-    """Registers a query of the first vectors over the stated set too."""
-    query(f"{name}_of_all_probes", ORACLE_SQL[name].replace(PROBES, ALL_PROBES))(partial(fn, probes=ALL_PROBES))
-
-
 @query("nl9_vector_search", _with(HITS, "SELECT query_id, chunk_id, source_id, CAST(rank AS BIGINT) AS rank, round(sim, 4) AS score FROM hits"))
-def vector_search(spark: SparkSession, sf_dir: str, probes: str = PROBES) -> DataFrame:
-    return _hits(spark, sf_dir, probes).select("query_id", "chunk_id", "source_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 4).alias("score"))
+def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select("query_id", "chunk_id", "source_id", F.col("rank").cast("long").alias("rank"), F.round("sim", 4).alias("score"))
 
 
 @query("jn1_live_corpus", T.sql("SELECT c.chunk_id, s.source_id, s.site, v.version_number, sha256(c.text) AS text_checksum FROM chunk c JOIN version v USING (version_id) JOIN source s USING (source_id) WHERE status = 'INDEXED' AND is_active AND v.version_id = s.current_version", "chunk", "version", "source"))
@@ -57,8 +49,8 @@ def live_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("jn19_pf9_cosine_over_threshold", _with(SCORED, "SELECT query_id, chunk_id, round(sim, 4) AS sim FROM scored WHERE sim >= 0.25"))
-def over_threshold(spark: SparkSession, sf_dir: str, probes: str = PROBES) -> DataFrame:
-    return R.score(_live(spark, sf_dir).drop("text"), _queries(spark, sf_dir, probes)).where("sim >= 0.25").select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
+def over_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.score(_live(spark, sf_dir).drop("text"), _queries(spark, sf_dir), threshold=0.25).select("query_id", "chunk_id", F.round("sim", 4).alias("sim"))
 
 
 @query("sc29_cosine_within_label", "SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 4) AS sim FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id AND a.label = b.label")
@@ -73,22 +65,22 @@ FACTS = "facts AS (SELECT query_id, 'fact' AS kind, source_id AS item, max(1.0 -
 RANKED = f"{HITS}, {FACTS}, results AS (SELECT query_id, 'chunk' AS kind, CAST(chunk_id AS VARCHAR) AS item, 0.70 * sim + 0.10 * (version_number / (version_number + 1)) AS score FROM hits UNION ALL SELECT * FROM facts)"
 
 
-def _results(spark: SparkSession, sf_dir: str, probes: str) -> DataFrame:
-    hits = _hits(spark, sf_dir, probes)
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = cut(_hits(spark, sf_dir))  # read twice below
     facts = hits.groupBy("query_id", F.col("source_id").alias("item")).agg(F.max(1.0 - F.col("rank") / 10.0).alias("confidence"))
     return R.deduplicated(R.ranked(hits, facts))
 
 
 @query("so3_st8_hybrid_rank", _with(RANKED, "SELECT query_id, kind, item, round(score, 4) AS score FROM results"))
-def hybrid_rank(spark: SparkSession, sf_dir: str, probes: str = PROBES) -> DataFrame:
-    return _results(spark, sf_dir, probes).select("query_id", "kind", "item", F.round("score", 4).alias("score"))
+def hybrid_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _results(spark, sf_dir).select("query_id", "kind", "item", F.round("score", 4).alias("score"))
 
 
 @query("nl14_so9_context", _with(RANKED, """, placed AS (SELECT *, row_number() OVER (PARTITION BY query_id, kind ORDER BY score DESC, item) AS n FROM results)
 SELECT query_id, coalesce(string_agg(n || '. ' || item, chr(10) ORDER BY n) FILTER (WHERE kind = 'fact' AND n <= 20), 'No structured facts.') AS facts,
        coalesce(string_agg(n || '. ' || item, chr(10) ORDER BY n) FILTER (WHERE kind = 'chunk' AND n <= 12), 'No documentation.') AS chunks FROM placed GROUP BY query_id"""))
-def context(spark: SparkSession, sf_dir: str, probes: str = PROBES) -> DataFrame:
-    return R.context(_results(spark, sf_dir, probes))
+def context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.context(_results(spark, sf_dir))
 
 
 @query("jn21_checksum_reuse", T.sql("SELECT n.version_id, n.checksum, min(o.version_id) AS reused_from FROM version n LEFT JOIN version o ON n.checksum = o.checksum AND o.version_id < n.version_id GROUP BY ALL", "version"))
@@ -96,7 +88,3 @@ def checksum_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = T.versions(spark, sf_dir).select("version_id", "checksum")
     first = v.groupBy("checksum").agg(F.min("version_id").alias("first"))
     return v.join(first, "checksum").select("version_id", "checksum", F.when(F.col("first") < F.col("version_id"), F.col("first")).alias("reused_from"))
-
-
-for _name, _fn in (("nl9_vector_search", vector_search), ("jn19_pf9_cosine_over_threshold", over_threshold), ("so3_st8_hybrid_rank", hybrid_rank), ("nl14_so9_context", context)):
-    _of_all(_name, _fn)

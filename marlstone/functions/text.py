@@ -24,12 +24,18 @@ LEAST_TERM, SHARED_PREFIX = 3, 5
 DASHES, SINGLE_QUOTES, DOUBLE_QUOTES = "‐‑‒–—―−", "‘’‛′", "“”″"
 
 
+_FOLDS = str.maketrans(dict.fromkeys(DASHES, "-") | dict.fromkeys(SINGLE_QUOTES, "'") | dict.fromkeys(DOUBLE_QUOTES, '"'))
+
+
+def fold_value(value: str) -> str:
+    """Comparison key of a value: NFKC, folded dashes, quotes and white space, casefold."""
+    return " ".join(unicodedata.normalize("NFKC", value).translate(_FOLDS).split()).casefold()
+
+
 @F.pandas_udf(StringType())
 def normalize_value(values: pd.Series) -> pd.Series:
-    """Comparison key of a value: NFKC, folded dashes, quotes and white space, casefold. (No built-in does NFKC.)"""
-    table = str.maketrans(dict.fromkeys(DASHES, "-") | dict.fromkeys(SINGLE_QUOTES, "'") | dict.fromkeys(DOUBLE_QUOTES, '"'))
-    fold = lambda v: " ".join(unicodedata.normalize("NFKC", v).translate(table).split()).casefold()
-    return values.map(fold, na_action="ignore")
+    """fold_value() of a column. (No built-in does NFKC.)"""
+    return values.map(fold_value, na_action="ignore")
 
 
 def normalize_name(x: Column) -> Column:
@@ -81,8 +87,12 @@ def capitals(x: Column) -> Column:
 
 
 def strip_code_fence(x: Column) -> Column:
-    """The inside of a text that is one fenced block; else the text itself."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^```[a-zA-Z]*\n", ""), r"\n?```$", ""))
+    """The inside of a text that begins with a fence: without its first line, and without a last line that is a fence; else
+    the text itself. No white space at both ends.
+    """
+    strip = lambda y: F.regexp_replace(y, r"^\s+|\s+$", "")
+    inside = F.regexp_replace(F.regexp_replace(strip(x), r"^```[^\n]*\n?", ""), r"(^|\n)```[^\n]*$", "")
+    return F.when(strip(x).startswith("```"), strip(inside)).otherwise(strip(x))
 
 
 def cooldown_seconds(message: Column) -> Column:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Entities that are broadcast at most; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
+
 
 def resolve(entities: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, entity_id, ...): entities that a query names, without regard to case; if none has the query's type too,
@@ -17,15 +20,23 @@ def resolve(entities: DataFrame, queries: DataFrame) -> DataFrame:
     return found.where("tier = best").drop("best")
 
 
-def facts(values: DataFrame, relations: DataFrame, entities: DataFrame) -> DataFrame:
+def facts(values: DataFrame, relations: DataFrame, entities: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(entity_id, branch, attribute, value): current values, then outgoing relations with their targets' names, then
-    incoming ones with their sources' names.
+    incoming ones with their sources' names; with `of` only those of the entities it names (entity_id), which is applied
+    before names are joined.
     """
+    if of is not None:
+        ids = of.select(F.col("entity_id").alias("wanted")).distinct()
+        small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+        only = lambda df, c: df.join(F.broadcast(ids) if small else ids, F.col(c) == F.col("wanted"), "left_semi")
+    else:
+        only = lambda df, c: df
     names = entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"))
-    own = values.where(~F.col("superseded")).select("entity_id", F.lit(0).alias("branch"), "attribute", "value")
-    out = relations.join(names, F.col("target_id") == F.col("other")).select(F.col("source_id").alias("entity_id"), F.lit(1).alias("branch"), F.col("relation_type").alias("attribute"), F.col("other_name").alias("value"))
-    into = relations.join(names, F.col("source_id") == F.col("other")).select(F.col("target_id").alias("entity_id"), F.lit(2).alias("branch"), F.col("relation_type").alias("attribute"), F.col("other_name").alias("value"))
-    return own.unionByName(out).unionByName(into)
+    own = only(values.where(~F.col("superseded")), "entity_id").select("entity_id", F.lit(0).alias("branch"), "attribute", "value")
+    out = only(relations, "source_id").select(F.col("source_id").alias("entity_id"), F.lit(1).alias("branch"), F.col("relation_type").alias("attribute"), F.col("target_id").alias("with_id"))
+    into = only(relations, "target_id").select(F.col("target_id").alias("entity_id"), F.lit(2).alias("branch"), F.col("relation_type").alias("attribute"), F.col("source_id").alias("with_id"))
+    related = out.unionByName(into).join(names, F.col("with_id") == F.col("other"))
+    return own.unionByName(related.select("entity_id", "branch", "attribute", F.col("other_name").alias("value")))
 
 
 def lookup(resolved: DataFrame, all_facts: DataFrame) -> DataFrame:

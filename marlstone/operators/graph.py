@@ -24,6 +24,7 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node, depth): nodes within some hops, each at its least depth, by levels: a node that was seen is not
     expanded again, so hubs cost their edges once and no path is enumerated. Each level is written before the next.
     """
+    edges = cut(edges)
     seen = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(0).alias("depth"))
     level = seen
     for depth in range(1, hops + 1):
@@ -43,7 +44,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_nodes: int = 4) -
     """(position, entity_id) of the first shortest path by its nodes' order, of at most most_nodes nodes; no row if there
     is none. Levels keep each node's least path, so hubs are not enumerated.
     """
-    spark = edges.sparkSession
+    spark, edges = edges.sparkSession, cut(edges)
     seen = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     level = seen
     for _ in range(most_nodes - 1):

@@ -144,12 +144,6 @@ def domain_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").where(~F.col("event_type").isin("signup", "click", "view")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("st1_st4_undirected_ends", T.sql("SELECT DISTINCT source_id AS entity_id FROM relation UNION SELECT target_id FROM relation", "relation"))
-def undirected_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = T.relations(spark, sf_dir)
-    return r.select(F.col("source_id").alias("entity_id")).union(r.select("target_id")).distinct()
-
-
 @query("st5_sources_without_labels", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id").subtract(T.read(spark, sf_dir, "labels").select("doc_id"))
@@ -171,20 +165,14 @@ def previous_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.versions(spark, sf_dir).select("version_id", "source_id", "version_number", before.alias("previous"))
 
 
-@query("src28_graph_export", T.sql("SELECT relation_type, md5(string_agg(source_id || '>' || target_id, ',' ORDER BY source_id, target_id)) AS links FROM relation WHERE source_id LIKE 'nation:%' GROUP BY ALL", "relation"))
-def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = T.relations(spark, sf_dir).where(F.col("source_id").startswith("nation:")).groupBy("relation_type").agg(F.array_sort(F.collect_list(F.struct("source_id", "target_id"))).alias("a"))
-    return rows.select("relation_type", F.md5(F.array_join(F.transform("a", lambda x: F.concat(x["source_id"], F.lit(">"), x["target_id"])), ",").cast("binary")).alias("links"))
-
-
-@query("st1_st4_undirected_ends_of_all_relations", T.sql("SELECT DISTINCT source_id AS entity_id FROM all_relation UNION SELECT target_id FROM all_relation", "all_relation"))
-def undirected_ends_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = T.all_relations(spark, sf_dir)
+@query("st1_st4_undirected_ends", T.sql("SELECT DISTINCT source_id AS entity_id FROM relation UNION SELECT target_id FROM relation", "relation"))
+def undirected_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = T.relations(spark, sf_dir)
     return r.select(F.col("source_id").alias("entity_id")).union(r.select("target_id")).distinct()
 
 
-@query("src28_graph_export_of_all_relations", T.sql("SELECT relation_type, source_id, md5(string_agg(source_id || '>' || target_id, ',' ORDER BY target_id)) AS links FROM all_relation GROUP BY ALL", "all_relation"))
-def graph_export_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query("src28_graph_export", T.sql("SELECT relation_type, source_id, md5(string_agg(source_id || '>' || target_id, ',' ORDER BY target_id)) AS links FROM relation GROUP BY ALL", "relation"))
+def graph_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The links of all relations in sorted chunks, one for each source, so that no list holds the whole graph."""
-    rows = T.all_relations(spark, sf_dir).groupBy("relation_type", "source_id").agg(F.array_sort(F.collect_list("target_id")).alias("a"))
+    rows = T.relations(spark, sf_dir).groupBy("relation_type", "source_id").agg(F.array_sort(F.collect_list("target_id")).alias("a"))
     return rows.select("relation_type", "source_id", F.md5(F.array_join(F.transform("a", lambda x: F.concat("source_id", F.lit(">"), x)), ",").cast("binary")).alias("links"))

@@ -17,11 +17,6 @@ def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.relations(spark, sf_dir).where("relation_type = 'belongs_to'")
 
 
-@query("gr3_ag22_degrees", T.sql("SELECT e.entity_id, count(r.id) AS degree FROM entity e LEFT JOIN (SELECT source_id AS id FROM relation UNION ALL SELECT target_id FROM relation) r ON e.entity_id = r.id GROUP BY ALL", "entity", "relation"))
-def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(T.entities(spark, sf_dir), T.relations(spark, sf_dir))
-
-
 def _reach_sql(start: str, hops: int) -> str:
     levels = [f"l0 AS (SELECT '{start}' AS node, 0 AS depth)"]
     for d in range(1, hops + 1):
@@ -36,13 +31,6 @@ def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reach(G.undirected(_places(spark, sf_dir)), start, 2).select("node", "depth")
 
 
-@query("gr5_induced_subgraph", _reach_sql("nation:7", 1) + " SELECT source_id, target_id FROM relation WHERE source_id IN (SELECT node FROM reached) AND target_id IN (SELECT node FROM reached)")
-def induced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = T.entities(spark, sf_dir).where("entity_id = 'nation:7'")
-    near = G.reach(G.undirected(_places(spark, sf_dir)), start, 1).select(F.col("node").alias("entity_id"))
-    return G.induced(T.relations(spark, sf_dir), near).select("source_id", "target_id")
-
-
 @query("gr6_jn24_so8_shortest_path", T.sql("", "relation", "entity").rstrip().replace("WITH", "WITH RECURSIVE", 1) + f""", {EDGES},
 walk AS (SELECT ['nation:7'] AS path UNION ALL SELECT list_append(path, b) FROM walk JOIN edges ON path[-1] = a WHERE len(path) < 4 AND NOT list_contains(path, b) AND (b LIKE 'nation:%' OR b LIKE 'region:%')),
 best AS (SELECT path FROM walk WHERE path[-1] = 'nation:6' ORDER BY len(path), path LIMIT 1)
@@ -59,11 +47,6 @@ def leaf_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.leaf_folds(T.entities(spark, sf_dir), rows)
 
 
-@query("ag24_gr12_relation_histogram", T.sql("SELECT relation_type, split_part(source_id, ':', 1) AS source_type, split_part(target_id, ':', 1) AS target_type, count(*) AS n FROM relation GROUP BY ALL", "relation"))
-def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _histogram(T.relations(spark, sf_dir))
-
-
 def _histogram(relations: DataFrame) -> DataFrame:
     kind = lambda c: F.substring_index(c, ":", 1)
     return relations.groupBy("relation_type", kind("source_id").alias("source_type"), kind("target_id").alias("target_type")).agg(F.count(F.lit(1)).alias("n"))
@@ -76,11 +59,6 @@ def cluster_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("entity_type", "n", (F.col("i") % 5 * 150).cast("long").alias("x"), (F.floor(F.col("i") / 5) * 150).alias("y"))
 
 
-@query("pf27_sc45_visible_nodes", T.sql("SELECT e.entity_id, round(least(14, 5 + 1.6 * sqrt(count(v.value))), 4) AS radius FROM entity e LEFT JOIN value v ON e.entity_id = v.entity_id WHERE entity_type <> 'customer' AND (e.entity_id IN (SELECT source_id FROM relation) OR e.entity_id IN (SELECT target_id FROM relation)) GROUP BY ALL", "entity", "value", "relation"))
-def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _visible(spark, sf_dir, T.relations(spark, sf_dir))
-
-
 def _visible(spark: SparkSession, sf_dir: str, r: DataFrame) -> DataFrame:
     ends = r.select(F.col("source_id").alias("entity_id")).union(r.select("target_id"))
     counts = T.values(spark, sf_dir).groupBy("entity_id").agg(F.count(F.lit(1)).alias("n"))
@@ -88,27 +66,27 @@ def _visible(spark: SparkSession, sf_dir: str, r: DataFrame) -> DataFrame:
     return shown.select("entity_id", F.round(F.least(F.lit(14.0), 5 + 1.6 * F.sqrt(F.coalesce("n", F.lit(0)))), 4).alias("radius"))
 
 
-@query("gr3_ag22_degrees_of_all_relations", T.sql("SELECT e.entity_id, count(r.id) AS degree FROM entity e LEFT JOIN (SELECT source_id AS id FROM all_relation UNION ALL SELECT target_id FROM all_relation) r ON e.entity_id = r.id GROUP BY ALL", "entity", "all_relation"))
-def degrees_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.degrees(T.entities(spark, sf_dir), T.all_relations(spark, sf_dir))
+@query("gr3_ag22_degrees", T.sql("SELECT e.entity_id, count(r.id) AS degree FROM entity e LEFT JOIN (SELECT source_id AS id FROM relation UNION ALL SELECT target_id FROM relation) r ON e.entity_id = r.id GROUP BY ALL", "entity", "relation"))
+def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.degrees(T.entities(spark, sf_dir), T.relations(spark, sf_dir))
 
 
-@query("gr5_induced_subgraph_of_all_relations", T.sql("", "all_relation").rstrip() + """, edges AS (SELECT source_id AS a, target_id AS b FROM all_relation UNION SELECT target_id, source_id FROM all_relation),
+@query("gr5_induced_subgraph", T.sql("", "relation").rstrip() + """, edges AS (SELECT source_id AS a, target_id AS b FROM relation UNION SELECT target_id, source_id FROM relation),
 one AS (SELECT 'nation:7' AS node UNION SELECT b FROM edges WHERE a = 'nation:7'), two AS (SELECT node FROM one UNION SELECT b FROM one JOIN edges ON node = a WHERE node LIKE 'supplier:%')
-SELECT source_id, target_id FROM all_relation WHERE source_id IN (SELECT node FROM two) AND target_id IN (SELECT node FROM two)""")
-def induced_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT source_id, target_id FROM relation WHERE source_id IN (SELECT node FROM two) AND target_id IN (SELECT node FROM two)""")
+def induced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The subgraph of a nation, its neighbours, and all that its suppliers provide."""
-    edges = G.undirected(T.all_relations(spark, sf_dir))
+    edges = G.undirected(T.relations(spark, sf_dir))
     one = G.reach(edges, T.entities(spark, sf_dir).where("entity_id = 'nation:7'"), 1).select(F.col("node").alias("entity_id"))
     two = one.union(G.reach(edges, one.where(F.col("entity_id").startswith("supplier:")), 1).select("node"))
-    return G.induced(T.all_relations(spark, sf_dir), two).select("source_id", "target_id")
+    return G.induced(T.relations(spark, sf_dir), two).select("source_id", "target_id")
 
 
-@query("ag24_gr12_relation_histogram_of_all_relations", T.sql("SELECT relation_type, split_part(source_id, ':', 1) AS source_type, split_part(target_id, ':', 1) AS target_type, count(*) AS n FROM all_relation GROUP BY ALL", "all_relation"))
-def relation_histogram_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _histogram(T.all_relations(spark, sf_dir))
+@query("ag24_gr12_relation_histogram", T.sql("SELECT relation_type, split_part(source_id, ':', 1) AS source_type, split_part(target_id, ':', 1) AS target_type, count(*) AS n FROM relation GROUP BY ALL", "relation"))
+def relation_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _histogram(T.relations(spark, sf_dir))
 
 
-@query("pf27_sc45_visible_nodes_of_all_relations", T.sql("SELECT e.entity_id, round(least(14, 5 + 1.6 * sqrt(count(v.value))), 4) AS radius FROM entity e LEFT JOIN value v ON e.entity_id = v.entity_id WHERE entity_type <> 'customer' AND (e.entity_id IN (SELECT source_id FROM all_relation) OR e.entity_id IN (SELECT target_id FROM all_relation)) GROUP BY ALL", "entity", "value", "all_relation"))
-def visible_nodes_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _visible(spark, sf_dir, T.all_relations(spark, sf_dir))
+@query("pf27_sc45_visible_nodes", T.sql("SELECT e.entity_id, round(least(14, 5 + 1.6 * sqrt(count(v.value))), 4) AS radius FROM entity e LEFT JOIN value v ON e.entity_id = v.entity_id WHERE entity_type <> 'customer' AND (e.entity_id IN (SELECT source_id FROM relation) OR e.entity_id IN (SELECT target_id FROM relation)) GROUP BY ALL", "entity", "value", "relation"))
+def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _visible(spark, sf_dir, T.relations(spark, sf_dir))

@@ -17,14 +17,8 @@ def normalize_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", X.normalize_term(F.col("p_name")).alias("name"))
 
 
-@query("sc4_sc5_storage_keys", "SELECT doc_id, 'uploads/' || source || '/' || doc_id || '/' || left(CASE WHEN leaf = '' THEN 'file' ELSE leaf END, 128) AS key FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(left(text, 60)), ' ' || chr(10)), '\\s+', '-', 'g'), '[^a-z0-9._-]', '', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS leaf FROM documents)")
+@query("sc4_sc5_storage_keys", "SELECT doc_id, 'uploads/' || source || '/' || doc_id || '/' || left(CASE WHEN leaf = '' THEN 'file' ELSE leaf END, 128) AS key FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text), ' ' || chr(10)), '\\s+', '-', 'g'), '[^a-z0-9._-]', '', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS leaf FROM documents)")
 def storage_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = T.read(spark, sf_dir, "documents")
-    return docs.select("doc_id", X.storage_key(F.lit("uploads"), F.col("source"), F.col("doc_id").cast("string"), F.substring("text", 1, 60)).alias("key"))
-
-
-@query("sc4_sc5_storage_keys_of_whole_texts", "SELECT doc_id, 'uploads/' || source || '/' || doc_id || '/' || left(CASE WHEN leaf = '' THEN 'file' ELSE leaf END, 128) AS key FROM (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(lower(text), ' ' || chr(10)), '\\s+', '-', 'g'), '[^a-z0-9._-]', '', 'g'), '-+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS leaf FROM documents)")
-def storage_keys_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "documents").select("doc_id", X.storage_key(F.lit("uploads"), F.col("source"), F.col("doc_id").cast("string"), F.col("text")).alias("key"))
 
 
@@ -56,13 +50,8 @@ def templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "customer").select("c_custkey", filled.alias("prompt"))
 
 
-@query("sc21_history_lines", "SELECT conv_id, string_agg((turn + 1) || '. ' || left(text, 20), chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
+@query("sc21_history_lines", "SELECT conv_id, string_agg((turn + 1) || '. ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
 def history_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _history(spark, sf_dir, F.substring("text", 1, 20))
-
-
-@query("sc21_history_lines_of_whole_texts", "SELECT conv_id, string_agg((turn + 1) || '. ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY conv_id")
-def history_lines_of_whole_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _history(spark, sf_dir, F.col("text"))
 
 

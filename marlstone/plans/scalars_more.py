@@ -88,14 +88,10 @@ def exact_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.try_element_at(table, normalize_term(F.col("c_mktsegment"))), F.trim("c_mktsegment")).alias("canonical"))
 
 
-@query("sc19_code_fences", "SELECT event_id, props AS inside FROM events WHERE event_id % 10 = 0")
+@query("sc19_code_fences", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'see ```' || props || '```' ELSE props END AS inside FROM events")
 def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return code_fences_of_all(spark, sf_dir).where("event_id % 10 = 0")
-
-
-@query("sc19_code_fences_of_all_events", "SELECT event_id, props AS inside FROM events")
-def code_fences_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fenced = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    kind = F.col("event_id") % 3
+    fenced = F.when(kind == 0, F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))).when(kind == 1, F.concat(F.lit("  "), F.col("props"), F.lit("\n"))).otherwise(F.concat(F.lit("see ```"), F.col("props"), F.lit("```")))
     return T.read(spark, sf_dir, "events").select("event_id", strip_code_fence(fenced).alias("inside"))
 
 

@@ -52,16 +52,8 @@ def values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(source_id, target_id, relation_type), directed; of the provides edges only those of first lines and of every 20th part."""
-    return _relations(spark, sf_dir, read(spark, sf_dir, "lineitem").where("l_linenumber = 1 AND l_partkey % 20 = 0"))
-
-
-def all_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As relations, with every supplier's edge to every part of its lines."""
-    return _relations(spark, sf_dir, read(spark, sf_dir, "lineitem"))
-
-
-def _relations(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """(source_id, target_id, relation_type), directed: places in places, and suppliers of the parts of their lines."""
+    lines = read(spark, sf_dir, "lineitem")
     nation, supplier, customer = (read(spark, sf_dir, t) for t in ("nation", "supplier", "customer"))
     belongs = F.lit("belongs_to").alias("relation_type")
     provides = lines.select(_id("supplier", "l_suppkey").alias("source_id"), _id("part", "l_partkey").alias("target_id"), F.lit("provides").alias("relation_type")).distinct()
@@ -127,11 +119,6 @@ VIEWS = {
   SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'belongs_to' AS relation_type FROM nation
   UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'belongs_to' FROM supplier
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'belongs_to' FROM customer
-  UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'provides' FROM lineitem WHERE l_linenumber = 1 AND l_partkey % 20 = 0""",
-    "all_relation": """
-  SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'belongs_to' AS relation_type FROM nation
-  UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'belongs_to' FROM supplier
-  UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'belongs_to' FROM customer
   UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'provides' FROM lineitem""",
     "version": """
   SELECT doc_id AS version_id, source || '/' || (doc_id % 50) AS source_id, row_number() OVER (PARTITION BY source || '/' || (doc_id % 50) ORDER BY doc_id) AS version_number,

@@ -7,9 +7,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import token_windows
+from .stages import page_range
 
 # Tokens of a chunk and of an overlap; characters of an extraction window, its overlap and least share.
 CHUNK_SIZE, CHUNK_OVERLAP = 500, 75
@@ -33,6 +35,26 @@ def sections(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return docs.select(key, F.posexplode(parts).alias("section_index", "section"))
 
 
+def chunk_document(docs: DataFrame, long_form: list[str], structured: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, key: str = "doc_id", text: str = "text", kind: str = "source_type", page_chars: int | None = None) -> DataFrame:
+    """(key, chunk_index, token_count, section_index, heading, chunk[, pages]): chunks by the category of a document's kind.
+    Long forms are cut before each line that begins with `#`, and each section into token windows; structured ones are one
+    record, which is cut into windows only if it is longer than `size` tokens. A kind in neither list, or in both, fails the
+    query. Null and empty texts give no row. With page_chars, pages has the page range of a chunk's section.
+    """
+    is_long, is_structured = F.col(kind).isin(*long_form), F.col(kind).isin(*structured)
+    known = F.coalesce(is_long != is_structured, F.lit(False))
+    checked = F.when(known, F.col(text)).otherwise(F.raise_error(F.concat(F.lit("source type in not exactly one category: "), F.coalesce(F.col(kind), F.lit("null")))))
+    cut = F.when(is_long, F.split(checked, r"(?m)(?=^#)")).otherwise(F.array(checked))
+    parts = docs.where(F.col(text) != "").select(key, F.posexplode(F.filter(cut, lambda x: x != "")).alias("section_index", "part"), F.transform(cut, lambda x: F.length(x)).alias("lengths"), is_long.alias("is_long"))
+    tokens = F.filter(F.split("part", r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    windows = parts.withColumn("tokens", tokens).where(F.size("tokens") > 0).select("*", F.posexplode(token_windows(F.col("tokens"), size, overlap)).alias("i", "window"))
+    heading = F.when(F.col("is_long") & F.col("part").startswith("#"), F.trim(F.regexp_extract("part", r"^#+[\x20\x09]*([^\n]*)", 1)))
+    before = F.aggregate(F.slice("lengths", 1, F.col("section_index")), F.lit(0), lambda a, n: a + n)
+    number = (F.row_number().over(W.partitionBy(key).orderBy("section_index", "i")) - 1).alias("chunk_index")
+    pages = [page_range(before, before + F.length("part"), page_chars).alias("pages")] if page_chars else []
+    return windows.select(key, number, F.size("window").alias("token_count"), "section_index", heading.alias("heading"), F.when(F.size("tokens") <= size, F.col("part")).otherwise(F.array_join("window", " ")).alias("chunk"), *pages)
+
+
 def extraction_windows(text: str, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> list[str]:
     """Windows that end after a sentence, else after a blank, not before WINDOW_LEAST of their size; the next one begins
     at the first blank of the overlap. The cursor depends on the window before, so this is no set operation.

@@ -12,11 +12,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import normalize_url
+from ..sources.shared import cut
 
 # File types by extension and by content type.
 TYPE_OF_EXTENSION = {"pdf": "PDF", "docx": "DOCX", "md": "MD", "markdown": "MD", "html": "HTML", "htm": "HTML"}
 TYPE_OF_CONTENT = {"application/pdf": "PDF", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": "DOCX", "text/markdown": "MD", "text/html": "HTML"}
 
+# Classes of elements that hold a team member's name, and a role.
+NAME_CLASSES = {"member-name", "member_name", "team-member-name", "team_member_name"}
+ROLE_CLASSES = {
+    "member-designation", "member_title", "member-role", "member_role", "team-member-role", "team_member_role", "designation", "position", "role",
+}
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
 
 def _literal_map(m: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in m.items() for x in kv))
@@ -74,16 +82,20 @@ def sitemap_urls(robots: Column) -> Column:
 
 def sitemap_locations(xml: Column) -> Column:
     """Trimmed <loc> texts of a urlset; null for anything else."""
-    locations = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?loc>(.*?)</(?:\w+:)?loc>"), F.lit(1)), lambda x: F.trim(x))
-    return F.when(xml.rlike(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*<(\w+:)?urlset[\s>]"), locations)
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    locations = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?loc>(.*?)</(?:\w+:)?loc>"), F.lit(1)), lambda x: plain(F.trim(x)))
+    return F.when(xml.rlike(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*<(\w+:)?urlset[\s>].*</(\w+:)?urlset\s*>\s*$"), locations)
 
 
 class _Page(HTMLParser):
-    """Text as Markdown-like lines, and (name, role) pairs of elements whose classes say so."""
+    """Text as Markdown-like lines, and (name, role) pairs: whole text of elements with a class of NAME_CLASSES, and of the
+    next ones with a class of ROLE_CLASSES.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines, self.line, self.skip, self.want, self.name, self.team = [], "", 0, None, None, []
+        self.lines, self.line, self.skip, self.name, self.team = [], "", 0, None, []
+        self.open: list[tuple[str, str | None, list[str]]] = []  # tag, name or role, text so far
 
     def _end_line(self) -> None:
         if self.line.strip():
@@ -91,8 +103,9 @@ class _Page(HTMLParser):
         self.line = ""
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        classes = (dict(attrs).get("class") or "").lower()
-        self.want = "name" if "name" in classes else "role" if "role" in classes or "title" in classes.split() else self.want
+        classes = set((dict(attrs).get("class") or "").split())
+        if tag not in VOID:
+            self.open.append((tag, "name" if classes & NAME_CLASSES else "role" if classes & ROLE_CLASSES else None, []))
         if tag in ("title", "script", "style", "nav", "footer", "header"):
             self.skip += 1
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
@@ -105,19 +118,28 @@ class _Page(HTMLParser):
             self._end_line()
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in (t for t, *_ in self.open):  # elements left open inside end here too
+            while self.open:
+                inner, kind, parts = self.open.pop()
+                self._pair(kind, " ".join("".join(parts).split()))
+                if inner == tag:
+                    break
         if tag in ("title", "script", "style", "nav", "footer", "header"):
             self.skip = max(self.skip - 1, 0)
         elif tag in ("p", "div", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6"):
             self._end_line()
 
+    def _pair(self, kind: str | None, text: str) -> None:
+        if kind == "name" and text:
+            self.name = text
+        elif kind == "role" and text and self.name:
+            self.team.append((self.name, text))
+            self.name = None
+
     def handle_data(self, data: str) -> None:
-        if self.want and data.strip():
-            if self.want == "name":
-                self.name = data.strip()
-            elif self.name:
-                self.team.append((self.name, data.strip()))
-                self.name = None
-            self.want = None
+        for _, kind, parts in self.open:
+            if kind:
+                parts.append(data)
         if not self.skip:
             self.line += data
 
@@ -139,3 +161,23 @@ def page_text(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["page_id", "markdown", "team"])
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, markdown string, team array<string>")
+
+
+def crawl(roots: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:
+    """(url, step): pages that a breadth-first crawl over stored links (url, link) fetches from roots (url), in the step it
+    does. Each step takes the frontier's urls in order until most_pages are visited; what has no page counts as visited
+    but is not returned. Only the number of visited pages comes to the driver.
+    """
+    known = cut(links.select("url", "link").distinct())
+    frontier, visited, n, step = cut(roots.select("url").distinct()), None, 0, 0
+    while n < most_pages:
+        batch = frontier if visited is None else frontier.join(visited.select("url"), "url", "left_anti")
+        batch = cut(batch.orderBy("url").limit(most_pages - n).withColumn("step", F.lit(step)))
+        took = batch.count()
+        if not took:
+            break
+        n, step = n + took, step + 1
+        visited = batch if visited is None else cut(visited.unionByName(batch))
+        frontier = cut(known.join(batch.select("url"), "url").select(F.col("link").alias("url")).distinct())
+    pages = known.select("url").distinct()
+    return visited.join(pages, "url", "left_semi") if visited is not None else roots.select("url", F.lit(0).alias("step")).limit(0)

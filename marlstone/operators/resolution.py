@@ -6,44 +6,122 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import capitals, normalize_name
+from ..functions.text import capitals, fold_value, normalize_name
 from ..sources.shared import cut
 
 # Fixed value: classes of characters that are counted to bound a matching ratio.
 CHARACTERS = 128
 
 
-def merge_plan(entities: DataFrame, fact_counts: DataFrame) -> DataFrame:
+def _mapped(names: dict[str, str], key: Column, other: Column) -> Column:
+    """The name that `names` gives for key, else other."""
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in names.items() for x in kv)), key), other) if names else other
+
+
+def canonical_type(entity_type: Column, synonyms: dict[str, str]) -> Column:
+    """The type that a synonym (in lower case, one blank for white space) stands for; other types as they are."""
+    return _mapped(synonyms, normalize_name(entity_type), entity_type)
+
+
+def merge_plan(entities: DataFrame, fact_counts: DataFrame, synonyms: dict[str, str] | None = None, reviewed: dict[str, str] | None = None) -> DataFrame:
     """(name_norm, survivor, chosen_type, label, size) for each normalised name of two or more entities.
 
-    The type is the rarest of the corpus among those with a fifth of the bucket's most facts (at least one; all types if
-    none has), then the one with more facts. The survivor has the most facts, then the chosen type, then the least id.
-    The label is the name with most capitals, then the longest, then the last in order.
+    The type is the one that `reviewed` gives for the name; else the canonical type that the fewest entities are stored
+    with, of those entities with a fifth of the bucket's most facts (at least one; all if none has), then the one with
+    more facts. The survivor has the most facts, then the chosen type, then a synonym of it, then the least id. The
+    label is the name with most capitals, then the longest, then the last in order. Everything is counted by partial
+    aggregates; no bucket is brought together.
     """
-    frequency = entities.groupBy("entity_type").agg(F.count(F.lit(1)).alias("freq"))
-    rows = entities.join(fact_counts, "entity_id", "left").join(F.broadcast(frequency), "entity_type").select("entity_id", "entity_type", "name", "freq", F.coalesce("facts", F.lit(0)).alias("facts"), normalize_name(F.col("name")).alias("name_norm"))
-    bucket = W.partitionBy("name_norm")
-    rows = rows.withColumn("size", F.count(F.lit(1)).over(bucket)).where("size >= 2").withColumn("top", F.max("facts").over(bucket))
-    supported = F.col("facts") >= F.greatest(F.lit(1.0), F.col("top") * 0.2)
-    rows = rows.withColumn("supported", supported).withColumn("any", F.max("supported").over(bucket))
-    typed = rows.withColumn("candidate", F.when(~F.col("any") | F.col("supported"), F.struct("freq", -F.col("facts"), "entity_type", "entity_id")))
-    chosen = typed.withColumn("chosen_type", F.min("candidate").over(bucket)["entity_type"])
-    return chosen.groupBy("name_norm").agg(
-        F.min_by("entity_id", F.struct(-F.col("facts"), F.col("entity_type") != F.col("chosen_type"), F.col("entity_id"))).alias("survivor"),
-        F.first("chosen_type").alias("chosen_type"),
+    frequency = entities.groupBy(F.col("entity_type").alias("canonical")).agg(F.count(F.lit(1)).alias("freq"))
+    rows = entities.join(fact_counts, "entity_id", "left").select("entity_id", "entity_type", "name", F.coalesce("facts", F.lit(0)).alias("facts"), normalize_name(F.col("name")).alias("name_norm"), canonical_type(F.col("entity_type"), synonyms or {}).alias("canonical"))
+    rows = rows.join(frequency, "canonical", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
+    buckets = rows.groupBy("name_norm").agg(F.count(F.lit(1)).alias("size"), F.max("facts").alias("top")).where("size >= 2")
+    members = rows.join(buckets, "name_norm")
+    supported = (F.col("top") == 0) | (F.col("facts") >= F.greatest(F.lit(1.0), F.col("top") * 0.2))
+    rarest = F.min(F.when(supported, F.struct("freq", -F.col("facts"), "canonical", "entity_id")))["canonical"]
+    chosen = members.groupBy("name_norm").agg(rarest.alias("rarest"))
+    chosen = chosen.select("name_norm", _mapped(reviewed or {}, F.col("name_norm"), F.col("rarest")).alias("chosen_type"))
+    typed = members.join(chosen, "name_norm")
+    return typed.groupBy("name_norm", "chosen_type", "size").agg(
+        F.min_by("entity_id", F.struct(-F.col("facts"), F.col("entity_type") != F.col("chosen_type"), F.col("canonical") != F.col("chosen_type"), F.col("entity_id"))).alias("survivor"),
         F.max_by("name", F.struct(capitals(F.col("name")), F.length("name"), F.col("entity_id"))).alias("label"),
-        F.count(F.lit(1)).alias("size"),
     )
 
 
+def merged_ids(entities: DataFrame, plan: DataFrame) -> DataFrame:
+    """(old_id, new_id) of the entities that merge_plan() merges into others."""
+    named = entities.select(F.col("entity_id").alias("old_id"), normalize_name(F.col("name")).alias("name_norm"))
+    return named.join(plan.select("name_norm", F.col("survivor").alias("new_id")), "name_norm").where("old_id <> new_id").select("old_id", "new_id")
+
+
+def repointed(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """rows with the ids in some columns replaced where ids (old_id, new_id) has them."""
+    for c in columns:
+        moved = rows.join(ids.select(F.col("old_id").alias("_old"), F.col("new_id").alias("_new")), F.col(c) == F.col("_old"), "left")
+        rows = moved.withColumn(c, F.coalesce("_new", c)).select(*rows.columns)
+    return rows
+
+
 def repoint(values: DataFrame, id_map: DataFrame) -> DataFrame:
     """Values of merged entities moved to their survivors, one row for each (entity, attribute, value)."""
-    moved = values.join(id_map, F.col("entity_id") == F.col("old_id"), "left").withColumn("entity_id", F.coalesce("new_id", "entity_id"))
-    return moved.select(*values.columns).dropDuplicates(["entity_id", "attribute", "value"])
+    return repointed(values, id_map, "entity_id").dropDuplicates(["entity_id", "attribute", "value"])
+
+
+def resolve_or_create(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name_norm, entity_id, created) of each name asked for: the oldest entity (least seq) of that name, without regard to
+    case, blanks around it and type; else a new one, whose id is a hash of the name.
+    """
+    norm = F.lower(F.trim("name")).alias("name_norm")
+    known = entities.select(norm, "entity_id", "seq").groupBy("name_norm").agg(F.min_by("entity_id", F.struct("seq", "entity_id")).alias("known"))
+    rows = asked.select(norm).distinct().join(known, "name_norm", "left")
+    return rows.select("name_norm", F.coalesce("known", F.concat(F.lit("new:"), F.md5(F.col("name_norm").cast("binary")))).alias("entity_id"), F.col("known").isNull().alias("created"))
+
+
+def first_of(rows: DataFrame, key: str, *same: str) -> DataFrame:
+    """Of rows that agree in `same` the one with the least key; key, same and no other columns."""
+    return rows.groupBy(*same).agg(F.min(key).alias(key))
+
+
+def attribute_plan(attributes: DataFrame, synonyms: dict[str, str]) -> DataFrame:
+    """(old_id, new_id, namespace): attributes (attribute_id, namespace, name) that agree in canonical namespace and in name
+    without regard to case, with the one they become: one that has the canonical namespace, else the least id.
+    """
+    name = F.lower(F.trim("name")).alias("name_norm")
+    rows = attributes.select("attribute_id", "namespace", canonical_type(F.col("namespace"), synonyms).alias("canonical"), name)
+    new = rows.groupBy("canonical", "name_norm").agg(F.min_by("attribute_id", F.struct(F.col("namespace") != F.col("canonical"), F.col("attribute_id"))).alias("new_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows.join(new, ["canonical", "name_norm"]).select(F.col("attribute_id").alias("old_id"), "new_id", F.col("canonical").alias("namespace"))
+
+
+def reconcile(entities: DataFrame, relations: DataFrame, attributes: DataFrame, values: DataFrame, synonyms: dict[str, str], reviewed: dict[str, str]) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The four tables after merging, and a report of one row: entities, then their types, relations, attributes, values.
+
+    entities (entity_id, entity_type, name), relations (relation_id, source_id, target_id, relation_type), attributes
+    (attribute_id, namespace, name), values (value_id, entity_id, attribute_id, value). A stored type that is a synonym is
+    replaced by its canonical one last, also on a survivor. Counters of normalised rows count all rows as given; those
+    of relations and values count what goes because an equal row stays.
+    """
+    facts = values.groupBy("entity_id").agg(F.count(F.lit(1)).alias("facts"))
+    plan = cut(merge_plan(entities, facts, synonyms, reviewed))
+    ids = cut(merged_ids(entities, plan))
+    canonical = canonical_type(F.col("entity_type"), synonyms)
+    kept = entities.join(ids, F.col("entity_id") == F.col("old_id"), "left_anti")
+    kept = kept.join(plan.select(F.col("survivor").alias("entity_id"), "chosen_type", "label"), "entity_id", "left")
+    kept = kept.select("entity_id", F.when(canonical != F.col("entity_type"), canonical).otherwise(F.coalesce("chosen_type", "entity_type")).alias("entity_type"), F.coalesce("label", "name").alias("name"))
+    links = cut(first_of(repointed(relations, ids, "source_id", "target_id"), "relation_id", "source_id", "target_id", "relation_type"))
+    moved = cut(attribute_plan(attributes, synonyms))
+    gone = moved.where("old_id <> new_id").select("old_id", "new_id")
+    namespace = canonical_type(F.col("namespace"), synonyms)
+    left = attributes.join(gone, F.col("attribute_id") == F.col("old_id"), "left_anti").select("attribute_id", namespace.alias("namespace"), "name")
+    facts_left = cut(first_of(repointed(repointed(values, ids, "entity_id"), gone, "attribute_id"), "value_id", "entity_id", "attribute_id", "value"))
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    report = n(ids, "entities_merged").crossJoin(n(entities.where(canonical != F.col("entity_type")), "entities_normalized")).crossJoin(n(gone, "attributes_merged"))
+    report = report.crossJoin(n(attributes.where(namespace != F.col("namespace")), "attributes_normalized")).crossJoin(n(relations, "r")).crossJoin(n(links, "r_left")).crossJoin(n(values, "v")).crossJoin(n(facts_left, "v_left"))
+    report = report.select("entities_merged", "entities_normalized", "attributes_merged", "attributes_normalized", (F.col("r") - F.col("r_left")).alias("relations_deduped"), (F.col("v") - F.col("v_left")).alias("values_deduped"))
+    return {"entities": kept, "relations": links, "attributes": left, "values": facts_left}, report
 
 
 def supersession(provenance: DataFrame, current: DataFrame) -> DataFrame:
@@ -55,7 +133,7 @@ def supersession(provenance: DataFrame, current: DataFrame) -> DataFrame:
 
 
 class _Kept:
-    """Values in lower case, for the question whether a value restates one of them: only those whose lengths and counts of
+    """Folded values, for the question whether a value restates one of them: only those whose lengths and counts of
     characters allow the ratio are matched, as a ratio cannot be over 2 * (characters in common) / (characters).
     """
 
@@ -68,12 +146,12 @@ class _Kept:
         return np.bincount(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) % CHARACTERS, minlength=CHARACTERS).astype(np.int32)
 
     def add(self, v: str) -> None:
-        low, n = v.lower(), len(self.values)
+        low, n = fold_value(v), len(self.values)
         self.counts[n], self.lengths[n] = self._count(low), len(low)
         self.values.append(low)
 
     def restated_by(self, v: str) -> bool:
-        low, n = v.lower(), len(self.values)
+        low, n = fold_value(v), len(self.values)
         both = self.lengths[:n] + len(low)
         near = np.flatnonzero(2.0 * np.minimum(self.lengths[:n], len(low)) / np.maximum(both, 1) >= self.ratio)
         if len(near):
@@ -83,7 +161,7 @@ class _Kept:
 
 def collapse_near_duplicates(rows: DataFrame, ratio: float = 0.92, most: int = 2_000) -> DataFrame:
     """(group, value) without restatements: longest first, a value goes if its matching ratio with one that stays is at
-    least `ratio`. The rule is sequential within a group, so it is applied in rounds: the first `most` distinct values
+    least `ratio`. Values are compared as fold_value() gives them. The rule is sequential within a group, so it is applied in rounds: the first `most` distinct values
     that are open in a group are settled in one task, then the group's others are compared with those that stay in as
     many tasks as they fill. A group of at most `most` values takes one round.
     """

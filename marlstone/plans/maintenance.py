@@ -11,41 +11,128 @@ from ..operators import resolution as R
 from ..sources import tables as T
 from .base import query
 
-#: Entities whose names collide after normalisation: parts by the first word of their names, as two types.
-COLLIDING = "SELECT 'part:' || p_partkey AS entity_id, CASE WHEN p_partkey % 3 = 0 THEN 'goods' ELSE 'part' END AS entity_type, CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS name FROM part"
+#: Entities whose names collide after normalisation: parts by the first word of their names, as three types, two of which
+#: are one. Synonyms of types, and names whose type was settled by hand.
+COLLIDING = "SELECT 'part:' || p_partkey AS entity_id, CASE WHEN p_partkey % 3 = 0 THEN 'goods' WHEN p_partkey % 7 = 1 THEN 'Item' ELSE 'part' END AS entity_type, CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS name FROM part"
 COUNTS = "SELECT entity_id, count(*) AS facts FROM value WHERE NOT superseded GROUP BY ALL"
+SYNONYMS, REVIEWED = {"item": "part", "vendor": "supplier"}, {"red": "colour"}
+CANONICAL = "CASE lower({0}) WHEN 'item' THEN 'part' WHEN 'vendor' THEN 'supplier' ELSE {0} END"
 
 
 def _colliding(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.split_part("p_name", F.lit(" "), F.lit(1))
-    return T.read(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"), F.when(F.col("p_partkey") % 3 == 0, "goods").otherwise("part").alias("entity_type"), F.when(F.col("p_partkey") % 2 == 0, F.upper(word)).otherwise(word).alias("name"))
+    kind = F.when(F.col("p_partkey") % 3 == 0, "goods").when(F.col("p_partkey") % 7 == 1, "Item").otherwise("part")
+    return T.read(spark, sf_dir, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("entity_id"), kind.alias("entity_type"), F.when(F.col("p_partkey") % 2 == 0, F.upper(word)).otherwise(word).alias("name"))
 
 
 def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.values(spark, sf_dir).where(~F.col("superseded")).groupBy("entity_id").agg(F.count(F.lit(1)).alias("facts"))
 
 
-PLAN = f"""named AS ({COLLIDING}), counts AS ({COUNTS}), freq AS (SELECT entity_type, count(*) AS freq FROM named GROUP BY ALL),
-rows_ AS (SELECT n.entity_id, n.entity_type, n.name, freq, coalesce(facts, 0) AS facts, trim(lower(n.name)) AS name_norm FROM named n LEFT JOIN counts c ON n.entity_id = c.entity_id JOIN freq f ON n.entity_type = f.entity_type),
+def _plan_sql(named: str, counts: str) -> str:
+    return f"""named AS ({named}), counts AS ({counts}), freq AS (SELECT entity_type AS canonical, count(*) AS freq FROM named GROUP BY ALL),
+rows_ AS (SELECT n.*, coalesce(freq, 0) AS freq, coalesce(facts, 0) AS facts, trim(lower(n.name)) AS name_norm FROM (SELECT *, {CANONICAL.format('entity_type')} AS canonical FROM named) n LEFT JOIN counts c ON n.entity_id = c.entity_id LEFT JOIN freq f ON n.canonical = f.canonical),
 bucket AS (SELECT *, count(*) OVER w AS size, max(facts) OVER w AS top FROM rows_ WINDOW w AS (PARTITION BY name_norm)),
 sup AS (SELECT *, facts >= greatest(1.0, top * 0.2) AS supported FROM bucket WHERE size >= 2),
 sup2 AS (SELECT *, bool_or(supported) OVER (PARTITION BY name_norm) AS any_supported FROM sup),
-typed AS (SELECT *, first_value(entity_type) OVER (PARTITION BY name_norm ORDER BY CASE WHEN NOT any_supported OR supported THEN 0 ELSE 1 END, freq, facts DESC, entity_type, entity_id) AS chosen_type FROM sup2),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY name_norm ORDER BY facts DESC, entity_type <> chosen_type, entity_id) AS rn, row_number() OVER (PARTITION BY name_norm ORDER BY length(regexp_replace(name, '[^A-Z]', '', 'g')) DESC, length(name) DESC, entity_id DESC) AS ln FROM typed),
-plan AS (SELECT name_norm, max(entity_id) FILTER (WHERE rn = 1) AS survivor, max(chosen_type) AS chosen_type, max(name) FILTER (WHERE ln = 1) AS label, max(size) AS size FROM ranked GROUP BY ALL)"""
+typed AS (SELECT *, CASE name_norm WHEN 'red' THEN 'colour' ELSE first_value(canonical) OVER (PARTITION BY name_norm ORDER BY CASE WHEN NOT any_supported OR supported THEN 0 ELSE 1 END, freq, facts DESC, canonical, entity_id) END AS chosen_type FROM sup2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY name_norm ORDER BY facts DESC, entity_type <> chosen_type, canonical <> chosen_type, entity_id) AS rn, row_number() OVER (PARTITION BY name_norm ORDER BY length(regexp_replace(name, '[^A-Z]', '', 'g')) DESC, length(name) DESC, entity_id DESC) AS ln FROM typed),
+plan AS (SELECT name_norm, max(entity_id) FILTER (WHERE rn = 1) AS survivor, max(chosen_type) AS chosen_type, max(name) FILTER (WHERE ln = 1) AS label, max(size) AS size FROM ranked GROUP BY ALL),
+ids AS (SELECT entity_id AS old_id, survivor AS new_id FROM ranked JOIN plan USING (name_norm) WHERE entity_id <> survivor)"""
+
+
+PLAN = _plan_sql(COLLIDING, COUNTS)
 
 
 @query("er8_wn10_wn11_wn12_merge_plan", T.sql("", "value").rstrip() + f", {PLAN} SELECT name_norm, survivor, chosen_type, label, CAST(size AS BIGINT) AS size FROM plan")
 def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.merge_plan(_colliding(spark, sf_dir), _counts(spark, sf_dir))
+    return R.merge_plan(_colliding(spark, sf_dir), _counts(spark, sf_dir), SYNONYMS, REVIEWED).select("name_norm", "survivor", "chosen_type", "label", "size")
 
 
-@query("er10_er13_jn14_repoint_values", T.sql("", "value").rstrip() + f", {PLAN} SELECT DISTINCT coalesce(p.survivor, v.entity_id) AS entity_id, attribute, value FROM value v LEFT JOIN named n ON v.entity_id = n.entity_id LEFT JOIN plan p ON trim(lower(n.name)) = p.name_norm WHERE v.namespace = 'part'")
+@query("er10_er13_jn14_repoint_values", T.sql("", "value").rstrip() + f", {PLAN} SELECT DISTINCT coalesce(i.new_id, v.entity_id) AS entity_id, attribute, value FROM value v LEFT JOIN ids i ON v.entity_id = i.old_id")
 def repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _colliding(spark, sf_dir)
-    plan = R.merge_plan(named, _counts(spark, sf_dir))
-    ids = named.join(plan, F.trim(F.lower("name")) == F.col("name_norm")).select(F.col("entity_id").alias("old_id"), F.col("survivor").alias("new_id"))
-    return R.repoint(T.values(spark, sf_dir).where("namespace = 'part'"), ids).select("entity_id", "attribute", "value")
+    plan = R.merge_plan(named, _counts(spark, sf_dir), SYNONYMS, REVIEWED)
+    return R.repoint(T.values(spark, sf_dir), R.merged_ids(named, plan)).select("entity_id", "attribute", "value")
+
+
+#: Stale tables for a whole run: entities, attributes, values and relations as several extractions left them.
+ATTRIBUTES = [("part.brand", "part", "brand"), ("part.size", "part", "size"), ("item.BRAND", "Item", "BRAND"), ("goods.size", "goods", "size"), ("vendor.acctbal", "Vendor", "acctbal")]
+STALE_ENTITIES = f"{COLLIDING} UNION ALL SELECT 'supplier:' || s_suppkey, 'Vendor', s_name FROM supplier"
+STALE = f"""attribute(attribute_id, namespace, name) AS (VALUES {', '.join(map(str, ATTRIBUTES))}),
+stale AS (SELECT p_partkey * 10 AS value_id, 'part:' || p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 1 THEN 'item.BRAND' ELSE 'part.brand' END AS attribute_id, p_brand AS value FROM part UNION ALL SELECT p_partkey * 10 + 1, 'part:' || p_partkey, 'part.size', CAST(p_size AS VARCHAR) FROM part),
+link AS (SELECT l_orderkey * 10 + l_linenumber AS relation_id, 'supplier:' || l_suppkey AS source_id, 'part:' || l_partkey AS target_id, 'provides' AS relation_type FROM lineitem)"""
+RECONCILED = f"{STALE}, {_plan_sql(STALE_ENTITIES, 'SELECT entity_id, count(*) AS facts FROM stale GROUP BY ALL')}"
+
+
+def _stale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    part, lines = T.read(spark, sf_dir, "part"), T.read(spark, sf_dir, "lineitem")
+    name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    vendors = T.read(spark, sf_dir, "supplier").select(name("supplier", "s_suppkey").alias("entity_id"), F.lit("Vendor").alias("entity_type"), F.col("s_name").alias("name"))
+    brand = part.select((F.col("p_partkey") * 10).alias("value_id"), name("part", "p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 1, "item.BRAND").otherwise("part.brand").alias("attribute_id"), F.col("p_brand").alias("value"))
+    size = part.select((F.col("p_partkey") * 10 + 1).alias("value_id"), name("part", "p_partkey").alias("entity_id"), F.lit("part.size").alias("attribute_id"), F.col("p_size").cast("string").alias("value"))
+    links = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), name("supplier", "l_suppkey").alias("source_id"), name("part", "l_partkey").alias("target_id"), F.lit("provides").alias("relation_type"))
+    attributes = spark.createDataFrame(ATTRIBUTES, "attribute_id string, namespace string, name string")
+    return _colliding(spark, sf_dir).unionByName(vendors), links, attributes, brand.unionByName(size)
+
+
+@query("er15_ag29_reconcile_report", f"""WITH {RECONCILED}
+SELECT (SELECT count(*) FROM ids) AS entities_merged, (SELECT count(*) FROM named WHERE {CANONICAL.format('entity_type')} <> entity_type) AS entities_normalized,
+       (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM attribute GROUP BY {CANONICAL.format('namespace')}, lower(name))) AS attributes_merged, (SELECT count(*) FROM attribute WHERE {CANONICAL.format('namespace')} <> namespace) AS attributes_normalized,
+       (SELECT count(*) FROM link) - (SELECT count(*) FROM (SELECT DISTINCT source_id, coalesce(new_id, target_id) FROM link LEFT JOIN ids ON target_id = old_id)) AS relations_deduped,
+       (SELECT count(*) FROM stale) - (SELECT count(*) FROM (SELECT DISTINCT coalesce(new_id, entity_id), replace(attribute_id, 'item.BRAND', 'part.brand'), value FROM stale LEFT JOIN ids ON entity_id = old_id)) AS values_deduped""")
+def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[1]
+
+
+@query("er15_er12_er14_reconciled_entities", f"""WITH {RECONCILED}
+SELECT n.entity_id, CASE WHEN {CANONICAL.format('n.entity_type')} <> n.entity_type THEN {CANONICAL.format('n.entity_type')} ELSE coalesce(p.chosen_type, n.entity_type) END AS entity_type, coalesce(p.label, n.name) AS name
+FROM named n LEFT JOIN plan p ON n.entity_id = p.survivor WHERE n.entity_id NOT IN (SELECT old_id FROM ids)""")
+def reconciled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[0]["entities"]
+
+
+@query("er11_repoint_attributes", f"""WITH {RECONCILED}
+SELECT coalesce(new_id, entity_id) AS entity_id, replace(attribute_id, 'item.BRAND', 'part.brand') AS attribute_id, value, min(value_id) AS value_id FROM stale LEFT JOIN ids ON entity_id = old_id GROUP BY ALL""")
+def repoint_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[0]["values"].select("entity_id", "attribute_id", "value", "value_id")
+
+
+@query("er1_resolve_by_name", f"""WITH named AS ({COLLIDING}), known AS (SELECT trim(lower(name)) AS name_norm, arg_min(entity_id, CAST(split_part(entity_id, ':', 2) AS BIGINT)) AS entity_id FROM named WHERE CAST(split_part(entity_id, ':', 2) AS BIGINT) % 5 <> 0 GROUP BY ALL)
+SELECT DISTINCT a.name_norm, coalesce(k.entity_id, 'new:' || md5(a.name_norm)) AS entity_id, k.entity_id IS NULL AS created FROM (SELECT lower(trim(p_name)) AS name_norm FROM part UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part) a LEFT JOIN known k USING (name_norm)""")
+def resolve_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names alone tell entities apart, whatever their types; the oldest of a name is the one, and new names are created."""
+    part = T.read(spark, sf_dir, "part")
+    known = _colliding(spark, sf_dir).withColumn("seq", F.split_part("entity_id", F.lit(":"), F.lit(2)).cast("long")).where("seq % 5 <> 0")
+    asked = part.select(F.concat(F.lit("  "), F.upper("p_name")).alias("name")).unionByName(part.select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name")))
+    return R.resolve_or_create(asked, known)
+
+
+@query("er3_chunk_links", f"""WITH named AS ({COLLIDING}), known AS (SELECT trim(lower(name)) AS name_norm, arg_min(entity_id, CAST(split_part(entity_id, ':', 2) AS BIGINT)) AS entity_id FROM named GROUP BY ALL)
+SELECT d.doc_id AS chunk_id, k.entity_id FROM part p JOIN documents d ON p.p_partkey = d.doc_id JOIN known k ON k.name_norm = lower(split_part(p_name, ' ', 1))""")
+def chunk_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each chunk that an entity was derived from; mentions of chunks that are gone are left out."""
+    mentions = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("chunk_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("name"))
+    known = _colliding(spark, sf_dir).withColumn("seq", F.split_part("entity_id", F.lit(":"), F.lit(2)).cast("long"))
+    named = mentions.withColumn("name_norm", F.lower(F.trim("name"))).join(R.resolve_or_create(mentions, known), "name_norm")
+    return named.join(T.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi").select("chunk_id", "entity_id")
+
+
+@query("er6_fact_analysis", "SELECT o_custkey, o_orderstatus, string_agg(DISTINCT o_orderpriority, ',' ORDER BY o_orderpriority) AS options, count(DISTINCT o_orderpriority) > 1 AS multivalue FROM orders GROUP BY ALL")
+def fact_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each fact key the distinct values in order, and whether there are several."""
+    made = T.read(spark, sf_dir, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("a"))
+    return made.select("o_custkey", "o_orderstatus", F.array_join("a", ",").alias("options"), (F.size("a") > 1).alias("multivalue"))
+
+
+@query("er17_sc48_register_or_requeue", T.sql("SELECT version_id, CASE WHEN first < version_id AND first % 12 = 0 THEN 'requeue' WHEN first < version_id THEN 'duplicate' WHEN version_number > 1 THEN 'next_version' ELSE 'new' END AS decision FROM version JOIN (SELECT checksum, min(version_id) AS first FROM version GROUP BY ALL) USING (checksum)", "version"))
+def register_or_requeue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text that is known already is queued again if its job failed in a way that can pass (here: each twelfth)."""
+    v = T.versions(spark, sf_dir)
+    first = v.groupBy("checksum").agg(F.min("version_id").alias("first"))
+    known = F.col("first") < F.col("version_id")
+    decision = F.when(known & (F.col("first") % 12 == 0), "requeue").when(known, "duplicate").when(F.col("version_number") > 1, "next_version").otherwise("new")
+    return v.join(first, "checksum").select("version_id", decision.alias("decision"))
 
 
 @query("er7_jn10_jn11_supersession", T.sql("SELECT o.o_custkey AS value_id, NOT bool_or(o.o_orderkey IN (SELECT max(o_orderkey) FROM orders GROUP BY o_orderpriority, o_custkey % 100)) AS superseded FROM orders o GROUP BY ALL"))

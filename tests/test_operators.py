@@ -1,5 +1,6 @@
 """Operators of the engine on small tables, with the edge cases that matter."""
 
+import random
 from datetime import datetime
 
 import pytest
@@ -126,7 +127,7 @@ def test_dialogue_steps():
 
 
 def test_pages(spark):
-    html = '<html><title> T </title><body><nav>skip</nav><h1>Team</h1><div class="name">Ann</div><div class="role">CEO</div><p>Hi <b>you</b></p><a href="mailto:x@y">m</a><a href="b/c#f">l</a><a href="http://o.org/">o</a></body></html>'
+    html = '<html><title> T </title><body><nav>skip</nav><h1>Team</h1><div class="member-name">Ann</div><div class="role">CEO</div><p>Hi <b>you</b></p><a href="mailto:x@y">m</a><a href="b/c#f">l</a><a href="http://o.org/">o</a></body></html>'
     pages = spark.createDataFrame([(1, "http://e.com/a/", html), (2, "http://e.com", None)], "page_id long, url string, html string")
     found = {r.page_id: r for r in crawl.page_text(pages).collect()}
     assert found[1].markdown.split("\n")[:4] == ["# Team", "Ann", "CEO", "Hi you"] and found[1].team == ["Ann: CEO"] and found[2].markdown == ""
@@ -134,3 +135,87 @@ def test_pages(spark):
     assert one(spark, crawl.sitemap_urls(F.lit("User-agent: *\nSITEMAP: http://e.com/s.xml "))) == "http://e.com/s.xml"
     assert one(spark, crawl.sitemap_locations(F.lit("<?xml version='1.0'?><urlset><url><loc> a </loc></url></urlset>"))) == ["a"]
     assert one(spark, crawl.sitemap_locations(F.lit("<sitemapindex><loc>a</loc></sitemapindex>"))) is None
+
+
+def test_address_classes_are_the_librarys(spark):
+    import ipaddress
+
+    from marlstone.functions.answers import unsafe_address
+
+    draw = random.Random(3)
+    four = [f"{draw.choice([0, 8, 10, 100, 127, 169, 172, 192, 198, 203, 224, 239, 240, 255])}.{draw.choice([0, 16, 18, 19, 31, 51, 64, 100, 127, 168, 254, 255])}.{draw.choice([0, 2, 100, 113, 255])}.{draw.choice([0, 1, 8, 170, 255])}" for _ in range(400)]
+    six = ["::1", "::", "fe80::1", "ff02::1", "fc00::5", "fd12:3456::1", "2001:db8::1", "2606:4700::1111", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "2001:4860:4860:0:0:0:0:8888"]
+    bad = ["256.1.1.1", "1.2.3", "", "x", "1.2.3.4.5", ":::1", "1::2::3"]
+    found = {r.a: r.u for r in spark.createDataFrame([(a,) for a in four + six + bad], "a string").select("a", unsafe_address(F.col("a")).alias("u")).distinct().collect()}
+    for a in four + six:
+        ip = ipaddress.ip_address(a)
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        marks = {"loopback": ip.is_loopback, "link-local": ip.is_link_local, "unspecified": ip.is_unspecified, "multicast": ip.is_multicast, "reserved": ip.is_reserved, "private": ip.is_private}
+        expected = next((k for k, v in marks.items() if v), None if ip.is_global else "not globally routable")
+        assert found[a] == expected, (a, found[a], expected)
+    assert {found[a] for a in bad} == {"not an address"}
+
+
+def test_team_members_by_whole_classes():
+    from marlstone.operators.crawl import _Page
+
+    page = _Page()
+    page.feed('<b class="hostname">srv1</b><i class="role">x</i><div class="wrap member-name">Ann <b>Bo</b></div><br><p class="member_title pb-3">CTO</p><p class="designation">none left</p><span class="team_member_name">Cy</span><span class="position">Dev</span>')
+    page.close()
+    assert page.team == [("Ann Bo", "CTO"), ("Cy", "Dev")]
+
+
+def test_values_that_differ_in_dashes_are_one(spark):
+    from marlstone.operators.resolution import collapse_near_duplicates
+
+    rows = [("g", "Phase – one “final”"), ("g", "phase - one \"final\""), ("g", "Another thing altogether"), ("h", "phase - one")]
+    found = collapse_near_duplicates(spark.createDataFrame(rows, "group string, value string")).collect()
+    assert sorted(map(tuple, found)) == [("g", "Another thing altogether"), ("g", "Phase – one “final”"), ("h", "phase - one")]
+
+
+def test_merge_plan_rules(spark):
+    from marlstone.operators.resolution import merge_plan, merged_ids
+
+    rows = [("1", "Methodology", "Agile"), ("2", "Process", "agile "), ("3", "Development Process", "AGILE"), ("4", "Process", "Other"), ("5", "Company", "eBay"), ("6", "company", "ebay"), ("7", "Technology", "PostgreSQL"), ("8", "Database", "postgresql")]
+    facts = [("1", 39), ("2", 14), ("3", 2), ("5", 1), ("6", 1), ("7", 8), ("8", 1)]
+    entities = spark.createDataFrame(rows, "entity_id string, entity_type string, name string")
+    plan = merge_plan(entities, spark.createDataFrame(facts, "entity_id string, facts long"), {"company": "Company"}, {"postgresql": "Database"})
+    found = {r.name_norm: (r.survivor, r.chosen_type, r.label) for r in plan.collect()}
+    # the rarest type must carry a fifth of the facts; a reviewed type wins; the best-cased name is the label
+    assert found == {"agile": ("1", "Methodology", "AGILE"), "ebay": ("5", "Company", "eBay"), "postgresql": ("7", "Database", "PostgreSQL")}
+    assert sorted(map(tuple, merged_ids(entities, plan).collect())) == [("2", "1"), ("3", "1"), ("6", "5"), ("8", "7")]
+
+
+def test_chunks_of_a_version_are_replaced_on_disk(spark, tmp_path):
+    from marlstone.operators.extraction import write_chunks
+
+    path = f"{tmp_path}/chunks"
+    rows = lambda r: spark.createDataFrame(r, "version_id long, chunk_index int, checksum string")
+    write_chunks(rows([(1, 0, "a"), (1, 1, "b"), (2, 0, "c")]), path)
+    write_chunks(rows([(1, 0, "z")]), path)
+    assert sorted((r.version_id, r.chunk_index, r.checksum) for r in spark.read.parquet(path).collect()) == [(1, 0, "z"), (2, 0, "c")]
+
+
+def test_source_types_in_no_category_fail(spark):
+    from marlstone.operators.chunking import chunk_document
+
+    docs = spark.createDataFrame([(1, "a b c", "PDF"), (2, "", "CSV"), (3, None, "??")], "doc_id long, text string, source_type string")
+    assert [r.chunk for r in chunk_document(docs, ["PDF"], ["CSV"]).collect()] == ["a b c"]
+    with pytest.raises(Exception, match="not exactly one category"):
+        chunk_document(docs, ["PDF"], ["PDF"]).collect()
+
+
+def test_scores_in_blocks(spark, monkeypatch):
+    from marlstone.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 4)
+    vectors = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(11)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0])]
+    chunks = spark.createDataFrame(vectors, "chunk_id long, embedding array<float>")
+    found = retrieval.score(chunks, chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("probe"))).collect()
+    assert len(found) == 11 * 11 + 1
+    for r in found:
+        a, b = dict(vectors)[r.chunk_id], dict(vectors)[r.query_id]
+        assert abs(r.sim - sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(x * x for x in b)) ** 0.5) < 1e-9
+    best = retrieval.top_hits(retrieval.score(chunks, chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("probe")), k=2), threshold=-1.0, k=2, margin=0)
+    assert {(r.query_id, r.chunk_id) for r in best.where("query_id < 90").collect()} >= {(i, i) for i in range(5)}

@@ -167,6 +167,17 @@ def test_windows_that_agree_in_one_hash_only_are_not_equal():
     assert [(int(f["order"]), int(f["start"]), int(f["count"]), int(f["source"]), int(f["at"])) for f in found] == [(2, 0, 1, 1, 0), (3, 0, 2, 1, 1)]
 
 
+def test_payloads_keep_their_numbers():
+    draw = np.random.default_rng(5)
+    for n in (0, 1, 7):
+        head = np.empty(n, substrings._HEAD)
+        head["order"], head["row"], head["first"], head["size"] = draw.integers(-(1 << 60), 1 << 60, n), draw.integers(0, 1 << 32, n), draw.integers(0, 1 << 32, n), draw.integers(1, 33, n)
+        many = int(head["size"].astype(int).sum())
+        keys, checks = draw.integers(0, 1 << 64, many, np.uint64), draw.integers(0, 1 << (8 * substrings.CHECK_BYTES), many).astype(np.uint32)
+        back, (k, c) = substrings._unpack(substrings._pack(head, (keys, checks)))
+        assert (back == head).all() and (k == keys).all() and (c == checks).all() and len(k) == many
+
+
 def test_long_words_and_gaps_are_hashed_alike_in_pieces(monkeypatch):
     texts = [b"ab  cd " * 50 + b"x" * 300 + b" ab", None, b"", b" \n ", b"cd " * 100]
     whole = substrings._word_hashes(texts)

@@ -146,7 +146,7 @@ _FACTOR = np.dtype([("order", "<i8"), ("row", "<u4"), ("start", "<u4"), ("count"
 
 def _planes(column: np.ndarray) -> bytes:
     """A column byte by byte: all first bytes, then all second ones, and so on. The shuffle compresses that better."""
-    return np.ascontiguousarray(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), -1).T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(column).view(np.uint8).reshape(len(column), column.itemsize).T).tobytes()
 
 
 def _pack(head: np.ndarray, windows: Windows) -> bytes:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import written
 
 
 def undirected(relations: DataFrame) -> DataFrame:
@@ -24,12 +24,12 @@ def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node, depth): nodes within some hops, each at its least depth, by levels: a node that was seen is not
     expanded again, so hubs cost their edges once and no path is enumerated. Each level is written before the next.
     """
-    edges = cut(edges)
+    edges = written(edges)
     seen = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(0).alias("depth"))
     level = seen
     for depth in range(1, hops + 1):
         step = level.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
-        level = cut(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(level)
     return seen
 
@@ -44,7 +44,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_nodes: int = 4) -
     """(position, entity_id) of the first shortest path by its nodes' order, of at most most_nodes nodes; no row if there
     is none. Levels keep each node's least path, so hubs are not enumerated.
     """
-    spark, edges = edges.sparkSession, cut(edges)
+    spark, edges = edges.sparkSession, written(edges)
     seen = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     level = seen
     for _ in range(most_nodes - 1):
@@ -52,7 +52,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_nodes: int = 4) -
             break
         step = level.join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path"))
         step = step.join(seen.select("node"), "node", "left_anti")
-        level = cut(step.select("node", F.concat("path", F.array("node")).alias("path")))
+        level = written(step.select("node", F.concat("path", F.array("node")).alias("path")))
         seen = seen.unionByName(level)
     return seen.where(F.col("node") == end).select(F.posexplode("path").alias("position", "entity_id"))
 

@@ -39,3 +39,45 @@ def rate_limited(events: DataFrame, seconds: int, most: int, principal: str = "u
     rows = events.select(principal, event, ts, start)
     number = F.row_number().over(W.partitionBy(principal, "window_start").orderBy(ts, event))
     return rows.withColumn("n", number).withColumn("rejected", F.col("n") > most).withColumn("retry_after", F.when(F.col("rejected"), F.greatest(F.lit(1), F.col("window_start") + seconds - F.unix_seconds(F.col(ts)))))
+
+
+def completed(jobs: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """jobs (job_id, source_id, status, failure_kind, attempt_count, started_at) with outcomes (job_id, outcome, kind)
+    written back, and wait, the seconds until the next attempt. A failure goes by decide(); any other outcome is the
+    new status, and leaves the attempts as they were. Jobs without an outcome stay. outcomes holds a job once.
+    """
+    told = outcomes.select("job_id", F.col("outcome").alias("_outcome"), F.col("kind").alias("_kind"))
+    rows = jobs.join(told, "job_id", "left").withColumn("_d", decide(F.col("_kind"), F.coalesce("attempt_count", F.lit(0))))
+    failed, done = F.col("_outcome") == "FAILED", F.col("_outcome").isNotNull()
+    return rows.select(
+        "job_id", "source_id", F.when(failed, F.col("_d.status")).otherwise(F.coalesce("_outcome", "status")).alias("status"), F.when(done, F.col("_kind")).otherwise(F.col("failure_kind")).alias("failure_kind"),
+        F.when(failed, F.col("_d.attempts")).otherwise(F.col("attempt_count")).alias("attempt_count"), "started_at", F.when(failed, F.col("_d.wait")).alias("wait"),
+    )
+
+
+def cutover(versions: DataFrame, sources: DataFrame, ready: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """versions (version_id, source_id, status) and sources (source_id, current_version, is_active) after the ready versions
+    (source_id, new_version; a source once) went live: the new one is INDEXED, the one it replaces STALE.
+    """
+    moved = sources.join(ready.select("source_id", "new_version"), "source_id", "left")
+    marks = moved.where("new_version IS NOT NULL").select(F.explode(F.array(F.struct(F.col("new_version").alias("_id"), F.lit("INDEXED").alias("_status")), F.struct(F.col("current_version").alias("_id"), F.lit("STALE").alias("_status")))).alias("m")).select("m.*")
+    marks = marks.where("_id IS NOT NULL").groupBy("_id").agg(F.min("_status").alias("_status"))  # a version that was current already stays INDEXED
+    left = versions.join(marks, F.col("version_id") == F.col("_id"), "left").select("version_id", "source_id", F.coalesce("_status", "status").alias("status"))
+    return left, moved.select("source_id", F.coalesce("new_version", "current_version").alias("current_version"), "is_active")
+
+
+def soft_deleted(sources: DataFrame, gone: DataFrame) -> DataFrame:
+    """sources with is_active false where gone (source_id) names them; nothing else changes."""
+    marked = sources.join(gone.select("source_id", F.lit(True).alias("_gone")).distinct(), "source_id", "left")
+    return marked.withColumn("is_active", F.col("is_active") & F.col("_gone").isNull()).select(*sources.columns)
+
+
+def refresh_outcomes(events: DataFrame, login: Column, reused: Column, principal: str = "user_id", ts: str = "ts", event: str = "event_id") -> DataFrame:
+    """events with outcome: issued at a login; rotated where the newest token is presented; reuse where a spent one is, and
+    from there on, as all tokens of the principal are revoked, until the next login; unknown before the first one.
+    """
+    so_far = W.partitionBy(principal).orderBy(ts, event).rowsBetween(W.unboundedPreceding, 0)
+    last = lambda when: F.max(F.when(when, F.struct(ts, event))).over(so_far)
+    rows = events.withColumns({"_login": last(login), "_reuse": last(reused & ~login)})
+    outcome = F.when(login, "issued").when(F.col("_login").isNull(), "unknown").when(F.col("_reuse") > F.col("_login"), "reuse").otherwise("rotated")
+    return rows.withColumn("outcome", outcome).drop("_login", "_reuse")

@@ -198,3 +198,10 @@ def collapse_near_duplicates(rows: DataFrame, ratio: float = 0.92, most: int = 2
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")))
         known = settled.join(F.broadcast(sizes), F.col("group").eqNullSafe(F.col("large"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
         todo = cut(dealt.select("group", "value", "part").groupBy("group", "part").cogroup(known.select("group", "value", "part").groupBy("group", "part")).applyInPandas(unmatched, shape))
+
+
+def collapse_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(removed, affected, attributes): rows (group, value) that a collapse took away, groups that lost any, all groups."""
+    n = lambda df, name: df.where("value IS NOT NULL").groupBy("group").agg(F.count(F.lit(1)).alias(name))
+    both = n(before, "n").join(n(after, "m").withColumnRenamed("group", "kept_group"), F.col("group").eqNullSafe(F.col("kept_group")))
+    return both.agg(F.coalesce(F.sum(F.col("n") - F.col("m")), F.lit(0)).alias("removed"), F.count_if(F.col("n") > F.col("m")).alias("affected"), F.count(F.lit(1)).alias("attributes"))

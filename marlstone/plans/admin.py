@@ -70,11 +70,14 @@ def multivalue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.groupBy(F.col("o_orderstatus").alias("attribute")).agg(F.bool_or(F.col("n") > 1).alias("multivalue"))
 
 
-@query("ag14_window_merge", "SELECT conv_id, min_by(role, turn) FILTER (WHERE role IS NOT NULL) AS first_role, string_agg(CAST(turn AS VARCHAR) || ':' || role, '|' ORDER BY turn) AS merged FROM conversations GROUP BY conv_id")
+@query("ag14_window_merge", "SELECT conv_id, min_by(entity, turn) FILTER (WHERE entity IS NOT NULL) AS entity, array_to_string(flatten(list(facts ORDER BY turn)), '|') AS facts FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN role || turn END AS entity, [role || turn, CAST(length(text) AS VARCHAR)] AS facts FROM conversations) GROUP BY conv_id")
 def window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    item = F.struct("turn", F.concat(F.col("turn").cast("string"), F.lit(":"), F.col("role")).alias("item"))
-    made = T.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.array_sort(F.collect_list(item)).alias("a"))
-    return made.select("conv_id", "first_role", F.array_join(F.transform("a", lambda x: x["item"]), "|").alias("merged"))
+    """Turns as the windows of one chunk: the first entity that any of them names, and the facts of all in order."""
+    name = F.concat("role", F.col("turn").cast("string"))
+    windows = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "assistant", name).alias("entity"), F.array(name, F.length("text").cast("string")).alias("facts"))
+    first = F.min_by("entity", F.when(F.col("entity").isNotNull(), F.col("turn")))
+    made = windows.groupBy("conv_id").agg(first.alias("entity"), F.array_sort(F.collect_list(F.struct("turn", "facts"))).alias("a"))
+    return made.select("conv_id", "entity", F.array_join(F.flatten(F.transform("a", lambda x: x["facts"])), "|").alias("facts"))
 
 
 @query("ag25_top_and_rest", "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_type) AS rn FROM c) SELECT CASE WHEN rn <= 10 THEN p_type ELSE 'other' END AS bucket, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL")
@@ -90,8 +93,25 @@ def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("url").startswith("https:")).alias("secure"), F.count_if(F.col("html").contains("<h1>")).alias("with_heading"))
 
 
-@query("jn2_jn8_job_listing", T.sql("SELECT j.job_id, j.status, s.version_id AS latest FROM job j LEFT JOIN (SELECT * FROM version WHERE version_number = 1) s ON j.source_id = s.version_id", "job", "version"))
+@query("jn2_sources_with_categories", "SELECT c_custkey, n_name AS category, l.quality FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 2) n ON c_nationkey = n_nationkey LEFT JOIN labels l ON c_custkey = l.doc_id")
+def sources_with_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two dimensions that a row may lack: nations of one region are not listed, and only some keys have a label."""
+    nation = T.read(spark, sf_dir, "nation").where("n_regionkey <> 2").select("n_nationkey", F.col("n_name").alias("category"))
+    labels = T.read(spark, sf_dir, "labels").select("doc_id", "quality")
+    c = T.read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return c.join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(labels, F.col("c_custkey") == F.col("doc_id"), "left").select("c_custkey", "category", "quality")
+
+
+@query("jn8_job_listing", "SELECT o_orderkey AS job_id, o_orderstatus AS status, c_name AS source FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey")
 def job_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as jobs of customers; a job whose source is gone stays, without a name."""
+    source = T.read(spark, sf_dir, "customer").where("c_acctbal >= 0").select("c_custkey", F.col("c_name").alias("source"))
+    jobs = T.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.col("o_orderstatus").alias("status"), "o_custkey")
+    return jobs.join(source, F.col("o_custkey") == F.col("c_custkey"), "left").select("job_id", "status", "source")
+
+
+@query("jn2_jn8_job_listing", T.sql("SELECT j.job_id, j.status, s.version_id AS latest FROM job j LEFT JOIN (SELECT * FROM version WHERE version_number = 1) s ON j.source_id = s.version_id", "job", "version"))
+def first_version_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = T.versions(spark, sf_dir).where("version_number = 1").select(F.col("version_id").alias("latest"))
     return T.jobs(spark, sf_dir).join(first, F.col("source_id") == F.col("latest"), "left").select("job_id", "status", "latest")
 

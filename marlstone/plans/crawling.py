@@ -52,9 +52,9 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.page_text(T.read(spark, sf_dir, "pages"))
 
 
-@query("src5_so11_frontier_step", f"SELECT DISTINCT href FROM ({HREFS}) WHERE href NOT IN ('/the', '/of') ORDER BY href LIMIT 100")
+@query("src5_so11_frontier_step", f"SELECT DISTINCT href FROM ({HREFS}) WHERE href NOT IN (SELECT href FROM (" + HREFS.replace("FROM pages", "FROM pages WHERE page_id % 3 = 0") + ")) ORDER BY href LIMIT 100")
 def frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = T.read(spark, sf_dir, "pages")
-    seen = spark.createDataFrame([("/the",), ("/of",)], "href string")
-    found = pages.select(F.explode(C.hrefs(F.col("html"))).alias("href")).distinct()
-    return found.join(F.broadcast(seen), "href", "left_anti").orderBy("href").limit(100)
+    links = pages.select("page_id", F.explode(C.hrefs(F.col("html"))).alias("href"))
+    visited = links.where("page_id % 3 = 0").select("href").distinct()
+    return links.select("href").distinct().join(visited, "href", "left_anti").orderBy("href").limit(100)

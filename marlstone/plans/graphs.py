@@ -10,11 +10,7 @@ from ..operators import graph as G
 from ..sources import tables as T
 from .base import query
 
-EDGES = "edges AS (SELECT source_id AS a, target_id AS b FROM relation WHERE relation_type = 'belongs_to' UNION SELECT target_id, source_id FROM relation WHERE relation_type = 'belongs_to')"
-
-
-def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.relations(spark, sf_dir).where("relation_type = 'belongs_to'")
+EDGES = "edges AS (SELECT source_id AS a, target_id AS b FROM relation UNION SELECT target_id, source_id FROM relation)"
 
 
 def _reach_sql(start: str, hops: int) -> str:
@@ -25,26 +21,39 @@ def _reach_sql(start: str, hops: int) -> str:
     return T.sql("", "relation").rstrip() + f", {EDGES}, {', '.join(levels)}, reached AS ({' UNION ALL '.join(f'SELECT * FROM l{i}' for i in range(hops + 1))})"
 
 
-@query("gr4_gr7_gr9_k_hop_depths", _reach_sql("region:3", 2) + " SELECT node, CAST(depth AS INTEGER) AS depth FROM reached")
+@query("gr4_gr7_gr9_k_hop_depths", _reach_sql("region:3", 3) + " SELECT node, CAST(depth AS INTEGER) AS depth FROM reached")
 def k_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = T.entities(spark, sf_dir).where("entity_id = 'region:3'")
-    return G.reach(G.undirected(_places(spark, sf_dir)), start, 2).select("node", "depth")
+    return G.reach(G.undirected(T.relations(spark, sf_dir)), start, 3).select("node", "depth")
 
 
-@query("gr6_jn24_so8_shortest_path", T.sql("", "relation", "entity").rstrip().replace("WITH", "WITH RECURSIVE", 1) + f""", {EDGES},
-walk AS (SELECT ['nation:7'] AS path UNION ALL SELECT list_append(path, b) FROM walk JOIN edges ON path[-1] = a WHERE len(path) < 4 AND NOT list_contains(path, b) AND (b LIKE 'nation:%' OR b LIKE 'region:%')),
-best AS (SELECT path FROM walk WHERE path[-1] = 'nation:6' ORDER BY len(path), path LIMIT 1)
-SELECT CAST(u.pos - 1 AS INTEGER) AS position, u.id AS entity_id, name FROM (SELECT unnest(path) AS id, unnest(range(1, len(path) + 1)) AS pos FROM best) u JOIN entity ON u.id = entity_id""")
+def _path_sql(start: str, end: str, most_nodes: int) -> str:
+    levels = [f"l0 AS (SELECT '{start}' AS node, ['{start}'] AS path)"]
+    for d in range(1, most_nodes):
+        seen = " UNION ALL ".join(f"SELECT node FROM l{i}" for i in range(d))
+        levels.append(f"l{d} AS (SELECT b AS node, list_append(min(path), b) AS path FROM l{d - 1} JOIN edges ON node = a WHERE b NOT IN ({seen}) GROUP BY b)")
+    found = " UNION ALL ".join(f"SELECT path FROM l{i} WHERE node = '{end}'" for i in range(most_nodes))
+    return T.sql("", "relation", "entity").rstrip() + f", {EDGES}, {', '.join(levels)}, best AS ({found}) SELECT CAST(u.pos - 1 AS INTEGER) AS position, u.id AS entity_id, name FROM (SELECT unnest(path) AS id, unnest(range(1, len(path) + 1)) AS pos FROM best) u JOIN entity ON u.id = entity_id"
+
+
+@query("gr6_jn24_so8_shortest_path", _path_sql("supplier:1", "supplier:2", 4))
 def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nations = _places(spark, sf_dir).where(F.col("source_id").startswith("nation:"))
-    path = G.shortest_path(G.undirected(nations), "nation:7", "nation:6")
+    """Two suppliers, by way of a nation or of a part that both provide."""
+    path = G.shortest_path(G.undirected(T.relations(spark, sf_dir)), "supplier:1", "supplier:2")
     return path.join(T.entities(spark, sf_dir), "entity_id").select("position", "entity_id", "name")
 
 
-@query("ag23_gr8_leaf_folds", T.sql("SELECT target_id AS hub, count(*) AS leaves FROM relation WHERE source_id LIKE 'customer:%' GROUP BY ALL HAVING count(*) >= 3", "relation"))
+@query("jn16_recursive_walk", T.sql("", "relation").rstrip().replace("WITH", "WITH RECURSIVE", 1) + ", walk AS (SELECT 'customer:' || c_custkey AS start, 'customer:' || c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT start, target_id, depth + 1 FROM walk JOIN relation ON node = source_id WHERE depth < 3) SELECT start, node, min(depth) AS depth FROM walk GROUP BY ALL")
+def recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The walk along the relations' direction from every customer: a recursive join, each level written once."""
+    along = T.relations(spark, sf_dir).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"))
+    return G.reach(along, T.entities(spark, sf_dir).where("entity_type = 'customer'"), 3)
+
+
+@query("ag23_gr8_leaf_folds", T.sql("", "relation").rstrip() + f""", {EDGES}, leaf AS (SELECT id FROM (SELECT source_id AS id FROM relation UNION ALL SELECT target_id FROM relation) GROUP BY id HAVING count(*) = 1)
+SELECT b AS hub, count(*) AS leaves FROM edges JOIN leaf ON a = id GROUP BY ALL HAVING count(*) >= 3""")
 def leaf_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _places(spark, sf_dir).where(F.col("source_id").startswith("customer:"))
-    return G.leaf_folds(T.entities(spark, sf_dir), rows)
+    return G.leaf_folds(T.entities(spark, sf_dir), T.relations(spark, sf_dir))
 
 
 def _histogram(relations: DataFrame) -> DataFrame:

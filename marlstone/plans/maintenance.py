@@ -190,16 +190,26 @@ def register(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(first, "checksum").select("version_id", F.when(F.col("first") < F.col("version_id"), "duplicate").when(F.col("version_number") > 1, "next_version").otherwise("new").alias("decision"))
 
 
+def _named_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("group"), F.col("p_name").alias("value"))
+
+
 @query("ag28_ag29_collapse_statistics", "WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS before, count(DISTINCT round(c_acctbal / 100)) AS after FROM customer GROUP BY ALL) SELECT CAST(sum(before - after) AS BIGINT) AS removed, count_if(before > after) AS affected, count(*) AS attributes FROM c")
-def collapse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rounded_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = T.read(spark, sf_dir, "customer").groupBy("c_nationkey", "c_mktsegment").agg(F.count(F.lit(1)).alias("before"), F.countDistinct(F.round(F.col("c_acctbal") / 100)).alias("after"))
     return c.agg(F.sum(F.col("before") - F.col("after")).alias("removed"), F.count_if(F.col("before") > F.col("after")).alias("affected"), F.count(F.lit(1)).alias("attributes"))
 
 
 @query("er5_jn18_collapse_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = T.read(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", "p_size").alias("group"), F.col("p_name").alias("value"))
-    return R.collapse_near_duplicates(parts)
+    return R.collapse_near_duplicates(_named_parts(spark, sf_dir))
+
+
+@query("ag28_collapse_statistics")
+def collapse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the collapse of near-duplicates removes: values gone, and attributes that lost any."""
+    parts = _named_parts(spark, sf_dir)
+    return R.collapse_statistics(parts, R.collapse_near_duplicates(parts))
 
 
 @query("sc1_er16_normalized_values")

@@ -39,11 +39,14 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.selectExpr("seconds", DURATION.replace("//", "div").replace("s = ", "seconds = ").replace("s % ", "seconds % ").replace("(s div", "(seconds div").replace("ELSE s ||", "ELSE seconds ||") + " AS text")
 
 
-@query("jn23_citations", "SELECT conv_id, array_to_string([r[i] FOR i IN [1, 3, 9] IF i <= len(r)], ',') AS cited FROM (SELECT conv_id, list(role ORDER BY turn) AS r FROM conversations GROUP BY ALL)")
+@query("jn23_citations", "SELECT conv_id, array_to_string([r[i] FOR i IN [0, conv_id % 11 - 1, 2, 9] IF i BETWEEN 1 AND len(r)], ',') AS cited FROM (SELECT conv_id, list(turn || ':' || role ORDER BY turn) AS r FROM conversations GROUP BY ALL)")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = T.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"))
-    cited = F.filter(F.array(F.lit(1), F.lit(3), F.lit(9)), lambda i: i <= F.size("r"))
-    return made.select("conv_id", F.array_join(F.transform(cited, lambda i: F.element_at("r", i)["role"]), ",").alias("cited"))
+    """Cited places from 1, some of them out of range; no conversation is collected beyond the last place cited."""
+    place = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = T.read(spark, sf_dir, "conversations").select("conv_id", place.alias("place"), F.concat_ws(":", F.col("turn").cast("string"), "role").alias("item")).where("place <= 9")
+    made = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("place", "item"))).alias("r"))
+    asked = F.array(F.lit(0), (F.col("conv_id") % 11 - 1).cast("int"), F.lit(2), F.lit(9))
+    return made.select("conv_id", F.array_join(F.transform(F.filter(asked, lambda i: i.between(1, F.size("r"))), lambda i: F.element_at("r", i)["item"]), ",").alias("cited"))
 
 
 @query("jn22_reply_to_window", "SELECT c.conv_id, c.turn, coalesce(r.role, 'none') AS reply_role FROM conversations c LEFT JOIN conversations r ON c.conv_id = r.conv_id AND c.turn + 1 = r.turn")
@@ -65,13 +68,6 @@ def expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").where("ts >= timestamp_ntz'2024-01-20 00:00:00'").select("event_id", F.lower(F.regexp_extract(text, "([0-9A-F]{32})", 1)).alias("ticket"))
 
 
-@query("jn16_recursive_walk", T.sql("", "relation").rstrip().replace("WITH", "WITH RECURSIVE", 1) + ", walk AS (SELECT 'customer:1' AS node, 0 AS depth UNION ALL SELECT target_id, depth + 1 FROM walk JOIN relation ON node = source_id WHERE depth < 3) SELECT DISTINCT node, depth FROM walk")
-def recursive_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The upward walk as a recursive SQL query: every node has one parent, so its rows stay few."""
-    T.relations(spark, sf_dir).createOrReplaceTempView("walk_relation")
-    return spark.sql("WITH RECURSIVE walk(node, depth) AS (SELECT 'customer:1', 0 UNION ALL SELECT target_id, depth + 1 FROM walk JOIN walk_relation ON node = source_id WHERE depth < 3) SELECT DISTINCT node, depth FROM walk")
-
-
 VOCABULARY = {"building": "construction", "automobile": "automotive", "machinery": "industrial", "household": "home", "furniture": "home"}
 
 

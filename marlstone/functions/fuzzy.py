@@ -5,33 +5,68 @@ from __future__ import annotations
 from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 # Matches that are looked for, and the least ratio of one.
 MATCHES, CUTOFF = 3, 0.6
+#: Confidence of a relation that no entry is close to.
+FREE = 0.30
 MATCH = StructType([StructField("canonical", StringType()), StructField("confidence", DoubleType()), StructField("alternates", StringType())])
 
 
+def _find(term: str, vocabulary: dict[str, str]) -> tuple[str | None, float | None, str | None]:
+    if term in vocabulary:
+        return vocabulary[term], 1.0, ""
+    close = get_close_matches(term, list(vocabulary), MATCHES, CUTOFF) if term else []
+    if not close:
+        return None, None, None
+    best, *others = dict.fromkeys(vocabulary[c] for c in close)
+    return best, round(SequenceMatcher(None, term, close[0]).ratio(), 2), ",".join(others)
+
+
 def match(term: Column, vocabulary: dict[str, str]) -> Column:
     """(canonical, confidence, alternates) of a term: its own entry with 1, else the closest entry of at least CUTOFF with
-    its ratio to two places and the next ones; nulls where nothing is close. The vocabulary (synonym to canonical, in
-    lower case) goes along with the function, so it must be small; each distinct term of a batch is matched once.
+    its ratio to two places, and the other canonical terms of the next ones; nulls where nothing is close, or the term is
+    null or empty. The vocabulary (synonym to canonical, in lower case) goes along with the function, so it must be small;
+    each distinct term of a batch is matched once.
     """
-    names = sorted(vocabulary)
-
-    def find(t: str) -> tuple[str | None, float | None, str | None]:
-        if t in vocabulary:
-            return vocabulary[t], 1.0, ""
-        close = get_close_matches(t, names, MATCHES, CUTOFF)
-        if not close:
-            return None, None, None
-        return vocabulary[close[0]], round(SequenceMatcher(None, t, close[0]).ratio(), 2), ",".join(dict.fromkeys(vocabulary[c] for c in close[1:]))
 
     @F.pandas_udf(MATCH)
     def run(terms: pd.Series) -> pd.DataFrame:
-        found = {t: find(t) for t in terms.dropna().unique()}
+        found = {t: _find(t, vocabulary) for t in terms.dropna().unique()}
         return pd.DataFrame([found.get(t, (None, None, None)) for t in terms], columns=["canonical", "confidence", "alternates"])
 
     return run(term)
+
+
+def match_relation(term: Column, vocabulary: dict[str, str]) -> Column:
+    """As match(), but a relation that is close to no entry stays, in snake case and with the confidence FREE."""
+    free = F.struct(F.replace(term, F.lit(" "), F.lit("_")).alias("canonical"), F.lit(FREE).alias("confidence"), F.lit("").alias("alternates"))
+    found = match(term, vocabulary)
+    return F.when(term.isNull() | (term == ""), F.lit(None).cast(MATCH)).when(found["canonical"].isNull(), free).otherwise(found)
+
+
+def match_attribute(entity_type: Column, term: Column, attributes: dict[str, list[str]], synonyms: dict[str, str]) -> Column:
+    """As match(), among the attributes of the entity type and those synonyms (to canonical attributes, in lower case) that
+    name one of them; nulls where the type has no attributes of its own.
+    """
+    scoped = {kind: {a.lower().translate(str.maketrans("-_", "  ")): a for a in own} | {s: a for s, a in synonyms.items() if a in own} for kind, own in attributes.items()}
+
+    @F.pandas_udf(MATCH)
+    def run(kinds: pd.Series, terms: pd.Series) -> pd.DataFrame:
+        found = {(k, t): _find(t, scoped[k]) for k, t in set(zip(kinds, terms, strict=True)) if k in scoped and isinstance(t, str)}
+        return pd.DataFrame([found.get(kt, (None, None, None)) for kt in zip(kinds, terms, strict=True)], columns=["canonical", "confidence", "alternates"])
+
+    return run(entity_type, term)
+
+
+def vocabulary_of(terms: DataFrame, normalized: Column, most: int = 10_000) -> dict[str, str]:
+    """(lower-case term to canonical) of a table of canonical terms (one column, term). A vocabulary goes along with tasks,
+    so one of more than `most` entries is an error.
+    """
+    rows = terms.select(normalized.alias("n"), F.col("term")).where("n IS NOT NULL").groupBy("n").agg(F.min("term").alias("term")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a vocabulary of more than {most} terms cannot be sent along")
+    return {r["n"]: r["term"] for r in sorted(rows)}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions.text import normalize_url
-from ..sources.shared import cut
+from ..sources.shared import written
 
 # File types by extension and by content type.
 TYPE_OF_EXTENSION = {"pdf": "PDF", "docx": "DOCX", "md": "MD", "markdown": "MD", "html": "HTML", "htm": "HTML"}
@@ -168,16 +168,16 @@ def crawl(roots: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:
     does. Each step takes the frontier's urls in order until most_pages are visited; what has no page counts as visited
     but is not returned. Only the number of visited pages comes to the driver.
     """
-    known = cut(links.select("url", "link").distinct())
-    frontier, visited, n, step = cut(roots.select("url").distinct()), None, 0, 0
+    known = written(links.select("url", "link").distinct())
+    frontier, visited, n, step = written(roots.select("url").distinct()), None, 0, 0
     while n < most_pages:
         batch = frontier if visited is None else frontier.join(visited.select("url"), "url", "left_anti")
-        batch = cut(batch.orderBy("url").limit(most_pages - n).withColumn("step", F.lit(step)))
+        batch = written(batch.orderBy("url").limit(most_pages - n).withColumn("step", F.lit(step)))
         took = batch.count()
         if not took:
             break
         n, step = n + took, step + 1
-        visited = batch if visited is None else cut(visited.unionByName(batch))
-        frontier = cut(known.join(batch.select("url"), "url").select(F.col("link").alias("url")).distinct())
+        visited = batch if visited is None else written(visited.unionByName(batch))
+        frontier = written(known.join(batch.select("url"), "url").select(F.col("link").alias("url")).distinct())
     pages = known.select("url").distinct()
     return visited.join(pages, "url", "left_semi") if visited is not None else roots.select("url", F.lit(0).alias("step")).limit(0)

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 #: Entities that are broadcast at most; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
 
@@ -26,7 +28,7 @@ def facts(values: DataFrame, relations: DataFrame, entities: DataFrame, of: Data
     before names are joined.
     """
     if of is not None:
-        ids = of.select(F.col("entity_id").alias("wanted")).distinct()
+        ids = written(of.select(F.col("entity_id").alias("wanted")).distinct())
         small = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
         only = lambda df, c: df.join(F.broadcast(ids) if small else ids, F.col(c) == F.col("wanted"), "left_semi")
     else:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import capitals, fold_value, normalize_name
-from ..sources.shared import cut
+from ..sources.shared import written
 
 # Fixed value: classes of characters that are counted to bound a matching ratio.
 CHARACTERS = 128
@@ -105,18 +105,18 @@ def reconcile(entities: DataFrame, relations: DataFrame, attributes: DataFrame,
     of relations and values count what goes because an equal row stays.
     """
     facts = values.groupBy("entity_id").agg(F.count(F.lit(1)).alias("facts"))
-    plan = cut(merge_plan(entities, facts, synonyms, reviewed))
-    ids = cut(merged_ids(entities, plan))
+    plan = written(merge_plan(entities, facts, synonyms, reviewed))
+    ids = written(merged_ids(entities, plan))
     canonical = canonical_type(F.col("entity_type"), synonyms)
     kept = entities.join(ids, F.col("entity_id") == F.col("old_id"), "left_anti")
     kept = kept.join(plan.select(F.col("survivor").alias("entity_id"), "chosen_type", "label"), "entity_id", "left")
     kept = kept.select("entity_id", F.when(canonical != F.col("entity_type"), canonical).otherwise(F.coalesce("chosen_type", "entity_type")).alias("entity_type"), F.coalesce("label", "name").alias("name"))
-    links = cut(first_of(repointed(relations, ids, "source_id", "target_id"), "relation_id", "source_id", "target_id", "relation_type"))
-    moved = cut(attribute_plan(attributes, synonyms))
+    links = written(first_of(repointed(relations, ids, "source_id", "target_id"), "relation_id", "source_id", "target_id", "relation_type"))
+    moved = written(attribute_plan(attributes, synonyms))
     gone = moved.where("old_id <> new_id").select("old_id", "new_id")
     namespace = canonical_type(F.col("namespace"), synonyms)
     left = attributes.join(gone, F.col("attribute_id") == F.col("old_id"), "left_anti").select("attribute_id", namespace.alias("namespace"), "name")
-    facts_left = cut(first_of(repointed(repointed(values, ids, "entity_id"), gone, "attribute_id"), "value_id", "entity_id", "attribute_id", "value"))
+    facts_left = written(first_of(repointed(repointed(values, ids, "entity_id"), gone, "attribute_id"), "value_id", "entity_id", "attribute_id", "value"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     report = n(ids, "entities_merged").crossJoin(n(entities.where(canonical != F.col("entity_type")), "entities_normalized")).crossJoin(n(gone, "attributes_merged"))
     report = report.crossJoin(n(attributes.where(namespace != F.col("namespace")), "attributes_normalized")).crossJoin(n(relations, "r")).crossJoin(n(links, "r_left")).crossJoin(n(values, "v")).crossJoin(n(facts_left, "v_left"))
@@ -190,14 +190,14 @@ def collapse_near_duplicates(rows: DataFrame, ratio: float = 0.92, most: int = 2
         if not sizes.take(1):
             settled = first.groupBy("group").applyInPandas(settle, shape)
             return settled if out is None else out.unionByName(settled)
-        settled = cut(first.groupBy("group").applyInPandas(settle, shape))
+        settled = written(first.groupBy("group").applyInPandas(settle, shape))
         out = settled if out is None else out.unionByName(settled)
         sizes = sizes.select(F.col("group").alias("large"), "parts")
         large = todo.join(F.broadcast(sizes), F.col("group").eqNullSafe(F.col("large")))
         rest = large.join(first.select(F.col("group").alias("g"), F.col("value").alias("v")), F.col("group").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v")), "left_anti")
         dealt = rest.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")))
         known = settled.join(F.broadcast(sizes), F.col("group").eqNullSafe(F.col("large"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        todo = cut(dealt.select("group", "value", "part").groupBy("group", "part").cogroup(known.select("group", "value", "part").groupBy("group", "part")).applyInPandas(unmatched, shape))
+        todo = written(dealt.select("group", "value", "part").groupBy("group", "part").cogroup(known.select("group", "value", "part").groupBy("group", "part")).applyInPandas(unmatched, shape))
 
 
 def collapse_statistics(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.text import any_term_matches, terms
 from ..operators import eav
 from ..sources import tables as T
-from ..sources.shared import cut
+from ..sources.shared import written
 from .base import query
 
 
@@ -35,7 +35,7 @@ def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("nl10_nl11_structured_lookup", _with(f"{QUESTIONS}, {RESOLVED}, {FACT}", "SELECT query_id, entity_id, branch, attribute, value, tier AS fallback FROM (SELECT query_id, r.entity_id, branch, attribute, value, CASE WHEN q_attribute IS NULL OR lower(attribute) = lower(q_attribute) THEN 0 ELSE 1 END AS tier FROM resolved r JOIN fact f ON r.entity_id = f.entity_id) QUALIFY tier = min(tier) OVER (PARTITION BY query_id)"))
 def structured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = T.entities(spark, sf_dir)
-    found = cut(eav.resolve(entities, F.broadcast(_questions(spark))))
+    found = written(eav.resolve(entities, F.broadcast(_questions(spark))))
     return eav.lookup(found, eav.facts(T.values(spark, sf_dir), T.relations(spark, sf_dir), entities, of=found))
 
 

@@ -78,6 +78,33 @@ def vocabulary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("m", fuzzy.match(F.col("term"), VOCABULARY)).select("c_custkey", "term", "m.*")
 
 
+@query("sc14_type_match")
+def type_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts' types, some of them cut short, against all types of the table as the vocabulary."""
+    part = T.read(spark, sf_dir, "part")
+    types = fuzzy.vocabulary_of(part.select(F.col("p_type").alias("term")), normalize_term(F.col("term")))
+    kind = F.col("p_partkey") % 3
+    asked = F.when(kind == 0, F.col("p_type")).when(kind == 1, F.substring("p_type", 2, 100)).otherwise(F.split_part("p_type", F.lit(" "), F.lit(1)))
+    return part.select("p_partkey", normalize_term(asked).alias("term")).withColumn("m", fuzzy.match(F.col("term"), types)).select("p_partkey", "term", "m.*")
+
+
+@query("sc14_relation_match")
+def relation_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types as relations, against two stored relation types and their synonyms."""
+    known = {"belongs to": "belongs_to", "provides": "provides", "purchased": "provides", "sign ups": "belongs_to"}
+    rows = T.read(spark, sf_dir, "events").select("event_id", normalize_term(F.col("event_type")).alias("term"))
+    return rows.withColumn("m", fuzzy.match_relation(F.col("term"), known)).select("event_id", "term", "m.*")
+
+
+@query("sc14_attribute_match")
+def attribute_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of all values as another type's extraction may name them, within what each type has."""
+    own = {"customer": ["acctbal", "mktsegment"], "supplier": ["acctbal"], "part": ["brand", "type", "size"]}
+    synonyms = {"account balance": "acctbal", "segment": "mktsegment", "maker": "brand"}
+    rows = T.values(spark, sf_dir).select("entity_id", "namespace", "attribute", normalize_term(F.when(F.col("attribute") == "acctbal", "account-balances").otherwise(F.substring("attribute", 1, 4))).alias("term"))
+    return rows.withColumn("m", fuzzy.match_attribute(F.col("namespace"), F.col("term"), own, synonyms)).select("entity_id", "attribute", "term", "m.*")
+
+
 @query("sc15_exact_canonical", "SELECT c_custkey, CASE lower(trim(c_mktsegment)) WHEN 'building' THEN 'construction' WHEN 'automobile' THEN 'automotive' WHEN 'machinery' THEN 'industrial' WHEN 'household' THEN 'home' WHEN 'furniture' THEN 'home' ELSE trim(c_mktsegment) END AS canonical FROM customer")
 def exact_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = F.create_map(*(F.lit(x) for kv in VOCABULARY.items() for x in kv))

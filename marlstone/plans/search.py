@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import cosine
 from ..operators import retrieval as R
 from ..sources import tables as T
-from ..sources.shared import cut
+from ..sources.shared import written
 from .base import query
 
 #: The stated query set, as a condition that Spark and DuckDB both read; it grows with the table.
@@ -66,7 +66,7 @@ RANKED = f"{HITS}, {FACTS}, results AS (SELECT query_id, 'chunk' AS kind, CAST(c
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = cut(_hits(spark, sf_dir))  # read twice below
+    hits = written(_hits(spark, sf_dir))  # read twice below
     facts = hits.groupBy("query_id", F.col("source_id").alias("item")).agg(F.max(1.0 - F.col("rank") / 10.0).alias("confidence"))
     return R.deduplicated(R.ranked(hits, facts))
 

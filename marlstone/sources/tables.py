@@ -66,8 +66,8 @@ def relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(version_id, source_id, version_number, status, checksum) of documents; a source is one of fifty shelves of a site."""
-    source = F.concat("source", F.lit("/"), (F.col("doc_id") % 50).cast("string"))
+    """(version_id, source_id, version_number, status, checksum) of documents; a source holds at most four hundred neighbours of a site."""
+    source = F.concat("source", F.lit("/"), F.expr("doc_id div 400").cast("string"))
     number = F.row_number().over(W.partitionBy("source_id").orderBy("version_id"))
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("version_id"), source.alias("source_id"), F.sha2("text", 256).alias("checksum"))
     status = F.when(F.col("version_id") % 5 == 0, "STALE").otherwise("INDEXED")
@@ -121,7 +121,7 @@ VIEWS = {
   UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'belongs_to' FROM customer
   UNION ALL SELECT DISTINCT 'supplier:' || l_suppkey, 'part:' || l_partkey, 'provides' FROM lineitem""",
     "version": """
-  SELECT doc_id AS version_id, source || '/' || (doc_id % 50) AS source_id, row_number() OVER (PARTITION BY source || '/' || (doc_id % 50) ORDER BY doc_id) AS version_number,
+  SELECT doc_id AS version_id, source || '/' || (doc_id // 400) AS source_id, row_number() OVER (PARTITION BY source || '/' || (doc_id // 400) ORDER BY doc_id) AS version_number,
          CASE WHEN doc_id % 5 = 0 THEN 'STALE' ELSE 'INDEXED' END AS status, sha256(text) AS checksum FROM documents""",
     "source": """
   SELECT source_id, split_part(source_id, '/', 1) AS site, current_version, current_version NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AS is_active

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .audit import OP13_SQL, op13_filter_audit
 from .chat import OP5_SQL, op5_chat_formatting
+from .curve import op12_packing
 from .decontamination import op4_decontamination
 from .language import op2_language_id
 from .packing import op6_best_fit_packing
@@ -24,10 +26,13 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op13_filter_audit": OP13_SQL,
 }

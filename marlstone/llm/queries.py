@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .audit import OP13_SQL, op13_filter_audit
 from .chat import OP5_SQL, op5_chat_formatting
+from .collocations import OP11_SQL, op11_collocations
 from .curve import op12_packing
 from .decontamination import op4_decontamination
 from .language import op2_language_id
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_simhash": op9_simhash,
     "op10_toxicity": op10_toxicity,
+    "op11_collocations": op11_collocations,
     "op12_packing": op12_packing,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -34,5 +36,6 @@ ORACLE_SQL = {
     "op1_quality_rules": OP1_SQL,
     "op5_chat_formatting": OP5_SQL,
     "op7_substring_dedup": OP7_SQL,
+    "op11_collocations": OP11_SQL,
     "op13_filter_audit": OP13_SQL,
 }

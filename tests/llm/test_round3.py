@@ -12,7 +12,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from marlstone.llm import audit, curve, queries
+from marlstone.llm import audit, collocations, curve, queries
 
 SF = "/root/testdata/sf0.01"
 BYTES = "byte_bpe_50k.json"
@@ -127,7 +127,7 @@ def test_audit_by_plain_loops(spark):
     assert len(audit.audit(docs, labels.limit(0)).collect()) == 1200
 
 
-@pytest.mark.parametrize("name", ["op13_filter_audit"])
+@pytest.mark.parametrize("name", ["op11_collocations", "op13_filter_audit"])
 def test_sql(spark, name):
     found = queries.QUERIES[name](spark, SF)
     expected = sql_rows(queries.ORACLE_SQL[name])
@@ -135,3 +135,58 @@ def test_sql(spark, name):
     assert columns == sorted(expected.columns)
     rows = lambda rs: sorted(map(tuple, rs), key=str)
     assert rows(found.select(columns).collect()) == rows(expected.select(*columns).fetchall())
+
+
+def test_slots_are_a_minimal_perfect_hash():
+    r = np.random.default_rng(3)
+    for n in (0, 1, 2, 70, 30_000):
+        keys = np.unique(r.integers(1, 1 << 63, (n, 3)).astype(np.uint64), axis=0)
+        keys[: n // 2, 2] = 0
+        keys[: n // 4, 1] = 0
+        slots = collocations.Slots(keys)
+        found = slots.find(*(np.ascontiguousarray(keys[:, i]) for i in range(3)))
+        assert sorted(found.tolist()) == list(range(n)) and (slots.keys[found] == keys).all()
+        other = r.integers(1, 1 << 63, 5_000).astype(np.uint64)
+        assert (slots.find(other) == -1).all() and (slots.find(other, other) == -1).all()
+        if n > 8:  # parts of other keys are no keys
+            assert (slots.find(keys[n // 2 :, 0].copy(), keys[n // 2 :, 1].copy()) == -1).all()
+
+
+def plain_collocations(rows, least, top, dominated=50):
+    counts, totals = {}, Counter()
+    for text, lang in rows:
+        lang = lang or "und"
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\\x0A-\\x0D]", low):
+            w = re.findall("[^\\x20\\x09]+", piece)
+            totals[lang] += len(w)
+            for k in (1, 2, 3):
+                for i in range(len(w) - k + 1):
+                    counts.setdefault(lang, Counter())[tuple(w[i : i + k])] += 1
+    out = []
+    for lang, f in counts.items():
+        found = []
+        for p, a in f.items():
+            if len(p) == 1 or a < least:
+                continue
+            if any(len(q) == 3 and b >= least and p in (q[:2], q[1:]) and 100 * b >= dominated * a for q, b in f.items()):
+                continue
+            score, k = min((1_000_000 * a * a // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+            found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, p.decode(), -a, left, right, totals[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(found)[:top], 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block, key_bits", [(collocations.BLOCK, 64), (40, 64), (collocations.BLOCK, 10)])
+def test_collocations_by_plain_counts(spark, monkeypatch, block, key_bits):
+    monkeypatch.setattr(collocations, "BLOCK", block)
+    r, words = random.Random(5), "Red fox ran FAR into the old été Été 日本 x\u00a0y x\x1cy a the the".split(" ")
+    rows = [("".join(r.choice(words) + r.choice([" ", " ", " ", "\t ", ", ", ".", "\n", "\r\n"]) for _ in range(r.randint(0, 60))), r.choice(["en", "de", None])) for _ in range(80)]
+    rows += [(None, "en"), ("", None), (" \n ", "fr"), ("ab " * 5_000, "fr"), ("q" * 200_000, "fr"), *[rows[0]] * 3]
+    docs = spark.createDataFrame([(t, lang, "k", 1) for t, lang in rows], "text string, lang string, w1 string, f int").repartition(5)
+    found = sorted(tuple(x) for x in collocations.collocations(docs, least=3, top=30, key_bits=key_bits).collect())
+    assert found == plain_collocations(rows, 3, 30)
+    if key_bits < 64:
+        assert collocations.frequent_words(docs, 3, key_bits)[1].seed > 0
+    else:
+        assert collocations.collocations(docs.limit(0)).collect() == []

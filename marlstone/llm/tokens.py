@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -18,6 +19,8 @@ NORMAL, BYTE = 1, 6
 #: Words that a worker remembers the counts of, and the longest of them.
 CACHE_WORDS, LONGEST_KEPT = 300_000, 64
 NO_RANK = np.iinfo(np.int32).max
+#: A run of more symbols is merged place by place from sorted lists: rounds over it would cost its square.
+LONG_RUN = 256
 _RUNS = re.compile(" +[^ ]*")
 
 
@@ -63,6 +66,7 @@ class PieceModel:
         self.safe = held
         self.code = np.full(0x110000, self.width - 1, np.int32)
         self.code[list(self.symbol)] = list(self.symbol.values())
+        self.pairs: dict[int, tuple[int, int]] | None = None  # made when a long run comes
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         keys = left.astype(np.int64) * self.width + right
@@ -91,6 +95,14 @@ class PieceModel:
         alone = (np.r_[True, ~inner] & np.r_[~inner, True])[: len(sym)]
         out += np.bincount(owner[alone & (sym < self.known)], minlength=len(words))
         sym, run, owner = sym[~alone], run[~alone], owner[~alone]
+        edges = np.flatnonzero(np.r_[True, run[1:] != run[:-1], True][: len(run) + 1]) if len(run) else np.zeros(1, np.int64)
+        long = np.flatnonzero(np.diff(edges) > LONG_RUN)
+        if len(long):
+            stays = np.ones(len(sym), bool)
+            for a, b in zip(edges[long].tolist(), edges[long + 1].tolist(), strict=True):
+                out[owner[a]] += self._merged_long(sym[a:b])
+                stays[a:b] = False
+            sym, run, owner = sym[stays], run[stays], owner[stays]
         rank, made = self._fresh(sym, run)
         while len(sym):
             starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
@@ -122,6 +134,61 @@ class PieceModel:
                 made[at] = m
         return out
 
+    def _merged_long(self, sym: np.ndarray) -> int:
+        """Known symbols that a run ends as. Places of one rank are swept from left to right, in a linked list; what a merge
+        makes is put off to its own rank's sweep, or comes at once if it is before the sweep's next place: n log n steps.
+        """
+        if self.pairs is None:
+            self.pairs = dict(zip(self.pair_keys.tolist(), zip(self.pair_ranks.tolist(), self.pair_out.tolist(), strict=True), strict=True))
+        rank, made = self._fresh(sym, np.zeros(len(sym), np.int64))
+        order = np.argsort(rank, kind="stable")
+        ranks, firsts = np.unique(rank[order], return_index=True)
+        sweeps = {int(r): p.tolist() for r, p in zip(ranks, np.split(order, firsts[1:]), strict=True) if r != NO_RANK}
+        waiting = list(sweeps)
+        heapq.heapify(waiting)
+        end, width, get = len(sym), self.width, self.pairs.get
+        ids, rank, made = sym.tolist(), rank.tolist(), made.tolist()
+        after, before = [*range(1, end + 1)], [*range(-1, end - 1)]
+        urgent: list[tuple[int, int]] = []
+        while waiting:
+            now = heapq.heappop(waiting)
+            places, i = sorted(sweeps.pop(now)), 0
+            while urgent or i < len(places):
+                if urgent and (i == len(places) or urgent[0] < (now, places[i])):
+                    r, at = heapq.heappop(urgent)
+                else:
+                    r, at, i = now, places[i], i + 1
+                if rank[at] != r:  # merged meanwhile, or another pair
+                    continue
+                ids[at] = made[at]
+                gone = after[at]
+                rank[gone] = -1
+                after[at] = follows = after[gone]
+                if follows < end:
+                    before[follows] = at
+                for left in (before[at], at):
+                    if left < 0 or (right := after[left]) >= end:
+                        if left == at:
+                            rank[at] = NO_RANK
+                        continue
+                    found = get(ids[left] * width + ids[right])
+                    if found is None:
+                        rank[left] = NO_RANK
+                        continue
+                    rank[left], made[left] = found
+                    if found[0] <= now:
+                        heapq.heappush(urgent, (found[0], left))
+                    elif (later := sweeps.get(found[0])) is not None:
+                        later.append(left)
+                    else:
+                        sweeps[found[0]] = [left]
+                        heapq.heappush(waiting, found[0])
+        at = count = 0
+        while at < end:
+            count += ids[at] < self.known
+            at = after[at]
+        return count
+
     def _fresh(self, sym: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rank, made = np.full(len(sym), NO_RANK, np.int32), np.zeros(len(sym), np.int32)
         if len(sym) > 1:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -44,6 +45,14 @@ def _classes() -> np.ndarray:
     return out
 
 
+def _spread(hashes: np.ndarray, n: int) -> np.ndarray:
+    return (((hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % n
+
+
+def _triple(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b) * np.uint64(0x94D049BB133111EB) + c
+
+
 def encode_passages(texts: list[str], all_words: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(passages by WIDTH, passages of each text). A text is cut into passages of PASSAGE words; one without a word is
     one empty passage. A passage's numbers: shares of each pair of neighbouring character classes, of each class at the
@@ -78,12 +87,12 @@ def encode_passages(texts: list[str], all_words: np.ndarray | None = None) -> tu
     powers = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
     inside = np.arange(len(chars)) - np.repeat(np.cumsum(width) - width, width)
     word = np.add.reduceat((points[chars].astype(np.uint64) + np.uint64(1)) * powers[inside & 63], np.cumsum(width) - width)
-    at, spread = 10 * CLASSES, lambda h, n: (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(40)).astype(np.int64) % n
-    share = np.bincount(passage * WORDS + spread(word, WORDS), minlength=total * WORDS).reshape(total, -1)
+    at = 10 * CLASSES
+    share = np.bincount(passage * WORDS + _spread(word, WORDS), minlength=total * WORDS).reshape(total, -1)
     out[:, at : at + WORDS] = share / np.maximum(n_words, 1)[:, None]
     inner = chars[cls[chars + 1] > 0]  # a run of three begins here and ends in the word or with the gap behind it
-    three = (points[inner].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + points[inner + 1]) * np.uint64(0x94D049BB133111EB) + points[inner + 2]
-    share = np.bincount(of_char[cls[chars + 1] > 0] * TRIPLES + spread(three, TRIPLES), minlength=total * TRIPLES).reshape(total, -1)
+    three = _triple(points[inner], points[inner + 1], points[inner + 2])
+    share = np.bincount(of_char[cls[chars + 1] > 0] * TRIPLES + _spread(three, TRIPLES), minlength=total * TRIPLES).reshape(total, -1)
     out[:, at + WORDS : at + WORDS + TRIPLES] = share / np.maximum(n_chars, 1)[:, None]
     order = np.lexsort((word, passage))
     new = np.r_[True, (word[order][1:] != word[order][:-1]) | (passage[order][1:] != passage[order][:-1])]
@@ -104,18 +113,77 @@ def encode_passages(texts: list[str], all_words: np.ndarray | None = None) -> tu
     return out, passages
 
 
+_GAPS = rb"\x20\x09-\x0D"
+_NEXT_PASSAGE = re.compile(rb"[%b]*+(?:[^%b]++[%b]++){%d}+" % (_GAPS, _GAPS, _GAPS, PASSAGE))
+_WORD = re.compile(rb"([^%b]++)([%b]?)" % (_GAPS, _GAPS))
+
+
 def _pieces(raw: bytes) -> Iterator[bytes]:
-    """A text in pieces of about ENCODE_BYTES that end where a passage does."""
-    at, held = 0, 0
-    word = re.compile(rb"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){%d}" % PASSAGE)
-    for m in word.finditer(raw):
-        if m.start() == held and m.end() - at >= ENCODE_BYTES:
-            yield raw[at : m.end()]
-            at = m.end()
-        elif m.start() != held and held:
-            break
-        held = m.end()
-    yield raw[at:]
+    """A text in pieces of about ENCODE_BYTES that end where a passage does; a passage longer than that is a piece of
+    its own. Each byte is looked at once.
+    """
+    at = end = 0
+    while end < len(raw):
+        held, m = end, _NEXT_PASSAGE.match(raw, end)
+        end = m.end() if m else len(raw)
+        if end - held > ENCODE_BYTES and held > at:
+            yield raw[at:held]
+            at = held
+        if end - at >= ENCODE_BYTES:
+            yield raw[at:end]
+            at = end
+    if at < len(raw) or not raw:
+        yield raw[at:]
+
+
+def encode_long_passage(raw: bytes, all_words: int) -> np.ndarray:
+    """The numbers of one passage of up to PASSAGE words, as encode_passages() gives them, of words read ENCODE_BYTES at a
+    time: a passage with words of any length takes the memory of one such piece.
+    """
+    pairs, triples = np.zeros(CLASSES * CLASSES), np.zeros(TRIPLES)
+    ends, words, widths = np.zeros((2, CLASSES)), [], []
+    table, powers = _classes(), np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
+
+    def take(points: np.ndarray, upto: int) -> None:
+        """Counts the runs that begin at the first `upto` points."""
+        cls = table[points].astype(np.int64)
+        first, second = cls[:upto], cls[1 : upto + 1]
+        np.add(pairs, np.bincount(first * CLASSES + second, minlength=len(pairs)), out=pairs)
+        three = np.flatnonzero(second > 0)
+        np.add(triples, np.bincount(_spread(_triple(points[three], points[three + 1], points[three + 2]), TRIPLES), minlength=TRIPLES), out=triples)
+
+    for m in _WORD.finditer(raw):
+        decoder, carry = codecs.getincrementaldecoder("utf-8")("replace"), np.empty(0, np.uint32)
+        word = width = 0
+        for at in range(m.start(1), m.end(1), ENCODE_BYTES):
+            to = min(at + ENCODE_BYTES, m.end(1))
+            points = np.frombuffer(decoder.decode(raw[at:to], to == m.end(1)).encode("utf-32-le", "surrogatepass"), np.uint32)
+            if not width and len(points):
+                ends[0, table[points[0]]] += 1
+            word += int(np.sum((points.astype(np.uint64) + np.uint64(1)) * powers[(width + np.arange(len(points))) & 63]))
+            width += len(points)
+            carry = np.r_[carry, points]
+            if len(carry) > 2:
+                take(carry, len(carry) - 2)
+                carry = carry[-2:]
+        ends[1, table[carry[-1]]] += 1
+        take(np.r_[carry, np.uint32((m[2] or b"\n")[0]), np.uint32(10)], len(carry))
+        words.append(word & 0xFFFFFFFFFFFFFFFF)
+        widths.append(width)
+    out = np.zeros(WIDTH, np.float32)
+    if not words:
+        return out
+    hashes, width, n, n_chars = np.array(words, np.uint64), np.array(widths, float), len(words), sum(widths)
+    out[: CLASSES * CLASSES] = pairs / n_chars
+    out[CLASSES * CLASSES : 10 * CLASSES] = ends.ravel() / n
+    at = 10 * CLASSES
+    out[at : at + WORDS] = np.bincount(_spread(hashes, WORDS), minlength=WORDS) / n
+    out[at + WORDS : at + WORDS + TRIPLES] = triples / n_chars
+    runs, mean = np.unique(hashes, return_counts=True)[1], n_chars / n
+    repeats = [np.count_nonzero(hashes[k:] == hashes[:-k]) / n for k in (1, 2)]
+    spread = np.sqrt(max((width**2).sum() / n - mean**2, 0))
+    out[-8:] = [len(runs) / n, runs.max() / n, *repeats, mean / 10, spread / 10, n / PASSAGE, np.log1p(all_words) / 10]
+    return out
 
 
 class AttentionModel:
@@ -143,10 +211,13 @@ class AttentionModel:
 
     def score_in_pieces(self, raw: bytes) -> float:
         """A long text's score: attention is summed piece by piece, so that only one piece is encoded at a time."""
-        n_words = np.array([sum(len(p.split()) for p in _pieces(raw))])
+        n_words = np.array([sum(1 for _ in _WORD.finditer(raw))])
         top, weight, z = -np.inf, 0.0, np.zeros(len(self.p["c"]))
         for piece in _pieces(raw):
-            x, sizes = encode_passages([piece.decode("utf-8", "replace")], n_words)
+            if len(piece) > 2 * ENCODE_BYTES:
+                x, sizes = encode_long_passage(piece, int(n_words[0]))[None], np.ones(1, np.int64)
+            else:
+                x, sizes = encode_passages([piece.decode("utf-8", "replace")], n_words)
             f = self._forward(x, sizes)
             now = max(top, high := float(f["e"].max()))
             own = np.exp(high - now) / f["a"].max()
@@ -188,7 +259,8 @@ class AttentionModel:
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", per_class: int = 1500, most_bytes: int = 1 << 18) -> AttentionModel:
     """A model from about per_class labelled documents of each class, of those with at most most_bytes of text, weighted
-    back to the classes' shares.
+    back to the classes' shares. Without any such document each text scores the share of the better class among the
+    labels (with one more label of each class: a half if there is none).
 
     A document with several labels has the least. The sample's keys and labels are at most a few per_class rows, which
     bounds what is broadcast; passages are encoded where the texts are, and only their numbers come to the driver.
@@ -210,6 +282,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows = found.mapInArrow(run, "key string, label int, x binary").toPandas().sort_values(["key", "x"])
     model = AttentionModel()
     if len(rows) == 0:
+        model.p["c"][:] = 0
+        model.p["d"][:] = np.log((share.get(1, 0) + 1) / (share.get(0, 0) + 1))
         return model
     parts = [np.frombuffer(r, np.float16).reshape(-1, WIDTH) for r in rows["x"]]
     y = rows["label"].to_numpy()

@@ -177,7 +177,7 @@ def plain_collocations(rows, least, top, dominated=50):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block, key_bits", [(collocations.BLOCK, 64), (40, 64), (collocations.BLOCK, 10)])
+@pytest.mark.parametrize("block, key_bits", [(collocations.BLOCK, 64), (40, 64), (collocations.BLOCK, 9)])
 def test_collocations_by_plain_counts(spark, monkeypatch, block, key_bits):
     monkeypatch.setattr(collocations, "BLOCK", block)
     r, words = random.Random(5), "Red fox ran FAR into the old été Été 日本 x\u00a0y x\x1cy a the the".split(" ")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -11,14 +10,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 # Least similarity, hits, margin below the best, weights, and the sizes of a context.
 THRESHOLD, TOP_K, MARGIN = 0.50, 8, 0.12
 WEIGHT_FACT, WEIGHT_SIMILARITY, WEIGHT_FRESHNESS = 1.0, 0.70, 0.10
 MOST_FACTS, MOST_CHUNKS = 20, 12
-#: Queries that go to the executors at one time, and chunks that meet them at one time.
-QUERY_BLOCK, CHUNK_BLOCK = 2_000, 1_000
+#: Queries of one group on average, pairs of a block that meet at one time, pivots, and decimals of a similarity: equal
+#: vectors must be equally similar, in whatever block they stand.
+QUERY_GROUP, BLOCK_PAIRS, PIVOTS, DIGITS = 1 << 16, 1 << 20, 16, 12
+#: What rounding may add to a similarity's bound.
+SLACK = 1e-9
 
 
 def live_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame, current_only: bool = True) -> DataFrame:
@@ -29,60 +30,138 @@ def live_chunks(chunks: DataFrame, versions: DataFrame, sources: DataFrame, curr
     return chunks.join(live.select("version_id", "source_id", "version_number", "site"), "version_id")
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """(ids, unit vectors as columns) of at most QUERY_BLOCK queries at a time; vectors without a direction go."""
-    rows = queries.select("query_id", F.col("probe").cast("array<double>").alias("probe")).where("probe IS NOT NULL").toLocalIterator(prefetchPartitions=True)
-    while block := list(islice(rows, QUERY_BLOCK)):
-        for size in {len(r["probe"]) for r in block}:
-            own = [r for r in block if len(r["probe"]) == size]
-            m = np.array([r["probe"] for r in own])
-            norm = np.sqrt((m * m).sum(axis=1))
-            yield [r["query_id"] for r, n in zip(own, norm, strict=True) if n > 0], (m[norm > 0] / norm[norm > 0, None]).T
-
-
-def _matches(sims: np.ndarray, threshold: float | None, k: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, columns) of similarities over the threshold, and of them each column's k best with all their ties."""
-    kept = np.ones(sims.shape, bool) if threshold is None else sims >= threshold
-    if k is not None and len(sims) > k:
-        kept &= sims >= np.partition(sims, len(sims) - k, axis=0)[len(sims) - k]
-    return np.nonzero(kept)
+class _Cell:
+    """The queries of one cell of the grid, and the best of the chunks that have streamed past them.
 
+    A block of chunks meets only those queries that it can reach: the angles of chunks and queries to a few pivots, taken
+    from the cell's own queries, bound every angle between them (triangle inequality), and a query's bound is the
+    threshold or its k-th best similarity so far.
+    """
 
-def score(chunks: DataFrame, queries: DataFrame, threshold: float | None = None, k: int | None = None) -> DataFrame:
+    def __init__(self, ids: pa.Array, vectors: np.ndarray, threshold: float | None, k: int | None, by: str) -> None:
+        vectors, real = _unit(vectors)
+        self.ids, self.queries, self.k, self.by = ids.filter(pa.array(real)), vectors, k, by
+        pivots, nearest = [], np.full(len(vectors), -1.0)
+        for _ in range(min(PIVOTS, len(vectors))):
+            pivots.append(vectors[int(np.argmin(nearest))])  # the farthest from those taken
+            nearest = np.maximum(nearest, vectors @ pivots[-1])
+        self.pivots = np.array(pivots).reshape(len(pivots), vectors.shape[1])
+        self.angles = _angles(vectors, self.pivots)
+        self.bound = np.full(len(vectors), -np.inf if threshold is None else threshold)
+        self.top = np.full((len(vectors), k), -np.inf) if k else None
+        self.held: list[tuple[np.ndarray, np.ndarray, pa.StructArray]] = []
+        self.n_held = 0
+
+    def meet(self, items: pa.StructArray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
+        """Without k the pairs over the threshold, block by block; with k they are kept for best()."""
+        vectors, real = _unit(vectors)
+        if not len(vectors) or not len(self.queries):
+            return
+        items, angles = items.filter(pa.array(real)), _angles(vectors, self.pivots)
+        near = np.argmin(angles, axis=1)
+        order = np.lexsort((angles[np.arange(len(near)), near], near))
+        step = max(8, BLOCK_PAIRS // len(self.queries))
+        for at in range(0, len(order), step):
+            block = order[at : at + step]
+            least, most = angles[block].min(axis=0), angles[block].max(axis=0)
+            apart = np.maximum(least - self.angles, self.angles - most).max(axis=1, initial=0.0)
+            live = np.flatnonzero(np.cos(np.minimum(apart, np.pi)) >= self.bound - SLACK)
+            if not len(live):
+                continue
+            sims = np.round(self.queries[live] @ vectors[block].T, DIGITS)
+            if self.k:
+                both = np.concatenate([self.top[live], sims], axis=1)
+                self.top[live] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
+                self.bound[live] = np.maximum(self.bound[live], self.top[live].min(axis=1))
+            query, row = np.nonzero(sims >= self.bound[live, None])
+            if len(query):
+                found = (live[query], sims[query, row], items.take(pa.array(block[row])))
+                if not self.k:
+                    yield found
+                    continue
+                self.held.append(found)
+                self.n_held += len(query)
+                if self.n_held > 2 * len(self.queries) * self.k + BLOCK_PAIRS:
+                    self.held = list(self.best())
+                    self.n_held = sum(len(h[0]) for h in self.held)
+
+    def best(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
+        """Each query's k best of what is held, ties by the column `by`."""
+        if not self.held:
+            return
+        query, sim = (np.concatenate([h[i] for h in self.held]) for i in (0, 1))
+        items = pa.concat_arrays([h[2] for h in self.held])
+        order = pc.sort_indices(pa.table({"q": query, "s": sim, "by": items.field(self.by)}), sort_keys=[("q", "ascending"), ("s", "descending"), ("by", "ascending")]).to_numpy()
+        q = query[order]
+        place = np.arange(len(q))
+        kept = order[place - np.maximum.accumulate(np.where(np.r_[True, q[1:] != q[:-1]], place, 0)) < self.k]
+        yield query[kept], sim[kept], items.take(pa.array(kept))
+
+
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors that have a direction, at length one, and which they are."""
+    norm = np.sqrt((vectors * vectors).sum(axis=1))
+    real = (norm > 0) & np.isfinite(norm)
+    return vectors[real] / norm[real, None], real
+
+
+def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(vectors @ pivots.T, -1, 1))
+
+
+def score(chunks: DataFrame, queries: DataFrame, threshold: float | None = None, k: int | None = None, by: str = "chunk_id") -> DataFrame:
     """Chunks' columns but the embedding, query_id and sim: the exact cosine of chunks (column embedding) with queries
-    (query_id, probe), a stated query set. With threshold only pairs at least that similar; with k only those that can be
-    among a query's k best, which each batch decides for itself.
+    (query_id, probe), to DIGITS decimals. With threshold only pairs at least that similar; with k each task's k best of
+    each query, ties by the column `by`.
 
-    Queries go to the executors in blocks of at most QUERY_BLOCK, and a batch of chunks meets a block as one product of
-    matrices. Vectors that are null, without a direction, or of another size than the query's have no similarity.
+    Both tables are distributed, and their product is a grid: queries are dealt to groups of about QUERY_GROUP, chunks to
+    as many parts as make every task busy, and a cell has one group and one part. Chunks stream past the group's queries,
+    so that only the queries, a block of products and the best so far are held. What goes to the driver is the number of
+    queries. Vectors that are null, without a direction, or of another size than the query's have no similarity.
     """
-    others = [c for c in chunks.columns if c != "embedding"]
-    rows = chunks.select(*others, F.col("embedding").cast("array<double>").alias("embedding")).where("embedding IS NOT NULL")
-    kinds, query_kind = dict(rows.dtypes), queries.schema["query_id"].dataType
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"query_id {query_kind.simpleString()}", "sim double"])
-    out = None
-    for ids, probes in _query_blocks(queries):
-        named = pa.array(ids, to_arrow_type(query_kind))
-
-        def run(batches: Iterator[pa.RecordBatch], named: pa.Array = named, probes: np.ndarray = probes) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, CHUNK_BLOCK):
-                    part = batch.slice(at, CHUNK_BLOCK)
-                    vectors = part.column(part.num_columns - 1)
-                    part = part.filter(pc.equal(pc.list_value_length(vectors), len(probes)))
-                    if not part.num_rows:
-                        continue
-                    m = part.column(part.num_columns - 1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
-                    norm = np.sqrt((m * m).sum(axis=1))
-                    part, m = part.filter(pa.array(norm > 0)), m[norm > 0] / norm[norm > 0, None]
-                    sims = m @ probes
-                    row, column = _matches(sims, threshold, k)
-                    taken = part.take(pa.array(row))
-                    yield pa.RecordBatch.from_arrays([*taken.columns[:-1], named.take(pa.array(column)), pa.array(sims[row, column])], names=[*others, "query_id", "sim"])
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else rows.drop("embedding").withColumns({"query_id": F.lit(None).cast(query_kind), "sim": F.lit(None).cast("double")}).limit(0)
+    spark, others = chunks.sparkSession, [c for c in chunks.columns if c != "embedding"]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    parts = max(1, -(-2 * width // groups))
+    kinds, query_kind = dict(chunks.dtypes), queries.schema["query_id"].dataType.simpleString()
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    asked = queries.select("query_id", F.col("probe").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    asked = asked.select("query_id", F.lit(None).alias("item"), "vector", F.pmod(F.xxhash64("query_id", "vector"), F.lit(groups)).alias("g"), each(parts).alias("p"))
+    stored = chunks.select(F.struct(*(f"`{c}`" for c in others)).alias("item"), F.col("embedding").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    stored = stored.select(F.lit(None).cast(query_kind).alias("query_id"), "item", "vector", each(groups).alias("g"), F.pmod(F.xxhash64("item"), F.lit(parts)).alias("p"))
+    asked = asked.withColumns({"item": F.col("item").cast(stored.schema["item"].dataType), "side": F.lit(0)})
+    met = asked.unionByName(stored.withColumn("side", F.lit(1)))
+    met = met.select((F.col("g") * parts + F.col("p")).cast("int").alias("cell"), F.size("vector").alias("size"), "side", "query_id", "item", "vector")
+    dealt = met.repartitionById(groups * parts, F.col("cell")).sortWithinPartitions("cell", "size", "side")
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in others] + [f"query_id {query_kind}", "sim double"])
+
+    def shown(cell: _Cell, found: Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]) -> Iterator[pa.RecordBatch]:
+        for query, sim, items in found:
+            yield pa.RecordBatch.from_arrays([*items.flatten(), cell.ids.take(pa.array(query)), pa.array(sim)], names=[*others, "query_id", "sim"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cell, ids, probes = None, None, [], []
+        for batch in batches:
+            head = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
+            edges = np.flatnonzero(np.r_[True, (head[1:] != head[:-1]).any(axis=1), True])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = batch.slice(a, b - a)
+                key, side = tuple(head[a, :2].tolist()), int(head[a, 2])
+                if key != now:
+                    if cell and k:
+                        yield from shown(cell, cell.best())
+                    now, cell, ids, probes = key, None, [], []
+                vectors = part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b - a, key[1])
+                if side == 0:
+                    ids.append(part.column(3))
+                    probes.append(vectors)
+                elif ids:
+                    cell = cell or _Cell(pa.concat_arrays(ids), np.concatenate(probes), threshold, k, by)
+                    yield from shown(cell, cell.meet(part.column(4), vectors))
+        if cell and k:
+            yield from shown(cell, cell.best())
+
+    return dealt.mapInArrow(run, schema)
 
 
 def top_hits(scored: DataFrame, threshold: float = THRESHOLD, k: int = TOP_K, margin: float = MARGIN) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import score
+from ..operators.statistics import nearest_ranks
 from ..sources import tables as T
 from .base import query
 
@@ -19,7 +20,7 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = T.read(spark, sf_dir, "embeddings")
     q = e.where(GOLDEN).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("probe"), F.col("label").alias("q_label"))
     # a probe finds itself, so one more than the eight is taken
-    found = score(e.select("vec_id", "label", "embedding"), q, k=9).where("vec_id <> query_id").join(q.select(F.col("query_id").alias("q"), "q_label"), F.col("query_id") == F.col("q"))
+    found = score(e.select("vec_id", "label", "embedding"), q, k=9, by="vec_id").where("vec_id <> query_id").join(q.select(F.col("query_id").alias("q"), "q_label"), F.col("query_id") == F.col("q"))
     scored = found.select("query_id", "vec_id", "sim", (F.col("label") == F.col("q_label")).alias("expected"))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "vec_id"))).where("rank <= 8")
 
@@ -45,9 +46,8 @@ def first_expected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ag17_ag18_nearest_rank_percentiles", f"WITH {FOUND}, s AS (SELECT list_sort(list(top)) AS a, count(*) AS n FROM found) SELECT round(a[CAST(round_even(0.1 * (n - 1), 0) AS INTEGER) + 1], 4) AS p10, round(a[CAST(round_even(0.5 * (n - 1), 0) AS INTEGER) + 1], 4) AS p50, round(a[CAST(round_even(0.9 * (n - 1), 0) AS INTEGER) + 1], 4) AS p90 FROM s")
 def percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = _found(spark, sf_dir).agg(F.array_sort(F.collect_list("top")).alias("a"))
-    at = lambda f: F.round(F.element_at("a", F.bround(F.lit(f) * (F.size("a") - 1)).cast("int") + 1), 4)
-    return made.select(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+    found = nearest_ranks(_found(spark, sf_dir), "top", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    return found.agg(*(F.round(F.max(F.when(F.col("name") == p, F.col("value"))), 4).alias(p) for p in ("p10", "p50", "p90")))
 
 
 SIDES = f"{RANKED}, side AS (SELECT query_id, expected, max(sim) AS top FROM ranked GROUP BY ALL), listed AS (SELECT expected, list_sort(list(top)) AS a, count(*) AS n FROM side GROUP BY ALL)"
@@ -59,10 +59,10 @@ def separation(spark: SparkSession, sf_dir: str) -> DataFrame:
     lies over the ninetieth of the second.
     """
     side = _ranked(spark, sf_dir).groupBy("query_id", "expected").agg(F.max("sim").alias("top"))
-    made = side.agg(F.array_sort(F.collect_list(F.when(F.col("expected"), F.col("top")))).alias("p"), F.array_sort(F.collect_list(F.when(~F.col("expected"), F.col("top")))).alias("n"))
-    at = lambda c, f: F.try_element_at(c, F.bround(F.lit(f) * (F.size(c) - 1)).cast("int") + 1)
-    shown = {"least_positive": at(F.col("p"), 0.0), "median_positive": at(F.col("p"), 0.5), "median_negative": at(F.col("n"), 0.5), "most_negative": at(F.col("n"), 1.0), "separation": at(F.col("p"), 0.1) - at(F.col("n"), 0.9)}
-    return made.select(*(F.round(v, 4).alias(k) for k, v in shown.items()))
+    found = nearest_ranks(side, "top", {"least": 0.0, "p10": 0.1, "median": 0.5, "p90": 0.9, "most": 1.0}, by=["expected"])
+    at = lambda expected, name: F.max(F.when((F.col("expected") == expected) & (F.col("name") == name), F.col("value")))
+    shown = {"least_positive": at(True, "least"), "median_positive": at(True, "median"), "median_negative": at(False, "median"), "most_negative": at(False, "most"), "separation": at(True, "p10") - at(False, "p90")}
+    return found.agg(*(F.round(v, 4).alias(k) for k, v in shown.items()))
 
 
 @query("ag19_threshold_sweep", f"WITH {RANKED}, t AS (SELECT unnest(range(0, 10)) / 20.0 AS threshold) SELECT CAST(threshold AS DOUBLE) AS threshold, count(DISTINCT query_id) FILTER (WHERE expected AND sim >= threshold) AS kept, count(*) FILTER (WHERE NOT expected AND sim >= threshold) AS leaked FROM ranked, t GROUP BY ALL")

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import capitals, fold_value, normalize_name
+from ..functions.text import capitals, normalize_name
 from ..sources.shared import written
-
-# Fixed value: classes of characters that are counted to bound a matching ratio.
-CHARACTERS = 128
+from .near_values import collapse_near_duplicates as collapse_near_duplicates  # noqa: F401
 
 
 def _mapped(names: dict[str, str], key: Column, other: Column) -> Column:
@@ -132,74 +126,6 @@ def supersession(provenance: DataFrame, current: DataFrame) -> DataFrame:
     return marked.groupBy("value_id").agg((~F.max(F.col("current_id").isNotNull())).alias("superseded"))
 
 
-class _Kept:
-    """Folded values, for the question whether a value restates one of them: only those whose lengths and counts of
-    characters allow the ratio are matched, as a ratio cannot be over 2 * (characters in common) / (characters).
-    """
-
-    def __init__(self, size: int, ratio: float) -> None:
-        self.ratio, self.values = ratio, []
-        self.counts, self.lengths = np.zeros((size, CHARACTERS), np.int32), np.zeros(size, np.int64)
-
-    @staticmethod
-    def _count(low: str) -> np.ndarray:
-        return np.bincount(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32) % CHARACTERS, minlength=CHARACTERS).astype(np.int32)
-
-    def add(self, v: str) -> None:
-        low, n = fold_value(v), len(self.values)
-        self.counts[n], self.lengths[n] = self._count(low), len(low)
-        self.values.append(low)
-
-    def restated_by(self, v: str) -> bool:
-        low, n = fold_value(v), len(self.values)
-        both = self.lengths[:n] + len(low)
-        near = np.flatnonzero(2.0 * np.minimum(self.lengths[:n], len(low)) / np.maximum(both, 1) >= self.ratio)
-        if len(near):
-            near = near[2.0 * np.minimum(self.counts[near], self._count(low)).sum(1) / both[near] >= self.ratio]
-        return any(SequenceMatcher(None, low, self.values[i]).ratio() >= self.ratio for i in near)
-
-
-def collapse_near_duplicates(rows: DataFrame, ratio: float = 0.92, most: int = 2_000) -> DataFrame:
-    """(group, value) without restatements: longest first, a value goes if its matching ratio with one that stays is at
-    least `ratio`. Values are compared as fold_value() gives them. The rule is sequential within a group, so it is applied in rounds: the first `most` distinct values
-    that are open in a group are settled in one task, then the group's others are compared with those that stay in as
-    many tasks as they fill. A group of at most `most` values takes one round.
-    """
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, stay = _Kept(len(pdf), ratio), []
-        for v in sorted(pdf["value"], key=lambda v: (-len(v), v)):
-            if not kept.restated_by(v):
-                kept.add(v)
-                stay.append(v)
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]] * len(stay), "value": stay})
-
-    def unmatched(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        kept = _Kept(len(right), ratio)
-        for v in right["value"]:
-            kept.add(v)
-        return left.loc[[not kept.restated_by(v) for v in left["value"]], ["group", "value"]]
-
-    shape = "group string, value string"
-    todo = rows.select(F.col("group").cast("string").alias("group"), F.col("value").cast("string").alias("value")).where("value IS NOT NULL").distinct()
-    order = W.partitionBy("group").orderBy(F.desc(F.length("value")), "value")
-    out = None
-    while True:
-        first = todo.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).select("group", "value")
-        sizes = todo.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most).withColumn("parts", F.ceil(F.col("size") / most))
-        if not sizes.take(1):
-            settled = first.groupBy("group").applyInPandas(settle, shape)
-            return settled if out is None else out.unionByName(settled)
-        settled = written(first.groupBy("group").applyInPandas(settle, shape))
-        out = settled if out is None else out.unionByName(settled)
-        sizes = sizes.select(F.col("group").alias("large"), "parts")
-        large = todo.join(F.broadcast(sizes), F.col("group").eqNullSafe(F.col("large")))
-        rest = large.join(first.select(F.col("group").alias("g"), F.col("value").alias("v")), F.col("group").eqNullSafe(F.col("g")) & (F.col("value") == F.col("v")), "left_anti")
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("value"), F.col("parts")))
-        known = settled.join(F.broadcast(sizes), F.col("group").eqNullSafe(F.col("large"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-        todo = written(dealt.select("group", "value", "part").groupBy("group", "part").cogroup(known.select("group", "value", "part").groupBy("group", "part")).applyInPandas(unmatched, shape))
-
-
 def collapse_statistics(before: DataFrame, after: DataFrame) -> DataFrame:
     """(removed, affected, attributes): rows (group, value) that a collapse took away, groups that lost any, all groups."""
     n = lambda df, name: df.where("value IS NOT NULL").groupBy("group").agg(F.count(F.lit(1)).alias(name))

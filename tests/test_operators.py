@@ -208,8 +208,7 @@ def test_source_types_in_no_category_fail(spark):
 def test_scores_in_blocks(spark, monkeypatch):
     from marlstone.operators import retrieval
 
-    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 4)
+    monkeypatch.setattr(retrieval, "QUERY_GROUP", 3)
     vectors = [(i, [float(i % 3), float(i % 5), 1.0]) for i in range(11)] + [(90, None), (91, [0.0, 0.0, 0.0]), (92, [1.0])]
     chunks = spark.createDataFrame(vectors, "chunk_id long, embedding array<float>")
     found = retrieval.score(chunks, chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("probe"))).collect()

@@ -38,6 +38,11 @@ def normalize_value(values: pd.Series) -> pd.Series:
     return values.map(fold_value, na_action="ignore")
 
 
+def strip(x: Column) -> Column:
+    """Without the white space of any script at both ends. (trim() takes blanks alone.)"""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 def normalize_name(x: Column) -> Column:
     """Lower case, one blank for white space, none at the ends."""
     return F.trim(F.lower(F.regexp_replace(x, r"\s+", " ")))

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
-from ..functions.text import normalize_url
+from ..functions.text import normalize_url, strip
 from ..sources.shared import written
 
 # File types by extension and by content type.
@@ -23,6 +25,8 @@ NAME_CLASSES = {"member-name", "member_name", "team-member-name", "team_member_n
 ROLE_CLASSES = {
     "member-designation", "member_title", "member-role", "member_role", "team-member-role", "team_member_role", "designation", "position", "role",
 }
+#: Parts in which a crawl's frontier is put in order.
+SALTS = 16
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -39,7 +43,7 @@ def file_type(url: Column, content_type: Column | None = None) -> Column:
 
 def page_metadata(pages: DataFrame) -> DataFrame:
     """(page_id, title, url): the title, or the url where there is none."""
-    title = F.trim(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
+    title = strip(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))
     return pages.select("page_id", F.when(title == "", F.col("url")).otherwise(title).alias("title"), "url")
 
 
@@ -75,16 +79,54 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def sitemap_urls(robots: Column) -> Column:
-    """The first sitemap line's value of a robots.txt; null if there is none."""
-    lines = F.filter(F.split(robots, "\n"), lambda x: F.lower(F.trim(x)).startswith("sitemap:"))
-    return F.trim(F.regexp_replace(F.get(lines, F.lit(0)), r"^[^:]*:", ""))
+    """The first sitemap line of a robots.txt that names anything; null if there is none. Lines end as Python's do."""
+    lines = F.transform(F.split(robots, r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"), strip)
+    named = F.transform(F.filter(lines, lambda x: F.lower(x).startswith("sitemap:")), lambda x: strip(F.substring(x, 9, 1 << 30)))
+    return F.get(F.filter(named, lambda x: x != ""), F.lit(0))
+
+
+def _locations(xml: str) -> list[str] | None:
+    try:
+        root = ElementTree.fromstring(xml)
+    except (ElementTree.ParseError, ValueError):
+        return None
+    local = lambda e: e.tag.rsplit("}", 1)[-1]
+    if local(root) != "urlset":
+        return None
+    out = []
+    for url in (e for e in root if local(e) == "url"):
+        first = next((e for e in url if local(e) == "loc"), None)
+        plain = url.find("loc")
+        found = next((e.text for e in (first, plain) if e is not None and e.text), "")
+        if found.strip():
+            out.append(found.strip())
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def sitemap_locations(xml: pd.Series) -> pd.Series:
+    """The locations of a flat sitemap: of each url right under a urlset its first loc, without white space around it.
+    Null for an index, another root, and what is no XML; an empty list for a sitemap without a location.
+    """
+    return xml.map(_locations, na_action="ignore")
+
 
+def discover(roots: DataFrame, documents: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:
+    """(root, url, source): the pages of each root (root, a normalised url), over stored responses (url, status, body) and
+    the links of stored pages (url, link).
 
-def sitemap_locations(xml: Column) -> Column:
-    """Trimmed <loc> texts of a urlset; null for anything else."""
-    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
-    locations = F.transform(F.regexp_extract_all(xml, F.lit(r"(?s)<(?:\w+:)?loc>(.*?)</(?:\w+:)?loc>"), F.lit(1)), lambda x: plain(F.trim(x)))
-    return F.when(xml.rlike(r"(?s)^\s*(<\?xml[^>]*\?>)?\s*<(\w+:)?urlset[\s>].*</(\w+:)?urlset\s*>\s*$"), locations)
+    The root's host is asked for robots.txt, and the sitemap that it names is read; its locations are the root's pages
+    (source SITEMAP). Where one of these is missing, was answered with 400 or more, or is no flat sitemap, the root is
+    crawled breadth first (BFS_FALLBACK), most_pages of each root at most. Null roots are none.
+    """
+    answers = documents.where("status < 400 AND url IS NOT NULL").groupBy("url").agg(F.max("body").alias("body"))
+    asked = roots.where("root IS NOT NULL").select("root").distinct().withColumn("url", F.concat(F.regexp_extract("root", "^([^:/?#]+://[^/?#]*)", 1), F.lit("/robots.txt")))
+    named = asked.join(answers, "url").select("root", sitemap_urls(F.col("body")).alias("url")).where("url IS NOT NULL")
+    read = written(named.join(answers, "url").select("root", sitemap_locations("body").alias("found")).where("found IS NOT NULL"))
+    listed = read.select("root", F.explode("found").alias("url"), F.lit("SITEMAP").alias("source"))
+    left = asked.select("root").join(read, "root", "left_anti")
+    crawled = crawl_each(left.select("root", F.col("root").alias("url")), links, most_pages)
+    return listed.unionByName(crawled.select("root", "url", F.lit("BFS_FALLBACK").alias("source")))
 
 
 class _Page(HTMLParser):
@@ -164,20 +206,30 @@ def page_text(pages: DataFrame) -> DataFrame:
 
 
 def crawl(roots: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:
-    """(url, step): pages that a breadth-first crawl over stored links (url, link) fetches from roots (url), in the step it
-    does. Each step takes the frontier's urls in order until most_pages are visited; what has no page counts as visited
-    but is not returned. Only the number of visited pages comes to the driver.
+    """(url, step): as crawl_each(), of one crawl from all roots (url) together."""
+    return crawl_each(roots.select(F.lit("").alias("root"), "url"), links, most_pages).select("url", "step")
+
+
+def crawl_each(roots: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:
+    """(root, url, step): pages that breadth-first crawls over stored links (url, link) fetch, one crawl for each root, which
+    begins at its urls (root, url), in the step it does. Each step takes a crawl's frontier in order of urls until it has
+    visited most_pages; what has no page counts as visited but is not returned. All crawls take a step together, and no
+    url comes to the driver. A row with a null link says that a page is there. A frontier's first urls are found in SALTS parts, then among those.
     """
     known = written(links.select("url", "link").distinct())
-    frontier, visited, n, step = written(roots.select("url").distinct()), None, 0, 0
-    while n < most_pages:
-        batch = frontier if visited is None else frontier.join(visited.select("url"), "url", "left_anti")
-        batch = written(batch.orderBy("url").limit(most_pages - n).withColumn("step", F.lit(step)))
-        took = batch.count()
-        if not took:
+    frontier, visited, step = roots.select("root", "url").distinct(), None, 0
+    while True:
+        batch = frontier if visited is None else frontier.join(visited.select("root", "url"), ["root", "url"], "left_anti")
+        spent = F.lit(0) if visited is None else F.coalesce("spent", F.lit(0))
+        if visited is not None:
+            batch = batch.join(visited.groupBy("root").agg(F.count(F.lit(1)).alias("spent")), "root", "left")
+        batch = batch.withColumns({"left": F.lit(most_pages) - spent, "salt": F.pmod(F.xxhash64("url"), F.lit(SALTS))})
+        for by in (["root", "salt"], ["root"]):
+            batch = batch.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("url"))).where("n <= left")
+        batch = written(batch.select("root", "url", F.lit(step).alias("step")))
+        if not batch.head(1):
             break
-        n, step = n + took, step + 1
-        visited = batch if visited is None else written(visited.unionByName(batch))
-        frontier = written(known.join(batch.select("url"), "url").select(F.col("link").alias("url")).distinct())
+        visited, step = batch if visited is None else written(visited.unionByName(batch)), step + 1
+        frontier = known.where("link IS NOT NULL").join(batch.select("root", "url"), "url").select("root", F.col("link").alias("url")).distinct()
     pages = known.select("url").distinct()
-    return visited.join(pages, "url", "left_semi") if visited is not None else roots.select("url", F.lit(0).alias("step")).limit(0)
+    return batch if visited is None else visited.join(pages, "url", "left_semi").select("root", "url", "step")

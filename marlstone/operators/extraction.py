@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import value_type
+from ..functions.text import strip, value_type
 
 # Windows of one request, and the namespace of extracted facts.
 BATCH, NAMESPACE = 3, "general"
@@ -63,9 +63,9 @@ def facts_of(answer: Column, canonical: Column | None = None) -> Column:
     of entity types in lower case to the ones to use.
     """
     parsed = F.from_json(answer, ANSWER)
-    kind = lambda t: t if canonical is None else F.coalesce(F.try_element_at(canonical, F.lower(F.trim(t))), F.trim(t))
+    kind = lambda t: t if canonical is None else F.coalesce(F.try_element_at(canonical, F.lower(strip(t))), strip(t))
     fact = lambda a: F.struct(
-        kind(a["entity_type"]).alias("entity_type"), a["entity_name"].alias("entity_name"), F.lit(NAMESPACE).alias("namespace"), F.trim(a["attribute_name"]).alias("attribute"), a["value"].alias("value"),
+        kind(a["entity_type"]).alias("entity_type"), a["entity_name"].alias("entity_name"), F.lit(NAMESPACE).alias("namespace"), strip(a["attribute_name"]).alias("attribute"), a["value"].alias("value"),
         F.when(a["value_type"].isin("string", "number", "boolean"), a["value_type"]).otherwise(value_type(a["value"])).alias("value_type"), F.lit(True).alias("searchable"),
     )
     return F.transform(F.coalesce(parsed["attributes"], F.array().cast("array<struct<entity_type: string, entity_name: string, attribute_name: string, value: string, value_type: string>>")), fact)

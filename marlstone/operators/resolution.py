@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import capitals, normalize_name
+from ..functions.text import capitals, normalize_name, normalize_value, strip
 from ..sources.shared import written
 from .near_values import collapse_near_duplicates as collapse_near_duplicates  # noqa: F401
 
@@ -61,15 +61,38 @@ def repointed(rows: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
 
 
 def repoint(values: DataFrame, id_map: DataFrame) -> DataFrame:
-    """Values of merged entities moved to their survivors, one row for each (entity, attribute, value)."""
-    return repointed(values, id_map, "entity_id").dropDuplicates(["entity_id", "attribute", "value"])
+    """Values of merged entities moved to their survivors, one row for each (entity, attribute, normalised value), with its
+    value_norm. The survivor's own row stays; of moved rows the one of the least entity, then the least text.
+    """
+    moved = repointed(values.withColumn("_from", F.col("entity_id")), id_map, "entity_id").withColumn("value_norm", normalize_value("value"))
+    rest = [c for c in values.columns if c not in ("entity_id", "attribute")]
+    order = F.struct(F.col("_from") != F.col("entity_id"), F.col("_from"), F.col("value"))
+    best = moved.groupBy("entity_id", "attribute", "value_norm").agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return best.select(*(F.col(f"_row.{c}").alias(c) if c in rest else F.col(c) for c in values.columns), "value_norm")
+
+
+def normalized_uniqueness(values: DataFrame, provenance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(values with value_norm, provenance): values (value_id, entity_id, attribute_id, value) made unique by
+    (entity_id, attribute_id, value_norm), and provenance (value_id, version_id) moved to the rows that stay.
+
+    Of rows that agree the one with the longest text stays, then with most capitals, then with the greatest id as text.
+    Its provenance is the union of all of theirs, without repeats; that of values that are not there goes.
+    """
+    rows = values.select("value_id", "entity_id", "attribute_id", "value").where("value IS NOT NULL").withColumn("value_norm", normalize_value("value"))
+    order = F.struct(F.length("value"), capitals(F.col("value")), F.col("value_id").cast("string"))
+    key = ["entity_id", "attribute_id", "value_norm"]
+    kept = written(rows.groupBy(*key).agg(F.max_by(F.struct("value_id", "value"), order).alias("_row")).select("_row.value_id", *key[:2], "_row.value", "value_norm"))
+    same = lambda c: F.col(f"o.{c}").eqNullSafe(F.col(f"k.{c}"))
+    moved = rows.alias("o").join(kept.alias("k"), same(key[0]) & same(key[1]) & same(key[2])).select(F.col("o.value_id").alias("old_id"), F.col("k.value_id").alias("new_id"))
+    union = provenance.join(moved, F.col("value_id") == F.col("old_id")).select(F.col("new_id").alias("value_id"), "version_id").distinct()
+    return kept, union
 
 
 def resolve_or_create(asked: DataFrame, entities: DataFrame) -> DataFrame:
     """(name_norm, entity_id, created) of each name asked for: the oldest entity (least seq) of that name, without regard to
     case, blanks around it and type; else a new one, whose id is a hash of the name.
     """
-    norm = F.lower(F.trim("name")).alias("name_norm")
+    norm = F.lower(strip(F.col("name"))).alias("name_norm")
     known = entities.select(norm, "entity_id", "seq").groupBy("name_norm").agg(F.min_by("entity_id", F.struct("seq", "entity_id")).alias("known"))
     rows = asked.select(norm).distinct().join(known, "name_norm", "left")
     return rows.select("name_norm", F.coalesce("known", F.concat(F.lit("new:"), F.md5(F.col("name_norm").cast("binary")))).alias("entity_id"), F.col("known").isNull().alias("created"))
@@ -84,7 +107,7 @@ def attribute_plan(attributes: DataFrame, synonyms: dict[str, str]) -> DataFrame
     """(old_id, new_id, namespace): attributes (attribute_id, namespace, name) that agree in canonical namespace and in name
     without regard to case, with the one they become: one that has the canonical namespace, else the least id.
     """
-    name = F.lower(F.trim("name")).alias("name_norm")
+    name = F.lower(strip(F.col("name"))).alias("name_norm")
     rows = attributes.select("attribute_id", "namespace", canonical_type(F.col("namespace"), synonyms).alias("canonical"), name)
     new = rows.groupBy("canonical", "name_norm").agg(F.min_by("attribute_id", F.struct(F.col("namespace") != F.col("canonical"), F.col("attribute_id"))).alias("new_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return rows.join(new, ["canonical", "name_norm"]).select(F.col("attribute_id").alias("old_id"), "new_id", F.col("canonical").alias("namespace"))
@@ -95,8 +118,9 @@ def reconcile(entities: DataFrame, relations: DataFrame, attributes: DataFrame,
 
     entities (entity_id, entity_type, name), relations (relation_id, source_id, target_id, relation_type), attributes
     (attribute_id, namespace, name), values (value_id, entity_id, attribute_id, value). A stored type that is a synonym is
-    replaced by its canonical one last, also on a survivor. Counters of normalised rows count all rows as given; those
-    of relations and values count what goes because an equal row stays.
+    replaced by its canonical one last, also on a survivor. Values are one where their normalised texts are (column
+    value_norm of the result): a row that is not moved stays before moved ones, then the least value_id. Counters of
+    normalised rows count all rows as given; those of relations and values count what goes because an equal row stays.
     """
     facts = values.groupBy("entity_id").agg(F.count(F.lit(1)).alias("facts"))
     plan = written(merge_plan(entities, facts, synonyms, reviewed))
@@ -110,7 +134,11 @@ def reconcile(entities: DataFrame, relations: DataFrame, attributes: DataFrame,
     gone = moved.where("old_id <> new_id").select("old_id", "new_id")
     namespace = canonical_type(F.col("namespace"), synonyms)
     left = attributes.join(gone, F.col("attribute_id") == F.col("old_id"), "left_anti").select("attribute_id", namespace.alias("namespace"), "name")
-    facts_left = written(first_of(repointed(repointed(values, ids, "entity_id"), gone, "attribute_id"), "value_id", "entity_id", "attribute_id", "value"))
+    own = values.select("value_id", "entity_id", "attribute_id", "value", F.struct("entity_id", "attribute_id").alias("_from"))
+    facts = repointed(repointed(own, ids, "entity_id"), gone, "attribute_id").withColumn("value_norm", normalize_value("value"))
+    order = F.struct(F.col("_from") != F.struct("entity_id", "attribute_id"), F.col("value_id"))
+    facts_left = facts.groupBy("entity_id", "attribute_id", "value_norm").agg(F.min_by(F.struct("value_id", "value"), order).alias("_row"))
+    facts_left = written(facts_left.select("_row.value_id", "entity_id", "attribute_id", "_row.value", "value_norm"))
     n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
     report = n(ids, "entities_merged").crossJoin(n(entities.where(canonical != F.col("entity_type")), "entities_normalized")).crossJoin(n(gone, "attributes_merged"))
     report = report.crossJoin(n(attributes.where(namespace != F.col("namespace")), "attributes_normalized")).crossJoin(n(relations, "r")).crossJoin(n(links, "r_left")).crossJoin(n(values, "v")).crossJoin(n(facts_left, "v_left"))

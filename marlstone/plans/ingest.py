@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import chunking, crawl, extraction, stages
 from ..sources import tables as T
 from .base import query
+from .crawling import HREFS
 
 #: Texts with headings: a document's lines, of which each fifth is made one, and the kind of each document.
 TYPED = r"""typed AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'CSV' WHEN 1 THEN 'PDF' ELSE 'MD' END AS kind, regexp_replace(text, '([.!?]) (\w)', '\1' || chr(10) || '# \2') AS text FROM documents)"""
@@ -114,27 +115,61 @@ def value_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.upsert_values(o.where("seq % 5 <> 0"), new)
 
 
-@query("src3_src6_src7_sitemaps", """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN url || 'map.xml' END AS sitemap, CASE WHEN page_id % 5 > 2 THEN url END AS locations FROM pages""")
+#: Stored responses of each host: robots.txt (a fourth is not there), a sitemap in nine spellings, and the pages.
+HOSTED = """hosted AS (SELECT *, 'https://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) AS site FROM pages),
+host AS (SELECT site, min(page_id) AS k, arg_min(url, page_id) AS root FROM hosted GROUP BY site)"""
+_STARTS = ['<?xml version="1.0" encoding="UTF-8"?>\n<?xml-stylesheet type="text/xsl" href="s.xsl"?>\n', "<!-- made by hand -->", "", "\n"]
+
+
+def _hosted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    site = F.concat(F.lit("https://"), F.lower(F.regexp_extract("url", "^[a-z]+://([^/?#]*)", 1)))
+    pages = T.read(spark, sf_dir, "pages").withColumn("site", site)
+    return pages, pages.groupBy("site").agg(F.min("page_id").alias("k"), F.min_by("url", "page_id").alias("root"), F.array_sort(F.collect_list("url")).alias("urls"))
+
+
+@query("src3_src6_src7_sitemaps", f"""WITH RECURSIVE {HOSTED}, listed AS (SELECT site FROM host WHERE k % 4 <> 3 AND k % 9 NOT IN (5, 6, 7, 8)),
+link AS (SELECT DISTINCT url, CASE WHEN regexp_matches(href, '^https?://') THEN href ELSE regexp_extract(url, '^[a-z]+://[^/?#]*', 0) || href END AS link FROM ({HREFS})),
+crawled(root, url) AS (SELECT root, root FROM host WHERE site NOT IN (SELECT site FROM listed) UNION SELECT root, l.link FROM crawled c JOIN link l ON c.url = l.url JOIN pages p ON p.url = l.link)
+SELECT root, url, 'SITEMAP' AS source FROM host JOIN hosted USING (site) WHERE site IN (SELECT site FROM listed)
+UNION ALL SELECT root, url, 'BFS_FALLBACK' FROM crawled""")
 def sitemaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Robots files of which each fourth names a sitemap; sitemaps of which some are no urlset, broken off, or no XML."""
-    pages = T.read(spark, sf_dir, "pages")
-    robots = F.concat(F.lit("User-agent: *\nDisallow: /x\n"), F.when(F.col("page_id") % 4 == 0, F.concat(F.lit(" SiteMap:  "), F.col("url"), F.lit("map.xml \nSitemap: other"))).otherwise(""))
-    location = F.concat(F.lit("<url><s:loc> "), F.replace(F.col("url"), F.lit("&"), F.lit("&amp;")), F.lit(" </s:loc></url>"))
-    kind = F.col("page_id") % 5
-    xml = F.when(kind == 0, F.concat(F.lit("<sitemapindex>"), location, F.lit("</sitemapindex>"))).when(kind == 1, "oops").when(kind == 2, F.concat(F.lit("<urlset>"), location)).otherwise(F.concat(F.lit('<?xml version="1.0"?>\n<urlset xmlns:s="x">'), location, F.lit("</urlset>\n")))
-    return pages.select("page_id", crawl.sitemap_urls(robots).alias("sitemap"), F.array_join(crawl.sitemap_locations(xml), " ").alias("locations"))
-
-
-@query("src4_bfs_crawl", """
-WITH RECURSIVE link AS (SELECT a.page_id AS a, b.page_id AS b FROM pages a JOIN pages b ON b.page_id IN (3 * a.page_id + 1, 3 * a.page_id + 2, a.page_id // 2)),
-found(id, step) AS (SELECT 0, 0 UNION SELECT b, step + 1 FROM found JOIN link ON id = a WHERE step < 12)
-SELECT 'p' || id AS url, CAST(min(step) AS INTEGER) AS step FROM found GROUP BY id""")
+    """Each host's pages by robots.txt and sitemap; hosts without a usable one are crawled."""
+    pages, hosts = _hosted(spark, sf_dir)
+    kind = F.col("k") % 9
+    robots = F.concat(F.lit("User-agent: *\r\nSitemap: \r\nDisallow: /x\r\n SiteMap:\t"), F.col("site"), F.lit("/map.xml \r\nSitemap: other\r\n"))
+    answered = hosts.select(F.concat(F.regexp_extract("root", "^[a-z]+://[^/?#]*", 0), F.lit("/robots.txt")).alias("url"), F.when(F.col("k") % 4 == 3, 404).otherwise(200).alias("status"), robots.alias("body"))
+    spelt = lambda u: F.when(kind == 2, F.concat(F.lit("<![CDATA["), u, F.lit("]]>"))).otherwise(F.replace(u, F.lit("&"), F.lit("&amp;")))
+    image = F.lit("<image:image><image:loc>https://x/i.png</image:loc></image:image>")
+    url = F.transform("urls", lambda u: F.concat(F.lit("<url>"), F.when(kind == 1, image).otherwise(""), F.lit("<loc>\n  "), spelt(u), F.lit("\n</loc></url>")))
+    start = F.element_at(F.array(*map(F.lit, _STARTS)), (kind % 4 + 1).cast("int"))
+    whole = F.concat(start, F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9" xmlns:image="i">'), F.array_join(url, ""), F.lit("</urlset>"))
+    whole = F.when(kind == 3, F.regexp_replace(whole, "^\n", "")).otherwise(whole)
+    body = F.when(kind == 5, F.replace(whole, F.lit("urlset"), F.lit("sitemapindex"))).when(kind == 6, F.substring(whole, 1, 120)).when(kind == 7, "no xml at all").when(kind == 8, "<html><body>gone</body></html>").otherwise(whole)
+    maps = hosts.select(F.concat("site", F.lit("/map.xml")).alias("url"), F.lit(200).alias("status"), body.alias("body"))
+    stored = pages.select("url", F.lit(200).alias("status"), F.col("html").alias("body"))
+    links = crawl.links(pages).where("internal").join(pages.select("page_id", "url"), "page_id").select("url", "link")
+    return crawl.discover(hosts.select("root"), answered.unionByName(maps).unionByName(stored), _with_pages(pages, links), most_pages=1_000_000)
+
+
+def _with_pages(pages: DataFrame, links: DataFrame) -> DataFrame:
+    """links, and a row for each page, so that one without a link is a page too."""
+    return links.unionByName(pages.select("url", F.lit(None).cast("string").alias("link")))
+
+
+#: One site of all pages: a page stands under the first word of its title, and menus link to such words.
+PLACED = """placed AS (SELECT page_id, html, 'https://site.example/' || regexp_extract(html, '(?is)<title[^>]*>\\s*([A-Za-z]+)', 1) AS url FROM pages WHERE regexp_matches(html, '(?is)<title[^>]*>\\s*[A-Za-z]'))"""
+
+
+@query("src4_bfs_crawl", f"""
+WITH RECURSIVE {PLACED}, link AS (SELECT DISTINCT url, 'https://site.example' || rtrim(href, '/') AS link FROM ({HREFS.replace('FROM pages', 'FROM placed')}) WHERE regexp_matches(href, '^/[^/?#]')),
+found(url, step) AS (SELECT * FROM (SELECT url, 0 FROM placed WHERE page_id % 100 = 0) UNION SELECT l.link, step + 1 FROM found f JOIN link l ON f.url = l.url WHERE step < 15)
+SELECT url, CAST(min(step) AS INTEGER) AS step FROM found WHERE url IN (SELECT url FROM placed) GROUP BY url""")
 def bfs_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = T.read(spark, sf_dir, "pages").select("page_id")
-    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    to = pages.select("page_id", F.explode(F.array(3 * F.col("page_id") + 1, 3 * F.col("page_id") + 2, F.floor(F.col("page_id") / 2))).alias("b"))
-    links = to.join(pages.select(F.col("page_id").alias("b")), "b", "left_semi").select(name("page_id").alias("url"), name("b").alias("link"))
-    return crawl.crawl(spark.createDataFrame([("p0",)], "url string"), links, most_pages=1_000_000)
+    """A crawl of that site by the links of its pages' html, from each hundredth page."""
+    word = F.regexp_extract("html", r"(?is)<title[^>]*>\s*([A-Za-z]+)", 1)
+    pages = T.read(spark, sf_dir, "pages").where(word != "").select("page_id", F.concat(F.lit("https://site.example/"), word).alias("url"), "html")
+    links = crawl.links(pages).where("internal").join(pages.select("page_id", "url"), "page_id").select("url", "link")
+    return crawl.crawl(pages.where("page_id % 100 = 0").select("url"), _with_pages(pages, links), most_pages=1_000_000)
 
 
 @query("udf6_stages", "SELECT event_id, CASE WHEN value IS NULL OR value < 5 THEN 'fetch' WHEN event_type = 'error' THEN 'extract' END AS failed_at, CASE WHEN value >= 5 THEN value * 2 END AS size, CASE WHEN value >= 5 AND event_type <> 'error' THEN upper(event_type) END AS facts FROM events")

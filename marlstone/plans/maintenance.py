@@ -42,6 +42,8 @@ ids AS (SELECT entity_id AS old_id, survivor AS new_id FROM ranked JOIN plan USI
 
 
 PLAN = _plan_sql(COLLIDING, COUNTS)
+#: Values of which every second entity's are spelt in capitals, with blanks before them.
+SPELT = "SELECT * REPLACE (CASE WHEN regexp_matches(entity_id, '[13579]$') THEN '  ' || upper(value) ELSE value END AS value) FROM value"
 
 
 @query("er8_wn10_wn11_wn12_merge_plan", T.sql("", "value").rstrip() + f", {PLAN} SELECT name_norm, survivor, chosen_type, label, CAST(size AS BIGINT) AS size FROM plan")
@@ -49,18 +51,20 @@ def merge_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.merge_plan(_colliding(spark, sf_dir), _counts(spark, sf_dir), SYNONYMS, REVIEWED).select("name_norm", "survivor", "chosen_type", "label", "size")
 
 
-@query("er10_er13_jn14_repoint_values", T.sql("", "value").rstrip() + f", {PLAN} SELECT DISTINCT coalesce(i.new_id, v.entity_id) AS entity_id, attribute, value FROM value v LEFT JOIN ids i ON v.entity_id = i.old_id")
+@query("er10_er13_jn14_repoint_values", T.sql("", "value").rstrip() + f", {PLAN} SELECT coalesce(i.new_id, v.entity_id) AS entity_id, attribute, lower(trim(value)) AS value_norm, arg_min(value, (i.new_id IS NOT NULL, v.entity_id, value)) AS value FROM ({SPELT}) v LEFT JOIN ids i ON v.entity_id = i.old_id GROUP BY ALL")
 def repoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = _colliding(spark, sf_dir)
     plan = R.merge_plan(named, _counts(spark, sf_dir), SYNONYMS, REVIEWED)
-    return R.repoint(T.values(spark, sf_dir), R.merged_ids(named, plan)).select("entity_id", "attribute", "value")
+    v = T.values(spark, sf_dir)
+    spelt = v.withColumn("value", F.when(F.col("entity_id").rlike("[13579]$"), F.concat(F.lit("  "), F.upper("value"))).otherwise(F.col("value")))
+    return R.repoint(spelt, R.merged_ids(named, plan)).select("entity_id", "attribute", "value_norm", "value")
 
 
 #: Stale tables for a whole run: entities, attributes, values and relations as several extractions left them.
 ATTRIBUTES = [("part.brand", "part", "brand"), ("part.size", "part", "size"), ("item.BRAND", "Item", "BRAND"), ("goods.size", "goods", "size"), ("vendor.acctbal", "Vendor", "acctbal")]
 STALE_ENTITIES = f"{COLLIDING} UNION ALL SELECT 'supplier:' || s_suppkey, 'Vendor', s_name FROM supplier"
 STALE = f"""attribute(attribute_id, namespace, name) AS (VALUES {', '.join(map(str, ATTRIBUTES))}),
-stale AS (SELECT p_partkey * 10 AS value_id, 'part:' || p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 1 THEN 'item.BRAND' ELSE 'part.brand' END AS attribute_id, p_brand AS value FROM part UNION ALL SELECT p_partkey * 10 + 1, 'part:' || p_partkey, 'part.size', CAST(p_size AS VARCHAR) FROM part),
+stale AS (SELECT p_partkey * 10 AS value_id, 'part:' || p_partkey AS entity_id, CASE WHEN p_partkey % 2 = 1 THEN 'item.BRAND' ELSE 'part.brand' END AS attribute_id, CASE WHEN p_partkey % 5 < 2 THEN upper(p_brand) || '  ' ELSE p_brand END AS value FROM part UNION ALL SELECT p_partkey * 10 + 1, 'part:' || p_partkey, 'part.size', CAST(p_size AS VARCHAR) FROM part),
 link AS (SELECT l_orderkey * 10 + l_linenumber AS relation_id, 'supplier:' || l_suppkey AS source_id, 'part:' || l_partkey AS target_id, 'provides' AS relation_type FROM lineitem)"""
 RECONCILED = f"{STALE}, {_plan_sql(STALE_ENTITIES, 'SELECT entity_id, count(*) AS facts FROM stale GROUP BY ALL')}"
 
@@ -69,7 +73,7 @@ def _stale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     part, lines = T.read(spark, sf_dir, "part"), T.read(spark, sf_dir, "lineitem")
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     vendors = T.read(spark, sf_dir, "supplier").select(name("supplier", "s_suppkey").alias("entity_id"), F.lit("Vendor").alias("entity_type"), F.col("s_name").alias("name"))
-    brand = part.select((F.col("p_partkey") * 10).alias("value_id"), name("part", "p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 1, "item.BRAND").otherwise("part.brand").alias("attribute_id"), F.col("p_brand").alias("value"))
+    brand = part.select((F.col("p_partkey") * 10).alias("value_id"), name("part", "p_partkey").alias("entity_id"), F.when(F.col("p_partkey") % 2 == 1, "item.BRAND").otherwise("part.brand").alias("attribute_id"), F.when(F.col("p_partkey") % 5 < 2, F.concat(F.upper("p_brand"), F.lit("  "))).otherwise(F.col("p_brand")).alias("value"))
     size = part.select((F.col("p_partkey") * 10 + 1).alias("value_id"), name("part", "p_partkey").alias("entity_id"), F.lit("part.size").alias("attribute_id"), F.col("p_size").cast("string").alias("value"))
     links = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("relation_id"), name("supplier", "l_suppkey").alias("source_id"), name("part", "l_partkey").alias("target_id"), F.lit("provides").alias("relation_type"))
     attributes = spark.createDataFrame(ATTRIBUTES, "attribute_id string, namespace string, name string")
@@ -80,7 +84,7 @@ def _stale(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 SELECT (SELECT count(*) FROM ids) AS entities_merged, (SELECT count(*) FROM named WHERE {CANONICAL.format('entity_type')} <> entity_type) AS entities_normalized,
        (SELECT CAST(sum(n - 1) AS BIGINT) FROM (SELECT count(*) AS n FROM attribute GROUP BY {CANONICAL.format('namespace')}, lower(name))) AS attributes_merged, (SELECT count(*) FROM attribute WHERE {CANONICAL.format('namespace')} <> namespace) AS attributes_normalized,
        (SELECT count(*) FROM link) - (SELECT count(*) FROM (SELECT DISTINCT source_id, coalesce(new_id, target_id) FROM link LEFT JOIN ids ON target_id = old_id)) AS relations_deduped,
-       (SELECT count(*) FROM stale) - (SELECT count(*) FROM (SELECT DISTINCT coalesce(new_id, entity_id), replace(attribute_id, 'item.BRAND', 'part.brand'), value FROM stale LEFT JOIN ids ON entity_id = old_id)) AS values_deduped""")
+       (SELECT count(*) FROM stale) - (SELECT count(*) FROM (SELECT DISTINCT coalesce(new_id, entity_id), replace(attribute_id, 'item.BRAND', 'part.brand'), lower(trim(value)) FROM stale LEFT JOIN ids ON entity_id = old_id)) AS values_deduped""")
 def reconcile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[1]
 
@@ -93,9 +97,10 @@ def reconciled_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("er11_repoint_attributes", f"""WITH {RECONCILED}
-SELECT coalesce(new_id, entity_id) AS entity_id, replace(attribute_id, 'item.BRAND', 'part.brand') AS attribute_id, value, min(value_id) AS value_id FROM stale LEFT JOIN ids ON entity_id = old_id GROUP BY ALL""")
+SELECT entity_id, attribute_id, value_norm, arg_min(value, (moved, value_id)) AS value, arg_min(value_id, (moved, value_id)) AS value_id
+FROM (SELECT coalesce(new_id, entity_id) AS entity_id, replace(attribute_id, 'item.BRAND', 'part.brand') AS attribute_id, lower(trim(value)) AS value_norm, value, value_id, new_id IS NOT NULL OR attribute_id = 'item.BRAND' AS moved FROM stale LEFT JOIN ids ON entity_id = old_id) GROUP BY ALL""")
 def repoint_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[0]["values"].select("entity_id", "attribute_id", "value", "value_id")
+    return R.reconcile(*_stale(spark, sf_dir), SYNONYMS, REVIEWED)[0]["values"].select("entity_id", "attribute_id", "value_norm", "value", "value_id")
 
 
 @query("er1_resolve_by_name", f"""WITH named AS ({COLLIDING}), known AS (SELECT trim(lower(name)) AS name_norm, arg_min(entity_id, CAST(split_part(entity_id, ':', 2) AS BIGINT)) AS entity_id FROM named WHERE CAST(split_part(entity_id, ':', 2) AS BIGINT) % 5 <> 0 GROUP BY ALL)
@@ -215,3 +220,20 @@ def collapse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sc1_er16_normalized_values")
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.values(spark, sf_dir).where("searchable").select("entity_id", "attribute", normalize_value("value").alias("value_norm")).distinct()
+
+
+@query("er16_normalization_migration", """
+WITH v AS (SELECT p_partkey AS value_id, p_brand AS entity_id, p_size AS attribute_id, repeat(' ', p_partkey % 3) || CASE WHEN p_partkey % 2 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE replace(p_name, ' ', '  ') END AS value FROM part),
+n AS (SELECT *, lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))) AS value_norm FROM v),
+k AS (SELECT entity_id, attribute_id, value_norm, arg_max(value_id, (length(value), length(regexp_replace(value, '[^A-Z]', '', 'g')), CAST(value_id AS VARCHAR))) AS value_id, arg_max(value, (length(value), length(regexp_replace(value, '[^A-Z]', '', 'g')), CAST(value_id AS VARCHAR))) AS value FROM n GROUP BY ALL)
+SELECT k.*, count(DISTINCT l_orderkey) AS versions, coalesce(min(l_orderkey), 0) AS first_version, CAST(coalesce(sum(DISTINCT l_orderkey), 0) AS BIGINT) AS versions_sum
+FROM k JOIN n USING (entity_id, attribute_id, value_norm) LEFT JOIN lineitem ON l_partkey = n.value_id GROUP BY ALL""")
+def normalization_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored values made unique by their normalised text; a value's versions are the orders that its rows were told in."""
+    spelt = F.when(F.col("p_partkey") % 2 == 0, F.upper(F.split_part("p_name", F.lit(" "), F.lit(1)))).otherwise(F.replace(F.col("p_name"), F.lit(" "), F.lit("  ")))
+    blanks = F.expr("repeat(' ', CAST(p_partkey % 3 AS INT))")
+    values = T.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("value_id"), F.col("p_brand").alias("entity_id"), F.col("p_size").alias("attribute_id"), F.concat(blanks, spelt).alias("value"))
+    kept, provenance = R.normalized_uniqueness(values, T.read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("value_id"), F.col("l_orderkey").alias("version_id")))
+    told = provenance.groupBy("value_id").agg(F.count(F.lit(1)).alias("versions"), F.min("version_id").alias("first_version"), F.sum("version_id").alias("versions_sum"))
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return kept.join(told, "value_id", "left").select("value_id", "entity_id", "attribute_id", "value", "value_norm", zero("versions"), zero("first_version"), zero("versions_sum"))

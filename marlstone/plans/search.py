@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.embedding import HashingEmbedder, embed
 from ..functions.vectors import cosine
 from ..operators import retrieval as R
 from ..sources import tables as T
@@ -88,3 +89,32 @@ def checksum_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = T.versions(spark, sf_dir).select("version_id", "checksum")
     first = v.groupBy("checksum").agg(F.min("version_id").alias("first"))
     return v.join(first, "checksum").select("version_id", "checksum", F.when(F.col("first") < F.col("version_id"), F.col("first")).alias("reused_from"))
+
+
+#: Dimension of the local embedder here, and the words that its instruction adds to each query.
+SMALL, INSTRUCTION = 64, "find passages: "
+HASHED = f"""word AS (SELECT kind, id, lower(unnest(list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> ''))) AS w FROM (
+  SELECT 'c' AS kind, doc_id AS id, text FROM documents WHERE trim(text) <> '' UNION ALL SELECT 'q', item_id, '{INSTRUCTION}' || text FROM benchmark)),
+cell AS (SELECT kind, id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) % {SMALL} AS place, CAST(sum(CASE WHEN CAST('0x' || substr(md5(w), 9, 2) AS UBIGINT) % 2 = 1 THEN -1 ELSE 1 END) AS DOUBLE) AS x FROM word GROUP BY ALL),
+norm AS (SELECT kind, id, sqrt(sum(x * x)) AS n FROM cell GROUP BY ALL)"""
+
+
+def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    local = HashingEmbedder(SMALL)
+    docs = T.read(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("doc_id").alias("chunk_id"), "text")
+    items = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return embed(docs, local, SMALL).drop("text"), embed(items, local, SMALL, instruction=INSTRUCTION, name="probe").drop("text")
+
+
+@query("nl7_udf2_embedded_chunks", f"WITH {HASHED} SELECT id AS chunk_id, CAST(place AS BIGINT) AS place, round(x / n, 9) AS x FROM cell JOIN norm USING (kind, id) WHERE kind = 'c' AND x <> 0")
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers other than zero of all chunks' vectors."""
+    placed = _embedded(spark, sf_dir)[0].select("chunk_id", F.posexplode("embedding").alias("place", "x")).where("x <> 0")
+    return placed.select("chunk_id", F.col("place").cast("long").alias("place"), F.round("x", 9).alias("x"))
+
+
+@query("nl8_query_instruction_search", f"WITH {HASHED}, sims AS (SELECT q.id AS query_id, c.id AS chunk_id, round(sum(q.x * c.x) / (any_value(qn.n) * any_value(cn.n)), 12) AS sim FROM cell q JOIN cell c ON q.kind = 'q' AND c.kind = 'c' AND q.place = c.place JOIN norm qn ON qn.kind = 'q' AND qn.id = q.id JOIN norm cn ON cn.kind = 'c' AND cn.id = c.id GROUP BY ALL) SELECT query_id, chunk_id, round(sim, 6) AS score FROM sims WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 3")
+def instructed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions, embedded with the instruction, against chunks that are embedded bare."""
+    chunks, queries = _embedded(spark, sf_dir)
+    return R.top_hits(R.score(chunks, queries, threshold=0.3, k=3), threshold=0.3, k=3, margin=0).select("query_id", "chunk_id", F.round("sim", 6).alias("score"))

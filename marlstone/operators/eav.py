@@ -25,7 +25,7 @@ def resolve(entities: DataFrame, queries: DataFrame) -> DataFrame:
 def facts(values: DataFrame, relations: DataFrame, entities: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(entity_id, branch, attribute, value): current values, then outgoing relations with their targets' names, then
     incoming ones with their sources' names; with `of` only those of the entities it names (entity_id), which is applied
-    before names are joined.
+    where rows are read: relations may then repeat, as they are made distinct behind it, and before names are joined.
     """
     if of is not None:
         ids = written(of.select(F.col("entity_id").alias("wanted")).distinct())
@@ -35,9 +35,9 @@ def facts(values: DataFrame, relations: DataFrame, entities: DataFrame, of: Data
         only = lambda df, c: df
     names = entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name"))
     own = only(values.where(~F.col("superseded")), "entity_id").select("entity_id", F.lit(0).alias("branch"), "attribute", "value")
-    out = only(relations, "source_id").select(F.col("source_id").alias("entity_id"), F.lit(1).alias("branch"), F.col("relation_type").alias("attribute"), F.col("target_id").alias("with_id"))
-    into = only(relations, "target_id").select(F.col("target_id").alias("entity_id"), F.lit(2).alias("branch"), F.col("relation_type").alias("attribute"), F.col("source_id").alias("with_id"))
-    related = out.unionByName(into).join(names, F.col("with_id") == F.col("other"))
+    end = lambda branch, own_id, with_id: F.struct(F.col(own_id).alias("entity_id"), F.lit(branch).alias("branch"), F.col("relation_type").alias("attribute"), F.col(with_id).alias("with_id"))
+    ends = only(relations.select(F.explode(F.array(end(1, "source_id", "target_id"), end(2, "target_id", "source_id"))).alias("e")).select("e.*"), "entity_id")
+    related = (ends if of is None else ends.distinct()).join(names, F.col("with_id") == F.col("other"))
     return own.unionByName(related.select("entity_id", "branch", "attribute", F.col("other_name").alias("value")))
 
 

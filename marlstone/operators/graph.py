@@ -8,9 +8,33 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 
 
-def undirected(relations: DataFrame) -> DataFrame:
-    """(a, b): each relation both ways."""
-    return relations.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).unionByName(relations.select(F.col("target_id").alias("a"), F.col("source_id").alias("b"))).distinct()
+#: Nodes of a frontier that are broadcast to the edges at most; a larger one meets edges that are written once.
+MOST_BROADCAST = 50_000
+
+
+def undirected(relations: DataFrame, distinct: bool = True) -> DataFrame:
+    """(a, b): each relation both ways, in one pass; repeats only go if distinct is set."""
+    both = F.array(F.struct(F.col("source_id").alias("a"), F.col("target_id").alias("b")), F.struct(F.col("target_id").alias("a"), F.col("source_id").alias("b")))
+    ends = relations.select(F.explode(both).alias("e")).select("e.a", "e.b")
+    return ends.distinct() if distinct else ends
+
+
+class _Edges:
+    """Edges (a, b), with repeats or not, as frontiers need them: a small frontier goes to the edges as they are, which
+    are filtered where they are read; for the first larger one they are made distinct and written, for all hops to come.
+    """
+
+    def __init__(self, edges: DataFrame) -> None:
+        self.edges, self.stored = edges, None
+
+    def from_(self, level: DataFrame) -> DataFrame:
+        """level (node, ...) with b; level must be written."""
+        on = F.col("node") == F.col("a")
+        if level.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+            return (self.edges if self.stored is None else self.stored).join(F.broadcast(level), on)
+        if self.stored is None:
+            self.stored = written(self.edges.distinct())
+        return level.join(self.stored, on)
 
 
 def degrees(nodes: DataFrame, relations: DataFrame) -> DataFrame:
@@ -22,13 +46,14 @@ def degrees(nodes: DataFrame, relations: DataFrame) -> DataFrame:
 
 def reach(edges: DataFrame, starts: DataFrame, hops: int) -> DataFrame:
     """(start, node, depth): nodes within some hops, each at its least depth, by levels: a node that was seen is not
-    expanded again, so hubs cost their edges once and no path is enumerated. Each level is written before the next.
+    expanded again, so hubs cost their edges once and no path is enumerated. Each level is written before the next; edges
+    (a, b) may repeat.
     """
-    edges = written(edges)
+    edges = _Edges(edges)
     seen = starts.select(F.col("entity_id").alias("start"), F.col("entity_id").alias("node"), F.lit(0).alias("depth"))
-    level = seen
+    seen = level = written(seen)
     for depth in range(1, hops + 1):
-        step = level.join(edges, F.col("node") == F.col("a")).select("start", F.col("b").alias("node")).distinct()
+        step = edges.from_(level).select("start", F.col("b").alias("node")).distinct()
         level = written(step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(level)
     return seen
@@ -44,13 +69,13 @@ def shortest_path(edges: DataFrame, start: str, end: str, most_nodes: int = 4) -
     """(position, entity_id) of the first shortest path by its nodes' order, of at most most_nodes nodes; no row if there
     is none. Levels keep each node's least path, so hubs are not enumerated.
     """
-    spark, edges = edges.sparkSession, written(edges)
+    spark, edges = edges.sparkSession, _Edges(edges)
     seen = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     level = seen
     for _ in range(most_nodes - 1):
         if start == end or level.where(F.col("node") == end).take(1):
             break
-        step = level.join(edges, F.col("node") == F.col("a")).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path"))
+        step = edges.from_(level).groupBy(F.col("b").alias("node")).agg(F.min("path").alias("path"))
         step = step.join(seen.select("node"), "node", "left_anti")
         level = written(step.select("node", F.concat("path", F.array("node")).alias("path")))
         seen = seen.unionByName(level)

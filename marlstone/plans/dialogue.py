@@ -147,7 +147,7 @@ def isolated_and_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def depth_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of all relations at most two links from a root; the root has depth 0."""
     start = T.entities(spark, sf_dir).where("entity_id = 'nation:3'")
-    return G.reach(G.undirected(T.relations(spark, sf_dir)), start, 2).select("node", F.col("depth").cast("int").alias("depth"))
+    return G.reach(G.undirected(T.relations(spark, sf_dir, distinct=False), distinct=False), start, 2).select("node", F.col("depth").cast("int").alias("depth"))
 
 
 QUESTIONS = "q(query_id, entity_id) AS (VALUES (1, 'nation:3'), (2, 'region:1'), (3, 'supplier:2'))"

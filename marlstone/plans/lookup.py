@@ -36,7 +36,7 @@ def resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def structured_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities = T.entities(spark, sf_dir)
     found = written(eav.resolve(entities, F.broadcast(_questions(spark))))
-    return eav.lookup(found, eav.facts(T.values(spark, sf_dir), T.relations(spark, sf_dir), entities, of=found))
+    return eav.lookup(found, eav.facts(T.values(spark, sf_dir), T.relations(spark, sf_dir, distinct=False), entities, of=found))
 
 
 @query("st2_jn3_jn4_jn5_all_facts", _with(FACT, "SELECT branch, attribute, count(*) AS n, count(DISTINCT entity_id) AS n_entities, min(value) AS least, max(value) AS most FROM fact GROUP BY ALL"))

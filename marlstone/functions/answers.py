@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import confidence_tier, strip_code_fence
+from .text import confidence_tier, strip, strip_code_fence
 
 # Categories, intents, where an intent goes and which ticket it makes, attempts before a question is passed on.
 CATEGORIES = ["GREETING", "OUT_OF_SCOPE", "DOMAIN_REQUEST"]
@@ -14,6 +14,10 @@ AGENT_OF = {"KNOWLEDGE_QUERY": "knowledge_agent", "CREATE_TICKET": "ticket_agent
 MOST_CLARIFICATIONS = 3
 # Words that cancel.
 CANCEL = ["cancel", "never mind", "nevermind", "stop"]
+#: An address by form alone, and the most characters before its `@`.
+_LABEL = "[A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?"
+EMAIL = rf"^[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+)*@({_LABEL}\.)+[A-Za-z]{{2,}}$"
+MOST_LOCAL = 64
 
 
 def parse_classification(text: Column) -> Column:
@@ -63,6 +67,50 @@ def parse_query(text: Column) -> Column:
     )
 
 
+def _typed(text: Column) -> tuple[Column, dict]:
+    """A JSON answer, which may be fenced, as a variant, and of a path its type (null where it is missing) and its value."""
+    v = F.try_parse_json(strip_code_fence(text))
+    kind = lambda p: F.schema_of_variant(F.try_variant_get(v, p, "variant"))
+    return v, kind
+
+
+def _text_of(v: Column, kind, path: str) -> Column:
+    """A string that is not blank, without white space at its ends; else null."""
+    return F.when(kind(path) == "STRING", F.nullif(strip(F.try_variant_get(v, path, "string")), F.lit("")))
+
+
+def _list_of(v: Column, kind, path: str, json_type: str, spark_type: str) -> Column:
+    """A list of one type without nulls; the empty list where there is none; null for anything else."""
+    empty, listed = F.array().cast(f"array<{spark_type}>"), F.try_variant_get(v, path, f"array<{spark_type}>")
+    k = F.coalesce(kind(path), F.lit("missing"))
+    whole = F.when(k.isin(f"ARRAY<{json_type}>", "ARRAY<VOID>") & ~F.exists(listed, lambda x: x.isNull()), listed)
+    return F.when(k == "missing", empty).otherwise(whole)
+
+
+def parse_rewrite(text: Column) -> Column:
+    """(rewritten_text, resolved_references) of a JSON answer. Null: no JSON object, no text that is not blank, or
+    references that are no list of strings.
+    """
+    v, kind = _typed(text)
+    rewritten, references = _text_of(v, kind, "$.rewritten_text"), _list_of(v, kind, "$.resolved_references", "STRING", "string")
+    return F.when(rewritten.isNotNull() & references.isNotNull(), F.struct(rewritten.alias("rewritten_text"), references.alias("resolved_references")))
+
+
+def parse_answer(text: Column) -> Column:
+    """(answer, is_grounded, citation_indices) of a JSON answer. Null: no JSON object, no answer that is not blank,
+    is_grounded that is no boolean, or indices that are no list of whole numbers.
+    """
+    v, kind = _typed(text)
+    answer, indices = _text_of(v, kind, "$.answer"), _list_of(v, kind, "$.citation_indices", "BIGINT", "bigint")
+    grounded = F.when(kind("$.is_grounded") == "BOOLEAN", F.try_variant_get(v, "$.is_grounded", "boolean"))
+    return F.when(answer.isNotNull() & grounded.isNotNull() & indices.isNotNull(), F.struct(answer.alias("answer"), grounded.alias("is_grounded"), indices.alias("citation_indices")))
+
+
+def strategy(entity_type: Column) -> Column:
+    """How a parsed query is answered: by facts and passages if it names a type of entity, else by passages."""
+    return F.when(entity_type.isNotNull(), "hybrid").otherwise("vector")
+
+
 def cancels(text: Column) -> Column:
     """Does a message call the dialogue off? Not if it holds an `@`, as then it is an address."""
     low = F.lower(text)
@@ -74,7 +122,7 @@ def email(text: Column) -> Column:
     Checked by form alone: no dot at an end or twice, a domain of labels, a top level of letters.
     """
     trimmed = F.regexp_replace(text, r"^\s+|\s+$", "")
-    good = trimmed.rlike(r"^[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+(\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~-]+)*@([A-Za-z0-9]([A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}$") & (F.length(F.split_part(trimmed, F.lit("@"), F.lit(1))) <= 64)
+    good = trimmed.rlike(EMAIL) & (F.length(F.split_part(trimmed, F.lit("@"), F.lit(1))) <= MOST_LOCAL)
     return F.when(good, F.concat(F.split_part(trimmed, F.lit("@"), F.lit(1)), F.lit("@"), F.lower(F.split_part(trimmed, F.lit("@"), F.lit(2)))))
 
 

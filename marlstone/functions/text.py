@@ -87,6 +87,17 @@ def any_term_matches(query: Column, facts: Column) -> Column:
     return F.exists(query, lambda q: F.exists(facts, lambda f: same_term(q, f)))
 
 
+def duration(seconds: Column) -> Column:
+    """A number of seconds in words: in the largest of days, hours and minutes that divides it, else in seconds; one of a
+    unit is the unit's name alone.
+    """
+    out = F.concat(seconds.cast("string"), F.lit(" seconds"))
+    for size, name in ((60, "minute"), (3600, "hour"), (86400, "day")):
+        n = F.floor(seconds / size)
+        out = F.when(seconds % size == 0, F.when(n == 1, name).otherwise(F.concat(n.cast("string"), F.lit(f" {name}s")))).otherwise(out)
+    return out
+
+
 def capitals(x: Column) -> Column:
     return F.length(F.regexp_replace(x, r"[^\p{Lu}]", ""))
 

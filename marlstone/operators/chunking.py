@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -55,6 +55,42 @@ def chunk_document(docs: DataFrame, long_form: list[str], structured: list[str],
     return windows.select(key, number, F.size("window").alias("token_count"), "section_index", heading.alias("heading"), F.when(F.size("tokens") <= size, F.col("part")).otherwise(F.array_join("window", " ")).alias("chunk"), *pages)
 
 
+def marked_sections(text: Column, structure: Column) -> Column:
+    """(start, end, heading, heading_level) of a text's sections as an array: from each marker (position, level,
+    heading_text) to the next one, and before the first what stands there. Without markers the text is one section. Empty
+    sections go, so an empty text has none.
+    """
+    none = F.struct(F.lit(0).alias("position"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("string").alias("heading_text"))
+    marks = F.coalesce(F.transform(structure, lambda m: F.struct(m["position"].cast("int").alias("position"), m["level"].cast("int").alias("level"), m["heading_text"].alias("heading_text"))), F.array().cast("array<struct<position: int, level: int, heading_text: string>>"))
+    starts = F.when(F.coalesce(F.get(marks, F.lit(0))["position"], F.lit(-1)) == 0, marks).otherwise(F.concat(F.array(none), marks))
+    size = F.length(text)
+    cut = F.transform(starts, lambda m, i: F.struct(m["position"].alias("start"), F.least(F.coalesce(F.get(starts, i + 1)["position"], size), size).alias("end"), m["heading_text"].alias("heading"), m["level"].alias("heading_level")))
+    return F.filter(cut, lambda s: s["end"] > s["start"])
+
+
+def chunk_marked(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, key: str = "doc_id", text: str = "text", structure: str = "structure", inherit: tuple[str, ...] = ("source_type", "title")) -> DataFrame:
+    """(key, chunk_index, token_count, section_index, start, end, heading, heading_level, *inherit, chunk): token windows of
+    each section of marked_sections(), with what the document hands down. Sections without a token give no row, nor do
+    null texts.
+    """
+    kept = docs.where(F.col(text).isNotNull()).select(key, text, *inherit, F.posexplode(marked_sections(F.col(text), F.col(structure))).alias("section_index", "s"))
+    parts = kept.select(key, *inherit, "section_index", "s.*", F.col(text).substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("part"))
+    tokens = F.filter(F.split("part", r"[\x20\x09-\x0D]+"), lambda t: t != "")
+    windows = parts.withColumn("tokens", tokens).where(F.size("tokens") > 0).select("*", F.posexplode(token_windows(F.col("tokens"), size, overlap)).alias("i", "window"))
+    number = (F.row_number().over(W.partitionBy(key).orderBy("section_index", "i")) - 1).alias("chunk_index")
+    chunk = F.when(F.size("tokens") <= size, F.col("part")).otherwise(F.array_join("window", " ")).alias("chunk")
+    return windows.select(key, number, F.size("window").alias("token_count"), "section_index", "start", "end", "heading", "heading_level", *inherit, chunk)
+
+
+@F.udtf(returnType="window_index int, n_chars int, window string")
+class ExtractionWindows:
+    """A text's extraction windows as rows, for a lateral join; null and empty texts have none."""
+
+    def eval(self, text: str | None) -> Iterator[tuple[int, int, str]]:
+        for i, w in enumerate(extraction_windows(text) if text else []):
+            yield i, len(w), w
+
+
 def extraction_windows(text: str, size: int = WINDOW_SIZE, overlap: int = WINDOW_OVERLAP) -> list[str]:
     """Windows that end after a sentence, else after a blank, not before WINDOW_LEAST of their size; the next one begins
     at the first blank of the overlap. The cursor depends on the window before, so this is no set operation.

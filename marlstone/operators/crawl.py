@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
@@ -53,6 +54,15 @@ def hrefs(html: Column) -> Column:
     return F.filter(found, lambda x: ~x.rlike(r"(?i)^\s*(mailto:|tel:|javascript:)"))
 
 
+@F.udtf(returnType="place int, href string")
+class LinkRows:
+    """A page's link targets as rows, in order, by the rule of hrefs(), for a lateral join."""
+
+    def eval(self, html: str | None) -> Iterator[tuple[int, str]]:
+        targets = (m[1] for m in re.finditer(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"']", html or ""))
+        yield from enumerate(t for t in targets if not re.match(r"(?i)\s*(mailto:|tel:|javascript:)", t))
+
+
 def allowed(host: Column, domains: list[str]) -> Column:
     """Is a host one of the domains or below one?"""
     host = F.lower(host)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import strip, value_type
 
@@ -106,3 +108,17 @@ def upsert_values(existing: DataFrame, new: DataFrame) -> DataFrame:
     that of the last. Order is by seq, which both tables have; existing rows must have the lesser ones.
     """
     return existing.unionByName(new).groupBy("entity_id", "attribute", "value_norm").agg(F.min_by("value", "seq").alias("value"), F.max_by("searchable", "seq").alias("searchable"))
+
+
+def upsert_attributes(existing: DataFrame, new: DataFrame) -> DataFrame:
+    """One row for each (namespace, name) of both tables (value_type, multivalue, seq): the value type is the last one told,
+    multivalue that of the row that came first. Existing rows must have the lesser seq.
+    """
+    return existing.unionByName(new).groupBy("namespace", "name").agg(F.max_by("value_type", "seq").alias("value_type"), F.min_by("multivalue", "seq").alias("multivalue"))
+
+
+@F.pandas_udf(StringType())
+def merged_facts(turn: pd.Series, facts: pd.Series) -> str:
+    """The facts of a group's windows in order of their turns, joined by bars: an aggregate function."""
+    order = turn.argsort(kind="stable")
+    return "|".join(f for i in order for f in facts.iloc[i])

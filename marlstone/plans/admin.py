@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators import extraction
 from ..sources import tables as T
 from .base import query
 
@@ -80,6 +81,14 @@ def window_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("conv_id", "entity", F.array_join(F.flatten(F.transform("a", lambda x: x["facts"])), "|").alias("facts"))
 
 
+@query("udf5_merged_facts", "SELECT conv_id, array_to_string(flatten(list([role || turn, CAST(length(text) AS VARCHAR)] ORDER BY turn)), '|') AS facts FROM conversations GROUP BY conv_id")
+def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same merge by an aggregate function of our own."""
+    facts = F.array(F.concat("role", F.col("turn").cast("string")), F.length("text").cast("string"))
+    rows = T.read(spark, sf_dir, "conversations").select("conv_id", "turn", facts.alias("facts"))
+    return rows.groupBy("conv_id").agg(extraction.merged_facts("turn", "facts").alias("facts"))
+
+
 @query("ag25_top_and_rest", "WITH c AS (SELECT p_type, count(*) AS n FROM part GROUP BY ALL), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, p_type) AS rn FROM c) SELECT CASE WHEN rn <= 10 THEN p_type ELSE 'other' END AS bucket, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY ALL")
 def top_and_rest(spark: SparkSession, sf_dir: str, top: int = 10) -> DataFrame:
     counts = T.read(spark, sf_dir, "part").groupBy("p_type").agg(F.count(F.lit(1)).alias("n"))

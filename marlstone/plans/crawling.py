@@ -24,6 +24,13 @@ def hrefs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("href").alias("n_distinct"), F.min("href").alias("least"))
 
 
+@query("udf4_link_rows", f"SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS INTEGER) AS place, h[i] AS href FROM (SELECT page_id, list(href) AS h, unnest(range(1, len(list(href)) + 1)) AS i FROM ({HREFS}) GROUP BY page_id)")
+def link_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by a table function, joined laterally."""
+    pages = T.read(spark, sf_dir, "pages")
+    return pages.lateralJoin(C.LinkRows(F.col("html").outer())).select("page_id", "place", "href")
+
+
 @query("src16_link_classes", f"SELECT page_id, count(*) FILTER (WHERE NOT regexp_matches(href, '(?i)^https?://') OR lower(regexp_extract(href, '(?i)^https?://([^/?#:]*)', 1)) = lower(regexp_extract(url, '(?i)^https?://([^/?#:]*)', 1))) AS internal, count(*) AS links FROM ({HREFS}) GROUP BY page_id")
 def link_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.links(T.read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count_if("internal").alias("internal"), F.count(F.lit(1)).alias("links"))

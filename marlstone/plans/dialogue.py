@@ -55,6 +55,34 @@ def query_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "events").select("event_id", parsed.alias("q")).select("event_id", "q.entity_type", F.size("q.filters").alias("n_filters"), "q.confidence", "q.valid")
 
 
+@query("sc47_strategy_of_query", "SELECT event_id, CASE WHEN event_id % 6 IN (1, 2, 3, 4) THEN 'hybrid' ELSE 'vector' END AS strategy FROM events")
+def strategy_of_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the type of entity that the parsed query names; no JSON, and no object, name none."""
+    start = F.concat(F.lit('{"entity_type":" '), F.col("event_type"), F.lit('","confidence":0.5'))
+    texts = F.array(F.lit("nothing"), F.concat(F.lit("```json\n"), start, F.lit("}\n```")), F.concat(start, F.lit(',"filters":[]}')), F.concat(start, F.lit("}")), F.concat(start, F.lit(',"attribute":"x"}')), F.lit('{"entity_type":"  ","confidence":1}'))
+    parsed = A.parse_query(F.element_at(texts, (F.col("event_id") % 6 + 1).cast("int")))
+    return T.read(spark, sf_dir, "events").select("event_id", A.strategy(parsed["entity_type"]).alias("strategy"))
+
+
+@query("sc42_rewrite_and_answer", """SELECT event_id, CASE event_id % 9 WHEN 0 THEN event_type WHEN 1 THEN event_type END AS rewritten_text, CAST(CASE event_id % 9 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS INTEGER) AS n_references,
+CASE event_id % 9 WHEN 5 THEN event_type WHEN 6 THEN event_type END AS answer, CASE event_id % 9 WHEN 5 THEN event_id % 2 = 0 WHEN 6 THEN TRUE END AS is_grounded, CASE event_id % 9 WHEN 5 THEN '1,' || user_id WHEN 6 THEN '' END AS citations FROM events""")
+def rewrite_and_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrites: whole, without references, with a number among them, blank, with references that are none; answers: whole,
+    without indices, with true among them, not told whether grounded.
+    """
+    rewrite = F.concat(F.lit('{"rewritten_text":" '), F.col("event_type"), F.lit('\\n"'))
+    answer = F.concat(F.lit('{"answer":"'), F.col("event_type"), F.lit(' "'))
+    truth, user = (F.col("event_id") % 2 == 0).cast("string"), F.col("user_id").cast("string")
+    texts = F.array(
+        F.concat(F.lit("```json\n"), rewrite, F.lit(',"resolved_references":["it","that"]}\n```')), F.concat(rewrite, F.lit("}")), F.concat(rewrite, F.lit(',"resolved_references":["it",1]}')), F.lit('{"rewritten_text":"  "}'), F.concat(rewrite, F.lit(',"resolved_references":null}')),
+        F.concat(answer, F.lit(',"is_grounded":'), truth, F.lit(',"citation_indices":[1,'), user, F.lit("]}")), F.concat(answer, F.lit(',"is_grounded":true}')), F.concat(answer, F.lit(',"is_grounded":true,"citation_indices":[1,true]}')), F.concat(answer, F.lit(',"is_grounded":"yes"}')),
+    )
+    text = F.element_at(texts, (F.col("event_id") % 9 + 1).cast("int"))
+    rows = T.read(spark, sf_dir, "events").select("event_id", A.parse_rewrite(text).alias("r"), A.parse_answer(text).alias("a"))
+    indices = F.array_join(F.transform("a.citation_indices", lambda i: i.cast("string")), ",")
+    return rows.select("event_id", "r.rewritten_text", F.when(F.col("r").isNotNull(), F.size("r.resolved_references")).alias("n_references"), "a.answer", "a.is_grounded", indices.alias("citations"))
+
+
 OCTETS = [
     "CASE event_id % 8 WHEN 0 THEN 10 WHEN 1 THEN 127 WHEN 2 THEN 169 WHEN 3 THEN 100 WHEN 4 THEN 172 WHEN 5 THEN 192 WHEN 6 THEN 224 + event_id % 32 ELSE 8 END AS a",
     "CASE event_id % 8 WHEN 2 THEN 253 + event_id % 3 WHEN 3 THEN 60 + event_id % 70 WHEN 4 THEN event_id % 40 WHEN 5 THEN 160 + event_id % 16 ELSE event_id % 256 END AS b",

@@ -36,6 +36,36 @@ def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "chunk_index", "token_count", "heading", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+@query("nl2_marked_sections", """
+WITH d AS (SELECT doc_id, text, length(text) AS n, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 * 37 END AS first, CASE WHEN doc_id % 3 = 0 THEN 'T' || doc_id END AS title FROM documents WHERE text <> ''),
+m AS (SELECT *, unnest(range(0, greatest(n + 100 - first, 0), 400)) + first AS p FROM d WHERE first IS NOT NULL),
+marks AS (SELECT *, (p - first) // 400 AS i, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM m),
+s AS (SELECT doc_id, title, p AS start, least(coalesce(next, n), n) AS stop, 'H' || i AS heading, CAST(1 + i % 3 AS INTEGER) AS heading_level, text FROM marks
+  UNION ALL SELECT doc_id, title, 0, least(coalesce(nullif(first, 0), n), n), NULL, NULL, text FROM d WHERE first IS NULL OR first > 0),
+parts AS (SELECT *, substr(text, CAST(start + 1 AS BIGINT), CAST(stop - start AS BIGINT)) AS part FROM s WHERE stop > start),
+tokens AS (SELECT *, list_filter(regexp_split_to_array(part, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM parts),
+windows AS (SELECT *, unnest(range(0, greatest(len(w), 1), 40)) AS k FROM tokens WHERE len(w) > 0)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, k) - 1 AS INTEGER) AS chunk_index, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", heading, heading_level, title,
+       md5(CASE WHEN len(w) <= 50 THEN part ELSE array_to_string(w[k + 1:k + 50], ' ') END) AS chunk_md5 FROM windows WHERE k = 0 OR k + 10 < len(w)""")
+def marked_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with markers of three levels, some with a preamble, some without markers, the last marker behind the end."""
+    docs = T.read(spark, sf_dir, "documents")
+    first = F.when(F.col("doc_id") % 7 > 0, F.col("doc_id") % 2 * 37)
+    places = F.when(F.length("text") + 100 > first, F.sequence(first, F.length("text") + 99, F.lit(400).cast("long")))
+    marks = F.transform(places, lambda p, i: F.struct(p.alias("position"), (1 + i % 3).alias("level"), F.concat(F.lit("H"), i.cast("string")).alias("heading_text")))
+    typed = docs.select("doc_id", "text", marks.alias("structure"), F.lit("PDF").alias("source_type"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("T"), F.col("doc_id").cast("string"))).alias("title"))
+    made = chunking.chunk_marked(typed, size=50, overlap=10)
+    return made.select("doc_id", "chunk_index", "start", "end", "heading", "heading_level", "title", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
+
+
+@query("er2_attribute_upserts", "WITH r AS (SELECT o_orderstatus AS namespace, lower(left(o_orderpriority, 3)) || o_custkey % 50 AS name, CASE o_orderkey % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'string' ELSE 'boolean' END AS value_type, o_orderkey % 2 = 0 AS multivalue, o_orderkey + CASE WHEN o_orderkey % 5 = 0 THEN 1000000000000 ELSE 0 END AS seq FROM orders) SELECT namespace, name, arg_max(value_type, seq) AS value_type, arg_min(multivalue, seq) AS multivalue FROM r GROUP BY ALL")
+def attribute_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.element_at(F.array(*map(F.lit, ("number", "string", "boolean"))), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    name = F.concat(F.lower(F.substring("o_orderpriority", 1, 3)), (F.col("o_custkey") % 50).cast("string"))
+    o = T.read(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("namespace"), name.alias("name"), kind.alias("value_type"), (F.col("o_orderkey") % 2 == 0).alias("multivalue"), F.col("o_orderkey").alias("seq"))
+    return extraction.upsert_attributes(o.where("seq % 5 <> 0"), o.where("seq % 5 = 0").withColumn("seq", F.col("seq") + 1_000_000_000_000))
+
+
 @query("udf3_page_ranges", "SELECT doc_id, CAST(1 AS INTEGER) AS page_start, CAST((greatest(length(text) - 1, 0)) // 3000 + 1 AS INTEGER) AS page_end, count(*) AS chunks FROM (SELECT doc_id, text, w, unnest(range(0, greatest(len(w), 1), 425)) AS s FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents) WHERE len(w) > 0) WHERE s = 0 OR s + 75 < len(w) GROUP BY ALL")
 def page_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = T.read(spark, sf_dir, "documents").select("doc_id", "text", F.lit("CSV").alias("source_type"))

@@ -27,6 +27,12 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", F.array_join(X.terms(F.col("p_type")), " ").alias("terms"))
 
 
+@query("sc10_singulars", "SELECT DISTINCT w AS term, CASE WHEN w LIKE '%ies' AND length(w) > 4 THEN left(w, length(w) - 3) || 'y' WHEN w LIKE '%s' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END AS singular FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^0-9a-z]+')) AS w FROM documents) WHERE w <> ''")
+def singulars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = T.read(spark, sf_dir, "documents").select(F.explode(F.split(F.lower("text"), "[^0-9a-z]+")).alias("term")).where("term <> ''").distinct()
+    return words.select("term", X.singular(F.col("term")).alias("singular"))
+
+
 @query("sc16_capitals", "SELECT p_partkey, length(regexp_replace(p_name, '[^A-Z]', '', 'g')) AS capitals FROM part")
 def capitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "part").select("p_partkey", X.capitals(F.col("p_name")).cast("long").alias("capitals"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy
-from ..functions.text import normalize_term, strip_code_fence
+from ..functions.text import duration, normalize_term, strip, strip_code_fence
 from ..sources import tables as T
 from .base import query
 
@@ -30,13 +30,13 @@ def combined_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.select("event_id", F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x) / F.size("a"), 3).alias("confidence"))
 
 
-DURATION = "CASE WHEN s = 86400 THEN 'day' WHEN s = 3600 THEN 'hour' WHEN s = 60 THEN 'minute' WHEN s % 3600 = 0 THEN (s // 3600) || ' hours' WHEN s % 60 = 0 THEN (s // 60) || ' minutes' ELSE s || ' seconds' END"
-
-
-@query("sc37_durations", f"SELECT s AS seconds, {DURATION} AS text FROM (SELECT unnest([1, 60, 90, 900, 3600, 7200, 86400]) AS s)")
+@query("sc37_durations", """SELECT event_id, CASE WHEN s % 86400 = 0 THEN CASE WHEN s = 86400 THEN 'day' ELSE (s // 86400) || ' days' END WHEN s % 3600 = 0 THEN CASE WHEN s = 3600 THEN 'hour' ELSE (s // 3600) || ' hours' END
+WHEN s % 60 = 0 THEN CASE WHEN s = 60 THEN 'minute' ELSE (s // 60) || ' minutes' END ELSE s || ' seconds' END AS text
+FROM (SELECT event_id, (user_id % 30 + 1) * list_extract([1, 60, 900, 3600, 86400], event_id % 5 + 1) AS s FROM events)""")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in (1, 60, 90, 900, 3600, 7200, 86400)], "seconds int")
-    return rows.selectExpr("seconds", DURATION.replace("//", "div").replace("s = ", "seconds = ").replace("s % ", "seconds % ").replace("(s div", "(seconds div").replace("ELSE s ||", "ELSE seconds ||") + " AS text")
+    """Windows of seconds, minutes, hours and days in words."""
+    unit = F.element_at(F.array(*map(F.lit, (1, 60, 900, 3600, 86400))), (F.col("event_id") % 5 + 1).cast("int"))
+    return T.read(spark, sf_dir, "events").select("event_id", duration((F.col("user_id") % 30 + 1) * unit).alias("text"))
 
 
 @query("jn23_citations", "SELECT conv_id, array_to_string([r[i] FOR i IN [0, conv_id % 11 - 1, 2, 9] IF i BETWEEN 1 AND len(r)], ',') AS cited FROM (SELECT conv_id, list(turn || ':' || role ORDER BY turn) AS r FROM conversations GROUP BY ALL)")
@@ -82,10 +82,11 @@ def vocabulary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 def type_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts' types, some of them cut short, against all types of the table as the vocabulary."""
     part = T.read(spark, sf_dir, "part")
-    types = fuzzy.vocabulary_of(part.select(F.col("p_type").alias("term")), normalize_term(F.col("term")))
+    types = fuzzy.vocabulary_rows(part.select(F.col("p_type").alias("term")), normalize_term(F.col("term")))
     kind = F.col("p_partkey") % 3
     asked = F.when(kind == 0, F.col("p_type")).when(kind == 1, F.substring("p_type", 2, 100)).otherwise(F.split_part("p_type", F.lit(" "), F.lit(1)))
-    return part.select("p_partkey", normalize_term(asked).alias("term")).withColumn("m", fuzzy.match(F.col("term"), types)).select("p_partkey", "term", "m.*")
+    rows = part.select("p_partkey", normalize_term(asked).alias("term"))
+    return rows.join(fuzzy.match_table(rows, types), "term", "left").select("p_partkey", "term", "canonical", "confidence", "alternates")
 
 
 @query("sc14_relation_match")
@@ -111,6 +112,16 @@ def exact_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read(spark, sf_dir, "customer").select("c_custkey", F.coalesce(F.try_element_at(table, normalize_term(F.col("c_mktsegment"))), F.trim("c_mktsegment")).alias("canonical"))
 
 
+@query("sc15_canonical_terms", "WITH term AS (SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN ' Unknown  ' || c_custkey ELSE '  ' || replace(lower(n_name), ' ', '-') END AS t FROM customer JOIN nation ON c_nationkey = n_nationkey) SELECT c_custkey, coalesce(n_name, trim(t)) AS canonical FROM term LEFT JOIN nation ON translate(lower(n_name), '-_', '  ') = trim(lower(regexp_replace(translate(t, '-_', '  '), '\\s+', ' ', 'g')))")
+def canonical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms as a vocabulary table spells them, and other terms as they are."""
+    nations = T.read(spark, sf_dir, "nation")
+    spelt = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit(" Unknown  "), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit("  "), F.replace(F.lower("n_name"), F.lit(" "), F.lit("-"))))
+    rows = T.read(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", spelt.alias("t"))
+    known = fuzzy.vocabulary_rows(nations.select(F.col("n_name").alias("term")), normalize_term(F.col("term")))
+    return rows.join(known, normalize_term(F.col("t")) == F.col("n"), "left").select("c_custkey", F.coalesce("canonical", strip(F.col("t"))).alias("canonical"))
+
+
 @query("sc19_code_fences", "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'see ```' || props || '```' ELSE props END AS inside FROM events")
 def code_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 3

@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import time
 from collections import Counter
 
 import pyarrow as pa
@@ -106,6 +107,27 @@ def test_ticket_dialogue_as_a_stream(spark, tmp_path):
     assert {r.conv_id: (r.stage, r.turns) for r in last.collect()} == {r.conv_id: (r.stage, r.turns) for r in replayed.collect()} == {1: ("ticket", 2), 2: ("abandoned", 4), 3: ("cancelled", 2), 4: ("email", 1)}
 
 
+def test_idle_dialogues_expire(spark, tmp_path):
+    """Over restarts a dialogue goes on; one that was idle too long ends, and its next turn begins anew."""
+    source, state, out = tmp_path / "turns", str(tmp_path / "state"), str(tmp_path / "out")
+    source.mkdir()
+
+    def batch(n, turns, idle_ms):
+        rows = [{"conv_id": c, "turn": n, "text": t} for c, t in turns]
+        pq.write_table(pa.Table.from_pylist(rows, schema=pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("text", pa.string())])), source / f"{n}.parquet")
+        run = sessions.stream(spark.readStream.schema("conv_id long, turn long, text string").parquet(str(source)), idle_ms).writeStream.outputMode("update")
+        write = lambda rows, _: rows.withColumn("at", F.lit(n)).write.mode("append").parquet(out)
+        run.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+        return sorted((r.conv_id, r.stage, r.turns) for r in spark.read.parquet(out).where(f"at = {n}").collect())
+
+    assert batch(0, [(1, "my screen is broken"), (2, "help")], 3_600_000) == [(1, "email", 1), (2, "email", 1)]
+    assert batch(1, [(1, "no address"), (2, "ann@example.com")], 1) == [(1, "email", 1), (2, "ticket", 1)]  # after a restart
+    time.sleep(0.05)
+    found = batch(2, [(3, "new")], 3_600_000)
+    assert {(1, "expired", 0), (2, "expired", 0), (3, "email", 1)} <= set(found)
+    assert (1, "email", 1) in batch(3, [(1, "ann@example.com")], 3_600_000)  # a reason again, not an address
+
+
 def test_collapse_statistics(spark):
     rows = spark.createDataFrame([("a", "one large green bolt"), ("a", "one large green bolt."), ("a", "steel"), ("b", "x"), ("b", "x"), ("c", "y"), (None, "z"), ("c", None)], "group string, value string")
     found = resolution.collapse_statistics(rows, resolution.collapse_near_duplicates(rows)).first()

@@ -129,3 +129,58 @@ def test_embedding_by_a_plain_loop(spark):
     for bad, function, message in (([(1, " \n")], HashingEmbedder(16), "empty text"), ([(1, None)], HashingEmbedder(16), "empty text"), ([(1, "a")], HashingEmbedder(8), "vectors of shape"), ([(1, "a")], lambda t: np.full((1, 16), np.nan), "not finite")):
         with pytest.raises(Exception, match=message):
             embed(spark.createDataFrame(bad, "id long, text string"), function, 16).collect()
+
+
+def test_sections_by_markers(spark):
+    from marlstone.operators.chunking import chunk_marked, marked_sections
+
+    kind = "array<struct<position: int, level: int, heading_text: string>>"
+    cases = [
+        ("Intro. Body", [(7, 1, "B")], [(0, 7, None, None), (7, 11, "B", 1)]),
+        ("Body", [(0, 2, "B")], [(0, 4, "B", 2)]),
+        ("abcd", [(0, 1, "A"), (2, 2, "B"), (2, 3, "C"), (9, 1, "D")], [(0, 2, "A", 1), (2, 4, "C", 3)]),
+        ("abcd", None, [(0, 4, None, None)]),
+        ("abcd", [], [(0, 4, None, None)]),
+        ("", [(0, 1, "A")], []),
+        (None, [(0, 1, "A")], []),
+    ]
+    rows = spark.createDataFrame([(i, t, m, "PDF", "t") for i, (t, m, _) in enumerate(cases)], f"doc_id long, text string, structure {kind}, source_type string, title string")
+    found = {r.doc_id: [tuple(s) for s in r.s or []] for r in rows.select("doc_id", marked_sections(F.col("text"), F.col("structure")).alias("s")).collect()}
+    assert [found[i] for i in range(len(cases))] == [e for *_, e in cases]
+    chunks = chunk_marked(rows).where("doc_id = 0").orderBy("chunk_index").collect()
+    assert [(c.chunk, c.heading, c.heading_level, c.source_type, c.title) for c in chunks] == [("Intro. ", None, None, "PDF", "t"), ("Body", "B", 1, "PDF", "t")]
+
+
+def test_window_rows_are_the_windows(spark):
+    from marlstone.operators.chunking import ExtractionWindows, chunk_for_extraction
+
+    docs = spark.createDataFrame([(1, "One. Two three. " * 400), (2, None), (3, ""), (4, "x" * 5_000)], "doc_id long, text string")
+    lateral = docs.lateralJoin(ExtractionWindows(F.col("text").outer())).select("doc_id", "window_index", "n_chars", "window")
+    assert sorted(map(tuple, lateral.collect())) == sorted(map(tuple, chunk_for_extraction(docs).collect()))
+
+
+def test_vocabularies_of_any_size(spark):
+    from marlstone.functions import fuzzy
+
+    r = random.Random(8)
+    words = sorted({"".join(r.choice("abcde") for _ in range(r.randint(2, 9))) for _ in range(400)})
+    vocabulary = {w: w[:3].upper() for w in words}
+    terms = [*words[:5], *("".join(r.choice("abcdef") for _ in range(r.randint(1, 9))) for _ in range(120)), "", "zzz", None]
+    rows = spark.createDataFrame([(t,) for t in terms], "term string")
+    table = spark.createDataFrame(list(vocabulary.items()), "n string, canonical string")
+    expected = {(t, *fuzzy._find(t, vocabulary)) for t in terms if t is not None}
+    for block in (10_000, 37):
+        assert set(map(tuple, fuzzy.match_table(rows, table, block).collect())) == expected
+
+
+def test_strict_answers(spark):
+    from marlstone.functions import answers
+
+    def read(function, text):
+        row = one(spark, function(F.lit(text).cast("string")))
+        return tuple(row) if row else None
+
+    rewrite = [('{"rewritten_text":" a ","resolved_references":["x"],"more":1}', ("a", ["x"])), ('```json\n{"rewritten_text":"a"}\n```', ("a", [])), ('{"rewritten_text":1}', None), ('{"rewritten_text":"a","resolved_references":["x",null]}', None), ('{"rewritten_text":"a","resolved_references":"x"}', None), ("[1]", None), ("{oops", None), (None, None)]
+    assert [read(answers.parse_rewrite, t) for t, _ in rewrite] == [e for _, e in rewrite]
+    answer = [('{"answer":"a","is_grounded":true,"citation_indices":[1,2]}', ("a", True, [1, 2])), ('{"answer":"a","is_grounded":false}', ("a", False, [])), ('{"answer":" ","is_grounded":true}', None), ('{"answer":"a","is_grounded":1}', None), ('{"answer":"a"}', None), ('{"answer":"a","is_grounded":true,"citation_indices":[1.5]}', None), ('{"answer":"a","is_grounded":true,"citation_indices":["1"]}', None)]
+    assert [read(answers.parse_answer, t) for t, _ in answer] == [e for _, e in answer]

@@ -1,7 +1,8 @@
 """A training corpus from documents: quality, near duplicates, shared passages, benchmark passages, packing.
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and works on all rows that the stage before
-it kept; the last returns the packed pieces. run() writes each stage's rows to the shared folder and reads them again.
+it kept; the last returns the packed pieces. run() writes each stage's rows to the shared folder and reads them again; a
+stage's folder goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from marlstone.llm.packing import pack_documents
 from marlstone.llm.quality import score, train
 from marlstone.llm.simhash import drop_near_duplicates
 from marlstone.llm.substrings import remove_duplicate_spans
+from marlstone.sources.shared import drop_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +68,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            drop_folder(spark, f"{folder}/{last}")
+        last = name
     return docs

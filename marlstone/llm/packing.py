@@ -277,7 +277,7 @@ def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def _pack(rows: DataFrame, parts: int, seed: int, capacity: int) -> DataFrame:
     """Deals rows into `parts` partitions anew and packs each: part, bin, place, bins (used by the part), bound."""
     given = [c for c in rows.columns if c not in ("part", "bin", "place", "bins", "bound", "level")]
-    dealt = rows.select(*given, F.pmod(F.xxhash64("ids_crc32", "length", "piece", F.col("key").cast("string"), F.lit(seed)), F.lit(parts)).alias("part"))
+    dealt = rows.select(*given, F.pmod(F.xxhash64("serial", F.lit(seed)), F.lit(parts)).alias("part"))
 
     def run(table: pa.Table) -> pa.Table:
         lengths = table.column("length").to_numpy()
@@ -296,7 +296,8 @@ def _bins(rows: DataFrame) -> int:
 
 
 def pack(pieces: DataFrame, capacity: int, rounds: int = 3) -> DataFrame:
-    """pieces (key, piece, length, ids_crc32, ...) with sequence_id and offset, in as few sequences as can be reached.
+    """pieces (serial, length, ...) with sequence_id and offset, in as few sequences as can be reached. serial is a number of
+    each row's own, so that equal rows are dealt out too; pieces must be written, as it must not change.
 
     Each partition is packed by best-fit decreasing and certified by its lower bound. The partitions that use more bins
     than their bound exchange their pieces and are packed again, as long as that saves bins. Then the sequences that are
@@ -339,7 +340,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, k
     Null and empty texts are one piece of the end id; repeated rows and null keys are packed like others; an empty table
     gives an empty one; other columns of docs are not read. with_ids keeps the token ids themselves.
     """
-    rows = cut(token_pieces(docs, tokenizer_path, capacity, key, text, with_ids=with_ids))
+    rows = cut(token_pieces(docs, tokenizer_path, capacity, key, text, with_ids=with_ids).withColumn("serial", F.monotonically_increasing_id()))
     names = ["piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids + ["sequence_id", "offset"]
     return pack(rows, capacity).select(F.col("key").alias(key), *names)
 

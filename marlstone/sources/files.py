@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,15 @@ MOST_BYTES, KEPT_SECONDS = 25 * 1024 * 1024, 600
 
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, extension, n_bytes, checksum, reference) of the files of a folder and those below it. Spark's file sources pass
-    over files of no bytes, so these have no row; fault() tells them apart in listings made otherwise.
+    """(name, extension, n_bytes, checksum, reference) of the files of a folder and those below it. Spark's file sources
+    pass over files of no bytes; these come from the listing that the source has made, so that they can be turned down.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.substring_index("path", "/", -1)
-    return described(files.select(name.alias("name"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("checksum")))
+    plain = lambda p: F.regexp_replace(p, "^([a-z0-9]+:)/+", "$1/")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "path string").select(plain("path").alias("path"))
+    read = files.select(plain("path").alias("path"), F.col("length").alias("n_bytes"), F.sha2("content", 256).alias("checksum"))
+    found = listed.join(read, "path", "left").withColumns({"n_bytes": F.coalesce("n_bytes", F.lit(0).cast("long")), "checksum": F.coalesce("checksum", F.sha2(F.lit(b""), 256))})
+    return described(found.select(F.substring_index("path", "/", -1).alias("name"), "n_bytes", "checksum"))
 
 
 def described(files: DataFrame) -> DataFrame:

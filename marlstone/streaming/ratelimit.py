@@ -25,6 +25,9 @@ def replay_counts(spark: SparkSession, path: str, seconds: int, every: int | Non
 
     Each batch writes only the windows it has changed (update mode), into a folder of its own that a repeated batch
     overwrites; counts only grow, so a window's last count is its greatest. The files lie in the shared folder.
+
+    What is counted depends on how files fall into batches where these are several: an event is dropped if an earlier batch
+    has moved the watermark past its window. In one batch, as in a count of the stored table, nothing is late.
     """
     schema = spark.read.parquet(path).schema
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"

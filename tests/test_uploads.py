@@ -9,14 +9,14 @@ from marlstone.sources import files
 
 
 def test_uploads_of_a_folder(spark, tmp_path):
-    for name, content in (("a.PDF", b"one"), ("b.md", b"one"), ("c.exe", b"x"), ("d.docx", b""), ("e", b"one"), ("f.md", b"y" * 50), ("g.md", b"known")):
+    for name, content in (("a.PDF", b"one"), ("b.md", b"one"), ("c.exe", b"x"), ("d e%20.docx", b""), ("e", b"one"), ("f.md", b"y" * 50), ("g.md", b"known")):
         (tmp_path / name).write_bytes(content)
     found = files.uploads(spark, str(tmp_path))
     a = found.where("name = 'a.PDF'").first()
     assert (a.extension, a.n_bytes, a.checksum, a.reference) == ("pdf", 3, hashlib.sha256(b"one").hexdigest(), "manual_upload://a.PDF")
     stored = spark.createDataFrame([(hashlib.sha256(b"known").hexdigest(),), (None,)], "checksum string")
     decided = {r.name: r.decision for r in files.validated(found, stored, most_bytes=49).collect()}
-    assert decided == {"a.PDF": "accepted", "b.md": "duplicate", "c.exe": "unsupported_type", "e": "unsupported_type", "f.md": "too_large", "g.md": "duplicate"}
+    assert decided == {"a.PDF": "accepted", "b.md": "duplicate", "c.exe": "unsupported_type", "d e%20.docx": "empty", "e": "unsupported_type", "f.md": "too_large", "g.md": "duplicate"}
 
 
 def test_listed_files_and_no_files(spark):

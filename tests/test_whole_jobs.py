@@ -7,7 +7,7 @@ from difflib import SequenceMatcher
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from marlstone.operators import resolution
+from marlstone.operators import near_values, resolution
 from marlstone.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -52,7 +52,7 @@ def test_provides_edges_of_every_line(spark, tmp_path):
     assert {"supplier:1", "supplier:2"} <= exported and any(x.startswith("customer:") for x in exported)
 
 
-def test_groups_of_any_size_are_collapsed(spark):
+def test_groups_of_any_size_are_collapsed(spark, monkeypatch):
     """Rounds of few values give what one pass over the group gives; copies of a value are no reason to stop."""
     drawn = random.Random(4)
     values = [" ".join(drawn.choice(["large", "small", "green", "steel", "brass"]) for _ in range(4)) + drawn.choice(["", ".", "!"]) for _ in range(300)]
@@ -63,8 +63,9 @@ def test_groups_of_any_size_are_collapsed(spark):
     rows = spark.createDataFrame([("hot", v) for v in values] + [("cold", "a"), ("cold", None), (None, "b")] + [("same", "x")] * 2_001, "group string, value string")
     expected = sorted([("hot", v) for v in kept] + [("cold", "a"), ("", "b"), ("same", "x")])
     assert len(kept) > 40
-    for most in (40, 2_000):
-        assert sorted((r.group or "", r.value) for r in resolution.collapse_near_duplicates(rows, most=most).collect()) == expected
+    for wave in (40, 2_000):
+        monkeypatch.setattr(near_values, "WAVE", wave)
+        assert sorted((r.group or "", r.value) for r in resolution.collapse_near_duplicates(rows).collect()) == expected
 
 
 def test_whole_texts_are_rendered_and_named(spark, tmp_path):

@@ -23,14 +23,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_texts, read_table, release_memory, shared_dir, text_slices
-from .packing import CACHE_BYTES, CALL_WORDS, MARK, TOKENIZE_BYTES, WordIds, _byte_characters, _gathered
+from .packing import CALL_WORDS, MARK, TOKENIZE_BYTES, WordIds, _byte_characters, _gathered
 
 VECTOR, DIMENSIONS, BITS = 4096, 4, 12
 #: Tokens of one packing task on average, and of one output batch.
 TASK_TOKENS, BATCH_TOKENS = 16 << 20, 1 << 20
+#: Bytes of units and ids that a worker remembers; in Python they take about eight times as much.
+UNIT_BYTES = 32 << 20
 #: Where a text cannot be cut at ASCII white space: white space of other scripts, separators that only some rules take as
 #: white space, and the special token's own string.
 _UNEVEN = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|[\x1c-\x1f]|<\|endoftext\|>")
+_MAY_BE_UNEVEN = np.zeros(256, bool)
+_MAY_BE_UNEVEN[[0xC2, 0xE1, 0xE2, 0xE3, *range(0x1C, 0x20), *b"<"]] = True
 _IS_GAP = np.zeros(256, bool)
 _IS_GAP[[*range(9, 14), 32]] = True
 _IS_LETTER, _IS_SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -91,11 +95,12 @@ class ByteIds(WordIds):
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[edge[0] : edge[-1]] if data is not None and edge[-1] > edge[0] else np.zeros(0, np.uint8)
         edge = edge - edge[0]
-        odd = np.unique(np.searchsorted(edge, [m.start() for m in _UNEVEN.finditer(raw)], side="right") - 1)
+        uneven = [i for i in np.flatnonzero(_MAY_BE_UNEVEN[raw]).tolist() if _UNEVEN.match(raw, i)]
+        odd = np.unique(np.searchsorted(edge, uneven, side="right") - 1)
         cuts = self._cuts(raw, edge)
         units = pa.BinaryArray.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)]) if len(raw) else pa.array([], pa.binary())
         coded = units.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         codes, numbers = coded.indices.to_numpy(), np.zeros(len(distinct), np.int64)
         first = np.searchsorted(cuts[:-1], edge)  # of each text, its first unit
         used = np.arange(len(distinct))
@@ -135,7 +140,7 @@ class ByteIds(WordIds):
         return np.flatnonzero(cut)
 
     def _shrink(self, words: list[bytes], numbers: np.ndarray) -> None:
-        if self.held <= CACHE_BYTES:
+        if self.held <= UNIT_BYTES:
             return
         ids, starts, sizes = self._table()
         keep = np.flatnonzero(sizes[numbers] > 0)

@@ -56,10 +56,10 @@ def find_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.entities(spark, sf_dir).join(matching, "entity_id", "left_semi").select("entity_id", "name")
 
 
-@query("jn6_gr1_entity_detail", T.sql("SELECT e.entity_id, e.name, count(v.value) AS fact_count, coalesce(string_agg(attribute || '=' || value, ';' ORDER BY namespace, attribute, value), '') AS details FROM entity e LEFT JOIN value v ON e.entity_id = v.entity_id WHERE e.entity_type IN ('supplier', 'nation') GROUP BY ALL", "entity", "value"))
+@query("jn6_gr1_entity_detail", T.sql("SELECT e.entity_id, e.name, count(v.value) AS fact_count, coalesce(string_agg(attribute || '=' || value, ';' ORDER BY namespace, attribute, value), '') AS details FROM entity e LEFT JOIN value v ON e.entity_id = v.entity_id GROUP BY ALL", "entity", "value"))
 def entity_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     fact = F.when(F.col("value").isNotNull(), F.struct("namespace", "attribute", "value"))
-    joined = T.entities(spark, sf_dir).where(F.col("entity_type").isin("supplier", "nation")).join(T.values(spark, sf_dir), "entity_id", "left")
+    joined = T.entities(spark, sf_dir).join(T.values(spark, sf_dir), "entity_id", "left")
     made = joined.groupBy("entity_id", "name").agg(F.count("value").alias("fact_count"), F.array_sort(F.collect_list(fact)).alias("facts"))
     return made.select("entity_id", "name", "fact_count", F.array_join(F.transform("facts", lambda f: F.concat(f["attribute"], F.lit("="), f["value"])), ";").alias("details"))
 

@@ -219,7 +219,7 @@ def collapse_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sc1_er16_normalized_values")
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.values(spark, sf_dir).where("searchable").select("entity_id", "attribute", normalize_value("value").alias("value_norm")).distinct()
+    return T.values(spark, sf_dir).select("entity_id", "attribute", normalize_value("value").alias("value_norm")).distinct()
 
 
 @query("er16_normalization_migration", """

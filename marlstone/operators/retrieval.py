@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 THRESHOLD, TOP_K, MARGIN = 0.50, 8, 0.12
 WEIGHT_FACT, WEIGHT_SIMILARITY, WEIGHT_FRESHNESS = 1.0, 0.70, 0.10
 MOST_FACTS, MOST_CHUNKS = 20, 12
-#: Queries of one group on average, pairs of a block that meet at one time, pivots, and decimals of a similarity: equal
-#: vectors must be equally similar, in whatever block they stand.
-QUERY_GROUP, BLOCK_PAIRS, PIVOTS, DIGITS = 1 << 16, 1 << 20, 16, 12
+#: Queries of one group on average, pairs of a block that meet at one time, numbers of the vectors that are multiplied pair
+#: by pair at one time, pivots, and decimals of a similarity: equal vectors must be equally similar, in whatever block they stand.
+QUERY_GROUP, BLOCK_PAIRS, PAIRED, PIVOTS, DIGITS = 1 << 16, 1 << 20, 1 << 21, 16, 12
 #: What rounding may add to a similarity's bound.
 SLACK = 1e-9
 
@@ -35,12 +35,13 @@ class _Cell:
 
     A block of chunks meets only those queries that it can reach: the angles of chunks and queries to a few pivots, taken
     from the cell's own queries, bound every angle between them (triangle inequality), and a query's bound is the
-    threshold or its k-th best similarity so far.
+    threshold or its k-th best similarity so far. Products of blocks only tell which pairs may count; these are multiplied
+    one by one, as such products depend on the block in their last bits, and a rounded one may then depend on it too.
     """
 
     def __init__(self, ids: pa.Array, vectors: np.ndarray, threshold: float | None, k: int | None, by: str) -> None:
-        vectors, real = _unit(vectors)
-        self.ids, self.queries, self.k, self.by = ids.filter(pa.array(real)), vectors, k, by
+        self.raw, self.norm, vectors, real = _unit(vectors)
+        self.ids, self.queries, self.k, self.by, self.threshold = ids.filter(pa.array(real)), vectors, k, by, threshold
         pivots, nearest = [], np.full(len(vectors), -1.0)
         for _ in range(min(PIVOTS, len(vectors))):
             pivots.append(vectors[int(np.argmin(nearest))])  # the farthest from those taken
@@ -54,7 +55,7 @@ class _Cell:
 
     def meet(self, items: pa.StructArray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
         """Without k the pairs over the threshold, block by block; with k they are kept for best()."""
-        vectors, real = _unit(vectors)
+        raw, norm, vectors, real = _unit(vectors)
         if not len(vectors) or not len(self.queries):
             return
         items, angles = items.filter(pa.array(real)), _angles(vectors, self.pivots)
@@ -68,14 +69,19 @@ class _Cell:
             live = np.flatnonzero(np.cos(np.minimum(apart, np.pi)) >= self.bound - SLACK)
             if not len(live):
                 continue
-            sims = np.round(self.queries[live] @ vectors[block].T, DIGITS)
+            sims = self.queries[live] @ vectors[block].T
             if self.k:
                 both = np.concatenate([self.top[live], sims], axis=1)
                 self.top[live] = np.partition(both, both.shape[1] - self.k, axis=1)[:, -self.k :]
                 self.bound[live] = np.maximum(self.bound[live], self.top[live].min(axis=1))
-            query, row = np.nonzero(sims >= self.bound[live, None])
+            query, row = np.nonzero(sims >= self.bound[live, None] - SLACK)
+            query, row = live[query], block[row]
+            sim = self._cosines(query, raw, norm, row)
+            if self.threshold is not None:
+                kept = sim >= self.threshold
+                query, row, sim = query[kept], row[kept], sim[kept]
             if len(query):
-                found = (live[query], sims[query, row], items.take(pa.array(block[row])))
+                found = (query, sim, items.take(pa.array(row)))
                 if not self.k:
                     yield found
                     continue
@@ -85,6 +91,14 @@ class _Cell:
                     self.held = list(self.best())
                     self.n_held = sum(len(h[0]) for h in self.held)
 
+    def _cosines(self, query: np.ndarray, raw: np.ndarray, norm: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The cosine of each pair by the plain formula, halves of the last decimal rounded up in size, as SQL does."""
+        sim, step = np.empty(len(query)), max(1, PAIRED // raw.shape[1])
+        for at in range(0, len(query), step):
+            q, r = query[at : at + step], row[at : at + step]
+            sim[at : at + step] = np.einsum("ij,ij->i", self.raw[q], raw[r]) / (self.norm[q] * norm[r])
+        return np.copysign(np.floor(np.abs(sim) * 10.0**DIGITS + 0.5), sim) / 10.0**DIGITS
+
     def best(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.StructArray]]:
         """Each query's k best of what is held, ties by the column `by`."""
         if not self.held:
@@ -98,11 +112,15 @@ class _Cell:
         yield query[kept], sim[kept], items.take(pa.array(kept))
 
 
-def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The vectors that have a direction, at length one, and which they are."""
+def _unit(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The vectors that have a direction, times a power of two that keeps products in range and every bit, their lengths,
+    the same at length one, and which they are.
+    """
     norm = np.sqrt((vectors * vectors).sum(axis=1))
     real = (norm > 0) & np.isfinite(norm)
-    return vectors[real] / norm[real, None], real
+    power = -np.frexp(norm[real])[1]
+    raw, norm = np.ldexp(vectors[real], power[:, None]), np.ldexp(norm[real], power)
+    return raw, norm, raw / norm[:, None], real
 
 
 def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -99,11 +99,11 @@ cell AS (SELECT kind, id, CAST('0x' || substr(md5(w), 1, 8) AS UBIGINT) % {SMALL
 norm AS (SELECT kind, id, sqrt(sum(x * x)) AS n FROM cell GROUP BY ALL)"""
 
 
-def _embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _embedded(spark: SparkSession, sf_dir: str, normalize: bool = True) -> tuple[DataFrame, DataFrame]:
     local = HashingEmbedder(SMALL)
     docs = T.read(spark, sf_dir, "documents").where("trim(text) <> ''").select(F.col("doc_id").alias("chunk_id"), "text")
     items = T.read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return embed(docs, local, SMALL).drop("text"), embed(items, local, SMALL, instruction=INSTRUCTION, name="probe").drop("text")
+    return embed(docs, local, SMALL, normalize=normalize).drop("text"), embed(items, local, SMALL, instruction=INSTRUCTION, normalize=normalize, name="probe").drop("text")
 
 
 @query("nl7_udf2_embedded_chunks", f"WITH {HASHED} SELECT id AS chunk_id, CAST(place AS BIGINT) AS place, round(x / n, 9) AS x FROM cell JOIN norm USING (kind, id) WHERE kind = 'c' AND x <> 0")
@@ -115,6 +115,8 @@ def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("nl8_query_instruction_search", f"WITH {HASHED}, sims AS (SELECT q.id AS query_id, c.id AS chunk_id, round(sum(q.x * c.x) / (any_value(qn.n) * any_value(cn.n)), 12) AS sim FROM cell q JOIN cell c ON q.kind = 'q' AND c.kind = 'c' AND q.place = c.place JOIN norm qn ON qn.kind = 'q' AND qn.id = q.id JOIN norm cn ON cn.kind = 'c' AND cn.id = c.id GROUP BY ALL) SELECT query_id, chunk_id, round(sim, 6) AS score FROM sims WHERE sim >= 0.3 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, chunk_id) <= 3")
 def instructed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions, embedded with the instruction, against chunks that are embedded bare."""
-    chunks, queries = _embedded(spark, sf_dir)
+    """Questions, embedded with the instruction, against chunks that are embedded bare. Vectors stay whole numbers, whose
+    products are exact, so that ties are ties.
+    """
+    chunks, queries = _embedded(spark, sf_dir, normalize=False)
     return R.top_hits(R.score(chunks, queries, threshold=0.3, k=3), threshold=0.3, k=3, margin=0).select("query_id", "chunk_id", F.round("sim", 6).alias("score"))

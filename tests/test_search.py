@@ -83,3 +83,16 @@ def test_nearest_ranks(spark):
     every = sorted(x for _, x in rows if x is not None)
     assert {tuple(x) for x in nearest_ranks(df, "v", fractions).collect()} == {(n, every[round(f * (len(every) - 1))]) for n, f in fractions.items()}
     assert nearest_ranks(df.limit(0), "v", fractions).collect() == []
+
+
+def test_products_of_whole_numbers_are_the_plain_formulas(spark):
+    """Equal directions tie, and sums whose thirteenth decimal is a five or next to it round as in SQL, in any block."""
+    r = np.random.default_rng(11)
+    stored, asked = r.integers(-9, 10, (700, 24)).astype(float), r.integers(-9, 10, (300, 24)).astype(float)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(stored)], "chunk_id long, embedding array<double>").repartition(5)
+    queries = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, probe array<double>")
+    found = retrieval.score(chunks, queries).toPandas()
+    size = np.sqrt((asked * asked).sum(axis=1))[:, None] * np.sqrt((stored * stored).sum(axis=1))
+    exact = (asked @ stored.T) / size
+    expected = np.copysign(np.floor(np.abs(exact) * 1e12 + 0.5), exact) / 1e12
+    assert len(found) == expected.size and (found["sim"].to_numpy() == expected[found["query_id"], found["chunk_id"]]).all()

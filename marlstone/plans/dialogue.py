@@ -163,12 +163,7 @@ DEGREES = "d AS (SELECT e.entity_id, e.entity_type, count(r.a) AS degree, min(r.
 @query("gr8_isolated_and_folded", T.sql("", "entity", "relation").rstrip() + f", {DEGREES} SELECT CASE degree WHEN 0 THEN 'isolated' ELSE other END AS at, entity_type, count(*) AS n FROM d WHERE degree <= 1 GROUP BY ALL")
 def isolated_and_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes without a link, and nodes with one folded into their neighbour, by type."""
-    e = T.entities(spark, sf_dir)
-    links = G.undirected(T.relations(spark, sf_dir))
-    a, b = links.columns[:2]
-    ends = links.groupBy(F.col(a).alias("node")).agg(F.countDistinct(b).alias("degree"), F.min(b).alias("other"))
-    joined = e.join(ends, F.col("entity_id") == F.col("node"), "left").where("degree IS NULL OR degree <= 1")
-    return joined.groupBy(F.coalesce("other", F.lit("isolated")).alias("at"), "entity_type").agg(F.count(F.lit(1)).alias("n"))
+    return G.isolated_and_folded(T.entities(spark, sf_dir), G.undirected(T.relations(spark, sf_dir, distinct=False), distinct=False))
 
 
 @query("gr11_depth_filter", T.sql("", "relation").rstrip() + ", e AS (SELECT source_id AS a, target_id AS b FROM relation UNION SELECT target_id, source_id FROM relation), one AS (SELECT DISTINCT b AS node FROM e WHERE a = 'nation:3'), two AS (SELECT DISTINCT b AS node FROM e JOIN one ON a = node) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT 'nation:3' AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one UNION ALL SELECT node, 2 FROM two) GROUP BY node")

@@ -1,6 +1,7 @@
 """Operators of the engine on small tables, with the edge cases that matter."""
 
 import random
+from collections import Counter
 from datetime import datetime
 
 import pytest
@@ -93,6 +94,22 @@ def test_graph(spark):
     assert {x.entity_id: x.degree for x in graph.degrees(nodes, r).collect()}["f"] == 2
 
 
+def test_folds_of_repeated_edges_hold_no_pairs(spark):
+    """Nodes at their only neighbour, by plain loops; no partition is sorted and no set of pairs is kept."""
+    draw = random.Random(7)
+    pairs = [(f"n{draw.randrange(40)}", f"n{draw.randrange(40)}") for _ in range(30)] + [(f"leaf{i}", f"n{i % 5}") for i in range(30)] + [("solo", "solo")]
+    nodes = spark.createDataFrame([(n, n[0]) for n in sorted({x for p in pairs for x in p} | {"none", "zero"})], "entity_id string, entity_type string")
+    r = spark.createDataFrame([(a, b, "r") for a, b in sorted(set(pairs))], "source_id string, target_id string, relation_type string")
+    around = {}
+    for a, b in set(pairs):
+        around.setdefault(a, set()).add(b), around.setdefault(b, set()).add(a)
+    folded = Counter((min(around.get(n.entity_id, {"isolated"})), n.entity_type) for n in nodes.collect() if len(around.get(n.entity_id, ())) < 2)
+    found = graph.isolated_and_folded(nodes, graph.undirected(r.union(r).repartition(3), distinct=False))
+    assert {(x["at"], x.entity_type): x.n for x in found.collect()} == folded
+    plan = graph._ends(graph.undirected(r, distinct=False))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan
+
+
 def test_supersession_restores(spark):
     provenance = spark.createDataFrame([("old", 1), ("new", 2), ("both", 1), ("both", 2)], "value_id string, version_id int")
     marked = lambda v: {r.value_id: r.superseded for r in resolution.supersession(provenance, spark.createDataFrame([(v,)], "version_id int")).collect()}

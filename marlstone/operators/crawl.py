@@ -9,6 +9,7 @@ from urllib.parse import urljoin
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,8 +27,8 @@ NAME_CLASSES = {"member-name", "member_name", "team-member-name", "team_member_n
 ROLE_CLASSES = {
     "member-designation", "member_title", "member-role", "member_role", "team-member-role", "team_member_role", "designation", "position", "role",
 }
-#: Parts in which a crawl's frontier is put in order.
-SALTS = 16
+#: Parts in which a crawl's frontier is put in order, and pages whose texts a worker holds at one time.
+SALTS, PAGES = 16, 64
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -201,18 +202,20 @@ def page_text(pages: DataFrame) -> DataFrame:
     headings, list items and paragraphs become lines; scripts, styles and page furniture go.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for i, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                p = _Page()
-                p.feed(html or "")
-                p.close()
-                p._end_line()
-                out.append((i, "\n".join(p.lines), [f"{n}: {r}" for n, r in p.team]))
-            yield pd.DataFrame(out, columns=["page_id", "markdown", "team"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, markdown string, team array<string>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES):
+                part, out = batch.slice(at, PAGES), []
+                for html in part.column(1).to_pylist():
+                    p = _Page()
+                    p.feed(html or "")
+                    p.close()
+                    p._end_line()
+                    out.append(("\n".join(p.lines), [f"{n}: {r}" for n, r in p.team]))
+                made = [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string())))]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *made], names=["page_id", "markdown", "team"])
+
+    return pages.select("page_id", "html").mapInArrow(run, "page_id long, markdown string, team array<string>")
 
 
 def crawl(roots: DataFrame, links: DataFrame, most_pages: int) -> DataFrame:

@@ -185,6 +185,15 @@ def test_pages(spark):
     assert one(spark, crawl.sitemap_locations(F.lit("<sitemapindex><loc>a</loc></sitemapindex>"))) is None
 
 
+def test_page_texts_by_slices(spark):
+    """Each page has its own text on both sides of a slice's border; a worker holds PAGES texts, not a batch of pages."""
+    n = 2 * crawl.PAGES + 3
+    pages = spark.range(n).select(F.col("id").alias("page_id"), F.when(F.col("id") % 7 > 0, F.format_string("<p>page %d</p><li>x", "id")).alias("html")).coalesce(1)
+    found = crawl.page_text(pages)
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(i, f"page {i}\n- x" if i % 7 else "", []) for i in range(n)]
+
+
 def test_address_classes_are_the_librarys(spark):
     import ipaddress
 
